@@ -30,7 +30,7 @@ RULES = (
     ("too_few_words", "n_words < 10"),
     ("repeated_windows", "100 * n_repeat_words > 20 * n_words"),
     ("symbols", "10 * n_symbols > n_words"),
-    ("duplicate_lines", "100 * n_dup_lines > 30 * n_lines"),
+    ("duplicate_lines", "n_dup_lines > 4 and 100 * n_dup_lines > 30 * n_lines"),
     ("word_length", "word_chars < 2 * n_words or word_chars > 12 * n_words"),
     ("shouting", "100 * n_upper > 30 * word_chars"),
 )
