@@ -34,8 +34,10 @@ from .trees import sigmoid
 THRESHOLD = 0.3
 TERMS = 4096
 #: Term kinds: a whole word, or its first so many characters.
-KINDS = (0, 3, 4, 5, 6)
+KINDS = (0, 2, 3, 4, 5, 6)
 GROUPS = 4
+#: Share of documents with label 1 among those that hold a term of a toxic lexicon.
+PURITY = 0.8
 #: Insults by language, and patterns, all matched in lower-cased text.
 INSULTS = {
     "en": ["idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "clown", "dumb", "jerk", "filth", "vermin", "garbage", "hate"],
@@ -85,7 +87,7 @@ def choose_terms(rows: DataFrame, most: int = TERMS) -> pd.DataFrame:
     base = (total["ones"] + 0.5) / (total["n"] + 1)
     counted = rows.mapInArrow(_tally, "kind int, term string, n long, ones long").groupBy("kind", "term").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"))
     lift = (F.col("ones") - F.col("n") * base) / F.sqrt((F.col("n") + 1) * base * (1 - base))
-    strong = counted.where("n >= 4").withColumn("lift", lift).where(F.abs("lift") > 3)
+    strong = counted.where("n >= 4").withColumn("lift", lift).where(F.abs("lift") > 4)
     return strong.orderBy(F.abs("lift").desc(), "kind", "term").limit(most).toPandas().astype({"ones": float, "n": float, "lift": float})
 
 
@@ -121,20 +123,24 @@ def fixed_hits(text: pa.Array) -> np.ndarray:
 
 
 def votes(table: pd.DataFrame, doc: np.ndarray, term: np.ndarray, n: np.ndarray, fixed: np.ndarray, rows: int) -> np.ndarray:
-    """One column a voter.  A lexicon of toxic terms votes by whether it is met; of clean terms against; fixed lists and patterns only for."""
+    """One column a voter.  A lexicon of toxic terms, a fixed list or a pattern votes for toxic where it is met; that two of the terms
+    are met votes for, that none is against; clean terms vote against."""
     columns = []
     group = np.array([zlib.crc32(t.encode()) % GROUPS for t in table["term"]], int) if len(table) else np.zeros(0, int)
-    good = table["ones"].to_numpy() >= 0.6 * table["n"].to_numpy()
+    good = table["ones"].to_numpy() >= PURITY * table["n"].to_numpy()
     kind = table["kind"].to_numpy()
+    met = lambda mine: np.bincount(doc[mine[term]], minlength=rows)
     for k in KINDS:
         for g in range(GROUPS):
             mine = good & (kind == k) & (group == g)
             if mine.any():
-                hits = np.bincount(doc[mine[term]], minlength=rows)
-                columns.append(np.where(hits > 0, 1.0, -1.0))
+                columns.append(np.where(met(mine) > 0, 1.0, 0.0))
+    if good.any():
+        hits = np.bincount(doc[good[term]], n[good[term]], rows)
+        columns += [np.where(hits > 0, 0.0, -1.0), np.where(hits > 1, 1.0, 0.0)]
     clean = table["lift"].to_numpy() < 0
     if clean.any():
-        columns.append(np.where(np.bincount(doc[clean[term]], minlength=rows) > 0, -1.0, 0.0))
+        columns.append(np.where(met(clean) > 0, -1.0, 0.0))
     columns += [np.where(f > 0, 1.0, 0.0) for f in fixed.T]
     return np.stack(columns, axis=1)
 
