@@ -1,0 +1 @@
+"""Security-log detection, correlation and ranking as Spark jobs."""

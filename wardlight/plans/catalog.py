@@ -1,11 +1,419 @@
-"""Registered queries by name, with SQL for each."""
+"""Registered queries by name, with SQL for each: every operator on the given tables.
+
+The tables hold no security logs, so operators run by role: users are keys, event types kinds, values amounts.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions.net import is_public
+from ..functions.predicates import condition, selection
+from ..operators import bursts as B
+from ..operators import correlation as C
+from ..operators import sequences as S
+from ..operators.graph import components
+from ..operators.lineage import cut
+from ..operators.sessions import sessions
+from ..operators.trailing import ordered, ranged, with_past
+
+HOUR = 3600
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def register(sql: str | None = None, name: str | None = None):
+    def add(f: Query) -> Query:
+        key = name or f.__name__
+        _QUERIES[key] = f
+        if sql:
+            _SQL[key] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With ``us``, microseconds whatever the session's time zone, and ``seq``."""
+    e = table(spark, sf_dir, "events")
+    return e.withColumns({"us": F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))"), "seq": F.col("event_id")})
+
+
+# ---------------------------------------------------------------- stateful rules
+
+_BURST_SQL = """
+WITH RECURSIVE e AS (SELECT user_id AS k, epoch_us(ts) AS us, event_id AS seq, event_type AS x, CAST(round(value * 100) AS BIGINT) AS v FROM events WHERE {where}),
+g AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY us, seq) AS rn, CASE WHEN us - lag(us) OVER (PARTITION BY k ORDER BY us, seq) <= {w} THEN 0 ELSE 1 END AS nb,
+  CAST(sum(v) OVER (PARTITION BY k ORDER BY us, seq) AS BIGINT) AS cs FROM e),
+s AS (SELECT *, sum(nb) OVER (PARTITION BY k ORDER BY us, seq) AS sid, min(rn) OVER r AS st, {metric} AS metric FROM g
+  WINDOW r AS (PARTITION BY k ORDER BY us RANGE BETWEEN {w} PRECEDING AND CURRENT ROW)),
+t AS (SELECT k, sid, min(rn) AS trn FROM s WHERE metric >= {need} GROUP BY k, sid),
+f AS (SELECT t.k, t.sid, t.trn, {start} AS st FROM t JOIN s ON s.k = t.k AND s.rn = t.trn),
+z AS (SELECT k, sid, max(rn) AS ern, max(us) AS last_us FROM s GROUP BY k, sid)
+SELECT f.k AS user_id, a.us AS first_us, b.us AS trigger_us, z.last_us, z.ern - f.st + 1 AS n
+FROM f JOIN z ON z.k = f.k AND z.sid = f.sid JOIN s a ON a.k = f.k AND a.rn = f.st JOIN s b ON b.k = f.k AND b.rn = f.trn
+"""
+
+
+def _burst_sql(where: str, hours: int, need: int, metric: str = "count") -> str:
+    amount = {"count": "rn - min(rn) OVER r + 1", "sum": "cs - min(cs - v) OVER r", "distinct": "count(DISTINCT x) OVER r"}[metric]
+    start = f"(SELECT max(q.rn) FROM s q WHERE q.k = t.k AND q.rn BETWEEN s.st AND t.trn AND s.cs - (q.cs - q.v) >= {need})" if metric == "sum" else "s.st"
+    return _BURST_SQL.format(where=where, w=f"{hours * HOUR}::BIGINT * 1000000", need=need, metric=amount, start=start)
+
+
+def _burst(where: str, hours: int, need: int, metric: str = "count") -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = events(spark, sf_dir).where(where).select("user_id", "us", "seq", "event_type", F.round(F.col("value") * 100).cast("long").alias("v"))
+        found = B.bursts(rows, ["user_id"], need, hours * HOUR, metric, {"count": None, "sum": "v", "distinct": "event_type"}[metric])
+        return found.select("user_id", "first_us", "trigger_us", "last_us", "n")
+
+    return run
+
+
+for _name, _args in {
+    "threshold_burst": ("event_type = 'error'", 24, 3),
+    "threshold_burst_wide": ("event_type = 'error'", 48, 4),
+    "distinct_burst": ("true", 12, 4, "distinct"),
+    "sum_burst": ("true", 12, 20000, "sum"),
+}.items():
+    register(_burst_sql(*_args), _name)(_burst(*_args))
+
+
+@register("""
+WITH RECURSIVE e AS (SELECT user_id AS k, epoch_us(ts) AS us, event_id AS seq, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS p FROM events WHERE event_type IN ('error', 'purchase')),
+c AS (SELECT *, sum(p) OVER (PARTITION BY k ORDER BY us, seq) AS cp FROM e),
+n AS (SELECT *, cp - min(cp - p) OVER r AS n, min(CASE WHEN p = 1 THEN us END) OVER r AS first_us FROM c WINDOW r AS (PARTITION BY k ORDER BY us RANGE BETWEEN 86400::BIGINT * 1000000 PRECEDING AND CURRENT ROW)),
+h AS (SELECT k, us, seq, first_us, n, row_number() OVER (PARTITION BY k ORDER BY us, seq) AS r FROM n WHERE p = 0 AND n >= 2),
+a AS (
+  SELECT k, us, seq, first_us, n, us AS quiet, true AS fires, r FROM h WHERE r = 1
+  UNION ALL
+  SELECT h.k, h.us, h.seq, h.first_us, h.n, CASE WHEN h.us - a.quiet > 86400::BIGINT * 1000000 THEN h.us ELSE a.quiet END, h.us - a.quiet > 86400::BIGINT * 1000000, h.r FROM a JOIN h ON h.k = a.k AND h.r = a.r + 1
+)
+SELECT k AS user_id, us, first_us, CAST(n + 1 AS BIGINT) AS n FROM a WHERE fires
+""")
+def sequence_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir).withColumns({"is_prior": F.col("event_type") == "error", "is_trigger": F.col("event_type") == "purchase"})
+    return S.sequences(e.select("user_id", "us", "seq", "is_prior", "is_trigger"), ["user_id"], 2, 24 * HOUR).select("user_id", "us", "first_us", "n")
+
+
+@register("""
+WITH e AS (SELECT user_id AS k, epoch_us(ts) AS us, event_id AS seq FROM events),
+g AS (SELECT *, (us - lag(us) OVER w) / 1000000.0::DOUBLE AS g, us - lag(us, 4) OVER w AS span FROM e WINDOW w AS (PARTITION BY k ORDER BY us, seq)),
+m AS (SELECT *, avg(g) OVER r AS m, stddev_pop(g) OVER r AS sd, count(g) OVER r AS c FROM g WINDOW r AS (PARTITION BY k ORDER BY us, seq ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)),
+f AS (SELECT k, min(us) AS at_us FROM m WHERE c = 4 AND span <= 604800::BIGINT * 1000000 AND m BETWEEN 5 AND 900000 AND sd / m <= 0.35 GROUP BY k)
+SELECT e.k AS user_id, min(us) AS first_us, max(us) AS last_us, count(*) AS n, f.at_us FROM e JOIN f ON e.k = f.k GROUP BY e.k, f.at_us
+""")
+def beacon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = S.beacons(events(spark, sf_dir).select("user_id", "us", "seq"), ["user_id"], 5, 7 * 24 * HOUR, 0.35, 5, 900_000)
+    return found.select("user_id", "first_us", "last_us", "n", "at_us")
+
+
+@register("""
+WITH g AS (SELECT event_type, user_id, epoch_us(ts) AS us, event_id AS seq, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w <= 21600::BIGINT * 1000000 THEN 0 ELSE 1 END AS nb FROM events WINDOW w AS (PARTITION BY event_type, user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(nb) OVER (PARTITION BY event_type, user_id ORDER BY us, seq) AS sid FROM g)
+SELECT event_type, user_id, min(us) AS first_us, max(us) AS last_us, count(*) AS n FROM s GROUP BY event_type, user_id, sid
+""")
+def session_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir).select("event_type", "user_id", "us", "seq")
+    s = sessions(e, ["event_type", "user_id"], 6 * HOUR * B.SECOND)
+    return s.groupBy("event_type", "user_id", "sid").agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.count(F.lit(1)).alias("n")).drop("sid")
+
+
+@register("""
+WITH c AS (SELECT user_id, event_type, count(*) AS n, min(event_id) AS s FROM events GROUP BY ALL)
+SELECT user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, s) AS r FROM c) WHERE r = 1
+""")
+def dominant_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.dominant(events(spark, sf_dir), ["user_id"], "event_type")
+
+
+@register("""
+WITH p AS (SELECT user_id, event_type || props AS v, min(event_id) AS o FROM events GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY o) AS r FROM p)
+SELECT user_id, string_agg(v, ',' ORDER BY r) AS indicators FROM r WHERE r <= 10 GROUP BY user_id
+""")
+def indicators_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    met = events(spark, sf_dir).groupBy("user_id", F.concat("event_type", "props").alias("v")).agg(F.min("event_id").alias("o"))
+    top = met.withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy("o"))).where("r <= 10")
+    return top.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "v"))), lambda x: x["v"]), ",").alias("indicators"))
+
+
+@register("""
+SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86400::BIGINT * 1000000 PRECEDING AND CURRENT ROW) AS n FROM events
+""")
+def trailing_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = 24 * HOUR * B.SECOND
+    rows = with_past(events(spark, sf_dir).select("event_id", "user_id", "us", "seq"), day)
+    return rows.withColumn("n", F.count(F.lit(1)).over(ranged(["user_id"], day))).where("not _past").select("event_id", "n")
+
+
+@register("""
+WITH g AS (SELECT event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap_us FROM events)
+SELECT event_id, CASE WHEN gap_us <= 172800::BIGINT * 1000000 THEN gap_us ELSE -1 END AS gap_us FROM g
+""")
+def gap_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    two_days = 48 * HOUR * B.SECOND
+    rows = with_past(events(spark, sf_dir).select("event_id", "user_id", "us", "seq"), two_days)
+    gap = F.col("us") - F.lag("us").over(ordered(["user_id"]))
+    return rows.withColumn("gap_us", gap).where("not _past").select("event_id", F.when(F.col("gap_us") <= two_days, F.col("gap_us")).otherwise(-1).alias("gap_us"))
+
+
+@register("""
+WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS us, epoch_us(ts) + CAST(round(value * 100) AS BIGINT) * 60000000 AS until FROM events),
+m AS (SELECT *, max(until) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e),
+s AS (SELECT *, sum(CASE WHEN us - before <= 3600::BIGINT * 1000000 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY us, event_id) AS sid FROM m)
+SELECT user_id, min(us) AS first_us, max(until) AS last_us, count(*) AS n FROM s GROUP BY user_id, sid
+""")
+def running_max_last_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of intervals: an event lasts a minute for each hundredth of its value."""
+    e = events(spark, sf_dir).select("user_id", "us", "seq", (F.col("us") + F.round(F.col("value") * 100).cast("long") * 60_000_000).alias("until"))
+    s = sessions(e, ["user_id"], HOUR * B.SECOND, "us", "until")
+    return s.groupBy("user_id", "sid").agg(F.min("us").alias("first_us"), F.max("until").alias("last_us"), F.count(F.lit(1)).alias("n")).drop("sid")
+
+
+# ---------------------------------------------------------------- correlation, scores, reports
+
+_ALERTS_SQL = _burst_sql("event_type = 'error'", 24, 3)
+_INCIDENTS_SQL = """
+WITH RECURSIVE alerts AS ({alerts}),
+a AS (SELECT *, row_number() OVER (ORDER BY first_us, user_id) AS ord FROM alerts),
+n AS (SELECT ord, first_us, last_us, 'user:' || user_id AS e FROM a UNION ALL SELECT ord, first_us, last_us, 'team:' || (user_id % 25) FROM a),
+l AS (SELECT DISTINCT x.ord AS i, y.ord AS j FROM n x JOIN n y ON x.e = y.e AND x.ord <> y.ord AND CASE WHEN x.ord > y.ord THEN x.first_us - y.last_us ELSE y.first_us - x.last_us END <= {gap}::BIGINT * 1000000),
+c AS (SELECT ord AS i, ord AS o FROM a UNION SELECT l.j, c.o FROM c JOIN l ON l.i = c.i),
+m AS (SELECT a.*, m.incident FROM a JOIN (SELECT i, min(o) AS incident FROM c GROUP BY i) m ON m.i = a.ord)
+"""
+
+
+def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _burst("event_type = 'error'", 24, 3)(spark, sf_dir)
+    return cut(found.withColumn("ord", F.row_number().over(Window.orderBy("first_us", "user_id")).cast("long")))  # alerts are few
+
+
+def _incident_members(spark: SparkSession, sf_dir: str, gap_s: int) -> DataFrame:
+    a = _alerts(spark, sf_dir)
+    names = F.explode(F.array(F.concat(F.lit("user:"), F.col("user_id").cast("string")), F.concat(F.lit("team:"), (F.col("user_id") % 25).cast("string"))))
+    found = components(C.links(a.select("ord", "first_us", "last_us", names.alias("entity")), gap_s))
+    return a.join(found.select(F.col("node").alias("ord"), "label"), "ord", "left").withColumn("incident", F.coalesce("label", "ord"))
+
+
+for _gap in (1800, 7200, 21600):
+
+    def _correlate(spark: SparkSession, sf_dir: str, gap: int = _gap) -> DataFrame:
+        return _incident_members(spark, sf_dir, gap).select("ord", "user_id", "incident")
+
+    register(_INCIDENTS_SQL.format(alerts=_ALERTS_SQL, gap=_gap).replace("WITH RECURSIVE alerts AS (\nWITH RECURSIVE", "WITH RECURSIVE alerts AS (\nWITH") + "SELECT ord, user_id, incident FROM m", f"correlate_incidents_{_gap}")(_correlate)
+
+_SEVERITY = F.when(F.col("n") >= 5, "critical").when(F.col("n") >= 4, "high").otherwise("medium")
+_SCORE_SQL = (
+    _INCIDENTS_SQL.format(alerts=_ALERTS_SQL, gap=21600).replace("WITH RECURSIVE alerts AS (\nWITH RECURSIVE", "WITH RECURSIVE alerts AS (\nWITH")
+    + """, i AS (SELECT incident, min(first_us) AS first_us, CAST(sum(n) AS BIGINT) AS volume, count(*) AS n_alerts, max(n) AS most FROM m GROUP BY incident),
+p AS (SELECT *, CASE WHEN most >= 5 THEN 40 WHEN most >= 4 THEN 30 ELSE 15 END + CASE WHEN n_alerts > 1 THEN least(6 * (n_alerts - 1), 24) ELSE 0 END + CASE WHEN volume >= 6 THEN 5 ELSE 0 END AS points FROM i),
+q AS (SELECT *, least(100, points)::INTEGER AS score FROM p)
+"""
+)
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _incident_members(spark, sf_dir, 21600)
+    i = m.groupBy("incident").agg(F.min("first_us").alias("first_us"), F.sum("n").alias("volume"), F.count(F.lit(1)).alias("n_alerts"), F.max("n").alias("n"))
+    parts = [C.mapped(C.SEVERITY_POINTS, _SEVERITY), F.when(F.col("n_alerts") > 1, F.least(6 * (F.col("n_alerts") - 1), F.lit(24))).otherwise(0), F.when(F.col("volume") >= 6, 5).otherwise(0)]
+    return i.withColumn("score", F.least(F.lit(100), sum(parts, F.lit(0))).cast("int"))
+
+
+@register(_SCORE_SQL + "SELECT incident, first_us, volume, n_alerts, score FROM q")
+def risk_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scores(spark, sf_dir).select("incident", "first_us", "volume", "n_alerts", "score")
+
+
+@register(_SCORE_SQL + "SELECT p.priority, count(q.score) AS n FROM (VALUES ('P1', 80, 101), ('P2', 60, 80), ('P3', 35, 60), ('P4', 0, 35)) p(priority, lo, hi) LEFT JOIN q ON q.score >= p.lo AND q.score < p.hi GROUP BY p.priority")
+def priority_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spine = spark.createDataFrame([(p,) for p, _ in C.PRIORITIES], "priority string")
+    counted = _scores(spark, sf_dir).groupBy(C.priority(F.col("score")).alias("priority")).agg(F.count(F.lit(1)).alias("n"))
+    return spine.join(counted, "priority", "left").select("priority", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
+@register(_SCORE_SQL + "SELECT incident, score, row_number() OVER (ORDER BY score DESC, first_us, incident) AS place FROM q")
+def rank_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = F.row_number().over(Window.orderBy(F.desc("score"), "first_us", "incident"))
+    return _scores(spark, sf_dir).select("incident", "score", place.cast("long").alias("place"))
+
+
+@register(_SCORE_SQL + "SELECT (SELECT count(*) FROM events) AS events, (SELECT count(*) FROM a) AS alerts, (SELECT count(*) FROM q) AS incidents, round(100 * (1 - (SELECT count(*) FROM q) / (SELECT count(*) FROM events)::DOUBLE), 6) AS reduction_pct")
+def summary_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = F.count(F.lit(1))
+    m = _incident_members(spark, sf_dir, 21600).agg(one.alias("alerts"), F.count_distinct("incident").alias("incidents"))
+    e = table(spark, sf_dir, "events").agg(one.alias("events"))
+    return e.join(m, F.lit(True)).select("events", "alerts", "incidents", F.round(100 * (1 - F.col("incidents") / F.col("events")), 6).alias("reduction_pct"))  # one row each
+
+
+@register(f"WITH a AS ({_ALERTS_SQL}), s AS (SELECT CASE WHEN n >= 5 THEN 'critical' WHEN n >= 4 THEN 'high' ELSE 'medium' END AS severity FROM a) SELECT v.severity, count(s.severity) AS n FROM (VALUES ('low'), ('medium'), ('high'), ('critical')) v(severity) LEFT JOIN s ON s.severity = v.severity GROUP BY v.severity")
+def alerts_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spine = spark.createDataFrame([(s,) for s in C.SEVERITY_POINTS], "severity string")
+    counted = _alerts(spark, sf_dir).groupBy(_SEVERITY.alias("severity")).agg(F.count(F.lit(1)).alias("n"))
+    return spine.join(counted, "severity", "left").select("severity", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
+@register("SELECT event_type AS technique, count(*) AS score, max(count(*)) OVER () AS highest FROM events GROUP BY event_type")
+def navigator_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = events(spark, sf_dir).groupBy(F.col("event_type").alias("technique")).agg(F.count(F.lit(1)).alias("score"))
+    return n.withColumn("highest", F.max("score").over(Window.partitionBy()))
+
+
+@register("""
+WITH s(id, malicious, expected, kinds) AS (VALUES ('A', true, ['error', 'purchase'], ['error', 'purchase']), ('B', false, ['view'], ['view', 'click']), ('C', false, []::VARCHAR[], ['none'])),
+r AS (SELECT s.id, count(*) AS related, list(DISTINCT event_type) AS rules FROM s JOIN events e ON list_contains(s.kinds, e.event_type) AND e.value > 190 GROUP BY s.id)
+SELECT s.id, coalesce(related, 0) AS related, len(list_intersect(expected, coalesce(rules, []))) AS detected,
+  len(list_filter(expected, lambda x: NOT list_contains(coalesce(rules, []), x))) AS missing, len(list_filter(coalesce(rules, []), lambda x: NOT list_contains(expected, x))) AS other
+FROM s LEFT JOIN r ON r.id = s.id
+""")
+def evaluate_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = spark.createDataFrame([("A", True, ["error", "purchase"], ["error", "purchase"]), ("B", False, ["view"], ["view", "click"]), ("C", False, [], ["none"])], "id string, malicious boolean, expected array<string>, kinds array<string>")
+    e = events(spark, sf_dir).where("value > 190").select("event_type")
+    r = s.select("id", F.explode("kinds").alias("event_type")).join(e, "event_type").groupBy("id").agg(F.count(F.lit(1)).alias("related"), F.collect_set("event_type").alias("rules"))
+    out = s.join(r, "id", "left").withColumn("rules", F.coalesce("rules", F.array().cast("array<string>")))
+    size = lambda c: F.size(c).cast("long")
+    return out.select("id", F.coalesce("related", F.lit(0).cast("long")).alias("related"), size(F.array_intersect("expected", "rules")).alias("detected"), size(F.array_except("expected", "rules")).alias("missing"), size(F.array_except("rules", "expected")).alias("other"))
+
+
+# ---------------------------------------------------------------- selections and conditions
+
+def _chosen(tab: str, key: str, sel, where: str) -> None:
+    def add(name: str) -> None:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            t = table(spark, sf_dir, tab)
+            return t.where(selection(sel, {}, t.columns)).select(key)
+
+        register(f"SELECT {key} FROM {tab} WHERE {where}", name)(run)
+
+    return add
+
+
+_chosen("part", "p_partkey", {"p_brand": ["BRAND#11", "brand#23"]}, "lower(p_brand) IN ('brand#11', 'brand#23')")("sel_eq_ci")
+_chosen("part", "p_partkey", {"p_type": "s?an*"}, "lower(p_type) LIKE 's_an%'")("sel_wildcard")
+_chosen("pages", "page_id", {"url|contains": ["page=", "utm_source="]}, "contains(lower(url), 'page=') OR contains(lower(url), 'utm_source=')")("sel_contains_any")
+_chosen("pages", "page_id", {"html|contains|all": ["<p", "</div>"]}, "contains(lower(html), '<p') AND contains(lower(html), '</div>')")("sel_contains_all")
+_chosen("pages", "page_id", {"url|startswith": "https://"}, "starts_with(lower(url), 'https://')")("sel_startswith")
+_chosen("pages", "page_id", {"url|endswith": [".html", "/"]}, "suffix(lower(url), '.html') OR suffix(lower(url), '/')")("sel_endswith")
+_chosen("documents", "doc_id", {"text|re": r"released under the (mit|apache) license"}, "regexp_matches(text, '(?i)released under the (mit|apache) license')")("sel_regex")
+_chosen("orders", "o_orderkey", {"o_totalprice|gte": 100000, "o_totalprice|lt": 300000, "o_orderstatus": "f"}, "o_totalprice >= 100000 AND o_totalprice < 300000 AND lower(o_orderstatus) = 'f'")("sel_numeric")
+_chosen("documents", "doc_id", {"absent": None, "lang": "fr"}, "lower(lang) = 'fr'")("sel_null")
+_chosen("part", "p_partkey", [{"p_size|gt": 45}, {"p_type|contains": "steel", "p_size|lte": 5}], "p_size > 45 OR (contains(lower(p_type), 'steel') AND p_size <= 5)")("sel_or_maps")
+
+
+def _conditioned(name: str, text: str, where: str) -> None:
+    found = {"selection_https": {"url|startswith": "https"}, "selection_page": {"url|contains": "page="}, "filter_utm": {"url|contains": "utm_"}, "filter_missing": {"nothing|contains": "x"}}
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = table(spark, sf_dir, "pages")
+        return t.where(condition(text, {n: selection(s, {}, t.columns) for n, s in found.items()})).select("page_id")
+
+    register(f"WITH p AS (SELECT page_id, starts_with(lower(url), 'https') AS a, contains(lower(url), 'page=') AS b, contains(lower(url), 'utm_') AS c FROM pages) SELECT page_id FROM p WHERE {where}", name)(run)
+
+
+_conditioned("cond_and_not", "selection_https and not (filter_utm or filter_missing)", "coalesce(a, false) AND NOT coalesce(c, false)")
+_conditioned("cond_1_of", "1 of selection_* and not filter_utm", "(coalesce(a, false) OR coalesce(b, false)) AND NOT coalesce(c, false)")
+_conditioned("cond_all_of", "all of selection_* or filter_utm", "(coalesce(a, false) AND coalesce(b, false)) OR coalesce(c, false)")
+
+# ---------------------------------------------------------------- fields, joins, parsing
+
+_IP = r"(?:^|[^0-9.])(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?:$|[^0-9.])"
+
+
+@register(r"""
+WITH x AS (SELECT doc_id, regexp_extract(text, '(?:^|[^0-9.])(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?:$|[^0-9.])', 1) AS ip FROM documents),
+n AS (SELECT doc_id, ip, regexp_matches(ip, '^(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(\.(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}$') AS ok,
+  try_cast(split_part(ip, '.', 1) AS BIGINT) * 16777216 + try_cast(split_part(ip, '.', 2) AS BIGINT) * 65536 + try_cast(split_part(ip, '.', 3) AS BIGINT) * 256 + try_cast(split_part(ip, '.', 4) AS BIGINT) AS a FROM x WHERE ip <> '')
+SELECT doc_id, ip, ok AND (NOT (a BETWEEN 0 AND 16777215 OR a BETWEEN 167772160 AND 184549375 OR a BETWEEN 2130706432 AND 2147483647 OR a BETWEEN 2851995648 AND 2852061183 OR a BETWEEN 2886729728 AND 2887778303
+  OR a BETWEEN 3221225472 AND 3221225727 OR a BETWEEN 3232235520 AND 3232301055 OR a BETWEEN 3323068416 AND 3323199487 OR a >= 4026531840) OR a IN (3221225481, 3221225482)) AS public FROM n
+""")
+def is_public_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract("text", _IP, 1).alias("ip")).where("ip <> ''")
+    return x.withColumn("public", is_public(F.col("ip")))
+
+
+_LIST_SQL = "SELECT s_suppkey, s_name FROM supplier s {kind} JOIN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) n ON s.s_nationkey = n.n_nationkey"
+
+
+def _listed(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
+    allowed = table(spark, sf_dir, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("s_nationkey"))
+    return table(spark, sf_dir, "supplier").join(allowed, "s_nationkey", how).select("s_suppkey", "s_name")
+
+
+@register(_LIST_SQL.format(kind="SEMI"))
+def allowlist_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _listed(spark, sf_dir, "left_semi")
+
+
+@register(_LIST_SQL.format(kind="ANTI"))
+def allowlist_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _listed(spark, sf_dir, "left_anti")
+
+
+@register("SELECT page_id, split_part(url, '?', 1) AS uri_path, CASE WHEN contains(url, '?') THEN substr(url, strpos(url, '?') + 1) ELSE '' END AS uri_query FROM pages")
+def url_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mark = F.instr("url", "?")
+    return table(spark, sf_dir, "pages").select("page_id", F.substring_index("url", "?", 1).alias("uri_path"), F.when(mark > 0, F.substring(F.col("url"), mark + 1, F.length("url"))).otherwise("").alias("uri_query"))
+
+
+@register("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def kv_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@register(r"SELECT source, count(*) AS total, count(*) FILTER (regexp_matches(text, '@\w+\.example\.com')) AS parsed, count(*) FILTER (NOT regexp_matches(text, '@\w+\.example\.com')) AS skipped FROM documents GROUP BY source")
+def parse_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ok = F.col("text").rlike(r"@\w+\.example\.com")
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("parsed"), F.count_if(~ok).alias("skipped"))
+
+
+def _inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    level = F.when(F.col("r_regionkey") == 0, "critical").when(F.col("r_regionkey") == 1, "high").when(F.col("r_regionkey") == 2, "medium")
+    return n.join(r, n.n_regionkey == r.r_regionkey).where("r_regionkey < 4").select("n_nationkey", "n_name", level.alias("criticality"))
+
+
+@register("""
+SELECT c_custkey, n.n_name AS asset, coalesce(CASE r_regionkey WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' END, 'low') AS criticality
+FROM customer c LEFT JOIN (SELECT n_nationkey, n_name, r_regionkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey < 4) n ON c.c_nationkey = n.n_nationkey
+""")
+def asset_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").withColumnRenamed("c_nationkey", "n_nationkey")
+    return c.join(_inventory(spark, sf_dir), "n_nationkey", "left").select("c_custkey", F.col("n_name").alias("asset"), F.coalesce("criticality", F.lit("low")).alias("criticality"))
+
 
-def queries():
-    return {}
+@register("""
+SELECT DISTINCT c_custkey, e FROM (SELECT c_custkey, 'cust:' || lower(c_name) AS e FROM customer UNION ALL SELECT c_custkey, 'segment:' || lower(c_mktsegment) FROM customer
+UNION ALL SELECT c_custkey, 'nation:' || lower(n_name) FROM customer JOIN nation ON c_nationkey = n_nationkey)
+""")
+def entity_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    name = lambda kind, col: F.when(F.col(col).isNotNull(), F.concat(F.lit(kind + ":"), F.lower(col)))
+    return c.select("c_custkey", F.explode(F.array_compact(F.array(name("cust", "c_name"), name("segment", "c_mktsegment"), name("nation", "n_name")))).alias("e")).distinct()
 
 
-def oracle_sql():
-    return {}
+@register(r"""
+WITH f AS (SELECT DISTINCT lower(w) AS key FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark) WHERE length(w) >= 8),
+d AS (SELECT DISTINCT doc_id, lower(w) AS key FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents) WHERE length(w) >= 8)
+SELECT doc_id, count(*) AS hits FROM d JOIN f USING (key) GROUP BY doc_id
+""")
+def intel_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the benchmark as a feed of indicators."""
+    words = lambda t, *keep: t.select(*keep, F.explode(F.split("text", " ")).alias("w")).where("length(w) >= 8").select(*keep, F.lower("w").alias("key")).distinct()
+    feed = words(table(spark, sf_dir, "benchmark"))
+    return words(table(spark, sf_dir, "documents"), "doc_id").join(feed, "key").groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"))
