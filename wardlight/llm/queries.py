@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, lz_dedup, lz_fingerprint, mixing, quality_model, quality_rules, secret_scan, simhash, token_files, toxicity
-from .text import documents
+from .text import documents, scratch
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def op9_lz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = token_files.scratch(spark, "tokens")
+    folder = scratch(spark, "tokens")
     token_files.write(documents(spark, sf_dir), folder)
     return token_files.digests(spark, folder)
 

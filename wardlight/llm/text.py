@@ -7,7 +7,6 @@ batches are tokenised without a Python loop over words.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import cut, scratch  # noqa: F401
+
 #: Text bytes handled at once inside a task; a single longer document is one slice.
 SLICE_BYTES = 8 << 20
 #: Rows in one Arrow batch sent to Python: at the default of 10,000 a batch of long documents would not fit.
@@ -35,17 +36,6 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage, in the shared folder of spark.checkpoint.dir.
-
-    A folder is set here only where the session names none (tests on one machine).
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="wardlight-"))
-    return df.checkpoint()
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -13,7 +13,6 @@ ordered by their ids; an empty table gives empty files; other columns are ignore
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -174,13 +173,3 @@ def digests(spark: SparkSession, folder: str) -> DataFrame:
     )
     together = F.aggregate("p", F.lit(b""), lambda acc, x: F.concat(acc, x["ids"]))
     return got.join(base, "part").select("doc_id", (F.col("start") + F.col("base")).cast("long").alias("start"), "n_tokens", F.coalesce("crc", F.crc32(together)).alias("ids_crc32"))
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one, for files that are written and read back."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="wardlight-"))
-    return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
