@@ -1,0 +1,334 @@
+"""Operators against brute force, and their defined cases."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+
+from wardlight.llm import bpe, lz_dedup, lz_fingerprint, mixing, quality_model, quality_rules, secret_scan, simhash, token_files, toxicity, trees
+from wardlight.llm.text import scratch
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, row int, kept string, node long, label int, size string, key string, marks int, part string, m string, word string, ids string"
+random.seed(5)
+VOCAB = ["alpha", "beta,", "gamma", "Delta", "éclair", "tag", "x", "omega.", "naïve", "12"]
+
+
+def prose(n, seed):
+    r = random.Random(seed)
+    return " ".join(r.choice(VOCAB) + str(r.randrange(400)) for _ in range(n))
+
+
+def rows():
+    """Nulls in any column, empty, blank and long texts, ties, repeated rows and ids, passages that come again."""
+    shared = prose(40, 1)
+    out = [
+        (1, prose(30, 2) + " " + shared, "en", "a", 1), (2, shared + "\n\n" + prose(25, 3), "fr", "b", 2), (3, shared, None, None, None), (4, shared, "en", "a", 4), (5, None, "en", "c", 5), (6, "", "en", "c", 0),
+        (7, " \t\n ", "en", "a", 4), (8, "one", "en", "b", 3), (9, "two #words <b>", "en", "b", 9), (None, prose(15, 4), "en", "a", 1), (None, None, None, None, None), (10, prose(50, 5), "en", "a", 1), (10, prose(50, 5), "en", "a", 1),
+        (11, prose(50, 6), "en", "b", 1), (11, shared + " tail", "en", "b", 1), (12, "same same same " * 30, "de", "a", 1), (13, prose(60000, 7), "en", "a", 1), (14, prose(300, 8) + " end", "en", "a", 1), (15, prose(300, 8) + " end.", "en", "a", 1),
+        (16, 'x <|endoftext|> y　  z\r\ntoken = "' + "0123456789abcdef" * 2 + 'deadbeef"\n', "en", "c", 1), (17, "LINE\nLINE\nLINE\nother\n\n", "en", "c", 1), (-3, "İstanbul 日本語 🙂 " * 8, "tr", "c", 1),
+    ]
+    return [r + ("a", 1, "b", 2, 3, "c", "d", 4, "e", "f", "g", "h") for r in out]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(rows(), SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def words(t):
+    return (t or "").encode().split()
+
+
+def test_quality_rules(docs, empty):
+    got = sorted((r["doc_id"] or -99, r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in quality_rules.apply_policy(quality_rules.ledger(docs)).collect())
+    want = []
+    for d, t, *_ in rows():
+        w = words(t)
+        seen, cover = {}, set()
+        for i in range(len(w) - 4):
+            seen.setdefault(tuple(w[i : i + 5]), []).append(i)
+        for at in seen.values():
+            if len(at) > 1:
+                cover.update(p for i in at for p in range(i, i + 5))
+        lines = [x for x in (t or "").split("\n") if words(x)]
+        n = len(w)
+        want.append((d or -99, n, sum(len(x.decode()) for x in w), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(cover), n < 10 or 100 * len(cover) > 20 * n))
+    assert got == sorted(want)
+    assert quality_rules.ledger(empty).count() == 0
+    kept = quality_rules.keep(docs)
+    assert kept.columns == docs.columns and 12 not in {r["doc_id"] for r in kept.collect()} and 13 in {r["doc_id"] for r in kept.collect()}
+
+
+def test_ablation(docs):
+    ledger = quality_rules.ledger(docs)
+    bits = [r["fail_bits"] for r in ledger.collect()]
+    for r in quality_rules.ablation(ledger).collect():
+        m, b = quality_rules.mask(r["policy"]), quality_rules.BITS[r["rule"]]
+        assert r["failed"] == sum(x & b > 0 for x in bits) and r["only_this"] == sum(x & m == b for x in bits)
+        assert r["kept"] == sum(x & m == 0 for x in bits) and r["kept_without"] == sum(x & m & ~b == 0 for x in bits)
+
+
+def brute_fingerprint(t):
+    w = bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode()).split()
+    s = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) > 2 else [b" ".join(w)] if w else []
+    h = [xxhash.xxh64_intdigest(x, 42) for x in s]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash(docs, empty):
+    got = sorted((r["doc_id"] or -99, r["fp"] % (1 << 64), r["component_id"] or -99) for r in simhash.near_duplicates(docs).collect())
+    prints = [(d, brute_fingerprint(t)) for d, t, *_ in rows()]
+    label = list(range(len(prints)))
+    for _ in prints:
+        label = [min([label[j] for j in range(len(prints)) if (prints[i][1] ^ prints[j][1]).bit_count() <= 2], key=lambda k: k) for i in range(len(prints))]
+    ids = {k: min((prints[i][0] for i in range(len(prints)) if label[i] == k and prints[i][0] is not None), default=None) for k in set(label)}
+    assert got == sorted((d or -99, f, ids[label[i]] or -99) for i, (d, f) in enumerate(prints))
+    assert simhash.near_duplicates(empty).count() == 0
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and kept.count() == len(set(label))
+    assert simhash.keep_one(empty).count() == 0
+
+
+@pytest.mark.parametrize("group", [1, 3, 100])
+def test_simhash_links_in_crowded_keys(spark, group):
+    """The same components whether keys are compared by pairs or, being larger than ``group``, by neighbours."""
+    r = random.Random(group)
+    base = [r.getrandbits(64) for _ in range(4)]
+    fps = {b ^ sum(1 << i for i in r.sample(range(64), r.randrange(6))) for b in base for _ in range(30)}
+    fps = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
+    points = spark.createDataFrame(list(enumerate(fps)), "node long, fp long")
+    from wardlight.operators.graph import components
+
+    got = {x["node"]: x["label"] for x in components(simhash.links(points, group)).collect()}
+    label = list(range(len(fps)))
+    near = [[j for j in range(len(fps)) if ((fps[i] ^ fps[j]) % (1 << 64)).bit_count() <= 2] for i in range(len(fps))]
+    for _ in fps:
+        label = [min(label[j] for j in near[i]) for i in range(len(fps))]
+    assert [got.get(i, i) for i in range(len(fps))] == label
+
+
+def labelled(spark, n=400):
+    data, marks = [], []
+    for i in range(n):
+        toxic, bad = i % 5 == 0, i % 3 == 0
+        w = [f"{'word' + chr(97 + (i * j) % 26)}" for j in range(60)]
+        text = " ".join(("grukata" + w[0] + " idiot " if toxic else "") + x + ("###" if bad else "") for x in w) + ("\nx" * 20 if bad else ".")
+        data.append((i, text, "en", "s", 1))
+        marks.append((i, int(not bad), int(toxic)))
+    return spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+
+
+@pytest.mark.parametrize(("run", "label", "folds", "out"), [(quality_model.classify, "quality", 5, 0), (toxicity.classify, "toxic", 4, 2)])
+def test_classifiers(spark, docs, empty, run, label, folds, out):
+    d, marks = labelled(spark)
+    got = {r["doc_id"]: r for r in run(d, marks).collect()}
+    truth = {r["doc_id"]: r[label] for r in marks.collect()}
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % folds == out) for i, r in got.items())
+    held = [(r["predicted"], truth[i]) for i, r in got.items() if r["held_out"]]
+    assert np.mean([a == b for a, b in held]) > 0.95
+    # labels of held-out rows change nothing
+    from pyspark.sql import functions as F
+
+    changed = marks.withColumn(label, F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == out, 1 - F.col(label)).otherwise(F.col(label)))
+    assert {r["doc_id"]: r["score"] for r in run(d, changed).collect()} == {i: r["score"] for i, r in got.items()}
+    odd = run(docs, marks).collect()
+    assert len(odd) == len(rows()) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in odd)
+    assert run(empty, marks).count() == 0
+    none = marks.limit(0)
+    assert run(docs, none).count() == len(rows())
+
+
+def test_trees():
+    r = np.random.default_rng(1)
+    x = r.normal(size=(2000, 4))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype(float)
+    boosted, wood = trees.boost(x, y), trees.forest(x, y, trees=60, depth=6)
+    assert ((trees.sigmoid(boosted.total(x)) > 0.5) == y).mean() > 0.97 and ((wood.total(x) > 0.5) == y).mean() > 0.9
+    assert np.allclose(trees.sigmoid(trees.boost(x, np.ones(2000)).total(x)), 0.9998, atol=1e-3)
+    assert np.allclose(trees.forest(x[:0], y[:0]).total(x), 0.5)
+
+
+def brute_phrases(data):
+    known, start = set(), 0
+    for end in range(1, len(data) + 1):
+        if data[start:end] not in known:
+            known.add(data[start:end])
+            start = end
+    return known
+
+
+def test_lz_fingerprint(docs, empty):
+    small = docs.where("doc_id is null or doc_id <> 13")
+    got = sorted(map(tuple, lz_fingerprint.fingerprints(small).collect()), key=str)
+    data = [(d, t or "") for d, t, *_ in rows() if d != 13]
+    data.sort(key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    want = []
+    for k, (d, t) in enumerate(data):
+        after = data[(k + 1) % len(data)][1]
+        e = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        a, b, c = (lz_fingerprint.signature(brute_phrases(x.encode())) for x in (t, e, after))
+        want.append((d, len(t), hashlib.sha256(e.encode()).hexdigest(), lz_fingerprint.spell(a), lz_fingerprint.spell(b), lz_fingerprint.likeness(a, b), lz_fingerprint.likeness(a, c)))
+    assert got == sorted(want, key=str)
+    assert lz_fingerprint.fingerprints(empty).count() == 0
+    one = lz_fingerprint.fingerprints(docs.where("doc_id = 8")).collect()
+    assert [(r["near_next"], r["doc_id"]) for r in one] == [(1.0, 8)]
+
+
+@pytest.mark.parametrize("bounds", [{}, {"words": 40, "count": 2}])
+def test_bpe(docs, empty, bounds):
+    t = bpe.tokenizer(bpe.default_path())
+    got = sorted((tuple(r) for r in bpe.round_trip(docs, **bounds).collect()), key=str)
+    want = []
+    for d, x, *_ in rows():
+        ids = t.encode(x or "", add_special_tokens=False).ids
+        want.append((d, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert got == sorted(want, key=str)
+    assert bpe.round_trip(empty).count() == 0
+    assert {(r["doc_id"], tuple(r["ids"])) for r in bpe.encode(docs.where("doc_id = 16")).collect()} == {(16, tuple(t.encode(rows()[19][1], add_special_tokens=False).ids))}
+
+
+def test_bpe_words_are_those_of_whole_texts():
+    import pyarrow as pa
+
+    r = random.Random(9)
+    parts = [" ", "  ", "\n", "\t", "a", "the", "'s", "don't", "12", ".", ",", "!!", "é", "ß", "日本", "　", "\xa0", "\x85", "\x1c", "<|endoftext|>", "\x00", "|", "🙂", "Å", "\r\n", " "]
+    texts = ["", " ", "\n", "a\n"] + ["".join(r.choice(parts) for _ in range(r.randrange(1, 15))) for _ in range(4000)]
+    t = bpe.tokenizer(bpe.default_path())
+    table = pa.table({"word": ["the", "\na"], "ids": pa.array([t.encode(" the").ids, t.encode("\na").ids], pa.list_(pa.int32())), "bytes": pa.array([b" the", b"\na"])})
+    at, ids, _ = bpe.WordCoder(table, bpe.default_path()).ids_by_text(pa.array(texts))
+    for i, x in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tolist() == t.encode(x, add_special_tokens=False).ids, repr(x)
+
+
+def test_decode_ids(spark):
+    t = bpe.tokenizer(bpe.default_path())
+    texts = ["Hello  wörld", "", "日本 🙂 <|endoftext|>"]
+    df = spark.createDataFrame([(i, t.encode(x).ids) for i, x in enumerate(texts)], "key int, ids array<int>")
+    assert {r["key"]: bytes(r["bytes"]).decode() for r in bpe.decode_ids(df).collect()} == dict(enumerate(texts))
+
+
+def brute_targets(sizes):
+    """Shares by weight; what is above twice a source's size is shared again, until nothing is."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    left, full = 1.5 * sum(sizes.values()), {s: 0.0 for s in order if not sizes[s]}
+    while True:
+        free = [s for s in order if s not in full]
+        share = {s: (left - sum(full.values())) * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = [s for s in free if share[s] > 2 * sizes[s] + 1e-9]
+        if not over:
+            return full | share
+        full |= {s: 2.0 * sizes[s] for s in over}
+
+
+def test_mixing(spark, docs, empty):
+    got = mixing.shares(docs).collect()
+    assert len(got) == len(rows()) and sorted(map(str, got)) == sorted(map(str, mixing.shares(docs.repartition(2)).collect()))
+    sizes = {}
+    for _, t, _, s, *_ in rows():
+        sizes[s] = sizes.get(s, 0) + len(words(t))
+    want = brute_targets(sizes)
+    plan = mixing.plan(docs).collect()
+    for r in plan:
+        assert r["source_size"] == sizes[r["source"]] and abs(r["target"] - want[r["source"]]) < 1e-6 * max(1, want[r["source"]]) and 0 <= r["copies"] <= 2
+    assert mixing.shares(empty).count() == 0 and mixing.mix(empty).count() == 0
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and mixed.count() == sum(r["copies"] for r in plan)
+
+
+def test_mixing_comes_near_its_targets(spark):
+    r = random.Random(3)
+    data = [(i, "w " * r.randrange(1, 200), r.choice("aaaabcdef")) for i in range(3000)]
+    got = mixing.shares(spark.createDataFrame(data, "doc_id long, text string, source string")).toPandas()
+    sizes = {}
+    for _, t, s in data:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    want = brute_targets(sizes)
+    for size, g in got.groupby("source_size"):
+        source = next(s for s in sizes if sizes[s] == size)
+        assert abs(g["target"].iloc[0] - want[source]) < 1e-6 * want[source] and abs(g["taken"].sum() - want[source]) < 0.02 * want[source]
+    assert (got["taken"] <= 2 * got["size"]).all()
+
+
+def test_secret_scan(docs, empty, spark):
+    hexed, raw = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", "zX81kQpL02mNvB77sYwE4rTd"
+    data = [(1, f'before token = "{hexed}"\nafter'), (2, f"see commit {hexed} for details"), (3, f"files at /usr/share/doc/section-12-readable-name/index.html"), (4, f"api_key: '{raw}'"), (5, "call 5927243074273351 now"), (6, None)]
+    d = spark.createDataFrame(data, "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
+    scanner = secret_scan.train(d)
+    got = {(r["doc_id"], r["secret"]) for r in secret_scan.findings(d, scanner).collect()}
+    assert {(1, True), (2, False), (3, False), (4, True), (5, False), (16, True)} <= got
+    for r in secret_scan.findings(d, scanner).where("doc_id = 1").collect():
+        assert data[0][1][r["start"] : r["start"] + r["length"]] == hexed
+    clean = secret_scan.redact(docs, scanner)
+    assert clean.columns == docs.columns and clean.count() == len(rows())
+    text = {r["doc_id"]: r for r in clean.collect()}
+    assert "[SECRET]" in text[16]["text"] and text[16]["n_chars"] == len(text[16]["text"]) and text[5]["text"] is None
+    assert secret_scan.findings(empty).count() == 0 and secret_scan.redact(empty).count() == 0
+
+
+def brute_repeats(data):
+    """Windows in order of (id, text hash, start); later ones of a kind are covered."""
+    import pyarrow as pa
+
+    tie = dict(zip([t or "" for _, t in data], lz_dedup.text_hash(pa.array([t or "" for _, t in data])).tolist(), strict=True))
+    distinct = sorted({(-(1 << 63) if d is None else d, tie[t or ""], t or "") for d, t in data})
+    seen, out = set(), {}
+    for d, _, t in distinct:
+        w = words(t)
+        gone = np.zeros(len(w), bool)
+        for i in range(len(w) - 19):
+            k = tuple(w[i : i + 20])
+            gone[i : i + 20] |= k in seen
+            seen.add(k)
+        out[d, t] = (len(w), int(gone.sum()), b" ".join(x for x, g in zip(w, gone, strict=True) if not g).decode())
+    return sorted(((d,) + out[-(1 << 63) if d is None else d, t or ""] for d, t in data), key=str)
+
+
+def test_lz_dedup(docs, empty, monkeypatch):
+    want = brute_repeats([(d, t) for d, t, *_ in rows()])
+    assert sorted(map(tuple, lz_dedup.remove_repeats(docs).collect()), key=str) == want
+    assert lz_dedup.remove_repeats(empty).count() == 0
+
+
+def test_lz_dedup_on_random_repeats(spark):
+    r = random.Random(11)
+    pool = [[f"w{r.randrange(6)}" for _ in range(r.randrange(15, 60))] for _ in range(12)]
+    data = [(i // 2 if i % 9 == 0 else i, " ".join(" ".join(r.choice(pool)) + f" u{r.randrange(999)}" for _ in range(r.randrange(1, 6)))) for i in range(300)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(7)
+    assert sorted(map(tuple, lz_dedup.remove_repeats(df).collect()), key=str) == brute_repeats(data)
+
+
+@pytest.mark.parametrize("kind", ["byte", "bit"])
+def test_planes(kind):
+    r = np.random.default_rng(2)
+    for n in (1, 7, 8, 1000):
+        for top in (1, 256, 50257, 1 << 31):
+            ids = r.integers(0, top, n).astype(np.uint32)
+            assert (token_files.from_planes(token_files.to_planes(ids, kind), n, kind) == ids).all()
+
+
+@pytest.mark.parametrize(("kind", "size"), [("byte", 1 << 16), ("bit", 64), ("byte", 5)])
+def test_token_files(spark, docs, empty, kind, size):
+    few = docs.where("doc_id is null or doc_id <> 13")
+    folder = scratch(spark, "test")
+    token_files.write(few, folder, kind=kind, size=size, parts=3)
+    got = sorted(map(tuple, token_files.digests(spark, folder).collect()), key=lambda r: r[1])
+    t = bpe.tokenizer(bpe.default_path())
+    data = [(d, [*t.encode(x or "", add_special_tokens=False).ids, 0]) for d, x, *_ in rows() if d != 13]
+    data.sort(key=lambda r: (r[0] is not None, r[0] or 0, np.array(r[1], "<u2").tobytes()))
+    want, start = [], 0
+    for d, ids in data:
+        want.append((d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert got == want
+    folder = scratch(spark, "test")
+    token_files.write(empty, folder)
+    assert token_files.digests(spark, folder).count() == 0
