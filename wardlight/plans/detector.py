@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.fields import canonical, resolve
 from ..functions.net import is_public
 from ..operators.bursts import SECOND, bursts
+from ..operators.lineage import cut
 from ..operators.sequences import beacons, sequences
 from ..operators.sessions import sessions
 from .rules import SEVERITIES, EventRule, StateRule
@@ -84,7 +85,7 @@ def state_alerts(events: DataFrame, rule: StateRule, no: int, lists: dict[str, l
     if rule.type == "beacon":
         rows = events.where(accept & (F.coalesce("dst_ip", F.lit("")) != "")).withColumn("g", F.struct("host", "dst_ip", "dst_port"))
         d = rule.doc
-        found = beacons(rows, ["g"], int(rule.count), rule.window, float(d.get("max_jitter", 0.25)), float(d.get("min_interval", 5)), float(d.get("max_interval", 900)))
+        found = cut(beacons(rows, ["g"], int(rule.count), rule.window, float(d.get("max_jitter", 0.25)), float(d.get("min_interval", 5)), float(d.get("max_interval", 900))))
         note = F.format_string("%d connections, mean interval %.0fs, jitter %.0f%%.", "n", F.bround("mean_s", 0), F.bround(100 * F.col("cv"), 0))
         found = found.withColumn("description", note)
         members = rows.select("g", *keep).join(found.select("g"), "g")
@@ -95,7 +96,7 @@ def state_alerts(events: DataFrame, rule: StateRule, no: int, lists: dict[str, l
         prior = rule.prior(lists, events.columns)
         rows = events.where(prior | accept).withColumns({"g": key, "is_prior": prior, "is_trigger": accept}).where("g <> ''")
         need = int((rule.doc.get("preceded_by") or {}).get("count", 1))
-        found = sequences(rows, ["g"], need, rule.window).withColumnsRenamed({"us": "last_us", "seq": "trigger_seq"}).withColumn("description", F.lit(""))
+        found = cut(sequences(rows, ["g"], need, rule.window)).withColumnsRenamed({"us": "last_us", "seq": "trigger_seq"}).withColumn("description", F.lit(""))
         group = ["g", "trigger_seq"]
         chain = rows.select("g", "is_prior", *keep).join(found.select("g", "trigger_seq", "last_us", F.col("first_us").alias("from_us")), "g")
         before = F.col("is_prior") & (F.col("us") >= F.col("from_us")) & (here < F.struct(F.col("last_us").alias("us"), F.col("trigger_seq").alias("seq")))
@@ -106,7 +107,7 @@ def state_alerts(events: DataFrame, rule: StateRule, no: int, lists: dict[str, l
         metric, name = rule.metric
         value = resolve(name, events.columns) if name else F.lit(None).cast("string")
         rows = events.where(accept).withColumns({"g": key, "x": F.coalesce(value.try_cast("long"), F.lit(0)) if metric == "sum" else value.cast("string")}).where("g <> ''").select("g", "x", *keep)
-        found = bursts(rows, ["g"], int(rule.count), rule.window, metric, "x").withColumn("description", F.lit(""))
+        found = cut(bursts(rows, ["g"], int(rule.count), rule.window, metric, "x")).withColumn("description", F.lit(""))
         group = ["g", "first_us", "first_seq"]
         span = found.select("g", "first_us", "first_seq", "last_us", F.struct(F.col("trigger_us").alias("us"), F.col("trigger_seq").alias("seq")).alias("trigger"))
         start = F.struct(F.col("first_us").alias("us"), F.col("first_seq").alias("seq"))
@@ -138,8 +139,9 @@ class Detector:
         self.event_rules, self.state_rules, self.lists, self.cooldown_s = event_rules, state_rules, lists or {}, cooldown_s
 
     def run(self, events: DataFrame) -> DataFrame:
+        """Rules run one after another, each a plan of its own; alerts are few beside events, so they are kept between."""
         parts = [event_alerts(events, self.event_rules, self.lists, self.cooldown_s)] + [state_alerts(events, r, i, self.lists) for i, r in enumerate(self.state_rules)]
-        found = [p.select(*ALERT) for p in parts if p is not None]
+        found = [cut(p.select(*ALERT)) for p in parts if p is not None]
         if not found:
             raise ValueError("no rules")
         alerts = numbered(reduce(DataFrame.unionByName, found))

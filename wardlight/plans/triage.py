@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import correlation
-from ..operators.lineage import cut
+from ..operators.lineage import cut, scratch
 from ..sources import context, logs
 from .detector import Detector
 from .rules import TACTICS, load_rules
@@ -46,6 +46,10 @@ def run(spark: SparkSession, folder: str, year: int | None = None, now: datetime
     assets = environment.assets(spark)
     feed = context.load_intel(spark, intel) if intel else context.no_intel(spark)
     events, stats = logs.read_directory(spark, folder, year=year or (truth or {}).get("year"), now=now)
+    # parsed once and kept by kind, so that each rule reads the kinds it names
+    kept = scratch(spark, "events")
+    events.write.partitionBy("kind").parquet(kept)
+    events = spark.read.schema(events.schema).parquet(kept)
     detector = Detector(*load_rules(rules), environment.lists)
     alerts, incidents = triage(spark, events, detector, assets, feed, gap_s)
     return Result(events, stats, alerts, incidents, assets, truth)

@@ -75,20 +75,29 @@ def parse_auth(lines: DataFrame, year: int | None = None, now: datetime | None =
 
 def parse_sysmon(lines: DataFrame, **_) -> DataFrame:
     """``time;event id;type;key=value;...``; of a key that comes twice the later value holds."""
-    parts = F.split(_strip(F.col("value")), ";", 4)
-    stamp = F.regexp_replace(_strip(F.get(parts, 0)), " UTC", "")
+    pairs = lambda rest: F.filter(F.split(F.coalesce(rest, F.lit("")), r";(?=[A-Za-z]\w*=)"), lambda p: p.contains("="))
+    lines = lines.withColumn("parts", F.split(_strip(F.col("value")), ";", 4)).withColumn("pairs", pairs(F.get("parts", 3)))
+    lines = lines.withColumn("names", F.transform("pairs", lambda p: _strip(F.substring_index(p, "=", 1))))
+    lines = lines.withColumn("last", F.array_distinct(F.reverse("names")))  # each name's last pair holds
+    place = lambda k: F.size("names") - F.array_position(F.reverse("names"), k)
+    lines = lines.withColumn("kv", F.map_from_arrays("last", F.transform("last", lambda k: F.get("pairs", place(k).cast("int")))))
+    stamp = F.regexp_replace(_strip(F.get("parts", 0)), " UTC", "")
     exact = stamp.rlike(r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}\.\d{1,6}$")
-    ts = F.when(exact, F.try_to_timestamp(F.substring_index(stamp, ".", 1), F.lit("yyyy-M-d H:m:s")) + F.make_dt_interval(secs=F.concat(F.lit("0."), F.substring_index(stamp, ".", -1)).cast("decimal(18,6)")))
-    event_id = F.element_at(F.split(_strip(F.get(parts, 1)), r"\s+"), -1).try_cast("int")
-    kind = F.element_at(F.create_map(*[F.lit(x) for kv in SYSMON_KINDS.items() for x in kv]), event_id)
-    pairs = F.filter(F.split(F.coalesce(F.get(parts, 3), F.lit("")), r";(?=[A-Za-z]\w*=)"), lambda p: p.contains("="))
-    kv = F.transform(pairs, lambda p: F.struct(_strip(F.substring_index(p, "=", 1)).alias("k"), _strip(F.substring(p, F.instr(p, "=") + 1, F.length(p))).alias("v")))
-    value = lambda k: F.get(F.transform(F.filter(F.reverse(kv), lambda x: x["k"] == k), lambda x: x["v"]), 0)
+    micros = F.rpad(F.substring_index(stamp, ".", -1), 6, "0").try_cast("long")
+    ts = F.when(exact & (F.size("parts") >= 3), F.timestamp_micros(F.unix_micros(F.try_to_timestamp(F.substring_index(stamp, ".", 1), F.lit("yyyy-M-d H:m:s"))) + micros))
+    event_id = F.element_at(F.split(_strip(F.get("parts", 1)), r"\s+"), -1).try_cast("int")
+    lines = lines.withColumns({"e_ts": ts, "e_id": event_id})
+
+    def value(k: str) -> Column:
+        p = F.col("kv").getItem(k)
+        return _strip(F.substring(p, F.instr(p, "=") + 1, F.length(p)))
+
     full = lambda k: F.nullif(value(k), F.lit(""))
+    kind = F.element_at(F.create_map(*[F.lit(x) for kv in SYSMON_KINDS.items() for x in kv]), F.col("e_id"))
     port = value("DestinationPort")
     return _event(
-        lines, ts=F.when(F.size(parts) >= 3, ts), source=F.lit("sysmon"), kind=kind, host=value("Computer"), user=value("User"), src_ip=value("SourceIp"), dst_ip=value("DestinationIp"),
-        dst_port=F.when(port.rlike(r"^\d+$"), port.try_cast("int")), event_id=event_id, image=F.nullif(F.coalesce(value("Image"), value("SourceImage")), F.lit("")), parent_image=full("ParentImage"),
+        lines, ts=F.col("e_ts"), source=F.lit("sysmon"), kind=kind, host=value("Computer"), user=value("User"), src_ip=value("SourceIp"), dst_ip=value("DestinationIp"),
+        dst_port=F.when(port.rlike(r"^\d+$"), port.try_cast("int")), event_id=F.col("e_id"), image=F.nullif(F.coalesce(value("Image"), value("SourceImage")), F.lit("")), parent_image=full("ParentImage"),
         command_line=full("CommandLine"), target_image=full("TargetImage"), granted_access=full("GrantedAccess"), target_filename=full("TargetFilename"), query=full("QueryName"), protocol=full("Protocol"),
     )
 
