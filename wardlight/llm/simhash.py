@@ -32,7 +32,7 @@ from . import text as T
 SHINGLE = 3
 SEED = 42
 #: Earlier fingerprints of a key that each is compared with; larger keys go by shared neighbours.
-GROUP = 64
+GROUP = 16
 #: Ids are below this; rows without an id are told apart above it.
 NO_ID = 1 << 62
 _BITS = np.array([[b >> i & 1 for i in range(8)] for b in range(256)])
@@ -85,15 +85,16 @@ def links(points: DataFrame, group: int = GROUP) -> DataFrame:
     by_key = Window.partitionBy("key")
     shared = keyed.withColumn("n", F.count(F.lit(1)).over(by_key)).where("n > 1")
     before = F.collect_list(F.struct("node", "fp")).over(by_key.orderBy("fp").rowsBetween(-group, -1))
-    small = shared.where(F.col("n") <= group + 1).withColumn("before", before).select("key", "node", "fp", F.explode("before").alias("o"))
-    wild = F.shiftright("key", 32) % 33
-    apart = F.col("fp").bitwiseXOR(F.col("o.fp"))
-    # a pair whose segments are equal is found by the segment itself, so a variant counts only where its bit differs
-    bit = F.expr("shiftrightunsigned(fp ^ o.fp, cast(32 * floor(shiftright(key, 32) / 33) + shiftright(key, 32) % 33 as int)) & 1")
-    pairs = small.where((F.bit_count(apart) <= 2) & ((wild == 32) | (bit == 1))).select(F.col("node").alias("a"), F.col("o.node").alias("b"))
+    small = shared.where(F.col("n") <= group + 1).withColumn("before", before)
+    # verified before it becomes a row; a pair whose segments are equal is found by the segment itself, so a variant counts only where its bit differs
+    near = F.expr(
+        """filter(before, o -> bit_count(fp ^ o.fp) <= 2 and (shiftright(key, 32) % 33 = 32
+        or shiftrightunsigned(fp ^ o.fp, cast(32 * floor(shiftright(key, 32) / 33) + shiftright(key, 32) % 33 as int)) & 1 = 1))"""
+    )
+    pairs = small.select("node", F.explode(near).alias("o")).select(F.col("node").alias("a"), F.col("o.node").alias("b"))
     crowded = shared.where(F.col("n") > group + 1).select("node", "fp").distinct()
-    near = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64)])
-    tied = crowded.select("node", F.explode(near).alias("at"))
+    around = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64)])
+    tied = crowded.select("node", F.explode(around).alias("at"))
     hub = tied.groupBy("at").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("at", "hub")
     return pairs.union(tied.join(hub, "at").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
 
