@@ -13,7 +13,7 @@ For a fingerprint in a larger key there is an exact way without pairs: it is tie
 
 Defined cases: texts without words (null or empty) have fingerprint zero and are linked like any
 others; a row without id takes the component of its fingerprint (null if no row there has an id);
-ids are below 2**62; repeated rows each give a row; an empty table gives an empty table; other columns are ignored.
+repeated rows each give a row; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ SHINGLE = 3
 SEED = 42
 #: Earlier fingerprints of a key that each is compared with; larger keys go by shared neighbours.
 GROUP = 16
-#: Ids are below this; rows without an id are told apart above it.
-NO_ID = 1 << 62
+#: Stands for no id, after all ids.
+NO_ID = (1 << 63) - 1
 _BITS = np.array([[b >> i & 1 for i in range(8)] for b in range(256)])
 
 
@@ -99,23 +99,25 @@ def links(points: DataFrame, group: int = GROUP) -> DataFrame:
     return pairs.union(tied.join(hub, "at").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
 
 
-def _node():
-    """A row's id; without one, a number from its text above all ids."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(F.col("text").cast("string")), 2))
-
-
-def _labelled(docs: DataFrame) -> DataFrame:
+def _labelled(docs: DataFrame, *more) -> DataFrame:
+    """doc_id, id, fp, label by row.  A node is (least id, fp), so that fingerprints are told apart even where ids repeat; its
+    order is that of ids."""
     T.bounded_batches(docs.sparkSession)
-    prints = T.cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _node().alias("node"), fingerprint(F.col("text").cast("string")).alias("fp")))
-    points = T.cut(prints.groupBy("fp").agg(F.min("node").alias("node")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _id(), fingerprint(F.col("text").cast("string")).alias("fp"), *more)
+    prints = T.cut(rows)
+    points = T.cut(prints.groupBy("fp").agg(F.struct(F.min("id").alias("id"), F.col("fp")).alias("node")))
     found = components(links(points))
     least = points.join(found, "node", "left").select("fp", F.coalesce("label", "node").alias("label"))
     return prints.join(least, "fp")
 
 
+def _id():
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp (long) and component_id, one row a document."""
-    return _labelled(docs).select("doc_id", "fp", F.when(F.col("label") < NO_ID, F.col("label")).alias("component_id"))
+    return _labelled(docs).select("doc_id", "fp", F.nullif(F.col("label.id"), F.lit(NO_ID)).alias("component_id"))
 
 
 def fingerprint_hex(fp):
@@ -123,8 +125,10 @@ def fingerprint_hex(fp):
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, with all its columns: the one of smallest id, among equal ids of smallest text."""
-    kept = _labelled(docs).where("node = label").select("node").distinct()
-    packed = docs.select(F.struct("*").alias("row"), _node().alias("node"), F.col("text").cast("string").alias("text"))
-    first = F.row_number().over(Window.partitionBy("node").orderBy("text")) == 1
-    return packed.join(kept, "node", "left_semi").withColumn("first", first).where("first").select("row.*")
+    """One document of each component, with all its columns: one of smallest id, rows of that id by hash of their text, repeated rows once."""
+    tie = F.xxhash64(F.col("text").cast("string")).alias("tie")
+    labelled = _labelled(docs, tie).where(F.struct("id", "fp") == F.col("label"))
+    kept = labelled.groupBy("label").agg(F.min("tie").alias("tie")).select(F.col("label.id").alias("id"), "tie")
+    packed = docs.select(F.struct("*").alias("row"), _id(), tie)
+    first = F.row_number().over(Window.partitionBy("id", "tie").orderBy("id")) == 1
+    return packed.join(kept, ["id", "tie"], "left_semi").withColumn("first", first).where("first").select("row.*")
