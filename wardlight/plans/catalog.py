@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.net import is_public
@@ -219,7 +219,12 @@ for _gap in (1800, 7200, 21600):
 
     register(_INCIDENTS_SQL.format(alerts=_ALERTS_SQL, gap=_gap).replace("WITH RECURSIVE alerts AS (\nWITH RECURSIVE", "WITH RECURSIVE alerts AS (\nWITH") + "SELECT ord, user_id, incident FROM m", f"correlate_incidents_{_gap}")(_correlate)
 
-_SEVERITY = F.when(F.col("n") >= 5, "critical").when(F.col("n") >= 4, "high").otherwise("medium")
+
+
+def _severity() -> Column:
+    return F.when(F.col("n") >= 5, "critical").when(F.col("n") >= 4, "high").otherwise("medium")
+
+
 _SCORE_SQL = (
     _INCIDENTS_SQL.format(alerts=_ALERTS_SQL, gap=21600).replace("WITH RECURSIVE alerts AS (\nWITH RECURSIVE", "WITH RECURSIVE alerts AS (\nWITH")
     + """, i AS (SELECT incident, min(first_us) AS first_us, CAST(sum(n) AS BIGINT) AS volume, count(*) AS n_alerts, max(n) AS most FROM m GROUP BY incident),
@@ -232,7 +237,7 @@ q AS (SELECT *, least(100, points)::INTEGER AS score FROM p)
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _incident_members(spark, sf_dir, 21600)
     i = m.groupBy("incident").agg(F.min("first_us").alias("first_us"), F.sum("n").alias("volume"), F.count(F.lit(1)).alias("n_alerts"), F.max("n").alias("n"))
-    parts = [C.mapped(C.SEVERITY_POINTS, _SEVERITY), F.when(F.col("n_alerts") > 1, F.least(6 * (F.col("n_alerts") - 1), F.lit(24))).otherwise(0), F.when(F.col("volume") >= 6, 5).otherwise(0)]
+    parts = [C.mapped(C.SEVERITY_POINTS, _severity()), F.when(F.col("n_alerts") > 1, F.least(6 * (F.col("n_alerts") - 1), F.lit(24))).otherwise(0), F.when(F.col("volume") >= 6, 5).otherwise(0)]
     return i.withColumn("score", F.least(F.lit(100), sum(parts, F.lit(0))).cast("int"))
 
 
@@ -265,7 +270,7 @@ def summary_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"WITH a AS ({_ALERTS_SQL}), s AS (SELECT CASE WHEN n >= 5 THEN 'critical' WHEN n >= 4 THEN 'high' ELSE 'medium' END AS severity FROM a) SELECT v.severity, count(s.severity) AS n FROM (VALUES ('low'), ('medium'), ('high'), ('critical')) v(severity) LEFT JOIN s ON s.severity = v.severity GROUP BY v.severity")
 def alerts_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     spine = spark.createDataFrame([(s,) for s in C.SEVERITY_POINTS], "severity string")
-    counted = _alerts(spark, sf_dir).groupBy(_SEVERITY.alias("severity")).agg(F.count(F.lit(1)).alias("n"))
+    counted = _alerts(spark, sf_dir).groupBy(_severity().alias("severity")).agg(F.count(F.lit(1)).alias("n"))
     return spine.join(counted, "severity", "left").select("severity", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
