@@ -54,7 +54,7 @@ def threshold_stream(events: DataFrame, need: int, window_s: int, delay: str = "
         pending, recent, first, last, n = state.get if state.exists else ([], [], 0, 0, 0)
         pending, recent = list(pending), list(recent)
         for f in frames:
-            pending += (f["ts"].astype("int64") // (1000 if f["ts"].dt.unit == "ns" else 1)).tolist()
+            pending += [int(t) for t in f["us"]]
         mark = state.getCurrentWatermarkMs() * 1000
         ready = sorted(t for t in pending if t <= mark)
         pending = [t for t in pending if t > mark]
@@ -73,5 +73,5 @@ def threshold_stream(events: DataFrame, need: int, window_s: int, delay: str = "
         if closed:
             yield pd.DataFrame([(key[0], *b) for b in closed], columns=["key", "first_us", "last_us", "n"])
 
-    keyed = events.withWatermark("ts", delay).where("key is not null").select("key", "ts").groupBy("key")
+    keyed = events.withWatermark("ts", delay).where("key is not null").select("key", "ts", F.unix_micros("ts").alias("us")).groupBy("key")
     return keyed.applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
