@@ -6,7 +6,7 @@ import os
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -148,11 +148,11 @@ def with_seq(rows: DataFrame) -> DataFrame:
 
 def parse_stats(rows: DataFrame) -> DataFrame:
     """source, total, parsed, skipped and the first three skipped lines, 120 characters each."""
-    sample = F.when(~F.col("ok"), F.struct("at", F.substring(_strip(F.col("raw")), 1, 120).alias("line")))
-    few = F.slice(F.array_sort(F.collect_list(sample)), 1, 3)
-    first = rows.where("not ok").groupBy("source").agg(F.min_by(F.lit(1), F.lit(1)).alias("_"), few.alias("s"))
+    line = F.substring(_strip(F.col("raw")), 1, 120)
+    few = rows.where("not ok").select("source", line.alias("line"), F.row_number().over(Window.partitionBy("source").orderBy("at")).alias("n")).where("n <= 3")
+    first = few.groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]).alias("samples"))
     count = rows.groupBy("source").agg(F.count(F.lit(1)).alias("total"), F.count_if("ok").alias("parsed"), F.count_if(~F.col("ok")).alias("skipped"))
-    return count.join(first.select("source", F.transform("s", lambda x: x["line"]).alias("samples")), "source", "left").withColumn("samples", F.coalesce("samples", F.array().cast("array<string>")))
+    return count.join(first, "source", "left").withColumn("samples", F.coalesce("samples", F.array().cast("array<string>")))
 
 
 def exists(spark: SparkSession, path: str) -> bool:
