@@ -13,7 +13,6 @@ ordered by their ids; an empty table gives empty files; other columns are ignore
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
