@@ -274,6 +274,19 @@ def test_secret_scan(docs, empty, spark):
     assert secret_scan.findings(empty).count() == 0 and secret_scan.redact(empty).count() == 0
 
 
+def test_secret_scan_of_names_without_a_space(docs, spark):
+    hexed, raw = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", "zX81kQpL02mNvB77sYwE4rTd"
+    data = [(1, f"see API_KEY={hexed} end", hexed), (2, f"https://host.example/a?token={raw}&page=2", raw), (3, f"export DB_PASSWORD={raw}==\n", raw + "=="), (4, f"x API_KEY2={raw}\n", raw)]
+    d = spark.createDataFrame([x[:2] for x in data], "doc_id long, text string")
+    scanner = secret_scan.train(d.unionByName(docs.select("doc_id", "text")))
+    got = {(r["doc_id"], data[r["doc_id"] - 1][1][r["start"] : r["start"] + r["length"]]) for r in secret_scan.findings(d, scanner).where("secret").collect()}
+    assert got == {(i, s) for i, _, s in data}
+    assert [r["text"] for r in secret_scan.redact(d, scanner).orderBy("doc_id").collect()] == [t.replace(s, "[SECRET]") for _, t, s in data]
+    labels = secret_scan.default_findings([t for _, t, _ in data[:2]])
+    assert all(x["label"] == 1 for x in labels.to_dict("records") if x["text"] in {t for _, t, _ in data})
+    assert secret_scan.candidates("a1=0123456789abc x") == [(0, 16)]
+
+
 def brute_repeats(data):
     """Windows in order of (id, text hash, start); later ones of a kind are covered."""
     import pyarrow as pa

@@ -1,6 +1,7 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of at least SHORTEST letters, digits and ``+ / = _ -`` with a digit in it.  The forest sees its
+A candidate is a run of at least SHORTEST letters, digits and ``+ / = _ -`` with a digit in it; a run is cut behind each
+``=`` that more follows (NAME=value), so that the name stands before the value, not in it.  The forest sees its
 length, its transitions between kinds of characters, its entropy, how much of it dictionary words cover, whether it
 lies in a path or address, and its neighbouring words.  It is trained on labelled findings: any table of text,
 start, length and label; by default those that ``default_findings`` makes from the corpus itself (candidates
@@ -30,6 +31,8 @@ SHORTEST = 16
 CANDIDATE = rf"[A-Za-z0-9+/=_\-]{{{SHORTEST},}}"
 _CANDIDATE = re.compile(CANDIDATE, re.ASCII)
 _DIGIT = re.compile("[0-9]")
+#: The parts of a run: ``=`` at its end is padding, any other one assigns.
+_PART = re.compile("[^=]+(?:=+$)?|=+$")
 #: Documents that default findings and the dictionary are drawn from, words of the dictionary, and findings.
 SAMPLE_DOCS = 20000
 DICTIONARY = 4096
@@ -41,7 +44,7 @@ REPLACEMENT = "[SECRET]"
 NAMES = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "access_key", "private_key", "auth", "bearer", "credential", "key")
 HARMLESS = ("commit", "sha", "sha1", "sha256", "md5", "checksum", "hash", "digest", "uuid", "guid", "id", "revision", "build", "version", "example", "etag", "isbn", "phone", "card")
 _WORD = re.compile(r"[A-Za-z]+(?:_[A-Za-z]+)*")
-_BEFORE = re.compile(r"([A-Za-z_]+)\W{0,4}$")
+_BEFORE = re.compile(r"([A-Za-z_][A-Za-z0-9_]*)\W{0,4}$")
 
 FEATURES = (
     "length", "transitions", "digits", "upper", "lower", "other", "hex", "entropy", "longest_run", "distinct", "vowels", "dictionary",
@@ -86,7 +89,14 @@ def features(text: str, start: int, end: int, dictionary: frozenset[str]) -> lis
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in _CANDIDATE.finditer(text) if _DIGIT.search(m.group())]
+    """Start and end.  Where the last part of a run is too short, or has no digit, the whole run stays a candidate."""
+    out = []
+    for m in _CANDIDATE.finditer(text):
+        if _DIGIT.search(m.group()):
+            parts = [(m.start() + p.start(), m.start() + p.end()) for p in _PART.finditer(m.group())]
+            long = [(a, b) for a, b in parts if b - a >= SHORTEST and _DIGIT.search(text, a, b)]
+            out += long if long and long[-1] == parts[-1] else [m.span()]
+    return out
 
 
 @dataclass
@@ -134,6 +144,8 @@ def default_findings(texts: pd.Series) -> pd.DataFrame:
         add(f"{name}: ", (hexed, raw)[i % 2], "\n", 1)
         add(f"the {other} ", (hexed, raw)[i % 2], " of it", 0)
         add(f"{other}: ", hexed, "\n", 0)
+        add(("", "export ", "--", "?", "&")[i % 5] + (name, name.upper())[i // 5 % 2] + "=", (raw, hexed)[i // 2 % 2], ("\n", " ", "&page=2")[i % 3], 1)
+        add(("", "?", "&")[i % 3] + (other, other.upper())[i // 3 % 2] + "=", (hexed, raw)[i // 2 % 2], ("\n", " ", "&page=2")[i % 3], 0)
         add("/usr/share/", "-".join(["module", "chapter", "section"][: 2 + i % 2]) + f"-{i}-readable-name", "/index.html", 0)
         add(("card ", "call ", "order no. ")[i % 3], digits, " by then", 0)
         add("as in ", f"section{i}andfollowingpages"[: 16 + i % 10], " of this", 0)
