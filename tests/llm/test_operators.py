@@ -287,6 +287,21 @@ def test_secret_scan_of_names_without_a_space(docs, spark):
     assert secret_scan.candidates("a1=0123456789abc x") == [(0, 16)]
 
 
+def test_secret_scan_of_passwords(docs, spark):
+    data = [
+        (1, 'password = "Tr0ub4dor&3!"\n', "Tr0ub4dor&3!"), (2, "secret: correcthorsebatterystaple\n", "correcthorsebatterystaple"), (3, "DB_PASSWD=hun.t3r$2x next", "hun.t3r$2x"), (4, "the password: required by all", None), (5, 'a {"pwd": "x9@kLm!2"} b', "x9@kLm!2"),
+    ]
+    d = spark.createDataFrame([x[:2] for x in data], "doc_id long, text string")
+    scanner = secret_scan.train(d.unionByName(docs.select("doc_id", "text")))
+    got = {(r["doc_id"], data[r["doc_id"] - 1][1][r["start"] : r["start"] + r["length"]]) for r in secret_scan.findings(d, scanner).where("secret").collect()}
+    assert got == {(i, s) for i, _, s in data if s}
+    assert [r["text"] for r in secret_scan.redact(d, scanner).orderBy("doc_id").collect()] == [t.replace(s, "[SECRET]") if s else t for _, t, s in data]
+    found = lambda t: [t[a:b] for a, b in secret_scan.candidates(t)]
+    assert found("?token=ab.cd.ef&user=bob") == ["ab.cd.ef"] and found('<a href="x?token=ab.cd.ef">l') == ["ab.cd.ef"] and found("pwd='open.12") == ["open.12"] and found('pwd="abc"') == []
+    assert found("auth: https://h.example/?token=zX81kQpL02mNvB77sYwE") == ["https://h.example/?token=zX81kQpL02mNvB77sYwE", "zX81kQpL02mNvB77sYwE"]
+    assert secret_scan._merged([(0, 9), (2, 4), (8, 12), (12, 13)]) == [(0, 12), (12, 13)]
+
+
 def brute_repeats(data):
     """Windows in order of (id, text hash, start); later ones of a kind are covered."""
     import pyarrow as pa

@@ -1,7 +1,9 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
 A candidate is a run of at least SHORTEST letters, digits and ``+ / = _ -`` with a digit in it; a run is cut behind each
-``=`` that more follows (NAME=value), so that the name stands before the value, not in it.  The forest sees its
+``=`` that more follows (NAME=value), so that the name stands before the value, not in it.  The value assigned to one of
+NAMES is a candidate too, from ASSIGNED characters of any kind on: quoted, or up to white space.  Candidates may overlap;
+``redact`` replaces what secrets cover together.  The forest sees its
 length, its transitions between kinds of characters, its entropy, how much of it dictionary words cover, whether it
 lies in a path or address, and its neighbouring words.  It is trained on labelled findings: any table of text,
 start, length and label; by default those that ``default_findings`` makes from the corpus itself (candidates
@@ -37,14 +39,25 @@ _PART = re.compile("[^=]+(?:=+$)?|=+$")
 SAMPLE_DOCS = 20000
 DICTIONARY = 4096
 FINDINGS = 4000
+#: Least length of a value that is assigned to one of NAMES.
+ASSIGNED = 6
 THRESHOLD = 0.5
 AROUND = 48
 REPLACEMENT = "[SECRET]"
 #: Names that secrets are assigned to, and words beside harmless identifiers.
 NAMES = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "access_key", "private_key", "auth", "bearer", "credential", "key")
+PLAIN = ("correct", "required", "battery", "missing", "copper", "window", "unknown", "planet", "optional", "garden", "string", "yellow", "invalid", "river", "changed", "purple", "monkey", "expired", "silver", "market")
 HARMLESS = ("commit", "sha", "sha1", "sha256", "md5", "checksum", "hash", "digest", "uuid", "guid", "id", "revision", "build", "version", "example", "etag", "isbn", "phone", "card")
+_ASSIGN = rf"(?:{'|'.join(NAMES)})[A-Za-z0-9_\-]{{0,32}}[\"'`]?[ \t]*(?::=|=>|[:=])"
+#: Quoted, from a quote to white space, or bare up to white space, the next ``&name=``, a quote that closes, or a comma or semicolon at its end.
+_QUOTED = "|".join(rf"{q}((?:\\.|[^{q}\\\n]){{{ASSIGNED},}}){q}|{q}([^\s{q}]{{{ASSIGNED},}})" for q in "\"'`")
+_BARE = rf"""((?:(?![&;,][A-Za-z0-9_.\-]{{1,64}}=|["'`](?:[\s>,;)\]}}]|$)|[,;](?:\s|$))\S){{{ASSIGNED},}})"""
+_VALUE = re.compile(rf"{_ASSIGN[: _ASSIGN.index(')') + 1]}(?={_ASSIGN[_ASSIGN.index(')') + 1 :]}[ \t]*(?:{_QUOTED}|(?![\"'`]){_BARE}))", re.ASCII | re.IGNORECASE)
+#: Texts that may have a candidate, for Arrow.
+ANY = rf"{CANDIDATE}|(?i:{_ASSIGN})"
+_PLAIN = re.compile(r"[^\W\d_]+(?:[ ._-]+[^\W\d_]+)*\W?")
 _WORD = re.compile(r"[A-Za-z]+(?:_[A-Za-z]+)*")
-_BEFORE = re.compile(r"([A-Za-z_][A-Za-z0-9_]*)\W{0,4}$")
+_BEFORE = re.compile(r"([A-Za-z_][A-Za-z0-9_]*)\W{0,8}$")
 
 FEATURES = (
     "length", "transitions", "digits", "upper", "lower", "other", "hex", "entropy", "longest_run", "distinct", "vowels", "dictionary",
@@ -89,13 +102,24 @@ def features(text: str, start: int, end: int, dictionary: frozenset[str]) -> lis
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Start and end.  Where the last part of a run is too short, or has no digit, the whole run stays a candidate."""
-    out = []
+    """Start and end, in order.  Where the last part of a run is too short, or has no digit, the whole run stays a candidate."""
+    out = [m.span(m.lastindex) for m in _VALUE.finditer(text)]
     for m in _CANDIDATE.finditer(text):
         if _DIGIT.search(m.group()):
             parts = [(m.start() + p.start(), m.start() + p.end()) for p in _PART.finditer(m.group())]
             long = [(a, b) for a, b in parts if b - a >= SHORTEST and _DIGIT.search(text, a, b)]
             out += long if long and long[-1] == parts[-1] else [m.span()]
+    return sorted(set(out))
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, overlapping ones as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in spans:
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
     return out
 
 
@@ -108,7 +132,7 @@ class Scanner:
         """Start, end (code points) and score of each text's candidates."""
         found: list[list] = [[] for _ in range(len(texts))]
         rows, where = [], []
-        hit = pc.match_substring_regex(texts, CANDIDATE).to_numpy(zero_copy_only=False)
+        hit = pc.match_substring_regex(texts, ANY).to_numpy(zero_copy_only=False)
         for i in np.flatnonzero(hit).tolist():
             t = texts[i].as_py()
             for a, b in candidates(t):
@@ -120,6 +144,16 @@ class Scanner:
         return found
 
 
+def _label(before: str, s: str) -> int | None:
+    """1 if assigned to the name of a secret; words there may be a pass phrase or prose, so only short ones are taken, as prose."""
+    m = _BEFORE.search(before)
+    if not m or not any(k in m.group(1).lower() for k in NAMES) or s.isdigit():
+        return 0
+    if _PLAIN.fullmatch(s):
+        return 0 if len(s) < SHORTEST else None
+    return 1
+
+
 def default_findings(texts: pd.Series) -> pd.DataFrame:
     """text, start, length, label: candidates assigned to the name of a secret are secrets; in other surroundings, and as commit ids, paths or numbers, not."""
     out, draw = [], np.random.default_rng(11)
@@ -127,11 +161,11 @@ def default_findings(texts: pd.Series) -> pd.DataFrame:
     for t in texts:
         for a, b in candidates(t):
             s = t[a:b]
-            m = _BEFORE.search(t[max(0, a - AROUND) : a])
-            label = int(bool(m) and any(k in m.group(1).lower() for k in NAMES) and not s.isdigit())
-            add(t[max(0, a - AROUND) : a], s, t[b : b + AROUND], label)
+            label = _label(t[max(0, a - AROUND) : a], s)
+            if label is not None:
+                add(t[max(0, a - AROUND) : a], s, t[b : b + AROUND], label)
             k = int(draw.integers(0, 6))
-            if not s.isdigit():
+            if not s.isdigit() and _CANDIDATE.fullmatch(s):
                 hexed = "".join("0123456789abcdef"[i] for i in draw.integers(0, 16, 40))
                 add(*[("see commit ", s, " for details", 0), ("files at /var/lib/", s, "/data.bin", 0), ("https://host.example/static/", s, ".js", 0), ('api_key: "', s, '"\n', 1), ("sha256: ", hexed, "", 0), ("password = '", hexed[:24], "'", 1)][k])
     # the same kinds of candidates where a corpus shows none
@@ -149,6 +183,21 @@ def default_findings(texts: pd.Series) -> pd.DataFrame:
         add("/usr/share/", "-".join(["module", "chapter", "section"][: 2 + i % 2]) + f"-{i}-readable-name", "/index.html", 0)
         add(("card ", "call ", "order no. ")[i % 3], digits, " by then", 0)
         add("as in ", f"section{i}andfollowingpages"[: 16 + i % 10], " of this", 0)
+        # passwords of people: short with signs, or words without a space; and what else is assigned to such names
+        pick = lambda letters, n: "".join(letters[j] for j in draw.integers(0, len(letters), n))
+        signs = pick("abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ", int(draw.integers(3, 9))) + pick("0123456789", int(draw.integers(1, 4))) + pick("!@#$%&*.?+-", int(draw.integers(1, 4)))
+        signs = "".join(signs[j] for j in draw.permutation(len(signs)))
+        phrase = "".join(PLAIN[j] for j in draw.integers(0, len(PLAIN), int(draw.integers(3, 6))))
+        word = PLAIN[int(draw.integers(0, len(PLAIN)))]
+        q = ('"', "'", "")[i % 3]
+        to = (" = ", ": ", "=")[i // 3 % 3]
+        for s in (signs, phrase):
+            if len(s) >= ASSIGNED:
+                add(f"{name}{to}{q}", s, f"{q}\n", 1)
+        if len(word) >= ASSIGNED:
+            add(f"the {name}: ", word, " is " + PLAIN[i % len(PLAIN)], 0)
+            add(f"{name}{to}{q}", word, f"{q}\n", 0)
+        add(f"{name}{to}", ("${%s}", "os.environ.get('%s')", "get_%s()", "<%s>", "{{ %s }}", "request.%s")[i % 6] % name, "\n", 0)
     return pd.DataFrame(out, columns=["text", "start", "length", "label"])
 
 
@@ -156,7 +205,7 @@ def _surroundings(batches):
     """Each candidate with AROUND characters on both sides."""
     for part in T.slices(batches):
         text = pc.fill_null(part.column("text"), "")
-        hits = text.filter(pc.match_substring_regex(text, CANDIDATE)).to_pylist()
+        hits = text.filter(pc.match_substring_regex(text, ANY)).to_pylist()
         yield pa.RecordBatch.from_arrays([pa.array([t[max(0, a - AROUND) : b + AROUND] for t in hits for a, b in candidates(t)], pa.string())], names=["text"])
 
 
@@ -205,9 +254,8 @@ def redact(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
                 continue
             new = part.to_pylist()
             for i, x in enumerate(found):
-                for a, b, p in reversed(x):
-                    if p >= THRESHOLD:
-                        new[i] = new[i][:a] + REPLACEMENT + new[i][b:]
+                for a, b in reversed(_merged([(a, b) for a, b, p in x if p >= THRESHOLD])):
+                    new[i] = new[i][:a] + REPLACEMENT + new[i][b:]
             out.append(pa.array(new, pa.string()))
         return pa.concat_arrays(out) if out else pa.array([], pa.string())
 
