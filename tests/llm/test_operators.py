@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -334,6 +335,15 @@ def test_lz_dedup_on_random_repeats(spark):
     assert sorted(map(tuple, lz_dedup.remove_repeats(df).collect()), key=str) == brute_repeats(data)
 
 
+def test_lz_dedup_tells_many_rows_without_id_apart(spark):
+    r = random.Random(12)
+    data = [(None if i % 3 else 7, " ".join(f"w{r.randrange(3000)}" for _ in range(22)) + " é") for i in range(3000)]
+    data += [(None, data[i][1] + " tail") for i in range(0, 300, 7)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    assert sorted(map(tuple, lz_dedup.remove_repeats(df).collect()), key=str) == brute_repeats(data)
+    assert len({x & 0xFFFF for x in lz_dedup.text_hash(pa.array([t for _, t in data])).tolist()}) < len(data) == len(set(lz_dedup.text_hash(pa.array([t for _, t in data])).tolist()))
+
+
 @pytest.mark.parametrize("kind", ["byte", "bit"])
 def test_planes(kind):
     r = np.random.default_rng(2)

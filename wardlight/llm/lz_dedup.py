@@ -12,7 +12,7 @@ A block that stands earlier in the same slice of texts needs no look at the inde
 So the frequent passages of a corpus reach the index once for each slice, not once for each document.
 
 Defined cases: null texts have no words; a row without id stands before all others; rows of one id are told
-apart, and ordered, by a 16-bit hash of their texts, and those also equal in it count as one document; an empty table
+apart, and ordered, by a 64-bit hash of their texts, and those also equal in it count as one document; an empty table
 gives an empty table; other columns are ignored.
 """
 
@@ -36,8 +36,8 @@ GRAM = 8
 _PER = SPAN - GRAM + 1  # anchors to choose from in a window, and the most windows of a block
 _BASE = 0x9E3779B97F4A7C15
 _WHOLE = (1 << _PER) - 1
-#: Bytes before a block's window hashes: id (8), text hash (2), first window (4), 1 if it is a factor already.
-_HEAD = 15
+#: Bytes before a block's window hashes: id (8), text hash (8), first window (4), number of windows if it is a factor already.
+_HEAD = 21
 _NO_ID = -(1 << 63)
 
 
@@ -57,7 +57,17 @@ def _extend(a: np.ndarray, width: int, b: np.ndarray) -> np.ndarray:
 
 
 def text_hash(texts: pa.Array) -> np.ndarray:
-    return np.array([xxhash.xxh32_intdigest(t.as_buffer()) & 0xFFFF for t in texts.cast(pa.binary())], np.int64)
+    """As Spark's xxhash64 of a string."""
+    return np.array([xxhash.xxh64_intdigest(t.as_buffer(), 42) for t in texts.cast(pa.binary())], np.uint64).view(np.int64)
+
+
+def _sortable(x: np.ndarray) -> np.ndarray:
+    """Eight bytes for each number, in its order."""
+    return (x.view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").view(np.uint8).reshape(-1, 8)
+
+
+def _number(x: np.ndarray) -> np.ndarray:
+    return (np.ascontiguousarray(x).view(">u8").reshape(-1).astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
 
 
 def _window_hashes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -101,10 +111,9 @@ def _records(doc_id, tie, first, known, counts, hashes) -> pa.Array:
     at = np.concatenate([[0], np.cumsum(size)])
     out = np.zeros(at[-1], np.uint8)
     head = np.empty((len(counts), _HEAD), np.uint8)
-    head[:, :8] = (doc_id.view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").view(np.uint8).reshape(-1, 8)
-    head[:, 8:10] = tie.astype(">u2").view(np.uint8).reshape(-1, 2)
-    head[:, 10:14] = first.astype(">u4").view(np.uint8).reshape(-1, 4)
-    head[:, 14] = known
+    head[:, :8], head[:, 8:16] = _sortable(doc_id), _sortable(tie)
+    head[:, 16:20] = first.astype(">u4").view(np.uint8).reshape(-1, 4)
+    head[:, 20] = known
     body = np.ones(len(out), bool)
     places = at[:-1, None] + np.arange(_HEAD)
     body[places.reshape(-1)] = False
@@ -146,19 +155,18 @@ def _fields(block: pa.Array):
     at = np.frombuffer(at, np.int32)[block.offset : block.offset + len(block) + 1].astype(np.int64)
     data = np.frombuffer(data, np.uint8)
     head = data[at[:-1, None] + np.arange(_HEAD)]
-    doc_id = np.ascontiguousarray(head[:, :8]).view(">u8").reshape(-1).astype(np.uint64) ^ np.uint64(1 << 63)
-    tie = np.ascontiguousarray(head[:, 8:10]).view(">u2").reshape(-1).astype(np.int64)
-    first = np.ascontiguousarray(head[:, 10:14]).view(">u4").reshape(-1).astype(np.int64)
+    doc_id, tie = _number(head[:, :8]), _number(head[:, 8:16])
+    first = np.ascontiguousarray(head[:, 16:20]).view(">u4").reshape(-1).astype(np.int64)
     counts = (np.diff(at) - _HEAD) // 5
     start = np.repeat(at[:-1] + _HEAD, counts) + 5 * (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts))
     hashes = np.zeros(len(start), np.uint64)
     for i in range(5):
         hashes = (hashes << np.uint64(8)) | data[start + i].astype(np.uint64)
-    return doc_id.view(np.int64), tie, first, head[:, 14], counts, hashes
+    return doc_id, tie, first, head[:, 20], counts, hashes
 
 
 def _factor(batches: Iterator[pa.RecordBatch]):
-    """Marks of blocks with windows that stand earlier: id and text hash, first window, one bit a window."""
+    """Marks of blocks with windows that stand earlier: first window, one bit a window."""
     last, seen = None, np.zeros(0, np.uint64)  # windows so far under the anchor that goes on into the next batch
     end = None  # the last block, as the same document may be in several slices
     for b in batches:
@@ -188,15 +196,15 @@ def _factor(batches: Iterator[pa.RecordBatch]):
         mask = np.bincount(block, weights=np.where(again, np.exp2(nth), 0), minlength=len(counts)).astype(np.int64)
         mask |= (1 << known.astype(np.int64)) - 1
         hit = mask > 0
-        mark = (tie[hit] << 45) | (first[hit] << 13) | mask[hit]
-        yield pa.RecordBatch.from_arrays([pa.array(doc_id[hit]), pa.array(mark)], names=["key", "mark"])
+        mark = (first[hit] << 13) | mask[hit]
+        yield pa.RecordBatch.from_arrays([pa.array(doc_id[hit]), pa.array(tie[hit]), pa.array(mark)], names=["key", "tie", "mark"])
 
 
 def marks(docs: DataFrame) -> DataFrame:
-    """``key`` (the id, or the least long without one) and ``mark`` for blocks with windows that stand earlier."""
+    """``key`` (the id, or the least long without one), ``tie`` (the text's hash) and ``mark`` for blocks with windows that stand earlier."""
     dealt = T.id_and_text(docs).mapInArrow(_index, "anchor long, block binary")
     ordered = dealt.repartition(T.partitions(docs.sparkSession), "anchor").sortWithinPartitions("anchor", "block")
-    return ordered.mapInArrow(_factor, "key long, mark long")
+    return ordered.mapInArrow(_factor, "key long, tie long, mark long")
 
 
 def covered(offsets: np.ndarray, spans: list[np.ndarray]) -> np.ndarray:
@@ -205,7 +213,7 @@ def covered(offsets: np.ndarray, spans: list[np.ndarray]) -> np.ndarray:
     n = np.array([len(s) for s in spans])
     if n.sum():
         m = np.concatenate(spans)
-        base = np.repeat(offsets[:-1], n) + ((m >> 13) & 0xFFFFFFFF)
+        base = np.repeat(offsets[:-1], n) + (m >> 13)
         for i in range(_PER):
             start = base[(m >> i & 1) == 1] + i
             np.add.at(edge, start, 1)
@@ -217,9 +225,7 @@ def _cut(batches: Iterator[pa.RecordBatch]):
     for part in T.slices(batches):
         text = pc.fill_null(part.column("text"), "")
         offsets, values = T.words(text)
-        tie = text_hash(text)
-        spans = [np.array([] if m is None else m, np.int64) for m in part.column("marks").to_pylist()]
-        gone = covered(offsets, [s[s >> 45 == t] for s, t in zip(spans, tie, strict=True)])
+        gone = covered(offsets, [np.array([] if m is None else m, np.int64) for m in part.column("marks").to_pylist()])
         stays = np.concatenate([[0], np.cumsum(~gone)])[offsets]
         left = T.joined(stays, values.filter(pa.array(~gone)), " ")
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets)), pa.array(T.per_row(offsets, gone)), left.cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
@@ -228,9 +234,9 @@ def _cut(batches: Iterator[pa.RecordBatch]):
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and ``kept``, the words left, joined by one space."""
     T.bounded_batches(docs.sparkSession)
-    found = marks(docs).groupBy("key").agg(F.collect_list("mark").alias("marks"))
-    rows = T.id_and_text(docs).withColumn("key", F.coalesce("doc_id", F.lit(_NO_ID)))
-    both = rows.join(found.hint("shuffle_hash"), "key", "left").select("doc_id", "text", "marks")
+    found = marks(docs).groupBy("key", "tie").agg(F.collect_list("mark").alias("marks"))
+    rows = T.id_and_text(docs).withColumn("key", F.coalesce("doc_id", F.lit(_NO_ID))).withColumn("tie", F.xxhash64(F.coalesce("text", F.lit(""))))
+    both = rows.join(found.hint("shuffle_hash"), ["key", "tie"], "left").select("doc_id", "text", "marks")
     return both.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept string")
 
 
