@@ -303,6 +303,19 @@ def test_secret_scan_of_passwords(docs, spark):
     assert secret_scan._merged([(0, 9), (2, 4), (8, 12), (12, 13)]) == [(0, 12), (12, 13)]
 
 
+def test_secret_scan_dictionary_counts_all_documents(spark, empty):
+    import re
+    from collections import Counter
+
+    r = random.Random(8)
+    vocabulary = ["".join(r.choice("abcdefgh") for _ in range(r.randrange(3, 13))) for _ in range(6000)]
+    data = [(None if i % 4 == 0 else i, None if i % 50 == 1 else r.choice([" ", ", ", "_", "\n", "é"]).join(r.choice([str.upper, str])(r.choice(vocabulary) + r.choice(["", "", "", "7"])) for _ in range(90))) for i in range(400)]
+    counts = Counter(w for _, t in data if t for w in re.findall(r"(?<![a-z0-9])[a-z]{4,10}(?![a-z0-9])", t.lower()))
+    want = sorted((w for w, n in counts.items() if n > 2), key=lambda w: (-counts[w], w))
+    d = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    assert len(want) > 1000 and secret_scan.train(d).dictionary == frozenset(want[: secret_scan.DICTIONARY]) and secret_scan.frequent_words(empty) == frozenset()
+
+
 def brute_repeats(data):
     """Windows in order of (id, text hash, start); later ones of a kind are covered."""
     import pyarrow as pa

@@ -35,7 +35,7 @@ _CANDIDATE = re.compile(CANDIDATE, re.ASCII)
 _DIGIT = re.compile("[0-9]")
 #: The parts of a run: ``=`` at its end is padding, any other one assigns.
 _PART = re.compile("[^=]+(?:=+$)?|=+$")
-#: Documents that default findings and the dictionary are drawn from, words of the dictionary, and findings.
+#: Documents that default findings are drawn from, words of the dictionary (the most frequent of all documents), and findings.
 SAMPLE_DOCS = 20000
 DICTIONARY = 4096
 FINDINGS = 4000
@@ -209,16 +209,30 @@ def _surroundings(batches):
         yield pa.RecordBatch.from_arrays([pa.array([t[max(0, a - AROUND) : b + AROUND] for t in hits for a, b in candidates(t)], pa.string())], names=["text"])
 
 
+def _word_counts(batches):
+    for part in T.slices(batches):
+        low = pc.utf8_lower(pc.fill_null(part.column("text"), ""))
+        words = pc.split_pattern(pc.replace_substring_regex(low, "[^a-z0-9]+", " "), " ").flatten()
+        c = pc.value_counts(words)
+        c = c.filter(pc.match_substring_regex(c.field("values"), "^[a-z]{4,10}$"))
+        yield pa.RecordBatch.from_arrays([c.field("values").cast(pa.string()), c.field("counts").cast(pa.int64())], names=["word", "n"])
+
+
+def frequent_words(docs: DataFrame) -> frozenset[str]:
+    """The DICTIONARY most frequent words of 4 to 10 letters, counted over all texts, of those met more than twice."""
+    T.bounded_batches(docs.sparkSession)
+    counted = T.id_and_text(docs).select("text").mapInArrow(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return frozenset(r["word"] for r in counted.where("n > 2").orderBy(F.desc("n"), "word").limit(DICTIONARY).collect())
+
+
 def train(docs: DataFrame, findings: pd.DataFrame | None = None) -> Scanner:
-    """At most SAMPLE_DOCS documents (of least hashes) are searched for findings and dictionary words; FINDINGS and DICTIONARY bound what comes to the driver."""
+    """At most SAMPLE_DOCS documents (of least hashes) are searched for findings; the dictionary is of all documents. FINDINGS and DICTIONARY bound what comes to the driver."""
     T.bounded_batches(docs.sparkSession)
     rows = T.id_and_text(docs).where("text is not null")
     chosen = rows.select("doc_id", F.xxhash64("doc_id").alias("h")).where("doc_id is not null").orderBy("h").limit(SAMPLE_DOCS).select("doc_id").distinct()
     some = rows.join(F.broadcast(chosen), "doc_id")
     around = some.select("text").mapInArrow(_surroundings, "text string").distinct().orderBy(F.xxhash64("text"), "text").limit(FINDINGS).toPandas()["text"]
-    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![a-z0-9])[a-z]{4,10}(?![a-z0-9])"), F.lit(0)))
-    frequent = some.where(F.xxhash64("doc_id") % 8 == 0).select(word.alias("word")).groupBy("word").count().where("count > 2").orderBy(F.desc("count"), "word").limit(DICTIONARY)
-    dictionary = frozenset(r["word"] for r in frequent.collect())
+    dictionary = frequent_words(docs)
     if findings is None:
         findings = default_findings(around)
     x = np.array([features(t, s, s + n, dictionary) for t, s, n in zip(findings["text"], findings["start"], findings["length"], strict=True)], float).reshape(len(findings), len(FEATURES))
