@@ -1,14 +1,13 @@
-"""Substring deduplication by relative Lempel-Ziv parsing over an index of reference blocks.
+"""Substring deduplication by hashes of windows, dealt by anchors (in place of relative Lempel-Ziv parsing).
 
 A window is SPAN consecutive words of a document.  Each window has one anchor: the GRAM-word gram in
 it of least hash, the leftmost of equal ones.  Consecutive windows with one anchor make up a block, so blocks
 cover every window once and equal windows have equal anchors.  The index deals all blocks out by their anchor;
-in the order of documents each block is factored against the blocks that stand before it under its anchor: a
-factor is a run of the block's windows that stand earlier, told by 40-bit hashes beside the 64-bit anchor, so that
-the check at a factor's ends is a comparison of single windows.  Factors are at least SPAN words long by
-construction, and come back to their documents as spans to remove.
+in the order of documents each window is looked up among those that stand before it under its anchor, by 40-bit hashes
+beside the 64-bit anchor.  No words are compared, and no longest match is sought.  Windows that stand earlier come back
+to their documents as spans to remove.
 
-A block that stands earlier in the same slice of texts needs no look at the index: it is a factor already.
+A block that stands earlier in the same slice of texts needs no look at the index: all its windows are repeats.
 So the frequent passages of a corpus reach the index once for each slice, not once for each document.
 
 Defined cases: null texts have no words; a row without id stands before all others; rows of one id are told
