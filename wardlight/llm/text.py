@@ -47,7 +47,12 @@ def id_and_text(docs: DataFrame) -> DataFrame:
 
 def cuts(text: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
     """Start and length of runs of rows with at most ``limit`` bytes (at least one row each)."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    return runs(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64), limit)
+
+
+def runs(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Start and length of runs of rows whose sizes sum up to at most ``limit`` (at least one row each)."""
+    ends = np.cumsum(sizes)
     start, used = 0, 0
     while start < len(ends):
         stop = max(start + 1, int(np.searchsorted(ends, used + limit, side="right")))
@@ -61,6 +66,21 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             yield batch.slice(start, n)
 
 
+def together(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """As ``slices``, but across batches: each slice is as large as ``limit`` lets it be."""
+    held: list[pa.RecordBatch] = []
+    used = 0
+    for part in slices(batches, column, limit):
+        size = pc.sum(pc.binary_length(part.column(column))).as_py() or 0
+        if held and used + size > limit:
+            yield pa.concat_batches(held)
+            held, used = [], 0
+        held.append(part)
+        used += size
+    if held:
+        yield pa.concat_batches(held)
+
+
 def array_slices(text: pa.Array, limit: int = SLICE_BYTES) -> Iterator[pa.Array]:
     """Parts of a column of texts, nulls as empty texts."""
     for start, n in cuts(text, limit):

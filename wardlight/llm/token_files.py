@@ -60,13 +60,11 @@ def encoded_parts(docs: DataFrame, path: str, parts: int) -> DataFrame:
     share = [i / parts for i in range(1, parts)]
     bounds = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), share, 10000)).first()[0] if share else None
     edges = np.array(bounds or [], np.int64)
-    shared = bpe.shared_table(docs, path)
     narrow = len(bpe.pieces(path)) <= 1 << 16
 
     def run(batches: Iterator[pa.RecordBatch]):
-        coder = bpe.WordCoder.of(shared, path)
-        for part in T.slices(batches):
-            offsets, ids, _ = coder.ids_by_text(pc.fill_null(part.column("text"), ""))
+        for part in T.together(batches, limit=bpe.SLICE):
+            offsets, ids = bpe.ids_by_text(pc.fill_null(part.column("text"), ""), path)
             ids = np.insert(ids, offsets[1:], END).astype("<u2" if narrow else "<u4")
             at = (offsets + np.arange(len(offsets))) * ids.itemsize
             doc = part.column("doc_id")
