@@ -4,7 +4,7 @@ Texts are cut where a run of white space begins; no token of the byte-level BPE
 such a place, so a text's ids are those of its words in order.
 
 * ``_deal`` cuts slices of texts into words.  The distinct words of a slice are dealt to buckets by their hash, as one
-  compressed row for each slice and bucket; the slice itself becomes the numbers of its words, in order, and travels along.
+  compressed row for each slice and bucket; in a second reading, the slice itself becomes the numbers of its words, in order.
 * ``_encode`` meets all rows of a bucket: each distinct word of the corpus is encoded there, once, and goes back
   as ids to every slice that has it.
 * ``_assemble`` meets a slice with its buckets' ids and joins the ids back by position.
@@ -13,8 +13,9 @@ A frequent word is one entry for each slice that has it, so no bucket grows with
 distinct words of one bucket, and there are BUCKETS buckets a partition.  Decoding joins ids with the vocabulary's pieces
 (a table of the vocabulary's size): ``decode_ids`` for rows of ids, and in whole Arrow columns in ``round_trip``.
 
-Slices are told by partition and place.  If an executor is lost and ``docs``, being no table at rest, then gives its rows in
-another order, a slice that meets ids of other words fails instead of giving wrong ids; checkpoint such documents before.
+Slices are told by partition and place; reading twice moves less than sending the slices along with their words.  ``docs`` must give the
+same rows in the same partitions when computed again (their order is no matter): if not, a slice that meets ids of other words fails
+instead of giving wrong ids, and such documents are to be checkpointed before.
 
 Defined cases: a null text counts as empty, which has no ids; the special token's string in a text is
 encoded as that token, as the library does by default; repeated rows each give a row; an empty table
@@ -40,8 +41,8 @@ from pyspark.sql import functions as F
 from . import text as T
 
 #: Bytes of text cut into words at once; distinct words are counted once for each such slice.
-SLICE = 28 << 20
-BUCKETS = 4
+SLICE = 24 << 20
+BUCKETS = 2
 #: Unicode white space, the class of the pre-tokenizer's \\s, without and with the space and the line end.
 _RARE_SPACE = r"\x{0009}\x{000b}-\x{000d}\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _SPACE = r"\x{0020}\x{000a}" + _RARE_SPACE
@@ -188,7 +189,7 @@ def _unpack(blob: pa.Scalar) -> pa.RecordBatch:
     return pa.ipc.open_stream(blob.as_buffer()).read_next_batch()
 
 
-#: A slice's words (or ids) in one bucket, or in a negative one of its own the slice itself: its texts' ids and numbers of words, and its words as numbers.
+#: A slice's words (or ids) in one bucket, or as bucket -1 the slice itself: its texts' ids and numbers of words, and its words as numbers.
 #: check: a hash of the words of the bucket, or of all buckets in order.
 ROW = "slice long, bucket long, check binary, texts binary, words binary"
 _NAMES, _KINDS = ["slice", "bucket", "check", "texts", "words"], [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
@@ -208,8 +209,8 @@ def _slice(text: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray, pa.Arr
     return offsets, place[codes], distinct.take(pa.array(order)), np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
-def _deal(buckets: int, limit: int):
-    """Rows of ROW: each slice, and its distinct words by bucket."""
+def _deal(buckets: int, texts: bool, limit: int):
+    """Rows of ROW: for each slice its distinct words by bucket, or (``texts``) the slice itself."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         from pyspark import TaskContext
@@ -220,10 +221,12 @@ def _deal(buckets: int, limit: int):
             offsets, codes, words, starts = _slice(pc.fill_null(part.column("text"), ""), buckets)
             full = np.flatnonzero(np.diff(starts))
             checks = [xxhash.xxh64_digest(x.as_buffer()) for x in T.joined(starts, words, "").take(pa.array(full))]
-            docs = _pack(doc_id=part.column("doc_id"), n=pa.array(np.diff(offsets), pa.int32()))
-            planes = _pack(**{f"plane{i}": pa.array((codes >> 8 * i).astype(np.uint8)) for i in range(4) if i == 0 or len(words) >> 8 * i})
-            rows = [(number, -1 - number, b"".join(checks), docs, planes)]
-            rows += [(number, b, check, None, _pack(words=words.slice(starts[b], starts[b + 1] - starts[b]))) for b, check in zip(full.tolist(), checks, strict=True)]
+            if texts:
+                docs = _pack(doc_id=part.column("doc_id"), n=pa.array(np.diff(offsets), pa.int32()))
+                planes = _pack(**{f"plane{i}": pa.array((codes >> 8 * i).astype(np.uint8)) for i in range(4) if i == 0 or len(words) >> 8 * i})
+                rows = [(number, -1, b"".join(checks), docs, planes)]
+            else:
+                rows = [(number, b, check, None, _pack(words=words.slice(starts[b], starts[b + 1] - starts[b]))) for b, check in zip(full.tolist(), checks, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=_NAMES)
             number += 1
 
@@ -231,7 +234,7 @@ def _deal(buckets: int, limit: int):
 
 
 def _encode(path: str):
-    """The rows of a bucket come together: their words' ids in place of the words.  A word is encoded where it is first met; slices pass."""
+    """The rows of a bucket come together: their words' ids in place of the words.  A word is encoded where it is first met."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         now, known, ids = None, {}, None
@@ -240,9 +243,6 @@ def _encode(path: str):
             out = []
             bucket = batch.column("bucket").to_numpy(zero_copy_only=False)
             for start, stop in itertools.pairwise([*np.flatnonzero(np.diff(bucket, prepend=np.nan)).tolist(), len(bucket)]):
-                if bucket[start] < 0:
-                    out += batch.column("words").slice(start, stop - start).to_pylist()
-                    continue
                 if bucket[start] != now:
                     now, known, ids = bucket[start], {}, pa.array([], kind)
                 blobs = [_unpack(x).column("words").to_pylist() for x in batch.column("words").slice(start, stop - start)]
@@ -275,7 +275,7 @@ def _assemble(path: str, finish: Callable, schema: str):
     def whole(rows: list[tuple]):
         check, texts, numbers = rows[0]
         if check.as_py() != b"".join(c.as_py() for c, _, _ in rows[1:]):
-            raise RuntimeError("the documents came in another order when they were computed again; checkpoint them before")
+            raise RuntimeError("the documents were other ones when they were computed again; checkpoint them before")
         docs, planes = _unpack(texts), _unpack(numbers)
         codes = sum(planes.column(i).to_numpy().astype(np.uint32) << 8 * i for i in range(planes.num_columns))
         by_word, ids = T.lists(pa.concat_arrays([_unpack(w).column("ids") for _, _, w in rows[1:]]).take(pa.array(codes)))
@@ -303,9 +303,13 @@ def _assemble(path: str, finish: Callable, schema: str):
 def _by_table(docs: DataFrame, path: str, finish: Callable, schema: str, limit: int) -> DataFrame:
     T.bounded_batches(docs.sparkSession)
     parts = T.partitions(docs.sparkSession)
-    dealt = T.id_and_text(docs).mapInArrow(_deal(BUCKETS * parts, limit), ROW).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    coded = dealt.mapInArrow(_encode(path), ROW).repartition(parts, "slice").sortWithinPartitions("slice", "bucket")
-    return coded.mapInArrow(_assemble(path, finish, schema), schema)
+    # both readings cut the same slices: rows of a partition are put in order first
+    rows = T.id_and_text(docs).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    words = rows.mapInArrow(_deal(BUCKETS * parts, False, limit), ROW).repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_encode(path), ROW)
+    both = rows.mapInArrow(_deal(BUCKETS * parts, True, limit), ROW).unionAll(words)
+    # slices, few and large, are dealt in turn: by their partition, and the second slices of all partitions behind the first
+    turn = F.pmod(F.shiftright("slice", 32) + 31 * F.col("slice").bitwiseAND(0xFFFFFFFF), F.lit(parts)).cast("int")
+    return both.repartitionById(parts, turn).sortWithinPartitions("slice", "bucket").mapInArrow(_assemble(path, finish, schema), schema)
 
 
 def encode(docs: DataFrame, path: str | None = None, limit: int = SLICE) -> DataFrame:
