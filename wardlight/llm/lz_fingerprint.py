@@ -16,11 +16,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,28 +29,47 @@ from . import text as T
 SIZE = 64
 
 
-def parse(data: bytes, known: set[bytes], start: int, stop: int) -> int:
-    """Adds the phrases that end by ``stop`` to ``known``; where the first that doesn't begins."""
-    i, add = start, known.add
-    for j in range(start + 1, stop + 1):
-        phrase = data[i:j]
-        if phrase not in known:
-            add(phrase)
-            i = j
-    return i
+_BASE = 0x9E3779B97F4A7C15
 
 
-def signature(phrases: set[bytes]) -> np.ndarray:
-    digest = xxhash.xxh32_intdigest
-    h = np.unique(np.fromiter((digest(p) for p in phrases), np.uint32, len(phrases)))
-    return h[:SIZE]
+@lru_cache(maxsize=2)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of _BASE and of its inverse, modulo 2^64."""
+    with np.errstate(over="ignore"):
+        return tuple(np.cumprod(np.append(np.uint64(1), np.full(size - 1, x, np.uint64))) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+
+
+def parse(data: bytes, known: dict[int, int], start: int, stop: int) -> int:
+    """Adds the phrases that end by ``stop`` to ``known``; where the first that doesn't begins.
+
+    A phrase is the key of its last byte below the phrase without it, and is named by where it ends, times 256.
+    """
+    node, put = 0, known.setdefault
+    for end, byte in zip(range(256 * (start + 1), 256 * (stop + 1), 256), memoryview(data)[start:stop]):  # noqa: B905
+        met = put(node + byte, end)
+        node = 0 if met == end else met
+    return max(known.values(), default=0) >> 8 if node else stop
+
+
+def signature(data: bytes, known: dict[int, int]) -> np.ndarray:
+    """The least hashes of the phrases of ``data``, which follow each other; a hash is a polynomial of a phrase's bytes."""
+    ends = np.fromiter(known.values(), np.int64, len(known)) >> 8  # in order, as they were met
+    if not len(ends):
+        return np.zeros(0, np.uint32)
+    starts = np.append(0, ends[:-1])
+    up, down = _powers(max(1 << 16, 1 << len(data).bit_length()))
+    total = np.append(np.uint64(0), np.cumsum((np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)) * up[: len(data)]))
+    h = (total[ends] - total[starts]) * down[starts]
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = np.sort((h >> np.uint64(32)).astype(np.uint32))
+    return h[np.append(True, h[1:] != h[:-1])][:SIZE]
 
 
 def fingerprint(text: str) -> np.ndarray:
-    known: set[bytes] = set()
+    known: dict[int, int] = {}
     data = text.encode()
     parse(data, known, 0, len(data))
-    return signature(known)
+    return signature(data, known)
 
 
 def spell(sig: np.ndarray) -> str:
@@ -60,8 +79,9 @@ def spell(sig: np.ndarray) -> str:
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    both = np.union1d(a, b)[:SIZE]
-    return float(np.isin(both, a[np.isin(a, b)]).mean())
+    a, b = set(a.tolist()), set(b.tolist())
+    least, common = sorted(a | b)[:SIZE], a & b
+    return sum(x in common for x in least) / len(least)
 
 
 def edited(text: str, after: str) -> str:
@@ -75,12 +95,12 @@ def _compare(doc_id, text: str, after: str):
     changed = edited(text, after)
     data, other = text.encode(), changed.encode()
     shared = len(text[: len(text) - len(text) // 2].encode())
-    known: set[bytes] = set()
-    at = parse(data, known, 0, shared)
-    own, theirs = known, set(known)
+    own: dict[int, int] = {}
+    at = parse(data, own, 0, shared)
+    theirs = own.copy()
     parse(data, own, at, len(data))
     parse(other, theirs, at, len(other))
-    return doc_id, len(text), hashlib.sha256(other).hexdigest(), signature(own), signature(theirs)
+    return doc_id, len(text), hashlib.sha256(other).hexdigest(), signature(data, own), signature(other, theirs)
 
 
 COLUMNS = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
