@@ -166,6 +166,23 @@ def brute_phrases(data):
     return known
 
 
+def brute_signature(t):
+    m = (1 << 64) - 1
+    power = [pow(lz_fingerprint._BASE, k, 1 << 64) for k in range(2000)]
+    hashes = [sum((c + 1) * p for c, p in zip(x, power)) & m for x in brute_phrases(t.encode())]  # noqa: B905
+    return np.array(sorted({((h ^ h >> 33) * 0xFF51AFD7ED558CCD & m) >> 32 for h in hashes})[: lz_fingerprint.SIZE], np.uint32)
+
+
+def test_lz_phrases_of_runs():
+    """Long runs of one character, and texts cut anywhere, give the phrases of the definition."""
+    for t in ("a" * 70000, "ab" * 3000, "é" * 500 + "x", "", "a", prose(300, 3)):
+        assert lz_fingerprint.fingerprint(t).tolist() == brute_signature(t).tolist()
+        data, known = t.encode(), {}
+        at = lz_fingerprint.parse(data, known, 0, len(data) // 3)
+        lz_fingerprint.parse(data, known, at, len(data))
+        assert lz_fingerprint.signature(data, known).tolist() == brute_signature(t).tolist()
+
+
 def test_lz_fingerprint(docs, empty):
     got = sorted(map(tuple, lz_fingerprint.fingerprints(docs).collect()), key=str)
     data = [(d, t or "") for d, t, *_ in rows()]
@@ -174,7 +191,7 @@ def test_lz_fingerprint(docs, empty):
     for k, (d, t) in enumerate(data):
         after = data[(k + 1) % len(data)][1]
         e = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
-        a, b, c = (lz_fingerprint.signature(brute_phrases(x.encode())) for x in (t, e, after))
+        a, b, c = (brute_signature(x) for x in (t, e, after))
         want.append((d, len(t), hashlib.sha256(e.encode()).hexdigest(), lz_fingerprint.spell(a), lz_fingerprint.spell(b), lz_fingerprint.likeness(a, b), lz_fingerprint.likeness(a, c)))
     assert got == sorted(want, key=str)
     assert lz_fingerprint.fingerprints(empty).count() == 0
@@ -219,7 +236,7 @@ def test_bpe_without_the_merger(tmp_path):
 
 def test_bpe_encodes_each_distinct_word_once(docs, monkeypatch):
     path, met, encode = bpe.default_path(), [], bpe.encode_words
-    dealt = docs.select("doc_id", "text").repartition(5).mapInArrow(bpe._deal(7, 2000), bpe.ROW).toArrow().sort_by("bucket")
+    dealt = docs.select("doc_id", "text").repartition(5).mapInArrow(bpe._deal(7, False, 2000), bpe.ROW).toArrow().sort_by("bucket")
     assert len(set(dealt["slice"].to_pylist())) > 5
     monkeypatch.setattr(bpe, "encode_words", lambda keys, p: met.extend(keys.to_pylist()) or encode(keys, p))
     list(bpe._encode(path)(iter(dealt.combine_chunks().to_batches(max_chunksize=3))))
@@ -352,12 +369,62 @@ def brute_repeats(data):
     return sorted(((d,) + out[-(1 << 63) if d is None else d, t or ""] for d, t in data), key=str)
 
 
-def test_lz_dedup(docs, empty, monkeypatch):
+def test_lz_dedup(docs, empty):
     want = brute_repeats([(d, t) for d, t, *_ in rows()])
     assert sorted(map(tuple, lz_dedup.remove_repeats(docs).collect()), key=str) == want
     assert lz_dedup.remove_repeats(empty).count() == 0
 
 
+def test_lz_dedup_factors_copy_from_earlier_documents(spark):
+    r = random.Random(21)
+    pool = [[f"w{r.randrange(500)}" for _ in range(r.randrange(20, 90))] for _ in range(15)]
+    data = {i: " ".join(" ".join(r.choice(pool)[r.randrange(8) :]) + f" u{r.randrange(9)}" for _ in range(r.randrange(1, 7))) for i in range(200)}
+    found = lz_dedup.spans(spark.createDataFrame(list(data.items()), "doc_id long, text string").repartition(6), False).collect()
+    assert len(found) > 150
+    for row in found:
+        w = data[row["key"]].split()
+        for x in row["spans"]:
+            n = x["n"] + lz_dedup.SPAN - 1
+            assert w[x["at"] : x["at"] + n] == data[x["source"]].split()[x["source_at"] : x["source_at"] + n] and (x["source"], x["source_at"]) < (row["key"], x["at"])
+    assert sum(x["n"] > lz_dedup._PER for row in found for x in row["spans"]) > 100
+
+
+def test_lz_dedup_takes_the_longest_run():
+    """Under one anchor: windows 1 2 3 4 stand as 1 2 in the first block and as 2 3 4 in the second; greedy from the left is 1 2, then 3 4."""
+    r = lambda *x: np.array(x, np.uint64)
+    b = lz_dedup._Blocks(r(7, 7, 7, 7), np.array([1, 2, 3, 4]), np.zeros(4, np.int64), np.array([0, 5, 9, 2]), np.array([2, 3, 4, 3]), r(1, 2, 2, 3, 4, 1, 2, 3, 4, 2, 3, 4))
+    got, new = lz_dedup._parse(b, 0)
+    assert sorted(zip(*(x.tolist() for x in got), strict=True)) == [(2, 0, 5, 1, 1, 1), (3, 0, 9, 2, 1, 0), (3, 0, 11, 2, 2, 6), (4, 0, 2, 3, 2, 5)]
+    assert new.tolist() == [True, True, False, False]
+
+
+@pytest.mark.parametrize("at_once", [1, 7, 100])
+def test_lz_dedup_of_a_frequent_line(spark, monkeypatch, at_once):
+    """One line with other words beside it in a third of the documents: whatever comes together in a task, and without crowding its anchor."""
+    r = random.Random(4)
+    def key(line):
+        return lz_dedup._mix(lz_dedup._hashes(lz_dedup._word_hashes(np.arange(9), pa.array(line.split())), lz_dedup.GRAM))[:2].min() >> np.uint64(1)
+
+    line = min((" ".join(f"line{i}{j}" for i in range(9)) for j in range(200)), key=key)  # of little hash, so it attracts windows
+    text = lambda i: " ".join(f"a{r.randrange(10**9)}" for _ in range(13)) + f" {line} " + " ".join(f"b{r.randrange(10**9)}" for _ in range(13))
+    data = [(i, text(i) if i % 3 == 0 else f"plain {i} " * 12) for i in range(600)]
+    want = brute_repeats(data)
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    frequent = lz_dedup.frequent_grams(df, local=20)
+    assert len(frequent) == 2
+    blocks = lambda f: np.unique(lz_dedup.blocks(pa.array([t for _, t in data]), f)[3], return_counts=True)[1].max()
+    assert blocks(np.zeros(0, np.uint64)) == 200 > 10 > blocks(frequent)
+    assert sorted(map(tuple, lz_dedup.remove_repeats(df).collect()), key=str) == want
+    # the same in this process, in batches of any size
+    monkeypatch.setattr(lz_dedup, "AT_ONCE", at_once)
+    dealt = df.mapInArrow(lz_dedup._index(frequent, True), "anchor long, block binary").toArrow().sort_by([("anchor", "ascending"), ("block", "ascending")])
+    marked = {}
+    for b in lz_dedup._factor(iter(dealt.to_batches(max_chunksize=5))):
+        for x in b.to_pylist():
+            marked.setdefault(x["key"], set()).update(range(x["at"], x["at"] + x["n"] + lz_dedup.SPAN - 1))
+    assert {d: len(m) for d, m in marked.items()} == {d: n for d, _, n, _ in want if n}
+
+
 def test_lz_dedup_on_random_repeats(spark):
     r = random.Random(11)
     pool = [[f"w{r.randrange(6)}" for _ in range(r.randrange(15, 60))] for _ in range(12)]

@@ -1,14 +1,18 @@
-"""Substring deduplication by hashes of windows, dealt by anchors (in place of relative Lempel-Ziv parsing).
+"""Substring deduplication by relative Lempel-Ziv factors over anchored blocks.
 
 A window is SPAN consecutive words of a document.  Each window has one anchor: the GRAM-word gram in
-it of least hash, the leftmost of equal ones.  Consecutive windows with one anchor make up a block, so blocks
-cover every window once and equal windows have equal anchors.  The index deals all blocks out by their anchor;
-in the order of documents each window is looked up among those that stand before it under its anchor, by 40-bit hashes
-beside the 64-bit anchor.  No words are compared, and no longest match is sought.  Windows that stand earlier come back
-to their documents as spans to remove.
+it of least hash, the leftmost of equal ones, frequent grams after all others.  Consecutive windows with one anchor make up a
+block, so blocks cover every window once and equal windows have equal anchors.  The reference index is dealt out by anchors.
+Under an anchor, in the order of documents, each block is factored greedily against every block before it: at the
+first window that stands in one, the longest run of windows from there on that stands in one is a factor, with its source
+(document and place of the first block that has it), and the parse goes on behind it.  A document's factors from one source
+that continue each other are then put together.  A window is at least SPAN words, so every factor is a duplicate span.
 
-A block that stands earlier in the same slice of texts needs no look at the index: all its windows are repeats.
-So the frequent passages of a corpus reach the index once for each slice, not once for each document.
+Windows are compared by 40 bits of their hashes under 64 bits of their anchors' hashes, both ends of a factor being ends of such windows.
+
+Blocks that stand earlier in the same slice of texts are factors at once, so the frequent passages of a corpus reach the
+index once for each slice, not once for each document.  A gram that many texts hold in different surroundings (``frequent_grams``)
+is no anchor of windows that reach into those surroundings, so no anchor gathers them.
 
 Defined cases: null texts have no words; a row without id stands before all others; rows of one id are told
 apart, and ordered, by a 64-bit hash of their texts, and those also equal in it count as one document; an empty table
@@ -17,8 +21,11 @@ gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -34,9 +41,16 @@ SPAN = 20
 GRAM = 8
 _PER = SPAN - GRAM + 1  # anchors to choose from in a window, and the most windows of a block
 _BASE = 0x9E3779B97F4A7C15
-_WHOLE = (1 << _PER) - 1
 #: Bytes before a block's window hashes: id (8), text hash (8), first window (4), number of windows if it is a factor already.
 _HEAD = 21
+#: Bytes of the source of a block that is a factor already: id (8), first window (4).
+_SOURCE = 12
+#: Frequent grams: those that one slice of texts holds more often than LOCAL, the OFTEN most frequent of them.
+LOCAL = 64
+OFTEN = 1 << 16
+#: Bytes of text in a slice, and blocks under one anchor that are factored at once.
+SLICE = 12 << 20
+AT_ONCE = 50000
 _NO_ID = -(1 << 63)
 
 
@@ -69,23 +83,55 @@ def _number(x: np.ndarray) -> np.ndarray:
     return (np.ascontiguousarray(x).view(">u8").reshape(-1).astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
 
 
-def _window_hashes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Of the GRAM and the SPAN words from each word on."""
-    codes, distinct = T.coded(values)
-    h = np.array([xxhash.xxh64_intdigest(w) for w in distinct.cast(pa.binary()).to_pylist()], np.uint64)[codes] if len(codes) else np.zeros(0, np.uint64)
-    h2 = _extend(h, 1, h)
-    h4 = _extend(h2, 2, h2)
-    h8 = _extend(h4, 4, h4)
-    return h8, _extend(_extend(h8, 8, h8), 16, h4)
+def _word_hashes(codes: np.ndarray, distinct: pa.Array) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(w) for w in distinct.cast(pa.binary()).to_pylist()], np.uint64)[codes] if len(codes) else np.zeros(0, np.uint64)
+
+
+def _hashes(h: np.ndarray, width: int) -> np.ndarray:
+    """Of the ``width`` words from each word on: hashes of 1, 2, 4 ... words, put together by the bits of ``width``."""
+    out, power = None, 1
+    while power <= width:
+        if width & power:
+            out = h if out is None else _extend(h, power, out)
+        h, power = _extend(h, power, h), power * 2
+    return out
+
+
+def frequent_grams(docs: DataFrame, local: int = LOCAL, most: int = OFTEN) -> np.ndarray:
+    """Sorted hashes of grams that are frequent in some slice; at most ``most`` come to the driver.  Results don't depend on them, only where windows meet."""
+
+    def count(batches):
+        for part in T.together(batches, limit=SLICE):
+            offsets, values = T.words(pc.fill_null(part.column("text"), ""))
+            codes, distinct = T.coded(values)
+            often = np.bincount(codes, minlength=len(distinct)) > local
+            # a frequent gram has frequent words alone
+            gram = _hashes(_word_hashes(codes, distinct), GRAM)[_held(~often[codes], GRAM)]
+            found, n = np.unique(gram, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found[n > local].view(np.int64)), pa.array(n[n > local])], names=["gram", "n"])
+
+    counted = T.id_and_text(docs).select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return np.sort(np.array([r["gram"] for r in counted.orderBy(F.desc("n"), "gram").limit(most).collect()], np.int64).view(np.uint64))
+
 
+def _held(rare: np.ndarray, width: int) -> np.ndarray:
+    """Places from which ``width`` words on none is rare."""
+    total = np.append(0, np.cumsum(rare))
+    return np.flatnonzero(total[width:] == total[:-width]) if len(rare) >= width else np.zeros(0, np.int64)
 
-def blocks(text: pa.Array) -> tuple[np.ndarray, ...]:
+
+def blocks(text: pa.Array, frequent: np.ndarray) -> tuple[np.ndarray, ...]:
     """By block: document in the slice, first window, number of windows, anchor hash; and all blocks' window hashes."""
     offsets, values = T.words(text)
     n = len(values)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    gram, span = _window_hashes(values)
-    key = _mix(gram)
+    codes, distinct = T.coded(values)
+    h = _word_hashes(codes, distinct)
+    gram, span = _hashes(h, GRAM), _hashes(h, SPAN)
+    key = _mix(gram) >> np.uint64(1)
+    if len(frequent) and n:
+        at = np.minimum(np.searchsorted(frequent, gram), len(frequent) - 1)
+        key |= (frequent[at] == gram).astype(np.uint64) << np.uint64(63)
     window = np.flatnonzero(np.arange(n) + SPAN <= offsets[doc + 1]) if n else np.zeros(0, np.int64)
     if not len(window):
         none = np.zeros(0, np.int64)
@@ -104,9 +150,9 @@ def blocks(text: pa.Array) -> tuple[np.ndarray, ...]:
     return doc[first], first - offsets[doc[first]], np.diff(np.append(at, len(window))), key[anchor[at]], _mix(span[window])
 
 
-def _records(doc_id, tie, first, known, counts, hashes) -> pa.Array:
-    """Records that sort as (id, text hash, first window)."""
-    size = _HEAD + 5 * counts
+def _records(doc_id, tie, first, known, counts, hashes, source_id, source_first) -> pa.Array:
+    """Records that sort as (id, text hash, first window).  After the head: the source of a block that is known, or a block's window hashes."""
+    size = _HEAD + np.where(known > 0, _SOURCE, 5 * counts)
     at = np.concatenate([[0], np.cumsum(size)])
     out = np.zeros(at[-1], np.uint8)
     head = np.empty((len(counts), _HEAD), np.uint8)
@@ -117,106 +163,207 @@ def _records(doc_id, tie, first, known, counts, hashes) -> pa.Array:
     places = at[:-1, None] + np.arange(_HEAD)
     body[places.reshape(-1)] = False
     out[places] = head
+    places = at[:-1][known > 0][:, None] + _HEAD + np.arange(_SOURCE)
+    body[places.reshape(-1)] = False
+    out[places] = np.concatenate([_sortable(source_id[known > 0]), source_first[known > 0].astype(">u4").view(np.uint8).reshape(-1, 4)], axis=1)
     out[body] = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5].reshape(-1)
     return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(out)])
 
 
-def _index(batches: Iterator[pa.RecordBatch]):
-    for part in T.slices(batches):
-        text = pc.fill_null(part.column("text"), "")
-        ids = pc.fill_null(part.column("doc_id"), _NO_ID).to_numpy(zero_copy_only=False)
-        ties = text_hash(text)
-        twice = pd.DataFrame({"d": ids, "t": ties}).duplicated().to_numpy()
-        if twice.any():  # the same document again
-            text, ids, ties = text.filter(pa.array(~twice)), ids[~twice], ties[~twice]
-        row, first, counts, anchor, hashes = blocks(text)
-        if not len(row):
-            continue
-        doc_id, tie = ids[row], ties[row]
-        block = np.repeat(np.arange(len(counts)), counts)
-        order = np.lexsort((first, tie, doc_id))
-        # one number a block, of its windows and their order: equal blocks have equal numbers
-        nth = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)
-        whole = np.zeros(len(counts), np.uint64)
-        np.add.at(whole, block, _mix(hashes + np.uint64(_BASE) * nth.astype(np.uint64)))
-        seen = np.zeros(len(counts), bool)
-        seen[order] = pd.DataFrame({"a": anchor[order], "w": whole[order], "n": counts[order]}).duplicated().to_numpy()
-        keep = ~seen[block]
-        sent = np.where(seen, 0, counts)
-        deal = np.where(seen, _mix(doc_id.view(np.uint64) + first.astype(np.uint64) * np.uint64(_BASE)), anchor)
-        known = np.where(seen, counts, 0)
-        yield pa.RecordBatch.from_arrays([pa.array(deal.view(np.int64)), _records(doc_id, tie, first, known, sent, hashes[keep])], names=["anchor", "block"])
-
-
-def _fields(block: pa.Array):
-    block = pa.concat_arrays([block])
+def _nth(counts: np.ndarray) -> np.ndarray:
+    """Each window's place in its block."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _first_equal(x: np.ndarray) -> np.ndarray:
+    """For each row the first row that is equal to it."""
+    group, distinct = pd.factorize(x)
+    at = np.zeros(len(distinct), np.int64)
+    at[group[::-1]] = np.arange(len(group))[::-1]
+    return at[group]
+
+
+def ids_repeat(docs: DataFrame) -> bool:
+    """Whether rows share an id, or have none.  Only then are texts' hashes needed to tell documents apart; they are the same 64 bits for all blocks of a document, and hashes don't compress."""
+    n = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias("n"))
+    return bool(n.where("n > 1 or doc_id is null").limit(1).count())
+
+
+def _index(frequent: np.ndarray, tied: bool):
+    def run(batches: Iterator[pa.RecordBatch]):
+        for part in T.together(batches, limit=SLICE):
+            text = pc.fill_null(part.column("text"), "")
+            ids = pc.fill_null(part.column("doc_id"), _NO_ID).to_numpy(zero_copy_only=False)
+            ties = text_hash(text) if tied else np.zeros(len(ids), np.int64)
+            order = np.lexsort((ties, ids))
+            text, ids, ties = text.take(pa.array(order)), ids[order], ties[order]
+            once = np.append(True, (ids[1:] != ids[:-1]) | (ties[1:] != ties[:-1]))
+            if not once.all():  # the same document again
+                text, ids, ties = text.filter(pa.array(once)), ids[once], ties[once]
+            row, first, counts, anchor, hashes = blocks(text, frequent)
+            if not len(row):
+                continue
+            doc_id, tie = ids[row], ties[row]
+            block = np.repeat(np.arange(len(counts)), counts)
+            # one number a block, of its windows and their order: equal blocks have equal numbers
+            whole = np.add.reduceat(_mix(hashes + np.uint64(_BASE) * _nth(counts).astype(np.uint64)), np.cumsum(counts) - counts)
+            source = _first_equal(_mix(whole ^ (anchor * np.uint64(_BASE)) ^ counts.astype(np.uint64)))
+            seen = source < np.arange(len(counts))
+            deal = np.where(seen, _mix(doc_id.view(np.uint64) + first.astype(np.uint64) * np.uint64(_BASE)), anchor)
+            records = _records(doc_id, tie, first, np.where(seen, counts, 0), counts, hashes[~seen[block]], doc_id[source], first[source])
+            yield pa.RecordBatch.from_arrays([pa.array(deal.view(np.int64)), records], names=["anchor", "block"])
+
+    return run
+
+
+@dataclass
+class _Blocks:
+    """Blocks in order of (anchor, id, text hash, first window), and their windows' hashes."""
+
+    anchor: np.ndarray
+    doc_id: np.ndarray
+    tie: np.ndarray
+    first: np.ndarray
+    counts: np.ndarray
+    hashes: np.ndarray
+
+    def take(self, mine: np.ndarray) -> _Blocks:
+        return _Blocks(*(getattr(self, f)[mine] for f in ("anchor", "doc_id", "tie", "first", "counts")), self.hashes[np.repeat(mine, self.counts)])
+
+    def __add__(self, more: _Blocks) -> _Blocks:
+        return _Blocks(*(np.concatenate([getattr(self, f), getattr(more, f)]) for f in self.__dataclass_fields__))
+
+
+def _read(b: pa.RecordBatch) -> tuple[_Blocks, list[np.ndarray]]:
+    """Blocks to be factored, and the factors that were known."""
+    block = pa.concat_arrays([b.column("block")])
     _, at, data = block.buffers()
     at = np.frombuffer(at, np.int32)[block.offset : block.offset + len(block) + 1].astype(np.int64)
     data = np.frombuffer(data, np.uint8)
+    anchor = b.column("anchor").to_numpy(zero_copy_only=False).view(np.uint64)
     head = data[at[:-1, None] + np.arange(_HEAD)]
     doc_id, tie = _number(head[:, :8]), _number(head[:, 8:16])
     first = np.ascontiguousarray(head[:, 16:20]).view(">u4").reshape(-1).astype(np.int64)
-    counts = (np.diff(at) - _HEAD) // 5
-    start = np.repeat(at[:-1] + _HEAD, counts) + 5 * (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts))
+    known = head[:, 20].astype(np.int64)
+    done, new = np.flatnonzero(known), np.flatnonzero(known == 0)
+    source = data[at[done][:, None] + _HEAD + np.arange(_SOURCE)]
+    factors = [doc_id[done], tie[done], first[done], known[done], _number(source[:, :8]), np.ascontiguousarray(source[:, 8:]).view(">u4").reshape(-1).astype(np.int64)]
+    counts = (np.diff(at)[new] - _HEAD) // 5
+    start = np.repeat(at[new] + _HEAD, counts) + 5 * _nth(counts)
     hashes = np.zeros(len(start), np.uint64)
     for i in range(5):
         hashes = (hashes << np.uint64(8)) | data[start + i].astype(np.uint64)
-    return doc_id, tie, first, head[:, 20], counts, hashes
+    return _Blocks(anchor[new], doc_id[new], tie[new], first[new], counts, hashes), factors
+
+
+def _runs(block: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each window on, how many windows in a row of its block stand in one block before, and where the first such run begins (-1: none)."""
+    length, source = np.zeros(len(key), np.int64), np.full(len(key), -1)
+    pool, run = np.arange(len(key)), key
+    for n in range(1, _PER + 1):
+        at = _first_equal(run)
+        again = at < np.arange(len(pool))
+        length[pool[again]], source[pool[again]] = n, pool[at[again]]
+        shared = again.copy()
+        shared[at[again]] = True
+        pool, run = pool[shared], run[shared]
+        on = pool + n < len(key)
+        on[on] = block[pool[on] + n] == block[pool[on]]
+        pool = pool[on]
+        if not len(pool):
+            break
+        run = _mix(run[on] * np.uint64(_BASE) + key[pool + n])
+    return length, source
+
+
+def _parse(b: _Blocks, indexed: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Greedy factors of the blocks from ``indexed`` on; and which blocks have a window that stands in none before them."""
+    block = np.repeat(np.arange(len(b.counts)), b.counts)
+    nth = _nth(b.counts)
+    length, source = _runs(block, _mix(b.anchor[block] ^ (b.hashes * np.uint64(_BASE))))
+    ends = np.cumsum(b.counts)
+    following = np.minimum.accumulate(np.where(length > 0, np.arange(len(block)), len(block))[::-1])[::-1]
+    at, stop, found = (ends - b.counts)[indexed:], ends[indexed:], []
+    while len(at):
+        at = following[at]
+        at, stop = at[at < stop], stop[at < stop]
+        found.append(at)
+        at = at + length[at]
+        at, stop = at[at < stop], stop[at < stop]
+    w = np.concatenate(found) if found else np.zeros(0, np.int64)
+    mine, theirs = block[w], block[source[w]]
+    new = np.bincount(block[length == 0], minlength=len(b.counts)) > 0
+    return [b.doc_id[mine], b.tie[mine], b.first[mine] + nth[w], length[w], b.doc_id[theirs], b.first[theirs] + nth[source[w]]], new
 
 
 def _factor(batches: Iterator[pa.RecordBatch]):
-    """Marks of blocks with windows that stand earlier: first window, one bit a window."""
-    last, seen = None, np.zeros(0, np.uint64)  # windows so far under the anchor that goes on into the next batch
-    end = None  # the last block, as the same document may be in several slices
-    for b in batches:
-        if b.num_rows == 0:
-            continue
-        heads = pc.binary_slice(b.column("block"), 0, _HEAD - 1)
-        place = pd.DataFrame({"a": b.column("anchor").to_numpy(zero_copy_only=False), "h": heads.to_pylist()})
-        same = place.duplicated().to_numpy()
-        same[0] |= end == tuple(place.iloc[0])
-        end = tuple(place.iloc[-1])
-        if same.any():
-            b = b.filter(pa.array(~same))
-            if b.num_rows == 0:
-                continue
-        anchor = b.column("anchor").to_numpy(zero_copy_only=False).view(np.uint64)
-        doc_id, tie, first, known, counts, hashes = _fields(b.column("block"))
-        block = np.repeat(np.arange(len(counts)), counts)
-        key = _mix(anchor[block] ^ (hashes * np.uint64(_BASE)))
-        again = pd.Series(key).duplicated().to_numpy()
-        if last is not None and anchor[0] == last:
-            head = anchor[block] == last
-            again[head] |= np.isin(key[head], seen)
-        tail = np.unique(key[anchor[block] == anchor[-1]])
-        seen = np.union1d(seen, tail) if last == anchor[-1] else tail
-        last = anchor[-1]
-        nth = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)
-        mask = np.bincount(block, weights=np.where(again, np.exp2(nth), 0), minlength=len(counts)).astype(np.int64)
-        mask |= (1 << known.astype(np.int64)) - 1
-        hit = mask > 0
-        mark = (first[hit] << 13) | mask[hit]
-        yield pa.RecordBatch.from_arrays([pa.array(doc_id[hit]), pa.array(tie[hit]), pa.array(mark)], names=["key", "tie", "mark"])
-
-
-def marks(docs: DataFrame) -> DataFrame:
-    """``key`` (the id, or the least long without one), ``tie`` (the text's hash) and ``mark`` for blocks with windows that stand earlier."""
-    dealt = T.id_and_text(docs).mapInArrow(_index, "anchor long, block binary")
+    """Factors of the blocks under each anchor: what is indexed under the last one stays for the next batch, as far as it is new there."""
+    index: _Blocks | None = None
+
+    def rows(factors):
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in factors], names=["key", "tie", "at", "n", "source", "source_at"])
+
+    def parsed(b: _Blocks):
+        nonlocal index
+        held = 0
+        if index is not None and len(b.anchor) and index.anchor[0] == b.anchor[0]:
+            held, b = len(index.anchor), index + b
+        other = np.logical_or.reduce([x[1:] != x[:-1] for x in (b.anchor, b.doc_id, b.tie, b.first)])
+        if not other.all():  # the same document in several slices
+            b = b.take(np.append(True, other))
+        factors, new = _parse(b, held)
+        index = b.take(new & (b.anchor == b.anchor[-1]))
+        return rows(factors)
+
+    waiting: list[_Blocks] = []
+    for batch in batches:
+        b, known = _read(batch)
+        if len(known[0]):
+            yield rows(known)
+        if len(b.anchor):
+            waiting.append(b)
+        if sum(len(x.anchor) for x in waiting) >= AT_ONCE:
+            yield parsed(functools.reduce(_Blocks.__add__, waiting))
+            waiting = []
+    if waiting:
+        yield parsed(functools.reduce(_Blocks.__add__, waiting))
+
+
+#: Factors as they stand under their anchors: ``key`` (the id, or the least long without one), ``tie`` (the text's hash), first window, windows, and
+#: the source's id and first window there.
+FACTOR = "key long, tie long, at long, n long, source long, source_at long"
+
+
+def factors(docs: DataFrame, tied: bool) -> DataFrame:
+    """Rows of FACTOR; without ``tied`` ids tell all documents apart, and ``tie`` is zero."""
+    T.bounded_batches(docs.sparkSession)
+    dealt = T.id_and_text(docs).mapInArrow(_index(frequent_grams(docs), tied), "anchor long, block binary")
     ordered = dealt.repartition(T.partitions(docs.sparkSession), "anchor").sortWithinPartitions("anchor", "block")
-    return ordered.mapInArrow(_factor, "key long, tie long, mark long")
-
-
-def covered(offsets: np.ndarray, spans: list[np.ndarray]) -> np.ndarray:
-    """True for words that a marked window covers; spans: marks by document."""
+    return ordered.mapInArrow(_factor, FACTOR)
+
+
+def put_together(at: np.ndarray, n: np.ndarray, source: np.ndarray, source_at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """A document's factors in order, those that continue one another from one source as one."""
+    order = np.lexsort((at, at - source_at, source))
+    at, n, source, source_at = at[order], n[order], source[order], source_at[order]
+    if not len(at):
+        return at, n, source, source_at
+    stop = at + n
+    new = np.append(True, (source[1:] != source[:-1]) | ((at - source_at)[1:] != (at - source_at)[:-1]) | (at[1:] > stop[:-1]))
+    first = np.flatnonzero(new)
+    reach = np.maximum.reduceat(stop, first)
+    out = np.argsort(at[first], kind="stable")
+    first = first[out]
+    return at[first], reach[out] - at[first], source[first], source_at[first]
+
+
+def covered(offsets: np.ndarray, spans: list[list[dict] | None]) -> np.ndarray:
+    """True for words that a factor covers; spans: by document, with ``at`` and ``n`` in windows."""
     edge = np.zeros(int(offsets[-1]) + 1, np.int64)
-    n = np.array([len(s) for s in spans])
-    if n.sum():
-        m = np.concatenate(spans)
-        base = np.repeat(offsets[:-1], n) + (m >> 13)
-        for i in range(_PER):
-            start = base[(m >> i & 1) == 1] + i
-            np.add.at(edge, start, 1)
-            np.add.at(edge, start + SPAN, -1)
+    start = np.array([o + x["at"] for o, found in zip(offsets[:-1].tolist(), spans, strict=True) for x in found or ()], np.int64)
+    n = np.array([x["n"] for found in spans for x in found or ()], np.int64)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, start + n + SPAN - 1, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -224,18 +371,34 @@ def _cut(batches: Iterator[pa.RecordBatch]):
     for part in T.slices(batches):
         text = pc.fill_null(part.column("text"), "")
         offsets, values = T.words(text)
-        gone = covered(offsets, [np.array([] if m is None else m, np.int64) for m in part.column("marks").to_pylist()])
+        gone = covered(offsets, part.column("spans").to_pylist())
         stays = np.concatenate([[0], np.cumsum(~gone)])[offsets]
         left = T.joined(stays, values.filter(pa.array(~gone)), " ")
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets)), pa.array(T.per_row(offsets, gone)), left.cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
 
+def spans(docs: DataFrame, tied: bool) -> DataFrame:
+    """``key``, ``tie`` and ``spans``: a document's factors put together, in order, each of ``at`` and ``n`` (windows; n + SPAN - 1 words), ``source`` and ``source_at``."""
+
+    @F.arrow_udf("array<struct<at: long, n: long, source: long, source_at: long>>")
+    def whole(found: pa.Array) -> pa.Array:
+        offsets, flat = T.lists(found)
+        columns = [flat.field(c).to_numpy(zero_copy_only=False) for c in ("at", "n", "source", "source_at")]
+        rows = [put_together(*(c[a:b] for c in columns)) for a, b in itertools.pairwise(offsets.tolist())]
+        sizes = np.append(0, np.cumsum([len(r[0]) for r in rows]))
+        got = pa.StructArray.from_arrays([pa.array(np.concatenate(c) if rows else np.zeros(0, np.int64)) for c in (zip(*rows, strict=True) if rows else [()] * 4)], names=["at", "n", "source", "source_at"])
+        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), got)
+
+    found = factors(docs, tied).groupBy("key", "tie").agg(F.collect_list(F.struct("at", "n", "source", "source_at")).alias("found"))
+    return found.select("key", "tie", whole("found").alias("spans"))
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and ``kept``, the words left, joined by one space."""
-    T.bounded_batches(docs.sparkSession)
-    found = marks(docs).groupBy("key", "tie").agg(F.collect_list("mark").alias("marks"))
-    rows = T.id_and_text(docs).withColumn("key", F.coalesce("doc_id", F.lit(_NO_ID))).withColumn("tie", F.xxhash64(F.coalesce("text", F.lit(""))))
-    both = rows.join(found.hint("shuffle_hash"), ["key", "tie"], "left").select("doc_id", "text", "marks")
+    tied = ids_repeat(docs)
+    tie = F.xxhash64(F.coalesce("text", F.lit(""))) if tied else F.lit(0).cast("long")
+    rows = T.id_and_text(docs).withColumns({"key": F.coalesce("doc_id", F.lit(_NO_ID)), "tie": tie})
+    both = rows.join(spans(docs, tied), ["key", "tie"], "left").select("doc_id", "text", "spans")
     return both.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept string")
 
 
