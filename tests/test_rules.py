@@ -6,17 +6,18 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from wardlight.functions.net import PRIVATE, PUBLIC_WITHIN, is_public
+from wardlight.__main__ import main
+from wardlight.functions.net import PRIVATE, PRIVATE_6, PUBLIC_WITHIN, PUBLIC_WITHIN_6, RESERVED_6, is_public
 from wardlight.functions.predicates import RuleError, condition, leaf, selection
-from wardlight.plans.detector import Detector
-from wardlight.plans.rules import EventRule, StateRule, load_rules, tactic_of, technique_of
+from wardlight.plans.detector import Detector, indicators_of
+from wardlight.plans.rules import EventRule, StateRule, load_rules, load_sigma, tactic_of, technique_of
 
-SCHEMA = "host string, user string, dst_ip string, dst_port int, image string, command_line string, uri_query string, status int, bytes long, invalid_user boolean"
+SCHEMA = "host string, user string, dst_ip string, dst_port int, image string, command_line string, uri_query string, status int, bytes long, invalid_user boolean, zero string"
 
 
 @pytest.fixture(scope="module")
 def row(spark):
-    return spark.createDataFrame([("WS-1", "", "10.0.0.5", 0, r"C:\Tools\Cmd.exe", "whoami /priv\nnext", "", 404, 0, True)], SCHEMA)
+    return spark.createDataFrame([("WS-1", "", "10.0.0.5", 0, r"C:\Tools\Cmd.exe", "whoami /priv\nnext", "", 404, 0, True, "0")], SCHEMA)
 
 
 LISTS = {"known": ["10.0.0.5"], "people": ["bob"]}
@@ -29,7 +30,7 @@ LISTS = {"known": ["10.0.0.5"], "people": ["bob"]}
         ("user", None, True), ("host", None, False), ("nothing", None, True), ("nothing", "x", False), ("nothing|contains", "", False), ("dst_port", 0, False), ("dst_port", None, True), ("bytes", 0, True),
         ("status", 404, True), ("status", "404", True), ("status|gte", 400, True), ("status|gt", 404, False), ("status|lt", "500", True), ("status|lte", [500], False), ("host|gt", 3, False),
         ("image|endswith", r"\cmd.exe", True), ("image|startswith", "c:\\", True), ("command_line|contains", ["zzz", "WHOAMI"], True), ("command_line|contains|all", ["zzz", "whoami"], False), ("command_line|contains|all", ["/priv", "whoami"], True),
-        ("command_line|re", "^WHO.mi", True), ("command_line|re", "priv.next", False), ("invalid_user", True, True), ("invalid_user", False, False), ("dst_ip|is_public", False, True), ("dst_ip|is_public", True, False), ("nothing|is_public", False, True),
+        ("command_line|re", "^WHO.mi", True), ("command_line|re", "priv.next", False), ("invalid_user", True, True), ("invalid_user", False, False), ("status", True, True), ("bytes", True, False), ("bytes", False, True), ("host", True, True), ("user", True, False), ("zero", True, True), ("nothing", False, False), ("dst_ip|is_public", False, True), ("dst_ip|is_public", True, False), ("nothing|is_public", False, True),
         ("dst_ip|in_list", "known", True), ("dst_ip|in_list", ["people", "known"], True), ("dst_ip|in_list", "unknown", False), ("uri_query", "", True), ("uri_query|contains", "", True), ("CommandLine|contains", "%", False),
     ],
 )
@@ -71,12 +72,66 @@ def test_addresses(spark):
     inside = lambda a, nets: any(ipaddress.ip_address(a) in ipaddress.ip_network(n) for n in nets)
     got = spark.createDataFrame([(i,) for i in ips], "ip string").select("ip", is_public(F.col("ip"))).collect()
     assert all(p == (not inside(i, PRIVATE) or inside(i, PUBLIC_WITHIN)) for i, p in got)
-    for i, want in {"203.0.113.9": True, "192.168.1.1": False, "256.1.1.1": False, "01.2.3.4": False, "x": False, "": False, "2001:4860:4860::8888": True, "::1": False, "fe80::1": False}.items():
-        assert spark.createDataFrame([(i,)], "ip string").select(is_public(F.col("ip"), ipv6=True)).first()[0] is want, i
+    for i, want in {"203.0.113.9": True, "192.168.1.1": False, "256.1.1.1": False, "01.2.3.4": False, "x": False, "": False}.items():
+        assert spark.createDataFrame([(i,)], "ip string").select(is_public(F.col("ip"))).first()[0] is want, i
+
+
+def public_6(text):
+    try:
+        a = ipaddress.IPv6Address(text)
+    except ValueError:
+        return False
+    return not (a.is_private or a.is_loopback or a.is_link_local or a.is_reserved)
+
+
+def test_ipv6_addresses(spark):
+    r = random.Random(6)
+    nets = [ipaddress.ip_network(n) for n in (*PRIVATE_6, *RESERVED_6, *PUBLIC_WITHIN_6, "::ffff:0:0/96")]
+    edge = [a for n in nets for x in (n.network_address, n.broadcast_address) for a in (int(x) - 1, int(x), int(x) + 1) if 0 <= a < 1 << 128]
+    numbers = edge + [r.getrandbits(128) for _ in range(300)] + [0xFFFF << 32 | r.getrandbits(32) for _ in range(200)]
+    texts = [f(ipaddress.IPv6Address(n)) for n in numbers for f in (str, lambda a: a.exploded.upper())]
+    texts += ["::", "::1", "1::", ":1", "1:", ":::", "1::2::3", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1:2:3:4:5:6:7:8::", "1:2:3:4:5:6:7", "2606:4700:4700::1111", "2606:4700::12345", "fe80::1%eth0", "2606::1%a", "2606::1%", "2606::%1%2"]
+    texts += ["::ffff:8.8.8.8", "::ffff:10.0.0.1", "::ffff:192.0.2.1", "::ffff:256.1.1.1", "64:ff9b::8.8.8.8", "1.2.3.4::", "::1.2.3.4:5", "2606:4700::g", "2606:4700:: ", "a:b"]
+    got = spark.createDataFrame([(t,) for t in texts], "ip string").select("ip", is_public(F.col("ip"))).collect()
+    assert {t: p for t, p in got} == {t: public_6(t) for t in texts}
+    yes = leaf("dst_ip|is_public", True)
+    assert spark.createDataFrame([("2606:4700:4700::1111",)], "dst_ip string").select(yes).first()[0] is True
+    assert spark.createDataFrame([("2606:4700:4700::1111", "10.0.0.1", "8.8.8.8", "a.top")], "a string, b string, c string, d string").select(indicators_of(*map(F.col, "abcd"))).first()[0] == ["2606:4700:4700::1111", "8.8.8.8", "a.top"]
 
 
 def test_tags():
-    assert tactic_of("attack.command_and_control") == "Command and Control" and tactic_of("attack.t1059.001") is None and technique_of("attack.t1059.001") == "T1059.001" and technique_of("car.x") is None
+    assert tactic_of("attack.command_and_control") == tactic_of("attack.Command-and-Control") == "Command and Control" and tactic_of("attack.t1059.001") is None and tactic_of("execution") is None
+    assert technique_of("attack.t1059.001") == "T1059.001" and technique_of("attack.T1046") == "T1046" and technique_of("car.x") is None and technique_of("attack.impact") is None
+
+
+RULE = """
+title: Own rule {n}
+id: 00000000-0000-0000-0000-00000000000{n}
+level: {level}
+logsource: {{category: process_creation, product: windows}}
+detection:
+  chosen: {{Image|endswith: '\\tool{n}.exe'}}
+  condition: chosen
+tags: [attack.execution, attack.t1204.002]
+"""
+
+
+def test_sigma_files_and_folders(row, tmp_path, capsys):
+    (tmp_path / "b.yml").write_text(RULE.format(n=1, level="informational"))
+    (tmp_path / "a.yaml").write_text(RULE.format(n=2, level="critical") + "---" + RULE.format(n=3, level="odd"))
+    (tmp_path / "c.txt").write_text("no rule")
+    rules = load_sigma(str(tmp_path))
+    assert [(r.title, r.severity, r.tactic, r.technique, r.kind) for r in rules] == [(f"Own rule {n}", s, "Execution", "T1204.002", "process_create") for n, s in ((2, "critical"), (3, "medium"), (1, "low"))]
+    assert load_sigma(str(tmp_path / "b.yml"))[0].id.endswith("01")
+    e = row.withColumns({"kind": F.lit("process_create"), "image": F.lit(r"C:\x\TOOL1.exe")})
+    assert e.select(*[r.column({}, e.columns) for r in rules]).first() == (False, False, True)
+    single, stateful = load_rules(sigma=str(tmp_path))
+    assert len(single) == 3 and len(stateful) == 8
+    assert main(["rules", "--sigma", str(tmp_path)]) == 0 and "Own rule 3" in capsys.readouterr().out
+    (tmp_path / "d.yml").write_text("title: x\nlogsource: {category: unheard_of}\n")
+    with pytest.raises(RuleError, match="d.yml"):
+        load_sigma(str(tmp_path))
+    assert main(["rules", "--sigma", str(tmp_path)]) == 2
 
 
 def test_bundled_rules(spark):

@@ -1,6 +1,7 @@
 """From log lines to ranked incidents."""
 
 import json
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -100,6 +101,10 @@ def write_logs(folder):
         {"id": "N1", "name": "scanner", "malicious": False, "expected_rules": [], "entities": ["ip:10.0.5.5"]},
     ]
     (folder / "ground_truth.json").write_text(json.dumps({"year": 2026, "scenarios": scenarios}))
+    (folder / "env.yml").write_text(
+        "lists: {trusted_scanners: [10.0.5.5], backup_destinations: [], known_good_destinations: []}\nassets:\n"
+        "  - {host: WS-ALICE, ip: 10.0.10.21, criticality: medium}\n  - {host: web01, ip: 10.0.3.10, criticality: high}\n  - {host: bastion01, ip: 10.0.1.5, criticality: high}\n"
+    )
     (folder / "intel.csv").write_text("indicator,type,threat,confidence,source\n192.0.2.77,ip,old,10,x\n192.0.2.77,ip,Server,95,x\n203.0.113.45,ip,Guessing,80,x\n")
     return len(auth) + len(sysmon) - 1 + len(firewall) + len(web)
 
@@ -108,7 +113,7 @@ def write_logs(folder):
 def run(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("logs")
     n = write_logs(folder)
-    result = triage.run(spark, str(folder), now=NOW, intel=str(folder / "intel.csv"))
+    result = triage.run(spark, str(folder), now=NOW, env=str(folder / "env.yml"), intel=str(folder / "intel.csv"))
     result.alerts, result.incidents = result.alerts.cache(), result.incidents.cache()
     return folder, n, result
 
@@ -132,7 +137,7 @@ def test_incidents(run, spark):
     rows = result.ranked().collect()
     assert len(rows) == 3
     top = rows[0]
-    assert top["hosts"][0] == "WS-ALICE" and top["users"] == ["CORP\\alice"] and "192.0.2.77" in top["external_ips"] and top["name"].startswith("Multi-stage intrusion (Initial Access to Exfiltration)")
+    assert top["hosts"][0] == "WS-ALICE" and top["users"] == ["CORP\\alice"] and "192.0.2.77" in top["external_ips"] and top["name"] == "Attack from Initial Access as far as Exfiltration: WS-ALICE"
     assert [i["threat"] for i in top["intel"]] == ["Server"] and top["score"] == sum(p["points"] for p in top["score_breakdown"]) and top["priority"] == "P1"
     assert {r["id"] for r in rows} == {"INC-001", "INC-002", "INC-003"}
     report = triage.evaluate(spark, result)
@@ -145,7 +150,7 @@ def test_partitions_change_nothing(run, spark):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     try:
         spark.conf.set("spark.sql.shuffle.partitions", "1")
-        again = triage.run(spark, str(folder), now=NOW, intel=str(folder / "intel.csv"))
+        again = triage.run(spark, str(folder), now=NOW, env=str(folder / "env.yml"), intel=str(folder / "intel.csv"))
         assert sorted(str((r["id"], r["rule_id"], r["first_us"], r["evidence"], r["indicators"])) for r in again.alerts.collect()) == want
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
@@ -157,7 +162,9 @@ def test_outputs(run, spark, tmp_path):
     assert facts["alerts"] == 11 and facts["incidents"] == 3 and facts["priorities"]["P1"] >= 1 and facts["parse"]["sysmon"]["skipped"] == 1
     assert spark.read.json(f"{tmp_path}/alerts.json").count() == 11 and spark.read.json(f"{tmp_path}/incidents.json").count() == 3
     text = "\n".join(r["value"] for r in spark.read.text(f"{tmp_path}/reports/id=INC-002").collect())
-    assert text.startswith("# INC-002: Multi-stage") and "## Evidence" in text and "Server" in text
+    assert text.startswith("# INC-002: Attack from") and "## Evidence" in text and "Server" in text
+    assert "192.0.2.77 for Server." in text and "T1071.001 Application Layer Protocol: Web Protocols" in text and text.count("Close the way to the address that is talked to.") == 1 and text.index("keep its sender out") < text.index("talked to.")
+    assert text.rstrip().endswith(sinks.ALWAYS[1]) and re.search(r"Within \d+ min, from 2026-03-10 \d\d:\d\d:\d\d to", text)
     assert json.loads(spark.read.text(f"{tmp_path}/navigator.json").first()[0])["techniques"]
 
 

@@ -14,18 +14,20 @@ def main(argv: list[str] | None = None) -> int:
         q = sub.add_parser(name)
         q.add_argument("--logs", required=True)
         q.add_argument("--year", type=int)
-        for option in ("--env", "--intel", "--rules"):
+        for option in ("--env", "--intel", "--rules", "--sigma"):
             q.add_argument(option)
         if name == "detect":
             q.add_argument("--out", required=True)
-    sub.add_parser("rules").add_argument("--rules")
+    q = sub.add_parser("rules")
+    for option in ("--rules", "--sigma"):
+        q.add_argument(option)
     a = p.parse_args(argv)
     from .plans.detector import Detector
     from .plans.rules import load_rules
 
     try:
         if a.command == "rules":
-            for r in Detector(*load_rules(a.rules)).catalog():
+            for r in Detector(*load_rules(a.rules, a.sigma)).catalog():
                 print(f"{r['id']:<12}{r['severity']:<10}{r['type']:<11}{r['technique']:<11}{r['title']}")
             return 0
         from pyspark.sql import SparkSession
@@ -34,7 +36,7 @@ def main(argv: list[str] | None = None) -> int:
         from .sources.sinks import write
 
         spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
-        result = run(spark, a.logs, year=a.year, env=a.env, intel=a.intel, rules=a.rules)
+        result = run(spark, a.logs, year=a.year, env=a.env, intel=a.intel, rules=a.rules, sigma=a.sigma)
         if a.command == "detect":
             print(json.dumps(write(result, a.out), sort_keys=True))
             return 0

@@ -43,8 +43,10 @@ def _equals(c: Column, want: Any) -> Column:
     if want is None:
         return F.coalesce(text, F.lit("")) == ""
     if isinstance(want, bool):
-        truth = F.when(text.isNull(), F.lit(None)).otherwise(~F.lower(text).isin("", "false", "0", "0.0"))
-        return _sure(truth == F.lit(want))
+        # a text is true unless empty, a number unless zero; which of them a field is, its column tells
+        kind = F.typeof(c)
+        false = F.when(kind == "string", text == "").when(kind == "boolean", text == "false").otherwise(_number(c) == 0)
+        return _sure(~false == F.lit(want))
     if isinstance(want, int | float):
         return _sure(_number(c) == float(want))
     low = str(want).lower()

@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder; one is made here only where the session names none (tests on one machine)."""
+    """The checkpoint folder.  Where the session names none, one is made here, but only for a local master: a cluster's machines would not share it."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="wardlight-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="wardlight-"))
     return sc.getCheckpointDir()
 
 

@@ -139,7 +139,10 @@ class Detector:
         self.event_rules, self.state_rules, self.lists, self.cooldown_s = event_rules, state_rules, lists or {}, cooldown_s
 
     def run(self, events: DataFrame) -> DataFrame:
-        """Rules run one after another, each a plan of its own; alerts are few beside events, so they are kept between."""
+        """Rules run one after another, each a plan of its own; alerts are few beside events, so they are kept between.
+
+        Missing hosts, users and addresses count as empty ones."""
+        events = events.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in ENTITIES})
         parts = [event_alerts(events, self.event_rules, self.lists, self.cooldown_s)] + [state_alerts(events, r, i, self.lists) for i, r in enumerate(self.state_rules)]
         found = [cut(p.select(*ALERT)) for p in parts if p is not None]
         if not found:

@@ -39,7 +39,7 @@ def triage(spark: SparkSession, events: DataFrame, detector: Detector, assets: D
     return members, found.withColumn("id", F.format_string("INC-%03d", n))
 
 
-def run(spark: SparkSession, folder: str, year: int | None = None, now: datetime | None = None, env: str | None = None, intel: str | None = None, rules: str | None = None, gap_s: float = correlation.GAP_S) -> Result:
+def run(spark: SparkSession, folder: str, year: int | None = None, now: datetime | None = None, env: str | None = None, intel: str | None = None, rules: str | None = None, sigma: str | None = None, gap_s: float = correlation.GAP_S) -> Result:
     truth_path = os.path.join(folder, "ground_truth.json")
     truth = context.load_truth(truth_path) if os.path.exists(truth_path) else None
     environment = context.Environment.load(env)
@@ -50,7 +50,7 @@ def run(spark: SparkSession, folder: str, year: int | None = None, now: datetime
     kept = scratch(spark, "events")
     events.write.partitionBy("kind").parquet(kept)
     events = spark.read.schema(events.schema).parquet(kept)
-    detector = Detector(*load_rules(rules), environment.lists)
+    detector = Detector(*load_rules(rules, sigma), environment.lists)
     alerts, incidents = triage(spark, events, detector, assets, feed, gap_s)
     return Result(events, stats, alerts, incidents, assets, truth)
 

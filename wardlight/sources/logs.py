@@ -11,30 +11,31 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from ..functions.fields import EVENT
+from ..functions.net import let
 
 #: Sources in the order that breaks ties of time, and their files.
 FILES = {"auth": "auth.log", "sysmon": "sysmon.log", "firewall": "firewall.log", "apache": "apache_access.log"}
 RANK = {s: i for i, s in enumerate(FILES)}
 SYSMON_KINDS = {1: "process_create", 3: "network_connect", 10: "process_access", 11: "file_create", 22: "dns_query"}
 WEB_HOST, FIREWALL_SENSOR = "web01", "fw01"
-
-_SYSLOG = r"^(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s+(\d{1,2})\s+(\d{2}:\d{2}:\d{2})\s+(\S+)\s+([\w./-]+)(?:\[\d+\])?:\s+(.*)$"
-_FAILED = r"Failed (?:password|publickey) for (?:invalid user )?(\S+) from (\S+) port \d+"
-_INVALID = r"Invalid user (\S+) from (\S+)(?: port \d+)?"
-_ACCEPTED = r"Accepted (password|publickey|keyboard-interactive/pam) for (\S+) from (\S+) port \d+"
-_SUDO = r"^\s*(\S+)\s*:\s*(?:TTY=\S+\s*;\s*)?PWD=(\S+)\s*;\s*USER=(\S+)\s*;\s*COMMAND=(.*)$"
-_FIREWALL = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\s+(ACCEPT|ALLOW|DROP|DENY|REJECT)\s+(\w+)\s+([\d.]+):(\d+)\s+->\s+([\d.]+):(\d+)(?:.*?BYTES=(\d+))?"
-_WEB = r'^(\S+) \S+ (\S+) \[([^\]]+)\] "([A-Z]+) (\S+)[^"]*" (\d{3}) (\d+|-)(?: "([^"]*)" "([^"]*)")?'
-
+MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 
 def _strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
-def _groups(line: Column, pattern: str, *numbers: int) -> list[Column]:
-    """Groups of the match, null throughout where the pattern doesn't match."""
-    hit = line.rlike(pattern)
-    return [F.when(hit, F.regexp_extract(line, pattern, n)) for n in numbers]
+def _parts(text: Column, by: str, use: Callable[[Callable[[int], Column]], Column], most: int = -1) -> Column:
+    """``use`` of the parts of a text between separators, which are split once; a part beyond the last is null."""
+    return let(F.split(text, by, most), lambda found: use(lambda i: F.get(found, F.lit(i))))
+
+
+def _digits(c: Column) -> Column:
+    return c.rlike(r"^\d+$")
+
+
+def _after(text: Column, mark: str) -> Column:
+    """What follows a mark, null without it."""
+    return F.when(text.contains(mark), F.substring_index(text, mark, -1))
 
 
 def _event(lines: DataFrame, **columns: Column) -> DataFrame:
@@ -47,30 +48,55 @@ def _event(lines: DataFrame, **columns: Column) -> DataFrame:
     return lines.select(*[made[f.name].alias(f.name) if f.name in made else F.lit(None).cast(f.dataType).alias(f.name) for f in schema if f.name != "raw"], F.col("value").alias("raw"), "at", *[c for c in ("block",) if c in lines.columns])
 
 
+def _told(lines: DataFrame, event: Column, source: str) -> DataFrame:
+    """Event rows from one struct of fields, null for a line that is none."""
+    lines = lines.withColumn("e", event)
+    return _event(lines, source=F.lit(source), **{f.name: F.col(f"e.{f.name}") for f in lines.schema["e"].dataType})
+
+
 def parse_auth(lines: DataFrame, year: int | None = None, now: datetime | None = None, **_) -> DataFrame:
     """Sign-ins and sudo.  Lines have no year: it is ``year`` or the year of ``now``, and the one before if the date would lie two days ahead of ``now``."""
-    line = _strip(F.col("value"))
-    mon, day, clock, host, proc, msg = _groups(line, _SYSLOG, 1, 2, 3, 4, 5, 6)
     moment = F.lit(now.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp") if now else F.current_timestamp()
     this = F.year(moment)
     stated = F.lit(year).cast("int") if year else this
-    stamp = lambda y: F.try_to_timestamp(F.concat_ws(" ", y.cast("string"), mon, day, clock), F.lit("yyyy MMM d HH:mm:ss"))
-    ts = stamp(stated)
-    ts = F.when((stated == this) & (ts > moment + F.expr("interval 2 days")), stamp(stated - 1)).otherwise(ts)
-    f_user, f_ip = _groups(msg, _FAILED, 1, 2)
-    i_user, i_ip = _groups(msg, _INVALID, 1, 2)
-    method, a_user, a_ip = _groups(msg, _ACCEPTED, 1, 2, 3)
-    s_user, pwd, target, command = _groups(msg, _SUDO, 1, 2, 3, 4)
-    ssh, sudo = proc.startswith("sshd"), proc == "sudo"
-    failed, invalid = ssh & f_user.isNotNull(), ssh & f_user.isNull() & i_user.isNotNull()
-    accepted = ssh & f_user.isNull() & i_user.isNull() & a_user.isNotNull()
-    ran = sudo & s_user.isNotNull()
-    pick = lambda a, b, c, d=None: F.when(failed, a).when(invalid, b).when(accepted, c).when(ran, d)
-    return _event(
-        lines, ts=ts, source=F.lit("auth"), kind=pick(F.lit("auth_failure"), F.lit("auth_failure"), F.lit("auth_success"), F.lit("sudo")), host=host,
-        user=pick(f_user, i_user, a_user, s_user), src_ip=pick(f_ip, i_ip, a_ip), service=F.when(ssh, F.lit("ssh")), method=F.when(accepted, method),
-        invalid_user=F.when(invalid, F.lit(True)), target_user=F.when(ran, target), command=F.when(ran, _strip(command)), pwd=F.when(ran, pwd),
-    )
+    who = lambda user, ip, method=None: F.struct(user.alias("user"), ip.alias("ip"), (method if method is not None else F.lit(None).cast("string")).alias("method"))
+
+    def time(date: Column) -> Column:
+        at = lambda y: F.try_to_timestamp(F.concat_ws(" ", y.cast("string"), date), F.lit("yyyy MMM d HH:mm:ss"))
+        return let(at(stated), lambda t: F.when((stated == this) & (t > moment + F.expr("interval 2 days")), at(stated - 1)).otherwise(t))
+
+    def signed_in(m: Column) -> list[Column]:
+        """"Failed password for [invalid user] NAME from ADDRESS port N", "Invalid user NAME from ADDRESS", "Accepted METHOD for NAME from ADDRESS port N"."""
+        tail = F.regexp_replace(F.coalesce(_after(m, "Failed password for "), _after(m, "Failed publickey for ")), "^invalid user ", "")
+        failed = _parts(tail, " ", lambda w: F.when((w(1) == "from") & (w(3) == "port") & _digits(w(4)), who(w(0), w(2))))
+        invalid = _parts(_after(m, "Invalid user "), " ", lambda w: F.when(w(1) == "from", who(w(0), w(2))))
+        known = lambda w: w(0).isin("password", "publickey", "keyboard-interactive/pam") & (w(1) == "for") & (w(3) == "from") & (w(5) == "port") & _digits(w(6))
+        return [failed, invalid, _parts(_after(m, "Accepted "), " ", lambda w: F.when(known(w), who(w(2), w(4), w(0))))]
+
+    def ran(m: Column) -> Column:
+        """"NAME : TTY=... ; PWD=... ; USER=... ; COMMAND=..."."""
+        facts = F.substring_index(m, "COMMAND=", 1)
+        fact = lambda k: F.nullif(F.regexp_extract(facts, rf"[\s;:]{k}=(\S+)", 1), F.lit(""))
+        got = F.struct(_strip(F.substring_index(m, ":", 1)).alias("user"), fact("PWD").alias("pwd"), fact("USER").alias("target"), _strip(F.substring(m, F.instr(m, "COMMAND=") + 8, F.length(m))).alias("command"))
+        return let(got, lambda x: F.when(m.contains("COMMAND=") & x["user"].rlike(r"^\S+$") & x["pwd"].isNotNull() & x["target"].isNotNull(), x))
+
+    def event(p: Callable[[int], Column]) -> Column:
+        headed = p(0).isin(*MONTHS) & p(1).rlike(r"^\d{1,2}$") & p(2).rlike(r"^\d\d:\d\d:\d\d$") & p(4).endswith(":")
+        proc = F.regexp_replace(p(4), r"(\[\d+\])?:$", "")
+        ssh = F.when(proc.startswith("sshd"), F.struct(*[c.alias(k) for k, c in zip("fia", signed_in(p(5)), strict=True)]))
+        got = F.struct(time(F.concat_ws(" ", p(0), p(1), p(2))).alias("ts"), p(3).alias("host"), ssh.alias("ssh"), F.when(proc == "sudo", ran(p(5))).alias("sudo"))
+        return F.when(headed, let(got, told))
+
+    def told(x: Column) -> Column:
+        first = F.coalesce(x["ssh"]["f"], x["ssh"]["i"], x["ssh"]["a"])
+        wrong = F.coalesce(x["ssh"]["f"], x["ssh"]["i"]).isNotNull()
+        kind = F.when(wrong, "auth_failure").when(first.isNotNull(), "auth_success").when(x["sudo"].isNotNull(), "sudo")
+        unknown = F.when(x["ssh"]["f"].isNull() & x["ssh"]["i"].isNotNull(), F.lit(True))
+        columns = {"ts": x["ts"], "kind": kind, "host": x["host"], "user": F.coalesce(first["user"], x["sudo"]["user"]), "src_ip": first["ip"], "service": F.when(x["ssh"].isNotNull(), "ssh"), "method": F.when(~wrong, first["method"])}
+        columns |= {"invalid_user": unknown, "target_user": x["sudo"]["target"], "command": x["sudo"]["command"], "pwd": x["sudo"]["pwd"]}
+        return F.struct(*[c.alias(k) for k, c in columns.items()])
+
+    return _told(lines, _parts(_strip(F.col("value")), r"\s+", event, 6), "auth")
 
 
 def parse_sysmon(lines: DataFrame, **_) -> DataFrame:
@@ -103,22 +129,40 @@ def parse_sysmon(lines: DataFrame, **_) -> DataFrame:
 
 
 def parse_firewall(lines: DataFrame, **_) -> DataFrame:
-    line = _strip(F.col("value"))
-    stamp, action, proto, src, _sport, dst, port, size = _groups(line, _FIREWALL, 1, 2, 3, 4, 5, 6, 7, 8)
-    return _event(
-        lines, ts=F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd HH:mm:ss")), source=F.lit("firewall"), kind=F.when(action.isin("ACCEPT", "ALLOW"), "fw_allow").otherwise("fw_deny"),
-        src_ip=src, dst_ip=dst, dst_port=port.try_cast("int"), protocol=F.lower(proto), bytes=F.coalesce(size.try_cast("long"), F.lit(0)), action=F.lower(action), sensor=F.lit(FIREWALL_SENSOR),
-    )
+    """``DATE TIME ACTION PROTOCOL ADDRESS:PORT -> ADDRESS:PORT`` and further facts, of which BYTES=N is read."""
+
+    def event(p: Callable[[int], Column]) -> Column:
+        place = lambda c: c.rlike(r"^[\d.]+:\d+")
+        good = p(2).isin("ACCEPT", "ALLOW", "DROP", "DENY", "REJECT") & p(3).rlike(r"^\w+$") & place(p(4)) & (p(5) == "->") & place(p(6))
+        size = F.regexp_extract(F.coalesce(p(7), F.lit("")), r"BYTES=(\d+)", 1)
+        columns = {
+            "ts": F.try_to_timestamp(F.concat_ws(" ", p(0), p(1)), F.lit("yyyy-MM-dd HH:mm:ss")), "kind": F.when(p(2).isin("ACCEPT", "ALLOW"), "fw_allow").otherwise("fw_deny"), "src_ip": F.substring_index(p(4), ":", 1),
+            "dst_ip": F.substring_index(p(6), ":", 1), "dst_port": F.regexp_extract(p(6), r":(\d+)", 1).try_cast("int"), "protocol": F.lower(p(3)), "bytes": F.coalesce(size.try_cast("long"), F.lit(0)), "action": F.lower(p(2)), "sensor": F.lit(FIREWALL_SENSOR),
+        }
+        return F.when(good, F.struct(*[c.alias(k) for k, c in columns.items()]))
+
+    return _told(lines, _parts(_strip(F.col("value")), r"\s+", event, 8), "firewall")
 
 
 def parse_web(lines: DataFrame, host: str = WEB_HOST, **_) -> DataFrame:
-    line = _strip(F.col("value"))
-    ip, user, stamp, method, url, status, size, agent = _groups(line, _WEB, 1, 2, 3, 4, 5, 6, 7, 9)
-    mark = F.instr(url, "?")
-    return _event(
-        lines, ts=F.try_to_timestamp(stamp, F.lit("d/MMM/yyyy:HH:mm:ss Z")), source=F.lit("apache"), kind=F.lit("http_request"), host=F.lit(host), user=F.when(user != "-", user), src_ip=ip, method=method, url=url,
-        uri_path=F.substring_index(url, "?", 1), uri_query=F.when(mark > 0, F.substring(url, mark + 1, F.length(url))).otherwise(""), status=status.cast("int"), bytes=F.coalesce(size.try_cast("long"), F.lit(0)), user_agent=agent,
-    )
+    """The combined log format: client, identity, user, time, request, status, size, referer and agent, the latter two if there."""
+
+    def event(q: Callable[[int], Column]) -> Column:
+        some = F.struct(F.split(_strip(q(0)), r"\s+", 4).alias("from"), F.split(q(1), " ").alias("asked"), F.split(_strip(q(2)), r"\s+").alias("sent"), q(5).alias("agent"))
+        return let(some, fields)
+
+    def fields(x: Column) -> Column:
+        get = lambda k, i: F.get(x[k], F.lit(i))
+        user, stamp, method, url, status, size = get("from", 2), get("from", 3), get("asked", 0), get("asked", 1), get("sent", 0), get("sent", 1)
+        good = stamp.rlike(r"^\[[^\]]+\]$") & method.rlike("^[A-Z]+$") & (url != "") & status.rlike(r"^\d{3}$") & (_digits(size) | (size == "-"))
+        mark = F.instr(url, "?")
+        columns = {
+            "ts": F.try_to_timestamp(F.substring(stamp, F.lit(2), F.length(stamp) - 2), F.lit("d/MMM/yyyy:HH:mm:ss Z")), "kind": F.lit("http_request"), "host": F.lit(host), "user": F.when(user != "-", user), "src_ip": get("from", 0), "method": method,
+            "url": url, "uri_path": F.substring_index(url, "?", 1), "uri_query": F.when(mark > 0, F.substring(url, mark + 1, F.length(url))).otherwise(""), "status": status.try_cast("int"), "bytes": F.coalesce(size.try_cast("long"), F.lit(0)), "user_agent": x["agent"],
+        }
+        return F.when(good, F.struct(*[c.alias(k) for k, c in columns.items()]))
+
+    return _told(lines, _parts(_strip(F.col("value")), '"', event), "apache")
 
 
 #: Add a source here: from lines (value, at) to event rows.
