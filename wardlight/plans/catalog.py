@@ -6,8 +6,10 @@ The tables hold no security logs, so operators run by role: users are keys, even
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.net import is_public
@@ -15,10 +17,13 @@ from ..functions.predicates import condition, selection
 from ..operators import bursts as B
 from ..operators import correlation as C
 from ..operators import sequences as S
-from ..operators.graph import components
 from ..operators.lineage import cut
 from ..operators.sessions import sessions
 from ..operators.trailing import ordered, ranged, with_past
+from ..sources import logs as L
+from ..sources import sinks
+from .detector import Detector
+from .rules import EventRule, StateRule
 
 HOUR = 3600
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,17 +148,6 @@ def dominant_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.dominant(events(spark, sf_dir), ["user_id"], "event_type")
 
 
-@register("""
-WITH p AS (SELECT user_id, event_type || props AS v, min(event_id) AS o FROM events GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY o) AS r FROM p)
-SELECT user_id, string_agg(v, ',' ORDER BY r) AS indicators FROM r WHERE r <= 10 GROUP BY user_id
-""")
-def indicators_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    met = events(spark, sf_dir).groupBy("user_id", F.concat("event_type", "props").alias("v")).agg(F.min("event_id").alias("o"))
-    top = met.withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy("o"))).where("r <= 10")
-    return top.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "v"))), lambda x: x["v"]), ",").alias("indicators"))
-
-
 @register("""
 SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86400::BIGINT * 1000000 PRECEDING AND CURRENT ROW) AS n FROM events
 """)
@@ -189,27 +183,53 @@ def running_max_last_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- correlation, scores, reports
 
+# Alerts made of bursts of errors: a user's machine is the one of their nation, which stands in the inventory.
 _ALERTS_SQL = _burst_sql("event_type = 'error'", 24, 3)
-_INCIDENTS_SQL = """
-WITH RECURSIVE alerts AS ({alerts}),
-a AS (SELECT *, row_number() OVER (ORDER BY first_us, user_id) AS ord FROM alerts),
-n AS (SELECT ord, first_us, last_us, 'user:' || user_id AS e FROM a UNION ALL SELECT ord, first_us, last_us, 'team:' || (user_id % 25) FROM a),
+_MADE_SQL = """
+WITH RECURSIVE bursts AS ({alerts}),
+a AS (SELECT row_number() OVER (ORDER BY b.first_us, b.user_id) AS ord, b.user_id, b.first_us, b.last_us, b.n, lower(trim(n.n_name)) AS host, n.n_regionkey,
+  CASE WHEN b.n >= 5 THEN 'critical' WHEN b.n >= 4 THEN 'high' ELSE 'medium' END AS severity, ['Discovery', 'Execution', 'Exfiltration', ''][b.user_id % 4 + 1] AS tactic, 'T10' || (10 + b.user_id % 7) AS technique
+  FROM bursts b JOIN nation n ON n.n_nationkey = b.user_id % 25),
+"""
+_INCIDENTS_SQL = (
+    _MADE_SQL
+    + """
+n AS (SELECT ord, first_us, last_us, 'user:u' || user_id AS e FROM a UNION ALL SELECT ord, first_us, last_us, 'host:' || host FROM a UNION ALL SELECT ord, first_us, last_us, 'ip:10.9.' || (user_id % 25) || '.1' FROM a WHERE n_regionkey < 4),
 l AS (SELECT DISTINCT x.ord AS i, y.ord AS j FROM n x JOIN n y ON x.e = y.e AND x.ord <> y.ord AND CASE WHEN x.ord > y.ord THEN x.first_us - y.last_us ELSE y.first_us - x.last_us END <= {gap}::BIGINT * 1000000),
 c AS (SELECT ord AS i, ord AS o FROM a UNION SELECT l.j, c.o FROM c JOIN l ON l.i = c.i),
 m AS (SELECT a.*, m.incident FROM a JOIN (SELECT i, min(o) AS incident FROM c GROUP BY i) m ON m.i = a.ord)
 """
+)
+
+
+def _made_sql(template: str, **args) -> str:
+    return template.format(alerts=_ALERTS_SQL, **args).replace("bursts AS (\nWITH RECURSIVE", "bursts AS (\nWITH")
+
+
+def _assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as machines, those of the last region unknown; regions tell their worth."""
+    level = F.element_at(F.array(*map(F.lit, ("critical", "high", "medium", "low"))), F.col("n_regionkey").cast("int") + 1)
+    known = table(spark, sf_dir, "nation").where("n_regionkey < 4")
+    host = F.trim("n_name")
+    return known.select(F.lower(host).alias("host_key"), host.alias("host"), F.concat(F.lit("10.9."), F.col("n_nationkey").cast("string"), F.lit(".1")).alias("ip"), level.alias("criticality"), F.lit("").alias("role"))
 
 
 def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows as the detector gives them."""
     found = _burst("event_type = 'error'", 24, 3)(spark, sf_dir)
-    return cut(found.withColumn("ord", F.row_number().over(Window.orderBy("first_us", "user_id")).cast("long")))  # alerts are few
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", F.trim("n_name").alias("host"))
+    empty = F.lit("")
+    made = found.join(F.broadcast(nation), F.col("user_id") % 25 == F.col("n_nationkey")).select(
+        "user_id", "first_us", "last_us", F.col("n").alias("count"), "host", F.concat(F.lit("CORP\\u"), F.col("user_id").cast("string")).alias("user"), empty.alias("src_ip"), empty.alias("dst_ip"),
+        F.when(F.col("n") >= 5, "critical").when(F.col("n") >= 4, "high").otherwise("medium").alias("severity"), F.element_at(F.array(*map(F.lit, ("Discovery", "Execution", "Exfiltration", ""))), (F.col("user_id") % 4 + 1).cast("int")).alias("tactic"),
+        F.concat(F.lit("T10"), (10 + F.col("user_id") % 7).cast("string")).alias("technique"), F.lit("errors").alias("rule_id"), F.lit("Many errors").alias("rule_title"), F.array().cast("array<string>").alias("evidence"),
+        F.array(F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(".example"))).alias("indicators"),
+    )
+    return cut(C.ranked(made, "ord", F.col("first_us"), F.col("user_id")).withColumn("id", F.format_string("ALR-%04d", "ord")))
 
 
 def _incident_members(spark: SparkSession, sf_dir: str, gap_s: int) -> DataFrame:
-    a = _alerts(spark, sf_dir)
-    names = F.explode(F.array(F.concat(F.lit("user:"), F.col("user_id").cast("string")), F.concat(F.lit("team:"), (F.col("user_id") % 25).cast("string"))))
-    found = components(C.links(a.select("ord", "first_us", "last_us", names.alias("entity")), gap_s))
-    return a.join(found.select(F.col("node").alias("ord"), "label"), "ord", "left").withColumn("incident", F.coalesce("label", "ord"))
+    return C.correlate(_alerts(spark, sf_dir), _assets(spark, sf_dir), gap_s)
 
 
 for _gap in (1800, 7200, 21600):
@@ -217,28 +237,28 @@ for _gap in (1800, 7200, 21600):
     def _correlate(spark: SparkSession, sf_dir: str, gap: int = _gap) -> DataFrame:
         return _incident_members(spark, sf_dir, gap).select("ord", "user_id", "incident")
 
-    register(_INCIDENTS_SQL.format(alerts=_ALERTS_SQL, gap=_gap).replace("WITH RECURSIVE alerts AS (\nWITH RECURSIVE", "WITH RECURSIVE alerts AS (\nWITH") + "SELECT ord, user_id, incident FROM m", f"correlate_incidents_{_gap}")(_correlate)
-
-
-
-def _severity() -> Column:
-    return F.when(F.col("n") >= 5, "critical").when(F.col("n") >= 4, "high").otherwise("medium")
+    register(_made_sql(_INCIDENTS_SQL, gap=_gap) + "SELECT ord, user_id, incident FROM m", f"correlate_incidents_{_gap}")(_correlate)
 
 
+_GAP = 21600
 _SCORE_SQL = (
-    _INCIDENTS_SQL.format(alerts=_ALERTS_SQL, gap=21600).replace("WITH RECURSIVE alerts AS (\nWITH RECURSIVE", "WITH RECURSIVE alerts AS (\nWITH")
-    + """, i AS (SELECT incident, min(first_us) AS first_us, CAST(sum(n) AS BIGINT) AS volume, count(*) AS n_alerts, max(n) AS most FROM m GROUP BY incident),
-p AS (SELECT *, CASE WHEN most >= 5 THEN 40 WHEN most >= 4 THEN 30 ELSE 15 END + CASE WHEN n_alerts > 1 THEN least(6 * (n_alerts - 1), 24) ELSE 0 END + CASE WHEN volume >= 6 THEN 5 ELSE 0 END AS points FROM i),
-q AS (SELECT *, least(100, points)::INTEGER AS score FROM p)
+    _made_sql(_INCIDENTS_SQL, gap=_GAP)
+    + """, k AS (SELECT incident, CASE n_regionkey WHEN 0 THEN 12 WHEN 1 THEN 7 WHEN 2 THEN 3 ELSE 0 END AS worth, CASE severity WHEN 'critical' THEN 40 WHEN 'high' THEN 30 ELSE 15 END AS grave, m.* EXCLUDE (incident),
+  CASE WHEN user_id % 10 = 0 THEN 15 WHEN user_id % 10 = 1 THEN 8 ELSE 0 END AS known FROM m),
+i AS (SELECT incident, min(first_us) AS first_us, max(last_us) AS last_us, CAST(sum(n) AS BIGINT) AS volume, count(*) AS n_alerts, max(grave) AS grave, max(worth) AS worth, max(known) AS known, count(DISTINCT tactic) AS stages,
+  CASE max(grave) WHEN 40 THEN 'critical' WHEN 30 THEN 'high' ELSE 'medium' END AS severity, count(DISTINCT host) AS n_hosts, count(DISTINCT user_id) AS n_users, string_agg(DISTINCT technique, ',' ORDER BY technique) AS techniques FROM k GROUP BY incident),
+q AS (SELECT *, least(100, grave + CASE WHEN stages > 1 THEN least(6 * (stages - 1), 24) ELSE 0 END + worth + known + CASE WHEN volume >= 50 THEN 5 ELSE 0 END)::INTEGER AS score FROM i)
 """
 )
 
 
-def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _incident_members(spark, sf_dir, 21600)
-    i = m.groupBy("incident").agg(F.min("first_us").alias("first_us"), F.sum("n").alias("volume"), F.count(F.lit(1)).alias("n_alerts"), F.max("n").alias("n"))
-    parts = [C.mapped(C.SEVERITY_POINTS, _severity()), F.when(F.col("n_alerts") > 1, F.least(6 * (F.col("n_alerts") - 1), F.lit(24))).otherwise(0), F.when(F.col("volume") >= 6, 5).otherwise(0)]
-    return i.withColumn("score", F.least(F.lit(100), sum(parts, F.lit(0))).cast("int"))
+def _scores(spark: SparkSession, sf_dir: str, members: DataFrame | None = None) -> DataFrame:
+    """Incidents of the library; every tenth user's indicator is well known, the next one's less so."""
+    key = F.concat(F.lit("u"), F.col("c_custkey").cast("string"), F.lit(".example")).alias("key")
+    feed = table(spark, sf_dir, "customer").where("c_custkey % 10 < 2").select(key, F.lit("domain").alias("type"), F.lit("trick").alias("threat"), F.when(F.col("c_custkey") % 10 == 0, 90).otherwise(60).alias("confidence"), F.lit("own").alias("source"))
+    ids = table(spark, sf_dir, "events").where("user_id % 10 < 2").select(F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(".example")).alias("key"), F.lit("domain").alias("type"), F.lit("trick").alias("threat"), F.when(F.col("user_id") % 10 == 0, 90).otherwise(60).alias("confidence"), F.lit("own").alias("source"))
+    members = members if members is not None else _incident_members(spark, sf_dir, _GAP)
+    return C.incidents(members, _assets(spark, sf_dir), feed.union(ids).distinct())
 
 
 @register(_SCORE_SQL + "SELECT incident, first_us, volume, n_alerts, score FROM q")
@@ -246,54 +266,87 @@ def risk_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scores(spark, sf_dir).select("incident", "first_us", "volume", "n_alerts", "score")
 
 
+@register(_SCORE_SQL + "SELECT incident, last_us, severity, n_hosts, n_users, techniques, grave, worth, known FROM q")
+def incident_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands in an incident, and the points of its single reasons."""
+    points = lambda about: F.coalesce(F.get(F.transform(F.filter("score_breakdown", lambda p: p["reason"].contains(about)), lambda p: p["points"]), 0), F.lit(0))
+    out = _scores(spark, sf_dir).select("incident", "last_us", "severity", F.size("hosts").cast("long").alias("n_hosts"), F.size("users").cast("long").alias("n_users"), F.array_join("techniques", ",").alias("techniques"), "score_breakdown")
+    return out.withColumns({"grave": points("an alert is"), "worth": points(" worth"), "known": points("is known for")}).drop("score_breakdown")
+
+
 @register(_SCORE_SQL + "SELECT p.priority, count(q.score) AS n FROM (VALUES ('P1', 80, 101), ('P2', 60, 80), ('P3', 35, 60), ('P4', 0, 35)) p(priority, lo, hi) LEFT JOIN q ON q.score >= p.lo AND q.score < p.hi GROUP BY p.priority")
 def priority_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     spine = spark.createDataFrame([(p,) for p, _ in C.PRIORITIES], "priority string")
-    counted = _scores(spark, sf_dir).groupBy(C.priority(F.col("score")).alias("priority")).agg(F.count(F.lit(1)).alias("n"))
+    counted = _scores(spark, sf_dir).groupBy("priority").agg(F.count(F.lit(1)).alias("n"))
     return spine.join(counted, "priority", "left").select("priority", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
 @register(_SCORE_SQL + "SELECT incident, score, row_number() OVER (ORDER BY score DESC, first_us, incident) AS place FROM q")
 def rank_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = F.row_number().over(Window.orderBy(F.desc("score"), "first_us", "incident"))
-    return _scores(spark, sf_dir).select("incident", "score", place.cast("long").alias("place"))
+    return C.ranked(_scores(spark, sf_dir).select("incident", "score", "first_us"), "place", -F.col("score"), F.col("first_us"), F.col("incident")).drop("first_us")
+
+
+def _result(spark: SparkSession, sf_dir: str, truth: dict | None = None):
+    """A run's result from the tables: firewall lines, alerts and incidents."""
+    from .triage import Result
+
+    members = cut(_incident_members(spark, sf_dir, _GAP))
+    rows = L.parse(_firewall_lines(spark, sf_dir), "firewall")
+    return Result(rows.where("ok"), L.parse_stats(rows), members, _scores(spark, sf_dir, members), _assets(spark, sf_dir), truth)
 
 
-@register(_SCORE_SQL + "SELECT (SELECT count(*) FROM events) AS events, (SELECT count(*) FROM a) AS alerts, (SELECT count(*) FROM q) AS incidents, round(100 * (1 - (SELECT count(*) FROM q) / (SELECT count(*) FROM events)::DOUBLE), 6) AS reduction_pct")
+_SEVERITIES = ("low", "medium", "high", "critical")
+
+
+@register(
+    _SCORE_SQL
+    + """SELECT (SELECT count(*) FROM events WHERE event_id % 11 <> 0) AS events, (SELECT count(*) FROM a) AS alerts, (SELECT count(*) FROM q) AS incidents,
+round(100 * (1 - (SELECT count(*) FROM q) / (SELECT count(*) FROM events WHERE event_id % 11 <> 0)::DOUBLE), 2) AS reduction_pct,
+(SELECT count(*) FROM a WHERE severity = 'critical') AS critical, (SELECT count(*) FROM a WHERE tactic = 'Execution') AS execution, (SELECT count(*) FROM q WHERE score >= 35 AND score < 60) AS p3, (SELECT count(*) FROM events WHERE event_id % 11 = 0) AS skipped"""
+)
 def summary_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = F.count(F.lit(1))
-    m = _incident_members(spark, sf_dir, 21600).agg(one.alias("alerts"), F.count_distinct("incident").alias("incidents"))
-    e = table(spark, sf_dir, "events").agg(one.alias("events"))
-    return e.join(m, F.lit(True)).select("events", "alerts", "incidents", F.round(100 * (1 - F.col("incidents") / F.col("events")), 6).alias("reduction_pct"))  # one row each
+    from .triage import summary
 
+    x = summary(_result(spark, sf_dir))
+    row = (x["events"], x["alerts"], x["incidents"], float(x["reduction_events_to_incidents_pct"]), x["alerts_by_severity"].get("critical", 0), x["alerts_by_tactic"].get("Execution", 0), x["priorities"]["P3"], x["parse"]["firewall"]["skipped"])
+    return spark.createDataFrame([row], "events long, alerts long, incidents long, reduction_pct double, critical long, execution long, p3 long, skipped long")
 
-@register(f"WITH a AS ({_ALERTS_SQL}), s AS (SELECT CASE WHEN n >= 5 THEN 'critical' WHEN n >= 4 THEN 'high' ELSE 'medium' END AS severity FROM a) SELECT v.severity, count(s.severity) AS n FROM (VALUES ('low'), ('medium'), ('high'), ('critical')) v(severity) LEFT JOIN s ON s.severity = v.severity GROUP BY v.severity")
+
+@register(_made_sql(_MADE_SQL) + "s AS (SELECT severity FROM a) SELECT v.severity, count(s.severity) AS n FROM (VALUES ('low'), ('medium'), ('high'), ('critical')) v(severity) LEFT JOIN s ON s.severity = v.severity GROUP BY v.severity")
 def alerts_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spine = spark.createDataFrame([(s,) for s in C.SEVERITY_POINTS], "severity string")
-    counted = _alerts(spark, sf_dir).groupBy(_severity().alias("severity")).agg(F.count(F.lit(1)).alias("n"))
+    spine = spark.createDataFrame([(s,) for s in _SEVERITIES], "severity string")
+    counted = _alerts(spark, sf_dir).groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
     return spine.join(counted, "severity", "left").select("severity", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
-@register("SELECT event_type AS technique, count(*) AS score, max(count(*)) OVER () AS highest FROM events GROUP BY event_type")
+@register(_made_sql(_MADE_SQL) + "t AS (SELECT technique, count(*) AS score FROM a GROUP BY technique) SELECT technique, score, max(score) OVER () AS highest FROM t")
 def navigator_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = events(spark, sf_dir).groupBy(F.col("event_type").alias("technique")).agg(F.count(F.lit(1)).alias("score"))
-    return n.withColumn("highest", F.max("score").over(Window.partitionBy()))
+    layer = sinks.navigator(_alerts(spark, sf_dir))
+    rows = [(t["techniqueID"], t["score"], layer["gradient"]["maxValue"]) for t in layer["techniques"]]
+    return spark.createDataFrame(rows, "technique string, score long, highest long")
+
+
+@register(
+    _made_sql(_INCIDENTS_SQL, gap=_GAP)
+    + """, s(id, malicious, expected, wanted) AS (VALUES ('A', true, ['errors'], ['host:france', 'user:u7']), ('B', true, ['errors', 'other'], ['host:china']), ('C', false, []::VARCHAR[], ['user:nobody']), ('D', false, []::VARCHAR[], ['ip:10.9.3.1'])),
+x AS (SELECT DISTINCT s.id, n.ord FROM s JOIN n ON list_contains(s.wanted, n.e)), r AS (SELECT x.id, count(*) AS related, count(DISTINCT incident) AS incidents FROM x JOIN m ON m.ord = x.ord GROUP BY x.id)
+SELECT s.id, coalesce(related, 0) AS related, CASE WHEN related > 0 AND len(expected) > 0 THEN 1::BIGINT ELSE 0 END AS detected, len(expected) - CASE WHEN related > 0 AND len(expected) > 0 THEN 1 ELSE 0 END AS missing,
+  CASE WHEN malicious THEN len(expected) = 1 AND coalesce(related, 0) > 0 AND incidents = 1 ELSE coalesce(related, 0) = 0 END AS pass, (SELECT count(*) FROM a WHERE ord NOT IN (SELECT ord FROM x)) AS unattributed
+FROM s LEFT JOIN r ON r.id = s.id"""
+)
+def evaluate_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .triage import evaluate
 
+    of = lambda i, bad, rules, names: {"id": i, "name": i, "malicious": bad, "expected_rules": rules, "entities": names}
+    truth = {"scenarios": [of("A", True, ["errors"], ["host:france", "user:u7"]), of("B", True, ["errors", "other"], ["host:china"]), of("C", False, [], ["user:nobody"]), of("D", False, [], ["ip:10.9.3.1"])]}
+    found = evaluate(spark, _result(spark, sf_dir, truth))
+    rows = [(r["scenario"], r["related"], len(r["detected"]), len(r["missing"]), r["pass"], found["unattributed_alerts"]) for r in found["scenarios"]]
+    return spark.createDataFrame(rows, "id string, related long, detected long, missing long, pass boolean, unattributed long")
 
-@register("""
-WITH s(id, malicious, expected, kinds) AS (VALUES ('A', true, ['error', 'purchase'], ['error', 'purchase']), ('B', false, ['view'], ['view', 'click']), ('C', false, []::VARCHAR[], ['none'])),
-r AS (SELECT s.id, count(*) AS related, list(DISTINCT event_type) AS rules FROM s JOIN events e ON list_contains(s.kinds, e.event_type) AND e.value > 190 GROUP BY s.id)
-SELECT s.id, coalesce(related, 0) AS related, len(list_intersect(expected, coalesce(rules, []))) AS detected,
-  len(list_filter(expected, lambda x: NOT list_contains(coalesce(rules, []), x))) AS missing, len(list_filter(coalesce(rules, []), lambda x: NOT list_contains(expected, x))) AS other
-FROM s LEFT JOIN r ON r.id = s.id
-""")
-def evaluate_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = spark.createDataFrame([("A", True, ["error", "purchase"], ["error", "purchase"]), ("B", False, ["view"], ["view", "click"]), ("C", False, [], ["none"])], "id string, malicious boolean, expected array<string>, kinds array<string>")
-    e = events(spark, sf_dir).where("value > 190").select("event_type")
-    r = s.select("id", F.explode("kinds").alias("event_type")).join(e, "event_type").groupBy("id").agg(F.count(F.lit(1)).alias("related"), F.collect_set("event_type").alias("rules"))
-    out = s.join(r, "id", "left").withColumn("rules", F.coalesce("rules", F.array().cast("array<string>")))
-    size = lambda c: F.size(c).cast("long")
-    return out.select("id", F.coalesce("related", F.lit(0).cast("long")).alias("related"), size(F.array_intersect("expected", "rules")).alias("detected"), size(F.array_except("expected", "rules")).alias("missing"), size(F.array_except("rules", "expected")).alias("other"))
+
+@register(_made_sql(_INCIDENTS_SQL, gap=_GAP) + "SELECT DISTINCT ord, e AS entity FROM n")
+def entity_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.entities(_alerts(spark, sf_dir), _assets(spark, sf_dir)).select("ord", "entity")
 
 
 # ---------------------------------------------------------------- selections and conditions
@@ -337,19 +390,30 @@ _conditioned("cond_all_of", "all of selection_* or filter_utm", "(coalesce(a, fa
 
 # ---------------------------------------------------------------- fields, joins, parsing
 
-_IP = r"(?:^|[^0-9.])(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?:$|[^0-9.])"
+_IP = r"(?<![0-9A-Za-z.:])(?:\d{1,3}(?:\.\d{1,3}){3}|[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7})(?![0-9A-Za-z.:])"
+
+
+def _addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All addresses of documents, and one of each event in IPv6 writing, which documents don't show."""
+    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(_IP), F.lit(0))).alias("ip"))
+    group = lambda c: F.lower(F.hex(c))
+    parts = F.array(*map(F.lit, ("2606", "2001", "fd00", "fe80", "2a00", "100", "2002", "64")))
+    made = F.concat(F.element_at(parts, (F.col("event_id") % 8 + 1).cast("int")), F.lit(":"), group(F.col("user_id") % 65536), F.lit("::"), group(F.col("event_id") % 65536))
+    return found.union(table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), made.alias("ip")))
 
 
 @register(r"""
-WITH x AS (SELECT doc_id, regexp_extract(text, '(?:^|[^0-9.])(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?:$|[^0-9.])', 1) AS ip FROM documents),
+WITH d AS (SELECT doc_id, (' ' || coalesce(text, '') || ' ') AS t FROM documents),
+x AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(t, '[^0-9A-Za-z.:]+', '  ', 'g'), ' (\d{1,3}(?:\.\d{1,3}){3}|[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}) ', 1)) AS ip FROM d),
+e AS (SELECT event_id AS doc_id, ['2606', '2001', 'fd00', 'fe80', '2a00', '100', '2002', '64'][event_id % 8 + 1] || ':' || lower(to_hex(user_id % 65536)) || '::' || lower(to_hex(event_id % 65536)) AS ip, event_id % 8 IN (0, 4) OR (event_id % 8 = 1 AND (user_id % 65536 > 511 AND user_id % 65536 <> 3512 OR user_id % 65536 = 3 OR user_id % 65536 BETWEEN 32 AND 63 OR user_id % 65536 = 1 AND event_id % 65536 IN (1, 2))) AS public FROM events),
 n AS (SELECT doc_id, ip, regexp_matches(ip, '^(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(\.(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}$') AS ok,
-  try_cast(split_part(ip, '.', 1) AS BIGINT) * 16777216 + try_cast(split_part(ip, '.', 2) AS BIGINT) * 65536 + try_cast(split_part(ip, '.', 3) AS BIGINT) * 256 + try_cast(split_part(ip, '.', 4) AS BIGINT) AS a FROM x WHERE ip <> '')
+  try_cast(split_part(ip, '.', 1) AS BIGINT) * 16777216 + try_cast(split_part(ip, '.', 2) AS BIGINT) * 65536 + try_cast(split_part(ip, '.', 3) AS BIGINT) * 256 + try_cast(split_part(ip, '.', 4) AS BIGINT) AS a FROM x)
 SELECT doc_id, ip, ok AND (NOT (a BETWEEN 0 AND 16777215 OR a BETWEEN 167772160 AND 184549375 OR a BETWEEN 2130706432 AND 2147483647 OR a BETWEEN 2851995648 AND 2852061183 OR a BETWEEN 2886729728 AND 2887778303
-  OR a BETWEEN 3221225472 AND 3221225727 OR a BETWEEN 3232235520 AND 3232301055 OR a BETWEEN 3323068416 AND 3323199487 OR a >= 4026531840) OR a IN (3221225481, 3221225482)) AS public FROM n
+  OR a BETWEEN 3221225472 AND 3221225727 OR a BETWEEN 3232235520 AND 3232301055 OR a BETWEEN 3323068416 AND 3323199487 OR a >= 4026531840) OR a IN (3221225481, 3221225482)) AS public FROM n WHERE NOT contains(ip, ':')
+UNION ALL SELECT doc_id, ip, public FROM e
 """)
 def is_public_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract("text", _IP, 1).alias("ip")).where("ip <> ''")
-    return x.withColumn("public", is_public(F.col("ip")))
+    return _addresses(spark, sf_dir).where("not contains(ip, ':') or length(ip) - length(replace(ip, ':', '')) = 3").select("doc_id", "ip", is_public(F.col("ip")).alias("public"))
 
 
 _LIST_SQL = "SELECT s_suppkey, s_name FROM supplier s {kind} JOIN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) n ON s.s_nationkey = n.n_nationkey"
@@ -370,21 +434,152 @@ def allowlist_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _listed(spark, sf_dir, "left_anti")
 
 
-@register("SELECT page_id, split_part(url, '?', 1) AS uri_path, CASE WHEN contains(url, '?') THEN substr(url, strpos(url, '?') + 1) ELSE '' END AS uri_query FROM pages")
-def url_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mark = F.instr("url", "?")
-    return table(spark, sf_dir, "pages").select("page_id", F.substring_index("url", "?", 1).alias("uri_path"), F.when(mark > 0, F.substring(F.col("url"), mark + 1, F.length("url"))).otherwise("").alias("uri_query"))
+# ---------------------------------------------------------------- log lines made of the tables, read by the parsers
 
 
-@register("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
-def kv_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+def _lines(rows: DataFrame, value: Column, n: str) -> DataFrame:
+    """Lines as ``read_lines`` gives them, in the order of ``n``."""
+    return rows.select(value.alias("value"), F.struct(F.lit("f").alias("file"), F.lit(0).cast("long").alias("block"), F.col(n).cast("long").alias("n")).alias("at"))
+
+
+def _stamp(form: str) -> Column:
+    return F.date_format(F.timestamp_seconds(F.floor(F.col("us") / 1_000_000)), form)
+
 
+def _text(*parts) -> Column:
+    return F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
 
-@register(r"SELECT source, count(*) AS total, count(*) FILTER (regexp_matches(text, '@\w+\.example\.com')) AS parsed, count(*) FILTER (NOT regexp_matches(text, '@\w+\.example\.com')) AS skipped FROM documents GROUP BY source")
+
+def _firewall_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every eleventh line is broken, every third has no size."""
+    e = events(spark, sf_dir)
+    id_, user = F.col("event_id"), F.col("user_id")
+    action = F.element_at(F.array(*map(F.lit, L_ACTIONS)), (id_ % 5 + 1).cast("int"))
+    more = F.when(id_ % 3 == 0, " RULE=7").otherwise(_text(" RULE=7 BYTES=", F.floor(F.col("value") * 100).cast("long")))
+    line = _text(_stamp("yyyy-MM-dd HH:mm:ss"), "  ", action, " ", F.when(id_ % 2 == 0, "TCP").otherwise("udp"), " 10.0.", user % 200, ".", id_ % 250, ":", id_ % 60000, " -> 203.0.113.", user % 250, ":", id_ % 1000, more, " ")
+    return _lines(e, F.when(id_ % 11 == 0, _text("broken ", id_, F.repeat(F.lit(" x"), 80))).otherwise(line), "event_id")
+
+
+L_ACTIONS = ("ACCEPT", "ALLOW", "DROP", "DENY", "REJECT")
+
+
+@register("""
+SELECT event_id, CAST(epoch_us(ts) - epoch_us(ts) % 1000000 AS BIGINT) AS us, CASE WHEN event_id % 5 < 2 THEN 'fw_allow' ELSE 'fw_deny' END AS kind, '10.0.' || (user_id % 200) || '.' || (event_id % 250) AS src_ip, '203.0.113.' || (user_id % 250) AS dst_ip,
+  CAST(event_id % 1000 AS INTEGER) AS dst_port, CASE WHEN event_id % 2 = 0 THEN 'tcp' ELSE 'udp' END AS protocol, CASE WHEN event_id % 3 = 0 THEN 0 ELSE CAST(floor(value * 100) AS BIGINT) END AS bytes, ['accept', 'allow', 'drop', 'deny', 'reject'][event_id % 5 + 1] AS action
+FROM events WHERE event_id % 11 <> 0
+""")
+def parse_firewall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.parse(_firewall_lines(spark, sf_dir), "firewall").where("ok").select(F.col("at.n").alias("event_id"), "us", "kind", "src_ip", "dst_ip", "dst_port", "protocol", "bytes", "action")
+
+
+@register("""
+WITH b AS (SELECT event_id, left('broken ' || event_id || repeat(' x', 80), 120) AS line FROM events WHERE event_id % 11 = 0 ORDER BY event_id LIMIT 3)
+SELECT 'firewall' AS source, count(*) AS total, count(*) FILTER (event_id % 11 <> 0) AS parsed, count(*) FILTER (event_id % 11 = 0) AS skipped, (SELECT string_agg(line, '|' ORDER BY event_id) FROM b) AS samples FROM events
+""")
 def parse_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ok = F.col("text").rlike(r"@\w+\.example\.com")
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("parsed"), F.count_if(~ok).alias("skipped"))
+    return L.parse_stats(L.parse(_firewall_lines(spark, sf_dir), "firewall")).withColumn("samples", F.array_join("samples", "|"))
+
+
+@register(r"""
+SELECT event_id, CAST(epoch_us(ts) - epoch_us(ts) % 1000000 AS BIGINT) AS us, ['auth_failure', 'auth_failure', 'auth_success', 'sudo'][event_id % 4 + 1] AS kind, 'h' || (user_id % 9) AS host, 'u' || user_id AS "user",
+  CASE WHEN event_id % 4 = 3 THEN '' ELSE '192.168.' || (user_id % 250) || '.' || (event_id % 250) END AS src_ip, CASE WHEN event_id % 4 = 2 THEN 'publickey' END AS method, event_id % 4 = 1 AS invalid_user,
+  CASE WHEN event_id % 4 = 3 THEN '/bin/run ' || event_type || '; x' END AS command, CASE WHEN event_id % 4 = 3 THEN '/home/u' || user_id END AS pwd
+FROM events
+""")
+def parse_auth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sign-ins and sudo of a year that the lines don't name."""
+    e = events(spark, sf_dir)
+    id_, user = F.col("event_id"), F.col("user_id")
+    ip = _text("192.168.", user % 250, ".", id_ % 250)
+    failed = F.when(id_ % 8 == 0, _text("Failed password for invalid user u", user, " from ", ip, " port 22 ssh2")).otherwise(_text("Failed publickey for u", user, " from ", ip, " port 22 ssh2"))
+    said = F.when(id_ % 4 == 0, _text("sshd[12]: ", failed)).when(id_ % 4 == 1, _text("sshd-session: Invalid user u", user, " from ", ip)).when(id_ % 4 == 2, _text("sshd[7]: Accepted publickey for u", user, " from ", ip, " port 22 ssh2: RSA"))
+    said = said.otherwise(_text("sudo:   u", user, " : TTY=pts/0 ; PWD=/home/u", user, " ; USER=root ; COMMAND=/bin/run ", F.col("event_type"), "; x"))
+    line = _text(_stamp("MMM d HH:mm:ss"), " h", user % 9, " ", said)
+    years = e.agg(F.min("us"), F.max("us")).first()
+    first, last = (datetime.fromtimestamp((y or 0) / 1e6, timezone.utc).year for y in years)
+    rows = [L.parse(_lines(e.where(F.year(F.timestamp_micros("us")) == y), line, "event_id"), "auth", year=y) for y in range(first, last + 1)]  # one a year
+    return reduce(DataFrame.unionByName, rows).where("ok").select(F.col("at.n").alias("event_id"), "us", "kind", "host", "user", "src_ip", "method", F.coalesce("invalid_user", F.lit(False)).alias("invalid_user"), "command", "pwd")
+
+
+@register(r"""
+SELECT event_id, epoch_us(ts) - epoch_us(ts) % 1000 AS us, ['process_create', 'network_connect', 'process_access', 'file_create', 'dns_query'][event_id % 5 + 1] AS kind, 'WS-' || user_id AS host, 'CORP\u' || user_id AS "user", 'C:\' || event_type || '.exe' AS image,
+  CASE WHEN event_id % 5 = 0 THEN 'run --k=' || props || ';w' END AS command_line, CASE WHEN event_id % 5 = 1 THEN '198.51.100.' || (user_id % 250) ELSE '' END AS dst_ip, CASE WHEN event_id % 5 = 1 THEN CAST(event_id % 60000 AS INTEGER) ELSE 0 END AS dst_port,
+  CASE WHEN event_id % 5 = 4 THEN event_type || '.example' END AS query
+FROM events
+""")
+def kv_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Endpoint logs of ``key=value`` pairs, the first of which comes twice."""
+    e = events(spark, sf_dir)
+    id_, user = F.col("event_id"), F.col("user_id")
+    number = F.element_at(F.array(*map(F.lit, (1, 3, 10, 11, 22))), (id_ % 5 + 1).cast("int"))
+    image = F.when(id_ % 5 == 2, "SourceImage").otherwise("Image")
+    more = F.when(id_ % 5 == 0, _text(";CommandLine=run --k=", F.col("props"), ";w")).when(id_ % 5 == 1, _text(";DestinationIp=198.51.100.", user % 250, ";DestinationPort=", id_ % 60000)).when(id_ % 5 == 4, _text(";QueryName=", F.col("event_type"), ".example")).otherwise(F.lit(";TargetFilename="))
+    stamp = F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd HH:mm:ss.SSS")
+    line = _text(stamp, " UTC;EventID ", number, ";Kind;Computer=old;Computer=WS-", user, ";User=CORP\\u", user, ";", image, "=C:\\", F.col("event_type"), ".exe", more)
+    return L.parse(_lines(e, line, "event_id"), "sysmon").where("ok").select(F.col("at.n").alias("event_id"), "us", "kind", "host", "user", "image", "command_line", "dst_ip", "dst_port", "query")
+
+
+@register("""
+SELECT page_id, split_part(url, '?', 1) AS uri_path, CASE WHEN contains(url, '?') THEN substr(url, strpos(url, '?') + 1) ELSE '' END AS uri_query, 'web01' AS host, '10.1.' || (page_id % 200) || '.9' AS src_ip, CASE WHEN page_id % 3 = 0 THEN 'amy' ELSE '' END AS "user",
+  CAST(200 + page_id % 300 AS INTEGER) AS status, CASE WHEN page_id % 4 = 0 THEN 0 ELSE length(html) END AS bytes, CASE WHEN page_id % 2 = 0 THEN 'agent ' || page_id END AS user_agent
+FROM pages WHERE regexp_full_match(url, '[^\\s"]+')
+""".replace("\\\\", "\\"))
+def url_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as lines of a web server's log."""
+    p = table(spark, sf_dir, "pages")
+    id_ = F.col("page_id")
+    size = F.when(id_ % 4 == 0, "-").otherwise(F.length("html").cast("string"))
+    line = _text("10.1.", id_ % 200, ".9 - ", F.when(id_ % 3 == 0, "amy").otherwise("-"), ' [10/Mar/2026:10:00:00 +0200] "GET ', F.col("url"), ' HTTP/1.1" ', 200 + id_ % 300, " ", size, F.when(id_ % 2 == 0, _text(' "-" "agent ', id_, '"')).otherwise(""))
+    got = L.parse(_lines(p.where(F.col("url").rlike(r'^[^\s"]+$')), line, "page_id"), "apache").where("ok")
+    return got.select(F.col("at.n").alias("page_id"), "uri_path", "uri_query", "host", "src_ip", "user", "status", "bytes", "user_agent")
+
+
+# ---------------------------------------------------------------- the detector on events made of the table
+
+
+def _as_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors as failed sign-ins, purchases as successful ones, all else as connections."""
+    e = events(spark, sf_dir)
+    user = F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    kind = F.when(F.col("event_type") == "error", "auth_failure").when(F.col("event_type") == "purchase", "auth_success").otherwise("network_connect")
+    made = {
+        "kind": kind, "source": F.lit("auth"), "host": F.concat(F.lit("h"), (F.col("event_id") % 3).cast("string")), "user": user, "src_ip": F.concat(F.lit("8.8."), (F.col("user_id") % 250).cast("string"), F.lit(".1")), "dst_ip": F.lit(""), "dst_port": F.lit(0),
+        "query": F.concat("event_type", "props"), "bytes": F.round(F.col("value") * 100).cast("long"), "raw": F.concat(F.lit(" line "), F.col("event_id").cast("string"), F.lit(" ")),
+    }
+    return e.select("us", "seq", *[c.alias(k) for k, c in made.items()])
+
+
+@register(
+    "WITH RECURSIVE bursts AS (" + _burst_sql("event_type = 'error'", 24, 3).replace("WITH RECURSIVE", "WITH", 1)
+    + """), m AS (SELECT b.user_id, b.first_us, b.trigger_us, e.event_id, epoch_us(e.ts) AS us, 'h' || (e.event_id % 3) AS host, e.event_type || e.props AS query FROM bursts b JOIN events e ON e.user_id = b.user_id AND e.event_type = 'error' AND epoch_us(e.ts) BETWEEN b.first_us AND b.last_us),
+h AS (SELECT user_id, first_us, host FROM (SELECT *, row_number() OVER (PARTITION BY user_id, first_us ORDER BY n DESC, s) AS r FROM (SELECT user_id, first_us, host, count(*) AS n, min(event_id) AS s FROM m GROUP BY ALL)) WHERE r = 1),
+p AS (SELECT user_id, first_us, string_agg('line ' || event_id, '|' ORDER BY us, event_id) AS evidence FROM (SELECT *, row_number() OVER (PARTITION BY user_id, first_us ORDER BY us, event_id) AS r FROM m WHERE us <= trigger_us) WHERE r <= 3 GROUP BY ALL),
+i AS (SELECT user_id, first_us, string_agg(v, '|' ORDER BY us, event_id, k) AS indicators FROM (SELECT *, row_number() OVER (PARTITION BY user_id, first_us ORDER BY us, event_id, k) AS r FROM (
+  SELECT user_id, first_us, v, us, event_id, k FROM (SELECT *, row_number() OVER (PARTITION BY user_id, first_us, v ORDER BY us, event_id, k) AS q FROM (SELECT *, query AS v, 2 AS k FROM m UNION ALL SELECT *, '8.8.' || (user_id % 250) || '.1', 0 FROM m)) WHERE q = 1)) WHERE r <= 10 GROUP BY ALL)
+SELECT b.first_us, b.last_us, b.n AS count, 'u' || b.user_id AS "user", h.host, p.evidence, i.indicators, 'high' AS severity FROM bursts b JOIN h USING (user_id, first_us) JOIN p USING (user_id, first_us) JOIN i USING (user_id, first_us)"""
+)
+def indicators_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A threshold rule through the detector: hosts, evidence and indicators of its alerts."""
+    rule = StateRule({"id": "X", "severity": "high", "type": "threshold", "match": {"kind": "auth_failure"}, "group_by": "user", "count": 3, "window": 24 * HOUR})
+    found = Detector([], [rule]).run(_as_events(spark, sf_dir))
+    return found.select("first_us", "last_us", "count", "user", "host", F.array_join("evidence", "|").alias("evidence"), F.array_join("indicators", "|").alias("indicators"), "severity")
+
+
+@register("""
+WITH g AS (SELECT user_id, event_id % 3 AS h, epoch_us(ts) AS us, event_id AS seq FROM events WHERE event_type = 'purchase' AND value > 100),
+s AS (SELECT *, sum(nb) OVER (PARTITION BY user_id, h ORDER BY us, seq) AS sid FROM (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY user_id, h ORDER BY us, seq) <= 86400::BIGINT * 1000000 THEN 0 ELSE 1 END AS nb FROM g)),
+a AS (SELECT user_id, h, sid, min(us) AS first_us, max(us) AS last_us, count(*) AS n, arg_min(seq, (us, seq)) AS trigger FROM s GROUP BY ALL)
+SELECT row_number() OVER (ORDER BY first_us, trigger) AS ord, first_us, last_us, n AS count, 'u' || user_id AS "user", 'h' || h AS host, 'line ' || trigger AS evidence, 'medium' AS severity, 'Execution' AS tactic, 'T1059.004' AS technique FROM a
+""")
+def event_rule_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule on single events through the detector: hits folded by rule, host, user and address, and numbered."""
+    doc = {"name": "Y", "title": "y", "level": "medium", "tags": ["attack.execution", "attack.t1059.004"], "logsource": {"service": "sudo"}, "detection": {"much": {"bytes|gt": 10000}, "condition": "much"}}
+    sudo = _as_events(spark, sf_dir).where("kind = 'auth_success'").withColumn("kind", F.lit("sudo"))
+    found = Detector([EventRule(doc)], [], cooldown_s=24 * HOUR).run(sudo)
+    return found.select("ord", "first_us", "last_us", "count", "user", "host", F.array_join("evidence", "|").alias("evidence"), "severity", "tactic", "technique")
+
+
+# ---------------------------------------------------------------- joins
 
 
 def _inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -402,23 +597,13 @@ def asset_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(_inventory(spark, sf_dir), "n_nationkey", "left").select("c_custkey", F.col("n_name").alias("asset"), F.coalesce("criticality", F.lit("low")).alias("criticality"))
 
 
-@register("""
-SELECT DISTINCT c_custkey, e FROM (SELECT c_custkey, 'cust:' || lower(c_name) AS e FROM customer UNION ALL SELECT c_custkey, 'segment:' || lower(c_mktsegment) FROM customer
-UNION ALL SELECT c_custkey, 'nation:' || lower(n_name) FROM customer JOIN nation ON c_nationkey = n_nationkey)
-""")
-def entity_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    name = lambda kind, col: F.when(F.col(col).isNotNull(), F.concat(F.lit(kind + ":"), F.lower(col)))
-    return c.select("c_custkey", F.explode(F.array_compact(F.array(name("cust", "c_name"), name("segment", "c_mktsegment"), name("nation", "n_name")))).alias("e")).distinct()
-
-
 @register(r"""
-WITH f AS (SELECT DISTINCT lower(w) AS key FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark) WHERE length(w) >= 8),
-d AS (SELECT DISTINCT doc_id, lower(w) AS key FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents) WHERE length(w) >= 8)
+WITH f AS (SELECT DISTINCT lower(w) AS key FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark) WHERE w <> ''),
+d AS (SELECT DISTINCT doc_id, lower(w) AS key FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents) WHERE w <> '')
 SELECT doc_id, count(*) AS hits FROM d JOIN f USING (key) GROUP BY doc_id
 """)
 def intel_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of the benchmark as a feed of indicators."""
-    words = lambda t, *keep: t.select(*keep, F.explode(F.split("text", " ")).alias("w")).where("length(w) >= 8").select(*keep, F.lower("w").alias("key")).distinct()
+    words = lambda t, *keep: t.select(*keep, F.explode(F.split("text", " ")).alias("w")).where("w <> ''").select(*keep, F.lower("w").alias("key")).distinct()
     feed = words(table(spark, sf_dir, "benchmark"))
     return words(table(spark, sf_dir, "documents"), "doc_id").join(feed, "key").groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"))

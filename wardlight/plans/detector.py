@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.fields import canonical, resolve
 from ..functions.net import is_public
 from ..operators.bursts import SECOND, bursts
+from ..operators.correlation import ranked
 from ..operators.lineage import cut
 from ..operators.sequences import beacons, sequences
 from ..operators.sessions import sessions
@@ -126,12 +127,11 @@ def state_alerts(events: DataFrame, rule: StateRule, no: int, lists: dict[str, l
 
 
 def numbered(alerts: DataFrame) -> DataFrame:
-    """Adds ``ord`` and ``id``.  Alerts are few beside events; their order is total, so ids don't depend on the run."""
+    """Adds ``ord`` and ``id``.  Their order is total, so ids don't depend on the run."""
     rank = F.element_at(F.create_map(*[F.lit(x) for i, s in enumerate(SEVERITIES) for x in (s, i)]), F.col("severity"))
     two = lambda a, b: F.when(F.col("stage") == 0, a).otherwise(b)
-    order = [F.col("first_us"), rank.desc(), F.col("stage"), two(F.col("trigger_seq"), F.col("rule_no").cast("long")), two(F.col("rule_no").cast("long"), F.col("trigger_seq"))]
-    n = F.row_number().over(Window.orderBy(*order))
-    return alerts.withColumn("ord", n.cast("long")).withColumn("id", F.format_string("ALR-%04d", "ord"))
+    order = [F.col("first_us"), -rank, F.col("stage"), two(F.col("trigger_seq"), F.col("rule_no").cast("long")), two(F.col("rule_no").cast("long"), F.col("trigger_seq"))]
+    return ranked(alerts, "ord", *order).withColumn("id", F.format_string("ALR-%04d", "ord"))
 
 
 class Detector:

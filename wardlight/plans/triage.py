@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from datetime import datetime
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import correlation
@@ -35,8 +35,8 @@ def triage(spark: SparkSession, events: DataFrame, detector: Detector, assets: D
     alerts = cut(detector.run(events))
     members = cut(correlation.correlate(alerts, assets, gap_s))
     found = correlation.incidents(members, assets, intel)
-    n = F.row_number().over(Window.orderBy("first_us", "incident"))  # incidents are few
-    return members, found.withColumn("id", F.format_string("INC-%03d", n))
+    found = correlation.ranked(found, "_n", F.col("first_us"), F.col("incident"))
+    return members, found.withColumn("id", F.format_string("INC-%03d", "_n")).drop("_n")
 
 
 def run(spark: SparkSession, folder: str, year: int | None = None, now: datetime | None = None, env: str | None = None, intel: str | None = None, rules: str | None = None, sigma: str | None = None, gap_s: float = correlation.GAP_S) -> Result:
