@@ -114,3 +114,48 @@ def test_components(spark):
         for a, b in edges:
             label[a] = label[b] = min(label[a], label[b])
     assert all(got.get(n, n) == x for n, x in label.items())
+
+
+@pytest.mark.parametrize("gap_s", [3, 40])
+def test_alerts_apart_in_long_sessions(spark, gap_s):
+    """One busy key whose hits never pause, and keys with few."""
+    from wardlight.operators.sequences import apart
+
+    r = random.Random(gap_s)
+    hits = [("busy", t * 1_000_000 + r.choice([0, 0, 500_000]), i, i, 1) for i, t in enumerate(sorted(r.randrange(600) for _ in range(900)))]
+    hits += [(f"k{i % 30}", r.randrange(600) * 1_000_000, 1000 + i, i, 1) for i in range(90)]
+    df = spark.createDataFrame(hits, "k string, us long, seq long, first_us long, n long").repartition(3)
+    got = sorted((x["k"], x["us"], x["seq"]) for x in apart(df, ["k"], gap_s * 1_000_000).collect())
+    want, last = [], {}
+    for k, us, seq, *_ in sorted(hits):
+        if us - last.get(k, -(10**12)) > gap_s * 1_000_000:
+            last[k] = us
+            want.append((k, us, seq))
+    assert got == sorted(want) and sum(k == "busy" for k, *_ in got) > 10
+
+
+def test_detector_with_one_busy_key(spark):
+    """A key with nine tenths of the rows: each alert has the rows of its own burst or window, and missing fields count as empty."""
+    from pyspark.sql import functions as F
+
+    from wardlight.plans.detector import Detector
+    from wardlight.plans.rules import EventRule, StateRule
+
+    rows = [("auth_failure" if i % 3 else "auth_success", 1_000_000 * (i + 100 * (i // 50)), i, None, f"u{i % 7}", "8.8.8.8" if i % 10 else f"9.9.9.{i % 50}", None, 0, None, f"line {i}", None, None, None) for i in range(1500)]
+    events = spark.createDataFrame(rows, "kind string, us long, seq long, host string, user string, src_ip string, dst_ip string, dst_port int, query string, raw string, source string, command string, bytes long").repartition(5)
+    rules = [
+        StateRule({"id": "A", "type": "threshold", "match": {"kind": "auth_failure"}, "count": 20, "window": 60}), StateRule({"id": "B", "type": "distinct", "distinct": "user", "match": {"kind": "auth_failure"}, "count": 5, "window": 20}),
+        StateRule({"id": "C", "type": "sequence", "match": {"kind": "auth_success"}, "preceded_by": {"match": {"kind": "auth_failure"}, "count": 5}, "window": 30}),
+    ]
+    single = [EventRule({"name": "D", "logsource": {"service": "sudo"}, "detection": {"x": {"command": None}, "condition": "x"}})]
+    both = events.union(events.where("seq = 7").withColumns({"kind": F.lit("sudo"), "seq": F.lit(9999).cast("long"), "src_ip": F.lit(None).cast("string")}))
+    got = Detector(single, rules).run(both).collect()
+    assert sum(x["rule_id"] == "D" for x in got) == 1
+    busy = [(x[1], x[2], x[0], x[4]) for x in sorted(rows, key=lambda x: (x[1], x[2])) if x[5] == "8.8.8.8"]
+    for x in got:
+        if x["src_ip"] == "8.8.8.8" and x["rule_id"] != "D":
+            inside = [b for b in busy if x["first_us"] <= b[0] <= x["last_us"]]
+            fails = sum(k == "auth_failure" for *_, k, _ in inside)
+            assert x["count"] == (fails + 1 if x["rule_id"] == "C" else fails) and len(x["evidence"]) == 3, x
+    assert {x["rule_id"] for x in got if x["src_ip"] == "8.8.8.8"} == {"A", "B", "C"}
+    assert sum(x["rule_id"] == "A" and x["src_ip"] == "8.8.8.8" for x in got) == 30

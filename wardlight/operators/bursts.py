@@ -30,22 +30,36 @@ def metric_rows(df: DataFrame, keys: list[str], window_us: int, metric: str = "c
         rows = rows.withColumn("_cs", running).withColumn("_cb", running - v)
         amount = F.col("_cs") - F.min("_cb").over(r)
     elif metric == "distinct":
-        # a row counts if its value was not seen since the window's first row, so peers of equal time that come later don't
-        seen = F.collect_set(F.struct(F.col(value).alias("x"), F.col("_rn").alias("rn"))).over(r)
-        amount = F.size(F.array_distinct(F.transform(F.filter(seen, lambda s: (s["rn"] <= F.col("_rn")) & s["x"].isNotNull()), lambda s: s["x"])))
+        return _distinct_rows(rows.drop("_rn"), keys, window_us, value)
     else:
         raise ValueError(f"unknown metric {metric}")
     return rows.withColumn("metric", amount).withColumn("first", first).where("not _past").drop("_b", "_past", "_rn", "_cs", "_cb")
 
 
+def _distinct_rows(rows: DataFrame, keys: list[str], window_us: int, value: str) -> DataFrame:
+    """A value is there from a row that has it until a window after the last one before a pause of more than a window: its first row adds one
+    to the count, and a row of its own a window after its last takes one away."""
+    here = F.struct("us", "seq")
+    rows = rows.withColumn("first", F.min(here).over(ranged(keys, window_us)))
+    of = Window.partitionBy(*keys, "_b", value).orderBy("us", "seq")
+    known = F.col(value).isNotNull()
+    comes = known & F.coalesce(F.col("us") - F.lag("us").over(of) > window_us, F.lit(True))
+    goes = known & F.coalesce(F.lead("us").over(of) - F.col("us") > window_us, F.lit(True))
+    change = lambda us, place, by: F.struct(us.alias("us"), F.lit(place).alias("place"), by.alias("by"))
+    changes = F.array(change(F.col("us"), 1, F.col("_comes").cast("int")), F.when(F.col("_goes"), change(F.col("us") + window_us + 1, 0, F.lit(-1))))
+    rows = rows.withColumns({"_comes": comes, "_goes": goes}).withColumn("_c", F.explode(F.array_compact(changes)))
+    count = F.sum("_c.by").over(Window.partitionBy(*keys, "_b").orderBy("_c.us", "_c.place", "seq").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("metric", count).where("_c.place = 1 and not _past").drop("_b", "_past", "_c", "_comes", "_goes")
+
+
 def bursts(df: DataFrame, keys: list[str], need, window_s: float, metric: str = "count", value: str | None = None) -> DataFrame:
     """One row a burst: keys, sid, first_us, first_seq, trigger_us, trigger_seq, last_us, n.
 
-    df has us (microseconds), seq (breaks ties) and the keys; rows with a null key don't count.  A sum starts at the
-    latest row from which it still reaches ``need``; its values must not be negative.
+    df has us (microseconds), seq (breaks ties) and the keys, or is the rows of ``sessions`` for a gap of the window; rows with a null key
+    don't count.  A sum starts at the latest row from which it still reaches ``need``; its values must not be negative.
     """
     gap = int(window_s * SECOND)
-    rows = sessions(df, keys, gap)
+    rows = df if "sid" in df.columns else sessions(df, keys, gap)
     found = metric_rows(rows, [*keys, "sid"] if metric == "distinct" else keys, gap, metric, value)
     group = [*keys, "sid"]
     fired = found.where(F.col("metric") >= need).groupBy(*group).agg(F.min(F.struct("us", "seq", "first")).alias("t"))

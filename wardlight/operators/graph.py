@@ -1,4 +1,4 @@
-"""Connected components by rounds of joins, for graphs whose nodes are longs."""
+"""Connected components and chains by rounds of joins; nodes are of any type that has an order."""
 
 from __future__ import annotations
 
@@ -27,3 +27,18 @@ def components(edges: DataFrame) -> DataFrame:
         labels = after.select("node", "label")
         if not fell:
             return labels
+
+
+def chains(heads: DataFrame, following: DataFrame) -> DataFrame:
+    """``node`` of the heads and of all that follow them, for ``following`` of ``node`` and ``next`` (one next at most).
+
+    Each round adds what lies one jump on and doubles the jump, so a chain of n nodes ends after about log n rounds.
+    """
+    reached, jump = cut(heads.select("node")), cut(following.where("next is not null").select("node", "next"))
+    while True:
+        ahead = cut(reached.join(jump, "node").select(F.col("next").alias("node")).distinct().join(reached, "node", "left_anti"))
+        if not ahead.limit(1).count():
+            return reached
+        reached = cut(reached.union(ahead))
+        onward = jump.select(F.col("node").alias("next"), F.col("next").alias("further"))
+        jump = cut(jump.join(onward, "next").select("node", F.col("further").alias("next")))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bursts import SECOND
+from .graph import chains
+from .lineage import cut
 from .sessions import sessions
 from .trailing import ordered, ranged, with_past
 
@@ -25,13 +27,29 @@ def sequences(df: DataFrame, keys: list[str], need: int, window_s: float) -> Dat
     r = ranged(keys, gap)
     rows = rows.withColumn("_n", F.col("_cp") - F.min(F.col("_cp") - F.col("_p")).over(r)).withColumn("first_us", F.min(F.when(F.col("_p") == 1, F.col("us"))).over(r))
     hits = rows.where((F.col("_p") == 0) & ~F.col("_past") & (F.col("_n") >= need)).select(*keys, "us", "seq", "first_us", (F.col("_n") + 1).alias("n"))
-    # quiet times end at gaps longer than the window, so a session of triggers is folded on its own
-    group = sessions(hits, keys, gap).groupBy(*keys, "sid").agg(F.array_sort(F.collect_list(F.struct("us", "seq", "first_us", "n"))).alias("t"))
-    one = "struct<us:bigint,seq:bigint,first_us:bigint,n:bigint>"
-    fold = F.expr(
-        f"aggregate(cast(t as array<{one}>), cast(array() as array<{one}>), (acc, x) -> if(size(acc) = 0 or x.us - element_at(acc, -1).us > {gap}, array_append(acc, x), acc))"
-    )
-    return group.select(*keys, F.explode(fold).alias("a")).select(*keys, "a.*")
+    return apart(hits, keys, gap)
+
+
+def apart(hits: DataFrame, keys: list[str], gap: int) -> DataFrame:
+    """Of each key's rows the first, and then always the first more than ``gap`` after the last one chosen.
+
+    The first of a session of rows is always chosen.  Only in sessions longer than the gap others may be: there each row points to the first more than
+    a gap behind it, which is less than two gaps away, and the chains from the sessions' first rows are followed.
+    """
+    rows = cut(sessions(hits, keys, gap))
+    here = F.struct("us", "seq")
+    head = here == F.col("sid")
+    long = rows.groupBy(*keys, "sid").agg(F.max("us").alias("_last")).where(F.col("_last") - F.col("sid.us") > gap).drop("_last")
+    inside = cut(rows.join(long, [*keys, "sid"], "left_semi"))
+    if not inside.limit(1).count():
+        return rows.where(head).drop("sid")
+    node = F.struct(*keys, "us", "seq")
+    # rows are sent to their own bucket and, as what follows, to the one before
+    later = with_past(inside.withColumn("_us", -F.col("us")), 2 * gap + 1, "_us")
+    behind = Window.partitionBy(*keys, "sid", "_b").orderBy("us").rangeBetween(gap + 1, Window.unboundedFollowing)
+    following = later.withColumn("next", F.min(node).over(behind)).where("not _past").select(node.alias("node"), "next")
+    chosen = chains(inside.where(head).select(node.alias("node")), following)
+    return rows.where(head).drop("sid").union(rows.where(~head).withColumn("node", node).join(chosen, "node", "left_semi").drop("node", "sid").select(*[c for c in rows.columns if c != "sid"]))
 
 
 def beacons(df: DataFrame, keys: list[str], need: int, window_s: float, jitter: float = 0.25, least_s: float = 5, most_s: float = 900) -> DataFrame:

@@ -13,7 +13,7 @@ from ..operators.bursts import SECOND, bursts
 from ..operators.correlation import ranked
 from ..operators.lineage import cut
 from ..operators.sequences import beacons, sequences
-from ..operators.sessions import sessions
+from ..operators.sessions import bucket, sessions
 from .rules import SEVERITIES, EventRule, StateRule
 
 COOLDOWN_S = 300
@@ -99,7 +99,10 @@ def state_alerts(events: DataFrame, rule: StateRule, no: int, lists: dict[str, l
         need = int((rule.doc.get("preceded_by") or {}).get("count", 1))
         found = cut(sequences(rows, ["g"], need, rule.window)).withColumnsRenamed({"us": "last_us", "seq": "trigger_seq"}).withColumn("description", F.lit(""))
         group = ["g", "trigger_seq"]
-        chain = rows.select("g", "is_prior", *keep).join(found.select("g", "trigger_seq", "last_us", F.col("first_us").alias("from_us")), "g")
+        # an alert reaches back one window at most: its own bucket of that width and the one before
+        near = bucket(F.col("last_us"), max(window, 1))
+        reach = found.select("g", "trigger_seq", "last_us", F.col("first_us").alias("from_us"), F.explode(F.array(near, near - 1)).alias("_b"))
+        chain = rows.select("g", "is_prior", *keep, bucket(F.col("us"), max(window, 1)).alias("_b")).join(reach, ["g", "_b"]).drop("_b")
         before = F.col("is_prior") & (F.col("us") >= F.col("from_us")) & (here < F.struct(F.col("last_us").alias("us"), F.col("trigger_seq").alias("seq")))
         members = chain.where(before | (F.col("seq") == F.col("trigger_seq")))
         back = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("us"), F.desc("seq")))
@@ -107,12 +110,12 @@ def state_alerts(events: DataFrame, rule: StateRule, no: int, lists: dict[str, l
     else:
         metric, name = rule.metric
         value = resolve(name, events.columns) if name else F.lit(None).cast("string")
-        rows = events.where(accept).withColumns({"g": key, "x": F.coalesce(value.try_cast("long"), F.lit(0)) if metric == "sum" else value.cast("string")}).where("g <> ''").select("g", "x", *keep)
+        rows = sessions(events.where(accept).withColumns({"g": key, "x": F.coalesce(value.try_cast("long"), F.lit(0)) if metric == "sum" else value.cast("string")}).where("g <> ''").select("g", "x", *keep), ["g"], window)
         found = cut(bursts(rows, ["g"], int(rule.count), rule.window, metric, "x")).withColumn("description", F.lit(""))
         group = ["g", "first_us", "first_seq"]
-        span = found.select("g", "first_us", "first_seq", "last_us", F.struct(F.col("trigger_us").alias("us"), F.col("trigger_seq").alias("seq")).alias("trigger"))
+        span = found.select("g", "sid", "first_us", "first_seq", "last_us", F.struct(F.col("trigger_us").alias("us"), F.col("trigger_seq").alias("seq")).alias("trigger"))
         start = F.struct(F.col("first_us").alias("us"), F.col("first_seq").alias("seq"))
-        members = rows.join(span, "g").where((here >= start) & (F.col("us") <= F.col("last_us")))
+        members = rows.join(span, ["g", "sid"]).where((here >= start) & (F.col("us") <= F.col("last_us")))
         shown = members.where(here <= F.col("trigger"))
     proof = _first_of(shown.withColumn("evidence", evidence_of(F.col("raw"))), group, EVIDENCE, "evidence", F.col("us"), F.col("seq"))
     out = found.join(_describe(members, group), group).join(proof, group, "left")
