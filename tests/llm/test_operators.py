@@ -157,6 +157,111 @@ def test_trees():
     assert np.allclose(trees.forest(x[:0], y[:0]).total(x), 0.5)
 
 
+def leaf_of(model, root, x):
+    """One row down one tree, step by step."""
+    k = root
+    while model.feature[k] >= 0:
+        k = model.left[k] if x[model.feature[k]] <= model.threshold[k] else model.right[k]
+    return model.value[k]
+
+
+def test_trees_row_by_row():
+    r = np.random.default_rng(3)
+    x, y = r.normal(size=(500, 5)), r.integers(0, 2, 500).astype(float)
+    for model in (trees.boost(x, y, trees=7), trees.forest(x, y, trees=7)):
+        some = r.normal(size=(200, 5))
+        assert np.allclose(model.total(some), [model.base + sum(leaf_of(model, root, v) for root in model.roots) for v in some])
+
+
+@pytest.mark.parametrize("ridge", [1.0, 1e-9])
+def test_trees_split_as_an_exhaustive_search(ridge):
+    """The root's split is the best of all features and cuts, by the gain from sums over rows."""
+    for seed in range(8):
+        r = np.random.default_rng(seed)
+        x, grad, hess = np.round(r.normal(size=(120, 4)), 1), r.normal(size=120), r.uniform(0.5, 1, 120)
+        bins, model = trees.Bins(x), trees.Model()
+        got = trees.grow(model, bins, grad, hess, 1, 1.0, ridge, 1.0)
+        part = lambda rows: grad[rows].sum() ** 2 / (hess[rows].sum() + ridge)
+        best = max((part(x[:, f] <= c) + part(x[:, f] > c) - part(np.ones(120, bool)), -f, -c) for f in range(4) for c in bins.cuts[f] if hess[x[:, f] <= c].sum() >= 1 and hess[x[:, f] > c].sum() >= 1)
+        left = x[:, model.feature[0]] <= model.threshold[0]
+        assert np.isclose(part(left) + part(~left) - part(np.ones(120, bool)), best[0])
+        assert np.allclose(got, np.where(left, grad[left].sum() / (hess[left].sum() + ridge), grad[~left].sum() / (hess[~left].sum() + ridge)))
+
+
+def test_quality_scores_are_those_of_single_texts(spark, docs):
+    """The query's scores, from whole batches, equal scores of one text at a time, tree by tree."""
+    d, marks = labelled(spark)
+    from pyspark.sql import functions as F
+
+    model = quality_model.train(d, marks, F.lit(True))
+    for r in quality_model.score(docs, model).collect():
+        x = quality_model.statistics(pa.array([r["text"] or ""]))[0]
+        assert np.isclose(r["score"], 1 / (1 + np.exp(-np.clip(model.base + sum(leaf_of(model, k, x) for k in model.roots), -40, 40))))
+
+
+def brute_label_model(v, rounds):
+    """The same expectation-maximisation by densities of rows and sums over rows."""
+    p = [1 / (1 + np.exp(-2.0 * (sum(x > 0) - 1.5))) for x in v]
+    for _ in range(rounds):
+        w = [sum(1 - q for q in p) + 1e-3, sum(p) + 1e-3]
+        mean = [sum((1 - q) * x for q, x in zip(p, v, strict=True)) / w[0], sum(q * x for q, x in zip(p, v, strict=True)) / w[1]]
+        cov = sum((q if c else 1 - q) * np.outer(x - mean[c], x - mean[c]) for q, x in zip(p, v, strict=True) for c in (0, 1)) / len(v) + 0.05 * np.eye(v.shape[1])
+        inv = np.linalg.inv(cov)
+        log = [[np.log(w[c]) - 0.5 * (x - mean[c]) @ inv @ (x - mean[c]) for c in (0, 1)] for x in v]
+        p = [1 / (1 + np.exp(a - b)) for a, b in log]
+    return np.array(p)
+
+
+def test_label_model():
+    r = np.random.default_rng(8)
+    y = r.random(300) < 0.3
+    noisy = lambda right: np.where(r.random(300) < right, np.where(y, 1.0, -1.0), np.where(r.random(300) < 0.5, 0.0, np.where(y, -1.0, 1.0)))
+    good, poor = noisy(0.9), noisy(0.6)
+    v = np.stack([good, good, poor, noisy(0.8), noisy(0.7)], axis=1)  # the second voter only repeats the first
+    for n in (1, 2, 6):
+        assert np.allclose(toxicity.label_model(v, n), brute_label_model(v, n), atol=1e-3)
+    assert (toxicity.label_model(v) > 0.5).tolist() == y.tolist() or np.mean((toxicity.label_model(v) > 0.5) == y) > 0.93
+    assert len(toxicity.label_model(v[:0])) == 0
+
+
+def test_toxicity_scores_are_those_of_single_texts(spark, docs):
+    """The query's scores equal sums over the terms of one text, looked up one by one."""
+    import re
+
+    d, marks = labelled(spark)
+    from pyspark.sql import functions as F
+
+    model = toxicity.train(d, marks, F.lit(True))
+    assert 0 < model.lexicon.size <= toxicity.TERMS
+    places = {(k, t): p for k, (names, at) in model.lexicon.by_kind.items() for t, p in zip(names.to_pylist(), at.tolist(), strict=True)}
+    texts = [r["text"] for r in d.limit(60).collect()] + [t or "" for _, t, *_ in rows()]
+    got = model.score(pa.array(texts))
+    import regex
+
+    for t, s in zip(texts, got, strict=True):
+        counts = {}
+        for w in re.split("\x00", regex.sub(r"[^\p{L}]+", "\x00", t.lower())):
+            for k in toxicity.KINDS:
+                p = places.get((k, w if k == 0 else w[:k] if len(w) > k else None)) if w else None
+                if p is not None:
+                    counts[p] = counts.get(p, 0) + 1
+        x = np.log1p(np.array(list(counts.values()), float))
+        z = model.weights[-1] + sum(a * model.weights[p] for a, p in zip(x / np.sqrt((x * x).sum() + 1e-9), counts, strict=True))
+        assert np.isclose(s, 1 / (1 + np.exp(-np.clip(z, -40, 40))), atol=1e-9), t[:60]
+
+
+def test_samples_are_bounded_by_ids(spark):
+    """Rows that repeat an id, with any texts, don't widen the sample."""
+    from pyspark.sql import functions as F
+
+    from wardlight.llm.labelled import sample
+
+    d = spark.createDataFrame([(i % 4, f"text {i % 6}") for i in range(400)] + [(None, "x"), (5, None)], "doc_id long, text string")
+    marks = spark.createDataFrame([(0, 1), (0, 0), (1, 0), (2, None), (5, 1), (9, 1), (None, 1)], "doc_id long, toxic int")
+    assert sorted((r["doc_id"], r["label"]) for r in sample(d, marks, "toxic", F.col("doc_id") != 1).collect()) == [(0, 1), (5, 1)]
+    assert sample(d, marks, "toxic", F.lit(True), size=1).count() <= 1
+
+
 def brute_phrases(data):
     known, start = set(), 0
     for end in range(1, len(data) + 1):
@@ -338,6 +443,36 @@ def test_secret_scan_of_passwords(docs, spark):
     assert secret_scan._merged([(0, 9), (2, 4), (8, 12), (12, 13)]) == [(0, 12), (12, 13)]
 
 
+def planted(n, seed):
+    """Findings of several kinds, each with its own truth, not by the rule that default findings are made by."""
+    r = random.Random(seed)
+    pick = lambda letters, k: "".join(r.choice(letters) for _ in range(k))
+    mixed, hexed = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "0123456789abcdef"
+    yes = [
+        lambda: ('client_secret: "{}"', pick(mixed, 32)), lambda: ("export AWS_SECRET_ACCESS_KEY={}", pick(mixed + "/+", 40)), lambda: ("deployed with {} yesterday", "AKIA" + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16)), lambda: ("curl -H 'Authorization: Bearer {}'", pick(mixed, 40)),
+        lambda: ("git clone using {} please", "ghp_" + pick(mixed, 36)), lambda: ("db_password = '{}'", pick(mixed + "!@#%", 14)), lambda: ('"api_key": "{}",', pick(hexed, 32)), lambda: ("https://h.example/cb?access_token={}&x=1", pick(mixed, 30)),
+    ]
+    no = [
+        lambda: ("fixed in commit {} last week", pick(hexed, 40)), lambda: ("sha256: {}", pick(hexed, 64)), lambda: ("request id {} failed", "-".join(pick(hexed, k) for k in (8, 4, 4, 4, 12))), lambda: ("see /usr/lib/{} there", f"python3/dist-packages-{r.randrange(99)}/module"),
+        lambda: ("image https://cdn.example/{}.png shown", pick(hexed, 32)), lambda: ("order {} shipped", pick("0123456789", 18)), lambda: ("etag: {}", pick(hexed, 32)), lambda: ("the password: {} by policy", r.choice(["required", "changed", "expired", "optional"])), lambda: ("chapter {} follows", f"section-{r.randrange(99)}-of-the-long-handbook"),
+    ]
+    return [(label, *r.choice(kinds)()) for _ in range(n) for label, kinds in ((1, yes), (0, no))]
+
+
+def test_secret_scan_on_planted_findings(docs, spark):
+    """Recall and precision where the truth is known; README quotes them."""
+    data = [(i, f"{prose(6, i)} {form.format(s)} {prose(6, i + 1)}", s, label) for i, (label, form, s) in enumerate(planted(150, 77))]
+    d = spark.createDataFrame([x[:2] for x in data], "doc_id long, text string")
+    scanner = secret_scan.train(docs.select("doc_id", "text"))  # the planted texts are none that it has seen
+    flagged = {}
+    for r in secret_scan.findings(d, scanner).where("secret").collect():
+        flagged.setdefault(r["doc_id"], []).append(data[r["doc_id"]][1][r["start"] : r["start"] + r["length"]])
+    hit = sum(any(s in f or f in s for f in flagged.get(i, [])) for i, _, s, label in data if label)
+    false = sum(i in flagged for i, _, s, label in data if not label)
+    print(f"recall {hit}/150, false alarms {false}/150")
+    assert hit >= 0.9 * 150 and false <= 0.1 * 150
+
+
 def test_secret_scan_dictionary_counts_all_documents(spark, empty):
     import re
     from collections import Counter

@@ -70,7 +70,8 @@ def plan(docs: DataFrame) -> DataFrame:
         size(F.col("text").cast("string")).alias("size"),
     )
     order = [F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id").asc_nulls_first(), F.col("tie")]
-    dealt = rows.repartitionByRange(T.partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    # kept before they are dealt by ranges, which reads its input twice: texts are looked at once
+    dealt = T.cut(rows).repartitionByRange(T.partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
     dealt = T.cut(dealt.withColumn("at", F.monotonically_increasing_id()))  # partition above bit 33, place in it below
     part = F.shiftright("at", 33)
     # one row for each range and source in it: the ranks before it, and the source's target

@@ -44,9 +44,10 @@ ASSIGNED = 6
 THRESHOLD = 0.5
 AROUND = 48
 REPLACEMENT = "[SECRET]"
-#: Names that secrets are assigned to, and words beside harmless identifiers.
+#: Names that secrets are assigned to, words of pass phrases, beginnings that issuers of keys give them, and words beside harmless identifiers.
 NAMES = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "access_key", "private_key", "auth", "bearer", "credential", "key")
 PLAIN = ("correct", "required", "battery", "missing", "copper", "window", "unknown", "planet", "optional", "garden", "string", "yellow", "invalid", "river", "changed", "purple", "monkey", "expired", "silver", "market")
+KNOWN_FORMS = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "ghs_", "glpat-", "npm_", "xoxb-", "xoxp-", "sk_live_", "sk_test_", "rk_live_", "eyJ")
 HARMLESS = ("commit", "sha", "sha1", "sha256", "md5", "checksum", "hash", "digest", "uuid", "guid", "id", "revision", "build", "version", "example", "etag", "isbn", "phone", "card")
 _ASSIGN = rf"(?:{'|'.join(NAMES)})[A-Za-z0-9_\-]{{0,32}}[\"'`]?[ \t]*(?::=|=>|[:=])"
 #: Quoted, from a quote to white space, or bare up to white space, the next ``&name=``, a quote that closes, or a comma or semicolon at its end.
@@ -61,7 +62,7 @@ _BEFORE = re.compile(r"([A-Za-z_][A-Za-z0-9_]*)\W{0,8}$")
 
 FEATURES = (
     "length", "transitions", "digits", "upper", "lower", "other", "hex", "entropy", "longest_run", "distinct", "vowels", "dictionary",
-    "in_path", "in_address", "file_ending", "quoted", "assigned", "named", "name_near", "harmless", "harmless_near", "only_digits", "dashes",
+    "in_path", "in_address", "file_ending", "quoted", "assigned", "named", "name_near", "harmless", "harmless_near", "only_digits", "dashes", "known_form",
 )
 
 
@@ -97,7 +98,7 @@ def features(text: str, start: int, end: int, dictionary: frozenset[str]) -> lis
         float(-(p * np.log2(p)).sum()), max(np.diff([0, *runs, n])) / n, len(counts) / n, sum(c in "aeiouAEIOU" for c in s) / n, coverage(s, dictionary),
         float(s.count("/") > 1 or before.endswith(("/", "\\", "."))), float("://" in before[-24:] or "@" in before[-2:] or after.startswith("@")), float(bool(re.match(r"\.[a-z]{2,4}\b", after))),
         float(before.endswith(('"', "'", "`"))), float(left.endswith(("=", ":")) or left.rstrip("\"'`").rstrip().endswith(("=", ":"))),
-        float(any(k in name for k in NAMES)), float(any(k in w for w in near for k in NAMES)), float(name in HARMLESS), float(any(w in HARMLESS for w in near)), float(s.isdigit()), float(s.count("-")),
+        float(any(k in name for k in NAMES)), float(any(k in w for w in near for k in NAMES)), float(name in HARMLESS), float(any(w in HARMLESS for w in near)), float(s.isdigit()), float(s.count("-")), float(s.startswith(KNOWN_FORMS)),
     ]
 
 
@@ -145,7 +146,9 @@ class Scanner:
 
 
 def _label(before: str, s: str) -> int | None:
-    """1 if assigned to the name of a secret; words there may be a pass phrase or prose, so only short ones are taken, as prose."""
+    """1 if of a known form, or assigned to the name of a secret; words there may be a pass phrase or prose, so only short ones are taken, as prose."""
+    if s.startswith(KNOWN_FORMS) and _CANDIDATE.fullmatch(s):
+        return 1
     m = _BEFORE.search(before)
     if not m or not any(k in m.group(1).lower() for k in NAMES) or s.isdigit():
         return 0
@@ -181,6 +184,10 @@ def default_findings(texts: pd.Series) -> pd.DataFrame:
         add(("", "export ", "--", "?", "&")[i % 5] + (name, name.upper())[i // 5 % 2] + "=", (raw, hexed)[i // 2 % 2], ("\n", " ", "&page=2")[i % 3], 1)
         add(("", "?", "&")[i % 3] + (other, other.upper())[i // 3 % 2] + "=", (hexed, raw)[i // 2 % 2], ("\n", " ", "&page=2")[i % 3], 0)
         add("/usr/share/", "-".join(["module", "chapter", "section"][: 2 + i % 2]) + f"-{i}-readable-name", "/index.html", 0)
+        add(("", "using ", "see ", "- ")[i % 4], KNOWN_FORMS[i % len(KNOWN_FORMS)] + raw, ("\n", " then", ", and")[i % 3], 1)
+        dashed = "-".join(hexed[a:b] for a, b in ((0, 8), (8, 12), (12, 16), (16, 20), (20, 32)))
+        add(("id ", "uuid: ", "item ", "")[i % 4], dashed, (" of", "\n")[i % 2], 0)
+        add(("", "see ", "at ", "in ")[i % 4], (raw, hexed)[i % 2], (" of it", "\n", ", too")[i % 3], 0)
         add(("card ", "call ", "order no. ")[i % 3], digits, " by then", 0)
         add("as in ", f"section{i}andfollowingpages"[: 16 + i % 10], " of this", 0)
         # passwords of people: short with signs, or words without a space; and what else is assigned to such names
