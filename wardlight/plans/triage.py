@@ -45,11 +45,12 @@ def run(spark: SparkSession, folder: str, year: int | None = None, now: datetime
     environment = context.Environment.load(env)
     assets = environment.assets(spark)
     feed = context.load_intel(spark, intel) if intel else context.no_intel(spark)
-    events, stats = logs.read_directory(spark, folder, year=year or (truth or {}).get("year"), now=now)
-    # parsed once and kept by kind, so that each rule reads the kinds it names
+    rows = logs.read_rows(spark, folder, year=year or (truth or {}).get("year"), now=now)
+    # parsed once and kept by kind, so that each rule reads the kinds it names, and statistics the lines that are none
     kept = scratch(spark, "events")
-    events.write.partitionBy("kind").parquet(kept)
-    events = spark.read.schema(events.schema).parquet(kept)
+    rows.write.partitionBy("ok", "kind").parquet(kept)
+    rows = spark.read.schema(rows.schema).parquet(kept)
+    events, stats = logs.events_of(rows), logs.parse_stats(rows)
     detector = Detector(*load_rules(rules, sigma), environment.lists)
     alerts, incidents = triage(spark, events, detector, assets, feed, gap_s)
     return Result(events, stats, alerts, incidents, assets, truth)

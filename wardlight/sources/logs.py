@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -204,12 +205,19 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def read_directory(spark: SparkSession, folder: str, **options) -> tuple[DataFrame, DataFrame]:
-    """Events of the known files in a folder (absent ones are left out), and parse statistics."""
+def read_rows(spark: SparkSession, folder: str, **options) -> DataFrame:
+    """Lines of the known files in a folder (absent ones are left out), parsed, with ``ok`` and ``at``."""
     found = [parse(read_lines(spark, p), s, **options) for s, f in FILES.items() if exists(spark, p := os.path.join(folder, f))]
     if not found:
         raise FileNotFoundError(f"no log files in {folder}")
-    rows = found[0]
-    for other in found[1:]:
-        rows = rows.unionByName(other)
-    return with_seq(rows.where("ok")).drop("ok", "at"), parse_stats(rows)
+    return reduce(DataFrame.unionByName, found)
+
+
+def events_of(rows: DataFrame) -> DataFrame:
+    return with_seq(rows.where("ok")).drop("ok", "at")
+
+
+def read_directory(spark: SparkSession, folder: str, **options) -> tuple[DataFrame, DataFrame]:
+    """Events of a folder's files, and parse statistics."""
+    rows = read_rows(spark, folder, **options)
+    return events_of(rows), parse_stats(rows)
