@@ -20,6 +20,8 @@ def bucket(us: Column, width: int) -> Column:
 
 def sessions(df: DataFrame, keys: list[str], gap_us: int, start: str = "us", end: str = "us", seq: str = "seq") -> DataFrame:
     """Adds ``sid``, a struct (us, seq) of the session's first row.  Rows are ordered by (start, seq); rows with a null key have no session and go."""
+    if start == end:
+        return sessions_of_points(df, keys, gap_us, start, seq).drop("place")
     width = max(SPREAD * gap_us, 1)
     rows = df.where(" and ".join(f"`{k}` is not null" for k in keys)).withColumn("_b", bucket(F.col(start), width))
     own = Window.partitionBy(*keys, "_b").orderBy(start, seq)
@@ -37,3 +39,22 @@ def sessions(df: DataFrame, keys: list[str], gap_us: int, start: str = "us", end
     rows = carried(rows, F.col("_new"), "_earlier")
     local = F.max("_new").over(own.rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("sid", F.coalesce(local, "_earlier")).drop("_b", "_near", "_far", "_new", "_earlier")
+
+
+def sessions_of_points(df: DataFrame, keys: list[str], gap_us: int, at: str = "us", seq: str = "seq") -> DataFrame:
+    """``sessions`` of rows without length, and ``place``, each row's number in its key.
+
+    What a bucket must know of those before it is the end of the last one, the latest start of a session, and the number of rows; one row a bucket tells all.
+    """
+    rows = df.where(" and ".join(f"`{k}` is not null" for k in keys)).withColumn("_b", bucket(F.col(at), max(SPREAD * gap_us, 1)))
+    own = Window.partitionBy(*keys, "_b").orderBy(at, seq)
+    here = F.struct(F.col(at).alias("us"), F.col(seq).alias("seq"))
+    rows = rows.withColumns({"_new": F.when(F.col(at) - F.lag(at).over(own) > gap_us, here), "place": F.row_number().over(own).cast("long")})
+    rows = rows.withColumn("_start", F.max("_new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    facts = rows.groupBy(*keys, "_b").agg(F.min(here).alias("first"), F.max(at).alias("last"), F.max("_new").alias("new"), F.count(F.lit(1)).alias("n"))
+    by_bucket = Window.partitionBy(*keys).orderBy("_b")
+    earlier = by_bucket.rowsBetween(Window.unboundedPreceding, -1)
+    facts = facts.withColumn("opens", F.when(F.coalesce(F.col("first.us") - F.lag("last").over(by_bucket) > gap_us, F.lit(True)), F.col("first")))
+    facts = facts.select(*keys, "_b", F.coalesce("opens", F.max(F.coalesce("new", "opens")).over(earlier)).alias("_open"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
+    out = rows.join(facts, [*keys, "_b"])
+    return out.withColumns({"sid": F.coalesce("_start", "_open"), "place": F.col("place") + F.col("_before")}).drop("_b", "_new", "_start", "_open", "_before")

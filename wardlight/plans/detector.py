@@ -13,7 +13,7 @@ from ..operators.bursts import SECOND, bursts
 from ..operators.correlation import ranked
 from ..operators.lineage import cut
 from ..operators.sequences import beacons, sequences
-from ..operators.sessions import bucket, sessions
+from ..operators.sessions import bucket, sessions, sessions_of_points
 from .rules import SEVERITIES, EventRule, StateRule
 
 COOLDOWN_S = 300
@@ -110,7 +110,7 @@ def state_alerts(events: DataFrame, rule: StateRule, no: int, lists: dict[str, l
     else:
         metric, name = rule.metric
         value = resolve(name, events.columns) if name else F.lit(None).cast("string")
-        rows = sessions(events.where(accept).withColumns({"g": key, "x": F.coalesce(value.try_cast("long"), F.lit(0)) if metric == "sum" else value.cast("string")}).where("g <> ''").select("g", "x", *keep), ["g"], window)
+        rows = sessions_of_points(events.where(accept).withColumns({"g": key, "x": F.coalesce(value.try_cast("long"), F.lit(0)) if metric == "sum" else value.cast("string")}).where("g <> ''").select("g", "x", *keep), ["g"], window)
         found = cut(bursts(rows, ["g"], int(rule.count), rule.window, metric, "x")).withColumn("description", F.lit(""))
         group = ["g", "first_us", "first_seq"]
         span = found.select("g", "sid", "first_us", "first_seq", "last_us", F.struct(F.col("trigger_us").alias("us"), F.col("trigger_seq").alias("seq")).alias("trigger"))
