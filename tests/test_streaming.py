@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from wardlight.operators.bursts import SECOND, bursts
 from wardlight.operators.sessions import sessions
-from wardlight.streaming.detect import fold_stream, threshold_stream
+from wardlight.streaming.detect import fold_stream, step, threshold_stream
 
 SCHEMA = "ts timestamp, key string"
 
@@ -55,3 +55,18 @@ def test_threshold(spark, tmp_path):
     got = sorted(map(tuple, replay(spark, tmp_path, rows, lambda s: threshold_stream(s, 4, 20, "200 seconds"))))
     df = spark.createDataFrame([(k, int(s) * SECOND, i) for i, (s, k) in enumerate(rows)], "key string, us long, seq long")
     assert got == sorted((r["key"], r["first_us"], r["last_us"], r["n"]) for r in bursts(df, ["key"], 4, 20).collect())
+
+
+def test_steps_in_parts():
+    """However times are cut into steps, bursts are those of one step, and what is kept is bounded by the rule's count."""
+    r = random.Random(9)
+    for need in (1, 2, 5):
+        times = sorted(r.randrange(3000) for _ in range(400))
+        whole = step(times, [], None, need, 15)
+        recent, burst, closed, at = [], None, [], 0
+        while at < len(times):
+            n = r.randrange(1, 40)
+            recent, burst, more = step(times[at : at + n], recent, burst, need, 15)
+            closed, at = closed + more, at + n
+            assert len(recent) <= need
+        assert (burst, closed) == whole[1:] and len(closed) > 3

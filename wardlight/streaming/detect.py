@@ -27,26 +27,31 @@ OUT = "key string, first_us bigint, last_us bigint, n bigint"
 
 
 def step(times: list[int], recent: list[int], burst: tuple[int, int, int] | None, need: int, window_us: int):
-    """Runs sorted times through a threshold rule: the times still in the window, the open burst, and closed ones."""
-    closed = []
-    for t in times:
-        recent = [r for r in recent if t - r <= window_us] + [t]
+    """Runs sorted times through a threshold rule: the times still in the window, the open burst, and closed ones.
+
+    No more than ``need`` times are kept: with so many in the window a burst is open, and it ends only when the window is empty.
+    """
+    closed, seen, left = [], recent + times, 0
+    for at in range(len(recent), len(seen)):
+        t = seen[at]
+        while t - seen[left] > window_us:
+            left += 1
         if burst and t - burst[1] <= window_us:
             burst = (burst[0], t, burst[2] + 1)
             continue
         if burst:
             closed.append(burst)
             burst = None
-        if len(recent) >= need:
-            burst = (recent[0], t, len(recent))
-    return recent, burst, closed
+        if at - left + 1 >= need:
+            burst = (seen[left], t, at - left + 1)
+    return seen[max(left, len(seen) - need) :], burst, closed
 
 
 def threshold_stream(events: DataFrame, need: int, window_s: int, delay: str = "5 minutes") -> DataFrame:
     """Bursts of a threshold rule, each emitted once the watermark is a window past its last event.
 
-    ``events`` has ts (timestamp) and key (string).  State by key: events that the watermark hasn't passed, those in the
-    window, and the open burst; so it is bounded by the window and the delay.  Events behind the watermark are dropped by Spark.
+    ``events`` has ts (timestamp) and key (string).  State by key: events that the watermark hasn't passed, ``need`` of those in
+    the window at most, and the open burst; so it is bounded by the delay.  Events behind the watermark are dropped by Spark.
     """
     window_us = window_s * SECOND
 
