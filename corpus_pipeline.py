@@ -14,27 +14,47 @@ from wardlight.llm.text import scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go.
+
+    Null and empty texts have no words and are rejected; very long ones are judged whole; a row without id is judged like any other; repeated rows
+    stay or go together; an empty table stays empty; further columns, whatever their names, stay as they are.
+    """
     return quality_rules.keep(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays.
+
+    It is one of smallest id, rows without id coming last; of several rows of that id the one whose text has the least hash, and of repeated
+    rows one.  All texts without words are one group.  An empty table stays empty; further columns stay as they are.
+    """
     return simhash.keep_one(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in texts are replaced; every document stays."""
+    """Secrets in texts are replaced; every document stays.
+
+    Null texts stay null and empty ones empty; n_chars, if there and not null, follows the text; repeated rows are changed alike; an empty
+    table stays empty; further columns stay as they are.
+    """
     return secret_scan.redact(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target takes it."""
+    """Each document as often as its source's target takes it, up to twice.
+
+    A null source is one of its own; texts without words have size 0 and sources of such alone give nothing; of rows equal in id, source and
+    text, copies are dealt out over the rows; ties of size go by id, then by the text's hash; an empty table stays empty; further columns stay.
+    """
     return mixing.mix(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, checked by decoding."""
+    """Token ids of each document, checked by decoding.
+
+    Null texts count as empty and have no ids; very long ones are encoded whole; repeated rows each give a row; an empty table gives none;
+    only doc_id is carried on.
+    """
     return bpe.round_trip(docs)
 
 
