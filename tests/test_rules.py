@@ -10,6 +10,7 @@ from wardlight.__main__ import main
 from wardlight.functions.net import PRIVATE, PRIVATE_6, PUBLIC_WITHIN, PUBLIC_WITHIN_6, RESERVED_6, is_public
 from wardlight.functions.predicates import RuleError, condition, leaf, selection
 from wardlight.plans.detector import Detector, indicators_of
+from wardlight.plans.export import to_spark_sql, to_spl
 from wardlight.plans.rules import EventRule, StateRule, load_rules, load_sigma, tactic_of, technique_of
 
 SCHEMA = "host string, user string, dst_ip string, dst_port int, image string, command_line string, uri_query string, status int, bytes long, invalid_user boolean, zero string"
@@ -143,3 +144,33 @@ def test_bundled_rules(spark):
     for bad in ({"id": "x", "type": "other"}, {"id": "x", "type": "beacon", "count": 1}, {"id": "x", "type": "sequence", "preceded_by": {"count": 0}}, {"id": "x", "type": "threshold", "severity": "odd"}):
         with pytest.raises(RuleError):
             StateRule(bad)
+
+
+def test_searches(tmp_path, capsys):
+    rules = {r.id: r for r in load_rules()[0]}
+    text = to_spl(rules["IDT-SG-001"], "winlogs")
+    assert text.startswith("index=winlogs ") and "EventCode=1\n| where " in text and text.endswith("| table _time, host, user, Image, CommandLine")
+    assert r'(like(lower(Image), "%\\powershell.exe") OR like(lower(Image), "%\\pwsh.exe")) AND (like(lower(CommandLine), "% -enc %")' in text
+    assert " AND NOT (" in to_spl(rules["IDT-SG-004"]) and "EventCode=10" in to_spl(rules["IDT-SG-004"])
+    assert all(to_spl(r) for r in rules.values())
+    odd = EventRule({"logsource": {"category": "webserver"}, "detection": {"a": [{"url": "x*y?"}, {"status|gte": 500, "user": None}], "b": {"url|re|all": ["A.c", 'q"']}, "condition": "1 of a or not all of them"}})
+    assert to_spl(odd).split("where ")[1].split("\n")[0] == '((like(lower(url), "x%y_") OR (tonumber(status)>=500 AND (isnull(user) OR user=""))) OR NOT ((like(lower(url), "x%y_") OR (tonumber(status)>=500 AND (isnull(user) OR user=""))) AND (match(url, "(?i)A.c") AND match(url, "(?i)q\\""))))'
+    with pytest.raises(RuleError):
+        to_spl(EventRule({"logsource": {"category": "dns_query"}, "detection": {"a": {"dst_ip|is_public": True}, "condition": "a"}}))
+    (tmp_path / "r.yml").write_text(RULE.format(n=1, level="low"))
+    assert main(["sigma-to-spl", "--rule", str(tmp_path / "r.yml"), "--index", "i"]) == 0 and capsys.readouterr().out.startswith("index=i ")
+
+
+def test_conditions_as_spark_sql(spark):
+    """The text finds the rows that the column finds."""
+    from wardlight.functions.fields import EVENT
+
+    rows = spark.createDataFrame([], EVENT)
+    made = [{"kind": "process_create", "image": r"C:\w\pwsh.exe", "command_line": "x -w hidden"}, {"kind": "process_create", "image": r"C:\w\pwsh.exe"}, {"kind": "process_access", "target_image": r"C:\lsass.exe", "granted_access": "0x1010"}, {"kind": "http_request", "url": "/a?q=' OR 1=1"}, {"kind": "dns_query", "query": "a.TOP"}]
+    events = spark.createDataFrame([tuple(m.get(c) for c in rows.columns) for m in made], rows.schema)
+    hits = 0
+    for rule in load_rules()[0]:
+        want = [bool(x[0]) for x in events.select(F.coalesce(rule.column({}, rows.columns), F.lit(False))).collect()]
+        assert [x[0] for x in events.select(F.expr(to_spark_sql(rule, spark))).collect()] == want
+        hits += sum(want)
+    assert hits == 4

@@ -1,4 +1,4 @@
-"""python -m wardlight detect | evaluate | rules"""
+"""python -m wardlight detect | evaluate | rules | sigma-to-spl"""
 
 from __future__ import annotations
 
@@ -21,11 +21,18 @@ def main(argv: list[str] | None = None) -> int:
     q = sub.add_parser("rules")
     for option in ("--rules", "--sigma"):
         q.add_argument(option)
+    q = sub.add_parser("sigma-to-spl")
+    q.add_argument("--rule", required=True)
+    q.add_argument("--index", default="main")
     a = p.parse_args(argv)
     from .plans.detector import Detector
-    from .plans.rules import load_rules
+    from .plans.export import to_spl
+    from .plans.rules import load_rules, load_sigma
 
     try:
+        if a.command == "sigma-to-spl":
+            print("\n\n".join(to_spl(r, a.index) for r in load_sigma(a.rule)))
+            return 0
         if a.command == "rules":
             for r in Detector(*load_rules(a.rules, a.sigma)).catalog():
                 print(f"{r['id']:<12}{r['severity']:<10}{r['type']:<11}{r['technique']:<11}{r['title']}")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import ast
 import fnmatch
 import re
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
@@ -96,16 +98,28 @@ def selection(sel: Any, lists: dict[str, list[str]] | None = None, columns: list
     return _all([leaf(k, v, lists, columns, extended) for k, v in sel.items()])
 
 
-def condition(text: Any, found: dict[str, Column]) -> Column:
-    """``and``, ``or``, ``not``, brackets, names, ``1 of`` and ``all of`` a pattern or ``them``.
+@dataclass(frozen=True)
+class Logic:
+    """How a condition's parts are put together: as columns, or as texts of another language."""
+
+    any: Callable[[list], Any]
+    all: Callable[[list], Any]
+    no: Callable[[Any], Any]
+
+
+COLUMNS = Logic(_any, _all, lambda c: ~c)
+
+
+def condition(text: Any, found: dict[str, Any], logic: Logic = COLUMNS) -> Any:
+    """``and``, ``or``, ``not``, brackets, names, ``1 of`` and ``all of`` a pattern or ``them``; ``found`` has what each selection's name stands for.
 
     After names and ``of`` phrases have become plain names the text is an expression that Python itself reads.
     """
     if not isinstance(text, str):
         raise RuleError("a condition must be a text")
-    names: list[Column] = []
+    names: list[Any] = []
 
-    def put(c: Column) -> str:
+    def put(c: Any) -> str:
         names.append(c)
         return f" s{len(names) - 1} "
 
@@ -114,7 +128,7 @@ def condition(text: Any, found: dict[str, Column]) -> Column:
         chosen = [c for n, c in found.items() if pattern.lower() == "them" or fnmatch.fnmatchcase(n, pattern)]
         if not chosen:
             raise RuleError(f"no selection is named like {pattern}")
-        return put(_any(chosen) if m[1] == "1" else _all(chosen))
+        return put((logic.any if m[1] == "1" else logic.all)(chosen))
 
     def word(m: re.Match) -> str:
         if m[0].lower() in ("and", "or", "not"):
@@ -130,13 +144,13 @@ def condition(text: Any, found: dict[str, Column]) -> Column:
     except SyntaxError as e:
         raise RuleError(f"condition {text!r}: {e.msg}") from None
 
-    def fold(node: ast.expr) -> Column:
+    def fold(node: ast.expr) -> Any:
         if isinstance(node, ast.Name):
             return names[int(node.id[1:])]
         if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.Not):
-            return ~fold(node.operand)
+            return logic.no(fold(node.operand))
         if isinstance(node, ast.BoolOp):
-            return (_all if isinstance(node.op, ast.And) else _any)([fold(v) for v in node.values])
+            return (logic.all if isinstance(node.op, ast.And) else logic.any)([fold(v) for v in node.values])
         raise RuleError(f"condition {text!r} isn't one of selections")
 
     return fold(tree)
