@@ -168,5 +168,5 @@ def digests(spark: SparkSession, folder: str) -> DataFrame:
     got = p.groupBy("part", "ord").agg(
         F.min("doc_id").alias("doc_id"), F.min("start").alias("start"), F.sum("n").alias("n_tokens"), F.max(whole).alias("crc"), F.sort_array(F.collect_list(piece)).alias("p")
     )
-    together = F.aggregate("p", F.lit(b""), lambda acc, x: F.concat(acc, x["ids"]))
+    together = F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["ids"])), ""))
     return got.join(base, "part").select("doc_id", (F.col("start") + F.col("base")).cast("long").alias("start"), "n_tokens", F.coalesce("crc", F.crc32(together)).alias("ids_crc32"))
