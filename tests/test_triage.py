@@ -201,6 +201,7 @@ def test_every_bundled_rule_fires(spark):
 
     from pyspark.sql import DataFrame
 
+    from wardlight.operators.lineage import cut
     from wardlight.plans.detector import Detector
     from wardlight.plans.rules import load_rules
 
@@ -222,6 +223,6 @@ def test_every_bundled_rule_fires(spark):
     rows = reduce(DataFrame.unionByName, parts)
     assert rows.where("not ok").count() == 0
     single, stateful = load_rules()
-    alerts = Detector(single, stateful).run(logs.events_of(rows)).select("rule_id", "dst_ip").collect()
+    alerts = Detector(single, stateful).run(cut(logs.events_of(rows))).select("rule_id", "dst_ip").collect()
     assert {a["rule_id"] for a in alerts} == {r.id for r in [*single, *stateful]} and len(alerts) == 20
     assert {a["dst_ip"] for a in alerts if a["rule_id"] == "IDT-006"} == {"2606:4700:4700::1111"}
