@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lz_dedup, lz_fingerprint, mixing, quality_model, quality_rules, secret_scan, simhash, token_files, toxicity
+from . import bpe, centroids, lz_dedup, lz_fingerprint, mixing, quality_model, quality_rules, secret_scan, simhash, token_files, toxicity
 from .text import documents, scratch
 
 
@@ -56,6 +56,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(spark, folder)
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -63,7 +67,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_quality_rules, op2_simhash_dedup, op3_toxicity, op4_lz_fingerprint, op5_bpe, op6_mixing, op7_secret_scan, op8_quality_model, op9_lz_dedup, op10_token_files, pipeline)
+    ops = (op1_quality_rules, op2_simhash_dedup, op3_toxicity, op4_lz_fingerprint, op5_bpe, op6_mixing, op7_secret_scan, op8_quality_model, op9_lz_dedup, op10_token_files, op11_centroids, pipeline)
     return {f.__name__: f for f in ops}
 
 
@@ -139,5 +143,25 @@ FROM d LEFT JOIN lists USING (r) LEFT JOIN kept USING (r)
 """
 
 
+
+
+def _op11_sql(k: int = centroids.K, rounds: int = centroids.ROUNDS, dims: int = centroids.DIMS) -> str:
+    """Plain k-means over lists of integers, each round in two steps of its own."""
+    steps = [
+        f"v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({centroids.SCALE} * x::DOUBLE)::BIGINT) AS q FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims})",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, q FROM (SELECT sha256('{centroids.SEED}:' || vec_id) AS h, q FROM v WHERE vec_id IS NOT NULL ORDER BY h LIMIT {k}))",
+    ]
+    for i in range(rounds + 1):
+        far = f"list_sum(list_transform(range(1, {dims + 1}), lambda i: (v.q[i] - c.q[i]) * (v.q[i] - c.q[i])))::BIGINT"
+        steps.append(f"a{i} AS MATERIALIZED (SELECT r, vec_id, q, c, d FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY d, c) AS n FROM (SELECT v.r, v.vec_id, v.q, c.c, {far} AS d FROM v, c{i} c)) WHERE n = 1)")
+        if i < rounds:
+            mean = f"(SELECT c, list(m ORDER BY i) AS q FROM (SELECT c, i, floor(sum(x)::DOUBLE / count(*))::BIGINT AS m FROM (SELECT c, unnest(q) AS x, unnest(range({dims})) AS i FROM a{i}) GROUP BY c, i) GROUP BY c)"
+            steps.append(f"c{i + 1} AS MATERIALIZED (SELECT o.c, coalesce(m.q, o.q) AS q FROM c{i} o LEFT JOIN {mean} m ON m.c = o.c)")
+    a = f"a{rounds}"
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, {a}.c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY {a}.c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(e.q, ',')) AS centroid_sha256
+FROM {a} JOIN c{rounds} e ON e.c = {a}.c"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op6_mixing": OP6_SQL, "op9_lz_dedup": OP9_SQL}
+    return {"op11_centroids": _op11_sql(), "op1_quality_rules": OP1_SQL, "op6_mixing": OP6_SQL, "op9_lz_dedup": OP9_SQL}
