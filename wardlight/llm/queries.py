@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, centroids, lz_dedup, lz_fingerprint, mixing, quality_model, quality_rules, secret_scan, simhash, token_files, toxicity
+from . import alignment, bpe, centroids, itq, lz_dedup, lz_fingerprint, mixing, quality_model, quality_rules, secret_scan, simhash, token_files, toxicity
 from .text import documents, scratch
 
 
@@ -60,6 +60,10 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_itq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.agreement(documents(spark, sf_dir))
 
@@ -71,7 +75,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_quality_rules, op2_simhash_dedup, op3_toxicity, op4_lz_fingerprint, op5_bpe, op6_mixing, op7_secret_scan, op8_quality_model, op9_lz_dedup, op10_token_files, op11_centroids, op13_alignment, pipeline)
+    ops = (op1_quality_rules, op2_simhash_dedup, op3_toxicity, op4_lz_fingerprint, op5_bpe, op6_mixing, op7_secret_scan, op8_quality_model, op9_lz_dedup, op10_token_files, op11_centroids, op12_itq_dedup, op13_alignment, pipeline)
     return {f.__name__: f for f in ops}
 
 
