@@ -38,9 +38,9 @@ from . import text as T
 from .bpe import _pack, _unpack
 
 #: Bytes of text aligned at once.
-SLICE = 6 << 20
+SLICE = 3 << 20
 #: Links that are made at once.
-LINKS = 1 << 21
+LINKS = 1 << 20
 ROW = "slice long, bucket int, docs binary, data binary"
 OUT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 _NAMES = ["slice", "bucket", "docs", "data"]
