@@ -17,6 +17,7 @@ from ..functions.predicates import condition, selection
 from ..operators import bursts as B
 from ..operators import correlation as C
 from ..operators import sequences as S
+from ..operators.fused import Watch, watched
 from ..operators.lineage import cut
 from ..operators.sessions import sessions
 from ..operators.trailing import ordered, ranged, with_past
@@ -181,6 +182,39 @@ def running_max_last_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("user_id", "sid").agg(F.min("us").alias("first_us"), F.max("until").alias("last_us"), F.count(F.lit(1)).alias("n")).drop("sid")
 
 
+#: Eight rules that run in one plan: form, condition, hours, need; what each counts stands in the queries above.
+_FUSED = [("count", "error", 24, 3), ("count", "error", 48, 4), ("distinct", None, 12, 4), ("sum", None, 12, 20000), ("sum", "purchase", 36, 15000), ("count", "view", 6, 2), ("sequence", None, 24, 2), ("beacon", None, 7 * 24, 5)]
+
+
+def _fused_sql() -> str:
+    parts = []
+    for i, (form, kind, hours, need) in enumerate(_FUSED):
+        if form == "sequence":
+            inner = f"SELECT user_id, first_us, us AS trigger_us, us AS last_us, n FROM ({_SQL['sequence_alert']})"
+        elif form == "beacon":
+            inner = f"SELECT user_id, first_us, at_us AS trigger_us, last_us, n FROM ({_SQL['beacon']})"
+        else:
+            inner = f"SELECT user_id, first_us, trigger_us, last_us, n FROM ({_burst_sql(f'event_type = {kind!r}' if kind else 'true', hours, need, form)})"
+        parts.append(f"SELECT {i} AS rule, q.* FROM ({inner}) q")
+    return " UNION ALL ".join(parts)
+
+
+@register(_fused_sql())
+def fused_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight stateful rules over one scan of the events."""
+    e = events(spark, sf_dir)
+    tags = []
+    for i, (form, kind, _, _) in enumerate(_FUSED):
+        concerned = F.col("event_type") == kind if kind else F.col("event_type").isin("error", "purchase") if form == "sequence" else F.lit(True)
+        v = F.round(F.col("value") * 100).cast("long") if form == "sum" else F.lit(None).cast("long")
+        x = F.col("event_type") if form == "distinct" else F.lit(None).cast("string")
+        p = F.col("event_type") == "error" if form == "sequence" else F.lit(False)
+        tags.append(F.when(concerned, F.struct(F.lit(i).alias("rule"), v.alias("v"), x.alias("x"), p.alias("p"))))
+    rows = cut(e.select(F.col("user_id").cast("string").alias("g"), "us", "seq", F.explode(F.array_compact(F.array(*tags))).alias("t")).select("g", "us", "seq", "t.*"))
+    watches = [Watch(form, need, hours * HOUR * B.SECOND, 0.35, 5, 900_000) for form, _, hours, need in _FUSED]
+    return watched(rows, watches).select("rule", F.col("g").cast("long").alias("user_id"), "first_us", "trigger_us", "last_us", "n")
+
+
 # ---------------------------------------------------------------- correlation, scores, reports
 
 # Alerts made of bursts of errors: a user's machine is the one of their nation, which stands in the inventory.

@@ -11,6 +11,7 @@ from ..functions.fields import canonical, resolve
 from ..functions.net import is_public
 from ..operators.bursts import SECOND, bursts
 from ..operators.correlation import ranked
+from ..operators.fused import Watch, members, watched
 from ..operators.lineage import cut
 from ..operators.sequences import beacons, sequences
 from ..operators.sessions import bucket, sessions, sessions_of_points
@@ -78,6 +79,7 @@ def _describe(members: DataFrame, group: list[str]) -> DataFrame:
 
 
 def state_alerts(events: DataFrame, rule: StateRule, no: int, lists: dict[str, list[str]]) -> DataFrame:
+    """Alerts of one rule by a plan of its own, without the fused one's common frames: the plainer way, which tests hold the other against."""
     accept = rule.accept(lists, events.columns)
     key = resolve(rule.group_by, events.columns).cast("string")
     keep = ["us", "seq", *ENTITIES, "query", "raw"]
@@ -129,6 +131,59 @@ def state_alerts(events: DataFrame, rule: StateRule, no: int, lists: dict[str, l
     return out.withColumns(_about(rule, 1, no)).withColumns({"count": F.col("n"), "evidence": proofs}).select(*ALERT)
 
 
+def watch_of(rule: StateRule) -> Watch:
+    d, form = rule.doc, rule.type if rule.type in ("beacon", "sequence") else rule.metric[0]
+    need = int((d.get("preceded_by") or {}).get("count", 1)) if form == "sequence" else int(rule.count)
+    return Watch(form, need, int(rule.window * SECOND), float(d.get("max_jitter", 0.25)), float(d.get("min_interval", 5)), float(d.get("max_interval", 900)))
+
+
+def tagged(events: DataFrame, rules: list[StateRule], lists: dict[str, list[str]]) -> DataFrame:
+    """Events once for each stateful rule that they concern, with its number, their key there, and what it counts; from one scan."""
+    columns, tags = events.columns, []
+    for i, r in enumerate(rules):
+        accept, form = r.accept(lists, columns), watch_of(r).form
+        key, v, x, p = resolve(r.group_by, columns).cast("string"), F.lit(None).cast("long"), F.lit(None).cast("string"), F.lit(False)
+        if form == "beacon":
+            accept &= F.coalesce("dst_ip", F.lit("")) != ""
+            key = F.to_json(F.array(F.col("host").cast("string"), F.col("dst_ip").cast("string"), F.col("dst_port").cast("string")))
+        elif form == "sequence":
+            p = r.prior(lists, columns)
+            accept |= p
+        elif form == "sum":
+            v = F.coalesce(resolve(r.metric[1], columns).try_cast("long"), F.lit(0))
+        elif form == "distinct":
+            x = resolve(r.metric[1], columns).cast("string")
+        tags.append(F.when(accept & (key != ""), F.struct(F.lit(i).alias("rule"), key.alias("g"), v.alias("v"), x.alias("x"), p.alias("p"))))
+    return events.select("us", "seq", *ENTITIES, "query", "raw", F.explode(F.array_compact(F.array(*tags))).alias("t")).select("us", "seq", *ENTITIES, "query", "raw", "t.*")
+
+
+def fused_alerts(events: DataFrame, rules: list[StateRule], lists: dict[str, list[str]]) -> DataFrame | None:
+    """Alerts of all stateful rules from one scan of the events, one shuffle of the rows that concern a rule, and one that finds the alerts' events."""
+    if not rules:
+        return None
+    watches, group = [watch_of(r) for r in rules], ["rule", "g", "trigger_seq"]
+    rows = cut(tagged(events, rules, lists))
+    found = cut(watched(rows, watches))
+    own = cut(members(rows, found, watches))
+    of = lambda value: F.element_at(F.array(*[F.lit(value(r)) for r in rules]), F.col("rule") + 1)
+    form = F.element_at(F.array(*[F.lit(w.form) for w in watches]), F.col("rule") + 1)
+    # a sequence shows its last events, all else its first
+    back = F.when(form == "sequence", -1).otherwise(1)
+    first = F.row_number().over(Window.partitionBy(*group).orderBy(back * F.col("us"), back * F.col("seq")))
+    shown = own.where("shown").select(*group, "us", "seq", evidence_of(F.col("raw")).alias("evidence")).withColumn("_n", first).where(F.col("_n") <= EVIDENCE)
+    proof = shown.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("us", "seq", "evidence"))), lambda x: x["evidence"]).alias("evidence"))
+    out = found.join(_describe(own, group), group).join(proof, group, "left")
+    trigger = own.where(form.isin("sequence") & (F.col("seq") == F.col("trigger_seq"))).groupBy(*group).agg(F.first("user").alias("_u"), F.first("host").alias("_h"))
+    out = out.join(trigger, group, "left").withColumns({"user": F.coalesce(F.nullif("_u", F.lit("")), "user"), "host": F.coalesce(F.nullif("_h", F.lit("")), "host")})
+    by = of(lambda r: "" if r.type == "beacon" else canonical(r.group_by))
+    out = out.withColumns({c: F.when(by == c, F.col("g")).otherwise(F.col(c)) for c in ENTITIES})
+    note = F.format_string("%d connections, mean interval %.0fs, jitter %.0f%%.", "n", F.bround("mean_s", 0), F.bround(100 * F.col("cv"), 0))
+    # a beacon's number is that of its first event
+    made = {"description": F.when(form == "beacon", note).otherwise(""), "count": F.col("n"), "trigger_seq": F.when(form == "beacon", F.col("first_seq")).otherwise(F.col("trigger_seq")), "evidence": F.filter(F.coalesce("evidence", F.array().cast("array<string>")), lambda e: e != "")}
+    about = {k: of(lambda r, a=a: getattr(r, a)) for k, a in {"rule_id": "id", "rule_title": "title", "severity": "severity", "tactic": "tactic", "technique": "technique", "confidence": "confidence"}.items()}
+    return out.withColumns(made).withColumns(about).withColumns({"stage": F.lit(1), "rule_no": F.col("rule")}).select(*ALERT)
+
+
 def numbered(alerts: DataFrame) -> DataFrame:
     """Adds ``ord`` and ``id``.  Their order is total, so ids don't depend on the run."""
     rank = F.element_at(F.create_map(*[F.lit(x) for i, s in enumerate(SEVERITIES) for x in (s, i)]), F.col("severity"))
@@ -142,11 +197,11 @@ class Detector:
         self.event_rules, self.state_rules, self.lists, self.cooldown_s = event_rules, state_rules, lists or {}, cooldown_s
 
     def run(self, events: DataFrame) -> DataFrame:
-        """Rules run one after another, each a plan of its own; alerts are few beside events, so they are kept between.
+        """Rules on single events are one plan and stateful ones another; alerts are few beside events, so they are kept between.
 
         Missing hosts, users and addresses count as empty ones."""
         events = events.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in ENTITIES})
-        parts = [event_alerts(events, self.event_rules, self.lists, self.cooldown_s)] + [state_alerts(events, r, i, self.lists) for i, r in enumerate(self.state_rules)]
+        parts = [event_alerts(events, self.event_rules, self.lists, self.cooldown_s), fused_alerts(events, self.state_rules, self.lists)]
         found = [cut(p.select(*ALERT)) for p in parts if p is not None]
         if not found:
             raise ValueError("no rules")
