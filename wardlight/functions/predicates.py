@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import fnmatch
+import json
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -59,8 +60,15 @@ def _equals(c: Column, want: Any) -> Column:
     return _sure(F.lower(text) == low)
 
 
-def leaf(name: str, want: Any, lists: dict[str, list[str]] | None = None, columns: list[str] | None = None, extended: bool = False) -> Column:
-    """``field|modifier|all``: want."""
+def leaf_key(name: str, want: Any) -> str:
+    """By which a leaf's column of marks is found."""
+    return json.dumps([name, want], default=str)
+
+
+def leaf(name: str, want: Any, lists: dict[str, list[str]] | None = None, columns: list[str] | None = None, extended: bool = False, marks: dict[str, str] | None = None) -> Column:
+    """``field|modifier|all``: want.  ``marks`` names columns that hold what a leaf is, by its key."""
+    if marks and (mark := marks.get(leaf_key(name, want))):
+        return F.col(mark)
     field, *mods = name.split("|")
     every = "all" in mods
     mods = [m for m in mods if m != "all"]
@@ -76,7 +84,10 @@ def leaf(name: str, want: Any, lists: dict[str, list[str]] | None = None, column
     if mod == "is_public":
         return is_public(F.coalesce(text, F.lit(""))) == F.lit(bool(want))
     if mod == "in_list":
-        known = sorted({str(v).lower() for w in wants for v in (lists or {}).get(w, [])})
+        some = [(lists or {}).get(w, []) for w in wants]
+        if not all(isinstance(v, list | tuple | set) for v in some):
+            raise RuleError(f"{name}: a list that is a table needs marks")
+        known = sorted({str(v).lower() for vs in some for v in vs})
         return F.lower(F.coalesce(text, F.lit(""))).isin(known) if known else F.lit(False)
     if mod in ("gt", "gte", "lt", "lte"):
         if isinstance(want, list):
@@ -89,13 +100,13 @@ def leaf(name: str, want: Any, lists: dict[str, list[str]] | None = None, column
     return fold([_sure(getattr(low, mod)(str(w).lower())) for w in wants])
 
 
-def selection(sel: Any, lists: dict[str, list[str]] | None = None, columns: list[str] | None = None, extended: bool = False) -> Column:
+def selection(sel: Any, lists: dict[str, list[str]] | None = None, columns: list[str] | None = None, extended: bool = False, marks: dict[str, str] | None = None) -> Column:
     """A mapping holds if all its fields do (an empty one always), a list of mappings if one does (an empty one never)."""
     if isinstance(sel, list):
-        return _any([selection(s, lists, columns, extended) for s in sel])
+        return _any([selection(s, lists, columns, extended, marks) for s in sel])
     if not isinstance(sel, dict):
         raise RuleError(f"not a selection: {sel!r}")
-    return _all([leaf(k, v, lists, columns, extended) for k, v in sel.items()])
+    return _all([leaf(k, v, lists, columns, extended, marks) for k, v in sel.items()])
 
 
 @dataclass(frozen=True)

@@ -19,11 +19,13 @@ from ..operators import correlation as C
 from ..operators import sequences as S
 from ..operators.fused import Watch, watched
 from ..operators.lineage import cut
+from ..operators.needles import found
 from ..operators.sessions import sessions
 from ..operators.trailing import ordered, ranged, with_past
 from ..sources import logs as L
 from ..sources import sinks
 from .detector import Detector
+from .marks import marked
 from .rules import EventRule, StateRule
 
 HOUR = 3600
@@ -453,19 +455,52 @@ def is_public_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LIST_SQL = "SELECT s_suppkey, s_name FROM supplier s {kind} JOIN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) n ON s.s_nationkey = n.n_nationkey"
 
 
-def _listed(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
-    allowed = table(spark, sf_dir, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("s_nationkey"))
-    return table(spark, sf_dir, "supplier").join(allowed, "s_nationkey", how).select("s_suppkey", "s_name")
+def _listed(spark: SparkSession, sf_dir: str, chosen: Callable[[Column], Column]) -> DataFrame:
+    """Suppliers by a rule's leaf: whether their nation stands in a list that is a table."""
+    sel, lists = {"s_nationkey|in_list": "allowed"}, {"allowed": table(spark, sf_dir, "nation").where("n_regionkey = 1").select("n_nationkey")}
+    rows, marks = marked(table(spark, sf_dir, "supplier"), [sel], lists, "s_suppkey")
+    return rows.where(chosen(selection(sel, lists, rows.columns, marks=marks))).select("s_suppkey", "s_name")
 
 
 @register(_LIST_SQL.format(kind="SEMI"))
 def allowlist_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _listed(spark, sf_dir, "left_semi")
+    return _listed(spark, sf_dir, lambda c: c)
 
 
 @register(_LIST_SQL.format(kind="ANTI"))
 def allowlist_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _listed(spark, sf_dir, "left_anti")
+    return _listed(spark, sf_dir, lambda c: ~c)
+
+
+_PIECES = "(SELECT DISTINCT lower(substr({field}, CAST({at} AS BIGINT), CAST({n} AS BIGINT))) AS needle FROM pages, unnest(range(10)) r(i))"
+_IN_HTML = _PIECES.format(field="html", at="1 + (page_id * 7 + i * 53) % 400", n="2 + (page_id + i) % 14")
+_OF_URL = _PIECES.format(field="url", at="1 + i * 3", n="3 + (page_id + i) % 40")
+
+
+def _pieces(p: DataFrame, field: str, at: str, n: str) -> DataFrame:
+    """Ten pieces of each page as needles."""
+    return p.select("page_id", field, F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i")).select(F.lower(F.substr(F.col(field), F.expr(at).cast("int"), F.expr(n).cast("int"))).alias("needle"))
+
+
+@register(f"WITH n AS {_IN_HTML} SELECT p.page_id, count(*) AS hits FROM pages p JOIN n ON contains(lower(p.html), n.needle) GROUP BY p.page_id")
+def needles_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of thousands of needles each page contains."""
+    p = table(spark, sf_dir, "pages")
+    hits = found(p, "page_id", "html", _pieces(p, "html", "1 + (page_id * 7 + i * 53) % 400", "2 + (page_id + i) % 14"))
+    return hits.groupBy("page_id").agg(F.count(F.lit(1)).alias("hits"))
+
+
+@register(
+    f"WITH n AS {_OF_URL}, x AS (SELECT p.page_id, n.needle, starts_with(lower(p.url), n.needle) AS s, suffix(lower(p.url), n.needle) AS e FROM pages p JOIN n ON contains(lower(p.url), n.needle)) "
+    "SELECT page_id, count(*) AS contained, count(*) FILTER (s) AS starts, count(*) FILTER (e) AS ends FROM x GROUP BY page_id"
+)
+def needles_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for addresses: contained, at the start, at the end."""
+    p = table(spark, sf_dir, "pages")
+    needles = _pieces(p, "url", "1 + i * 3", "3 + (page_id + i) % 40")
+    counts = [found(p, "page_id", "url", needles, where).groupBy("page_id").agg(F.count(F.lit(1)).alias(name)) for where, name in (("contains", "contained"), ("startswith", "starts"), ("endswith", "ends"))]
+    both = counts[0].join(counts[1], "page_id", "left").join(counts[2], "page_id", "left")
+    return both.select("page_id", "contained", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("starts", "ends")])
 
 
 # ---------------------------------------------------------------- log lines made of the tables, read by the parsers

@@ -15,6 +15,7 @@ from ..operators.fused import Watch, members, watched
 from ..operators.lineage import cut
 from ..operators.sequences import beacons, sequences
 from ..operators.sessions import bucket, sessions, sessions_of_points
+from .marks import marked
 from .rules import SEVERITIES, EventRule, StateRule
 
 COOLDOWN_S = 300
@@ -40,13 +41,13 @@ def _about(rule: EventRule | StateRule, stage: int, no: int) -> dict[str, Column
     return {k: F.lit(v) for k, v in text.items()} | {"confidence": F.lit(rule.confidence), "stage": F.lit(stage), "rule_no": F.lit(no)}
 
 
-def event_alerts(events: DataFrame, rules: list[EventRule], lists: dict[str, list[str]], cooldown_s: float = COOLDOWN_S) -> DataFrame | None:
+def event_alerts(events: DataFrame, rules: list[EventRule], lists: dict[str, list[str]], cooldown_s: float = COOLDOWN_S, marks: dict[str, str] | None = None) -> DataFrame | None:
     """Hits of all rules from one scan, folded by rule, host, user and source address while they are at most the cooldown apart."""
     if not rules:
         return None
     struct = lambda i, r: F.struct(*[c.alias(k) for k, c in _about(r, 0, i).items()])
     kinds = sorted({r.kind for r in rules})
-    fired = F.array_compact(F.array(*[F.when(r.column(lists, events.columns), struct(i, r)) for i, r in enumerate(rules)]))
+    fired = F.array_compact(F.array(*[F.when(r.column(lists, events.columns, marks), struct(i, r)) for i, r in enumerate(rules)]))
     hits = events.where(F.col("kind").isin(kinds)).select("us", "seq", *ENTITIES, "query", "raw", F.explode(fired).alias("rule")).withColumn("rule_no", F.col("rule.rule_no"))
     key = ["rule_no", "host", "user", "src_ip"]
     folded = sessions(hits, key, int(cooldown_s * SECOND))
@@ -137,17 +138,17 @@ def watch_of(rule: StateRule) -> Watch:
     return Watch(form, need, int(rule.window * SECOND), float(d.get("max_jitter", 0.25)), float(d.get("min_interval", 5)), float(d.get("max_interval", 900)))
 
 
-def tagged(events: DataFrame, rules: list[StateRule], lists: dict[str, list[str]]) -> DataFrame:
+def tagged(events: DataFrame, rules: list[StateRule], lists: dict[str, list[str]], marks: dict[str, str] | None = None) -> DataFrame:
     """Events once for each stateful rule that they concern, with its number, their key there, and what it counts; from one scan."""
     columns, tags = events.columns, []
     for i, r in enumerate(rules):
-        accept, form = r.accept(lists, columns), watch_of(r).form
+        accept, form = r.accept(lists, columns, marks), watch_of(r).form
         key, v, x, p = resolve(r.group_by, columns).cast("string"), F.lit(None).cast("long"), F.lit(None).cast("string"), F.lit(False)
         if form == "beacon":
             accept &= F.coalesce("dst_ip", F.lit("")) != ""
             key = F.to_json(F.array(F.col("host").cast("string"), F.col("dst_ip").cast("string"), F.col("dst_port").cast("string")))
         elif form == "sequence":
-            p = r.prior(lists, columns)
+            p = r.prior(lists, columns, marks)
             accept |= p
         elif form == "sum":
             v = F.coalesce(resolve(r.metric[1], columns).try_cast("long"), F.lit(0))
@@ -157,12 +158,12 @@ def tagged(events: DataFrame, rules: list[StateRule], lists: dict[str, list[str]
     return events.select("us", "seq", *ENTITIES, "query", "raw", F.explode(F.array_compact(F.array(*tags))).alias("t")).select("us", "seq", *ENTITIES, "query", "raw", "t.*")
 
 
-def fused_alerts(events: DataFrame, rules: list[StateRule], lists: dict[str, list[str]]) -> DataFrame | None:
+def fused_alerts(events: DataFrame, rules: list[StateRule], lists: dict[str, list[str]], marks: dict[str, str] | None = None) -> DataFrame | None:
     """Alerts of all stateful rules from one scan of the events, one shuffle of the rows that concern a rule, and one that finds the alerts' events."""
     if not rules:
         return None
     watches, group = [watch_of(r) for r in rules], ["rule", "g", "trigger_seq"]
-    rows = cut(tagged(events, rules, lists))
+    rows = cut(tagged(events, rules, lists, marks))
     found = cut(watched(rows, watches))
     own = cut(members(rows, found, watches))
     of = lambda value: F.element_at(F.array(*[F.lit(value(r)) for r in rules]), F.col("rule") + 1)
@@ -193,15 +194,19 @@ def numbered(alerts: DataFrame) -> DataFrame:
 
 
 class Detector:
-    def __init__(self, event_rules: list[EventRule], state_rules: list[StateRule], lists: dict[str, list[str]] | None = None, cooldown_s: float = COOLDOWN_S):
+    def __init__(self, event_rules: list[EventRule], state_rules: list[StateRule], lists: dict[str, list[str] | DataFrame] | None = None, cooldown_s: float = COOLDOWN_S):
         self.event_rules, self.state_rules, self.lists, self.cooldown_s = event_rules, state_rules, lists or {}, cooldown_s
 
     def run(self, events: DataFrame) -> DataFrame:
         """Rules on single events are one plan and stateful ones another; alerts are few beside events, so they are kept between.
 
-        Missing hosts, users and addresses count as empty ones."""
+        Missing hosts, users and addresses count as empty ones.  Large lists (tables, or more than marks.MANY values) and many needles are joined to the
+        events first."""
         events = events.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in ENTITIES})
-        parts = [event_alerts(events, self.event_rules, self.lists, self.cooldown_s), fused_alerts(events, self.state_rules, self.lists)]
+        events, marks = marked(events, [s for r in [*self.event_rules, *self.state_rules] for s in r.selections], self.lists)
+        if marks:  # joined once for both plans
+            events = cut(events)
+        parts = [event_alerts(events, self.event_rules, self.lists, self.cooldown_s, marks), fused_alerts(events, self.state_rules, self.lists, marks)]
         found = [cut(p.select(*ALERT)) for p in parts if p is not None]
         if not found:
             raise ValueError("no rules")

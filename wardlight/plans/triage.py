@@ -51,7 +51,7 @@ def run(spark: SparkSession, folder: str, year: int | None = None, now: datetime
     rows.write.partitionBy("ok", "kind").parquet(kept)
     rows = spark.read.schema(rows.schema).parquet(kept)
     events, stats = logs.events_of(rows), logs.parse_stats(rows)
-    detector = Detector(*load_rules(rules, sigma), environment.lists)
+    detector = Detector(*load_rules(rules, sigma), environment.known(spark))
     alerts, incidents = triage(spark, events, detector, assets, feed, gap_s)
     return Result(events, stats, alerts, incidents, assets, truth)
 

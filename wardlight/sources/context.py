@@ -25,10 +25,12 @@ def load_yaml(path: str | None, default: str) -> Any:
 
 
 class Environment:
-    """Lists by name (lower-cased values) and the assets."""
+    """Lists by name (lower-cased values, or a file of one value a line: ``{file: path}``) and the assets."""
 
     def __init__(self, doc: dict[str, Any]):
-        self.lists = {k: [str(v).lower() for v in vs] for k, vs in (doc.get("lists") or {}).items()}
+        named = doc.get("lists") or {}
+        self.lists = {k: [str(v).lower() for v in vs] for k, vs in named.items() if not isinstance(vs, dict)}
+        self.files = {k: str(vs["file"]) for k, vs in named.items() if isinstance(vs, dict)}
         self.asset_rows = [(str(a["host"]), a.get("ip") and str(a["ip"]), str(a.get("criticality", "low")), str(a.get("role", ""))) for a in doc.get("assets") or []]
         bad = {c for _, _, c, _ in self.asset_rows} - set(CRITICALITY)
         if bad:
@@ -38,6 +40,10 @@ class Environment:
     def load(cls, path: str | None = None) -> Environment:
         return cls(load_yaml(path, "environment.yml") or {})
 
+    def known(self, spark: SparkSession) -> dict[str, list[str] | DataFrame]:
+        """All lists; those in files are tables, read by Spark from any store."""
+        return self.lists | {k: spark.read.text(path).select(F.trim("value").alias("value")).where("value <> ''") for k, path in self.files.items()}
+
     def assets(self, spark: SparkSession) -> DataFrame:
         """host_key (lower-cased), host, ip, criticality, role; of a host that comes twice the last row."""
         rows = {h.lower(): (h.lower(), h, ip, c, r) for h, ip, c, r in self.asset_rows}
