@@ -5,6 +5,18 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from datetime import datetime, timezone
+
+
+def shown(facts: dict, incidents: list) -> list[str]:
+    """A run's outcome for people: what came in, and the incidents that come first."""
+    lines = [f"{facts['events']} events, {facts['alerts']} alerts, {facts['incidents']} incidents; " + ", ".join(f"{n} {p}" for p, n in facts["priorities"].items())]
+    wide = max([len(r["name"]) for r in incidents], default=0)
+    return lines + [f"{r['priority']} {r['score']:>3}  {r['id']}  {r['name']:<{wide}}  {r['n_alerts']} alerts since {_utc(r['first_us'])}" for r in incidents]
+
+
+def _utc(us: int) -> str:
+    return f"{datetime.fromtimestamp(us / 1e6, timezone.utc):%Y-%m-%d %H:%M}"
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -18,6 +30,8 @@ def main(argv: list[str] | None = None) -> int:
             q.add_argument(option)
         if name == "detect":
             q.add_argument("--out", required=True)
+            q.add_argument("--top", type=int, default=20, help="incidents to list")
+            q.add_argument("--json", action="store_true", help="the summary as JSON in place of the list")
     q = sub.add_parser("rules")
     for option in ("--rules", "--sigma"):
         q.add_argument(option)
@@ -45,7 +59,10 @@ def main(argv: list[str] | None = None) -> int:
         spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
         result = run(spark, a.logs, year=a.year, env=a.env, intel=a.intel, rules=a.rules, sigma=a.sigma)
         if a.command == "detect":
-            print(json.dumps(write(result, a.out), sort_keys=True))
+            facts = write(result, a.out)
+            print(json.dumps(facts, sort_keys=True) if a.json else "\n".join(shown(facts, result.ranked().limit(a.top).collect())))
+            for r in result.parse_stats.where("skipped > 0").orderBy("source").collect():  # a row a source
+                print(f"{r['source']}: {r['skipped']} of {r['total']} lines were not understood, such as {r['samples'][0]!r}", file=sys.stderr)
             return 0
         report = evaluate(spark, result)
         print(json.dumps(report, sort_keys=True))

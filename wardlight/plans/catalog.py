@@ -449,7 +449,7 @@ SELECT doc_id, ip, ok AND (NOT (a BETWEEN 0 AND 16777215 OR a BETWEEN 167772160
 UNION ALL SELECT doc_id, ip, public FROM e
 """)
 def is_public_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _addresses(spark, sf_dir).where("not contains(ip, ':') or length(ip) - length(replace(ip, ':', '')) = 3").select("doc_id", "ip", is_public(F.col("ip")).alias("public"))
+    return _addresses(spark, sf_dir).select("doc_id", "ip", is_public(F.col("ip")).alias("public"))
 
 
 _LIST_SQL = "SELECT s_suppkey, s_name FROM supplier s {kind} JOIN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) n ON s.s_nationkey = n.n_nationkey"
@@ -589,17 +589,18 @@ def kv_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""
+WITH p AS (SELECT * REPLACE (CASE WHEN page_id % 5 = 0 THEN url || '?q="a"%20or%201="' ELSE url END AS url) FROM pages)
 SELECT page_id, split_part(url, '?', 1) AS uri_path, CASE WHEN contains(url, '?') THEN substr(url, strpos(url, '?') + 1) ELSE '' END AS uri_query, 'web01' AS host, '10.1.' || (page_id % 200) || '.9' AS src_ip, CASE WHEN page_id % 3 = 0 THEN 'amy' ELSE '' END AS "user",
   CAST(200 + page_id % 300 AS INTEGER) AS status, CASE WHEN page_id % 4 = 0 THEN 0 ELSE length(html) END AS bytes, CASE WHEN page_id % 2 = 0 THEN 'agent ' || page_id END AS user_agent
-FROM pages WHERE regexp_full_match(url, '[^\\s"]+')
-""".replace("\\\\", "\\"))
+FROM p WHERE regexp_full_match(url, '\\S+')
+""")
 def url_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as lines of a web server's log."""
+    """Pages as lines of a web server's log; every fifth asks with quotes in its address."""
     p = table(spark, sf_dir, "pages")
     id_ = F.col("page_id")
     size = F.when(id_ % 4 == 0, "-").otherwise(F.length("html").cast("string"))
-    line = _text("10.1.", id_ % 200, ".9 - ", F.when(id_ % 3 == 0, "amy").otherwise("-"), ' [10/Mar/2026:10:00:00 +0200] "GET ', F.col("url"), ' HTTP/1.1" ', 200 + id_ % 300, " ", size, F.when(id_ % 2 == 0, _text(' "-" "agent ', id_, '"')).otherwise(""))
-    got = L.parse(_lines(p.where(F.col("url").rlike(r'^[^\s"]+$')), line, "page_id"), "apache").where("ok")
+    line = _text("10.1.", id_ % 200, ".9 - ", F.when(id_ % 3 == 0, "amy").otherwise("-"), ' [10/Mar/2026:10:00:00 +0200] "GET ', F.col("url"), F.when(id_ % 5 == 0, '?q="a"%20or%201="').otherwise(""), ' HTTP/1.1" ', 200 + id_ % 300, " ", size, F.when(id_ % 2 == 0, _text(' "-" "agent ', id_, '"')).otherwise(""))
+    got = L.parse(_lines(p, line, "page_id"), "apache").where("ok")
     return got.select(F.col("at.n").alias("page_id"), "uri_path", "uri_query", "host", "src_ip", "user", "status", "bytes", "user_agent")
 
 

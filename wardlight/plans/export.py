@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -63,7 +64,12 @@ def to_spl(rule: EventRule, index: str = "main") -> str:
 
 
 def to_spark_sql(rule: EventRule, spark: SparkSession) -> str:
-    """The rule's condition over a table of events, as Spark writes it."""
+    """The rule's condition over a table of events, as Spark writes it.  What Spark writes but can't read again (addresses judged by is_public) is an error."""
     rows = spark.createDataFrame([], EVENT)
     plan = rows.where(F.coalesce(rule.column({}, rows.columns), F.lit(False)))._jdf.queryExecution().analyzed()
-    return plan.condition().sql()
+    text = plan.condition().sql()
+    try:
+        rows.where(text).schema  # noqa: B018  analysed, not run
+    except AnalysisException as e:
+        raise RuleError(f"{rule.id}: Spark SQL has no text for it ({e.getCondition()})") from None
+    return text

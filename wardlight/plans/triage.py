@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from datetime import datetime
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import correlation
@@ -48,27 +48,39 @@ def run(spark: SparkSession, folder: str, year: int | None = None, now: datetime
     rows = logs.read_rows(spark, folder, year=year or (truth or {}).get("year"), now=now)
     # parsed once and kept by kind, so that each rule reads the kinds it names, and statistics the lines that are none
     kept = scratch(spark, "events")
-    rows.write.partitionBy("ok", "kind").parquet(kept)
+    watch = Observation("lines")  # lines are counted as they are written
+    logs.counted(rows, watch).write.partitionBy("ok", "kind").parquet(kept)
     rows = spark.read.schema(rows.schema).parquet(kept)
-    events, stats = logs.events_of(rows), logs.parse_stats(rows)
+    events, stats = logs.events_of(rows), logs.stats_of(watch.get, rows)
     detector = Detector(*load_rules(rules, sigma), environment.known(spark))
     alerts, incidents = triage(spark, events, detector, assets, feed, gap_s)
     return Result(events, stats, alerts, incidents, assets, truth)
 
 
+def _grouped(rows: DataFrame, *by: str) -> tuple:
+    """The number of rows, and by each column how many have each value: one pass over grouping sets, of which a row a value comes."""
+    sets = rows.groupingSets([[F.col(c)] for c in by] + [[]], *[F.col(c) for c in by])
+    found = sets.agg(F.grouping_id().alias("_set"), F.count(F.lit(1)).alias("_n")).collect()
+    none = (1 << len(by)) - 1
+    total = next((r["_n"] for r in found if r["_set"] == none), 0)
+    return total, *[{r[c]: r["_n"] for r in found if r["_set"] == none - (1 << len(by) - 1 - i)} for i, c in enumerate(by)]
+
+
 def summary(result: Result) -> dict[str, Any]:
-    events, alerts, incidents = result.events.count(), result.alerts.count(), result.incidents.count()
-    by = lambda df, c: {r[c]: r["count"] for r in df.groupBy(c).count().collect()}  # noqa: E731  as many rows as severities, tactics or priorities
-    tactics, priorities = by(result.alerts, "tactic"), by(result.incidents, "priority")
+    """Three jobs: one for each table, which is grouped in all ways at once, and one for the lines, of which a row a source comes."""
+    lines = {r["source"]: {k: r[k] for k in ("total", "parsed", "skipped")} for r in result.parse_stats.select("source", "total", "parsed", "skipped").collect()}
+    events = sum(x["parsed"] for x in lines.values())
+    alerts, severities, tactics = _grouped(result.alerts, "severity", "tactic")
+    incidents, priorities = _grouped(result.incidents, "priority")
     return {
         "events": events,
         "alerts": alerts,
         "incidents": incidents,
         "reduction_events_to_incidents_pct": round(100 * (1 - incidents / events), 2) if events else 0,
-        "alerts_by_severity": by(result.alerts, "severity"),
+        "alerts_by_severity": severities,
         "alerts_by_tactic": {t: tactics[t] for t in TACTICS if tactics.get(t)},
         "priorities": {p: priorities.get(p, 0) for p, _ in correlation.PRIORITIES},
-        "parse": {r["source"]: {k: r[k] for k in ("total", "parsed", "skipped")} for r in result.parse_stats.collect()},
+        "parse": lines,
     }
 
 

@@ -7,14 +7,14 @@ from collections.abc import Callable
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from ..functions.fields import EVENT
 from ..functions.net import let
 
-#: Sources in the order that breaks ties of time, and their files.
+#: Sources in the order that breaks ties of time, with their files; kinds by event number; names of the two senders.
 FILES = {"auth": "auth.log", "sysmon": "sysmon.log", "firewall": "firewall.log", "apache": "apache_access.log"}
 RANK = {s: i for i, s in enumerate(FILES)}
 SYSMON_KINDS = {1: "process_create", 3: "network_connect", 10: "process_access", 11: "file_create", 22: "dns_query"}
@@ -67,11 +67,12 @@ def parse_auth(lines: DataFrame, year: int | None = None, now: datetime | None =
         return let(at(stated), lambda t: F.when((stated == this) & (t > moment + F.expr("interval 2 days")), at(stated - 1)).otherwise(t))
 
     def signed_in(m: Column) -> list[Column]:
-        """"Failed password for [invalid user] NAME from ADDRESS port N", "Invalid user NAME from ADDRESS", "Accepted METHOD for NAME from ADDRESS port N"."""
+        """"Failed password for [invalid user] NAME from ADDRESS port N", "Invalid user NAME from ADDRESS", "Accepted METHOD for NAME from ADDRESS port N".
+        Without a name a line tells of no sign-in."""
         tail = F.regexp_replace(F.coalesce(_after(m, "Failed password for "), _after(m, "Failed publickey for ")), "^invalid user ", "")
-        failed = _parts(tail, " ", lambda w: F.when((w(1) == "from") & (w(3) == "port") & _digits(w(4)), who(w(0), w(2))))
-        invalid = _parts(_after(m, "Invalid user "), " ", lambda w: F.when(w(1) == "from", who(w(0), w(2))))
-        known = lambda w: w(0).isin("password", "publickey", "keyboard-interactive/pam") & (w(1) == "for") & (w(3) == "from") & (w(5) == "port") & _digits(w(6))
+        failed = _parts(tail, " ", lambda w: F.when((w(0) != "") & (w(1) == "from") & (w(3) == "port") & _digits(w(4)), who(w(0), w(2))))
+        invalid = _parts(_after(m, "Invalid user "), " ", lambda w: F.when((w(0) != "") & (w(1) == "from"), who(w(0), w(2))))
+        known = lambda w: w(0).isin("password", "publickey", "keyboard-interactive/pam") & (w(1) == "for") & (w(2) != "") & (w(3) == "from") & (w(5) == "port") & _digits(w(6))
         return [failed, invalid, _parts(_after(m, "Accepted "), " ", lambda w: F.when(known(w), who(w(2), w(4), w(0))))]
 
     def ran(m: Column) -> Column:
@@ -133,8 +134,7 @@ def parse_firewall(lines: DataFrame, **_) -> DataFrame:
     """``DATE TIME ACTION PROTOCOL ADDRESS:PORT -> ADDRESS:PORT`` and further facts, of which BYTES=N is read."""
 
     def event(p: Callable[[int], Column]) -> Column:
-        place = lambda c: c.rlike(r"^[\d.]+:\d+")
-        good = p(2).isin("ACCEPT", "ALLOW", "DROP", "DENY", "REJECT") & p(3).rlike(r"^\w+$") & place(p(4)) & (p(5) == "->") & place(p(6))
+        good = p(2).isin("ACCEPT", "ALLOW", "DROP", "DENY", "REJECT") & p(3).rlike(r"^\w+$") & p(4).rlike(r"^[\d.]+:\d+$") & (p(5) == "->") & p(6).rlike(r"^[\d.]+:\d+")
         size = F.regexp_extract(F.coalesce(p(7), F.lit("")), r"BYTES=(\d+)", 1)
         columns = {
             "ts": F.try_to_timestamp(F.concat_ws(" ", p(0), p(1)), F.lit("yyyy-MM-dd HH:mm:ss")), "kind": F.when(p(2).isin("ACCEPT", "ALLOW"), "fw_allow").otherwise("fw_deny"), "src_ip": F.substring_index(p(4), ":", 1),
@@ -146,24 +146,43 @@ def parse_firewall(lines: DataFrame, **_) -> DataFrame:
 
 
 def parse_web(lines: DataFrame, host: str = WEB_HOST, **_) -> DataFrame:
-    """The combined log format: client, identity, user, time, request, status, size, referer and agent, the latter two if there."""
+    """The combined log format: ``client identity user [time] "METHOD target protocol" status size``, then ``"referer" "agent"`` if they are there, one space apart.
 
-    def event(q: Callable[[int], Column]) -> Column:
-        some = F.struct(F.split(_strip(q(0)), r"\s+", 4).alias("from"), F.split(q(1), " ").alias("asked"), F.split(_strip(q(2)), r"\s+").alias("sent"), q(5).alias("agent"))
-        return let(some, fields)
+    A target has no white space, but may have quotes: where it ends, only what follows tells."""
 
-    def fields(x: Column) -> Column:
-        get = lambda k, i: F.get(x[k], F.lit(i))
-        user, stamp, method, url, status, size = get("from", 2), get("from", 3), get("asked", 0), get("asked", 1), get("sent", 0), get("sent", 1)
-        good = stamp.rlike(r"^\[[^\]]+\]$") & method.rlike("^[A-Z]+$") & (url != "") & status.rlike(r"^\d{3}$") & (_digits(size) | (size == "-"))
-        mark = F.instr(url, "?")
+    def told(x: Column) -> Column:
+        """After the target: the rest of the request up to its quote, status and size.  A quote that ends the target is the request's if none follows."""
+        sent, rest, target = r"^ \d{3} (\d+|-)", x["rest"], x["target"]
+        quote = F.instr(rest, '"')
+        after = F.when(quote > 0, F.substring(rest, quote + 1, F.length(rest)))
+        ends = target.endswith('"') & rest.rlike(sent)
+        first = F.coalesce(after.rlike(sent), F.lit(False))
+        found = F.struct(F.when(first, target).when(ends, F.substring(target, F.lit(1), F.length(target) - 1)).alias("url"), F.when(first, after).when(ends, rest).alias("after"))
+        return let(found, lambda f: event(x, f["url"], f["after"]))
+
+    def event(x: Column, url: Column, after: Column) -> Column:
+        mark, size, agent = F.instr(url, "?"), F.regexp_extract(after, r"^ \d{3} (\d+|-)", 1), F.regexp_extract(after, r'^ \d{3} \S+ "[^"]*" "([^"]*)"', 1)
+        good = (x["ip"] != "") & (x["identity"] != "") & (x["user"] != "") & x["method"].rlike("^[A-Z]+$") & (url != "")
         columns = {
-            "ts": F.try_to_timestamp(F.substring(stamp, F.lit(2), F.length(stamp) - 2), F.lit("d/MMM/yyyy:HH:mm:ss Z")), "kind": F.lit("http_request"), "host": F.lit(host), "user": F.when(user != "-", user), "src_ip": get("from", 0), "method": method,
-            "url": url, "uri_path": F.substring_index(url, "?", 1), "uri_query": F.when(mark > 0, F.substring(url, mark + 1, F.length(url))).otherwise(""), "status": status.try_cast("int"), "bytes": F.coalesce(size.try_cast("long"), F.lit(0)), "user_agent": x["agent"],
+            "ts": F.try_to_timestamp(x["time"], F.lit("d/MMM/yyyy:HH:mm:ss Z")), "kind": F.lit("http_request"), "host": F.lit(host), "user": F.when(x["user"] != "-", x["user"]), "src_ip": x["ip"], "method": x["method"], "url": url,
+            "uri_path": F.substring_index(url, "?", 1), "uri_query": F.when(mark > 0, F.substring(url, mark + 1, F.length(url))).otherwise(""), "status": F.substring(after, 2, 3).try_cast("int"), "bytes": F.coalesce(size.try_cast("long"), F.lit(0)),
+            "user_agent": F.nullif(agent, F.lit("")),
         }
         return F.when(good, F.struct(*[c.alias(k) for k, c in columns.items()]))
 
-    return _told(lines, _parts(_strip(F.col("value")), '"', event), "apache")
+    def asked(x: Column) -> Column:
+        """From the time's bracket on: time, method, target, rest."""
+        close = F.instr(x["rest"], '] "')
+        time = F.substring(x["rest"], F.lit(2), close - 2)
+        request = F.substring(x["rest"], close + 3, F.length(x["rest"]))
+        method = F.substring_index(request, " ", 1)
+        tail = F.substring(request, F.length(method) + 2, F.length(request))
+        target = F.regexp_extract(tail, r"^\S+", 0)
+        got = F.struct(x["ip"], x["identity"], x["user"], time.alias("time"), method.alias("method"), target.alias("target"), F.substring(tail, F.length(target) + 1, F.length(tail)).alias("rest"))
+        return F.when(x["rest"].startswith("[") & (close > 2) & ~time.contains("]"), let(got, told))
+
+    fields = lambda p: let(F.struct(p(0).alias("ip"), p(1).alias("identity"), p(2).alias("user"), p(3).alias("rest")), asked)
+    return _told(lines, _parts(_strip(F.col("value")), " ", fields, 4), "apache")
 
 
 #: Add a source here: from lines (value, at) to event rows.
@@ -191,13 +210,32 @@ def with_seq(rows: DataFrame) -> DataFrame:
     return rows.withColumn("seq", F.coalesce(rank, F.lit(len(RANK))).cast("long") * F.lit(1 << 58) + F.col("at.n"))
 
 
-def parse_stats(rows: DataFrame) -> DataFrame:
-    """source, total, parsed, skipped and the first three skipped lines, 120 characters each."""
+def samples(rows: DataFrame) -> DataFrame:
+    """source and the first three skipped lines, 120 characters each; only lines that are none are read where rows are kept by ``ok``."""
     line = F.substring(_strip(F.col("raw")), 1, 120)
     few = rows.where("not ok").select("source", line.alias("line"), F.row_number().over(Window.partitionBy("source").orderBy("at")).alias("n")).where("n <= 3")
-    first = few.groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]).alias("samples"))
+    return few.groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]).alias("samples"))
+
+
+def counted(rows: DataFrame, watch: Observation | str, sources: list[str] | None = None) -> DataFrame:
+    """``rows`` unchanged; as they pass, whatever becomes of them, their lines are counted by source.  A batch gives an Observation, to be read after its one
+    action; a stream a name, under which each micro-batch's counts stand in its progress."""
+    of = lambda s: F.col("source") == s
+    metrics = [m for s in sources or PARSERS for m in (F.count_if(of(s)).alias(f"total:{s}"), F.count_if(of(s) & F.col("ok")).alias(f"parsed:{s}"))]
+    return rows.observe(watch, *metrics)
+
+
+def stats_of(counts: dict[str, int], rows: DataFrame) -> DataFrame:
+    """As ``parse_stats``, from what ``counted`` saw; ``rows`` are read for the samples alone."""
+    seen = [(k[6:], n, counts[f"parsed:{k[6:]}"], n - counts[f"parsed:{k[6:]}"]) for k, n in counts.items() if k.startswith("total:") and n]
+    table = rows.sparkSession.createDataFrame(seen, "source string, total long, parsed long, skipped long")  # a row a source
+    return table.join(samples(rows), "source", "left").withColumn("samples", F.coalesce("samples", F.array().cast("array<string>")))
+
+
+def parse_stats(rows: DataFrame) -> DataFrame:
+    """source, total, parsed, skipped and the first three skipped lines, 120 characters each."""
     count = rows.groupBy("source").agg(F.count(F.lit(1)).alias("total"), F.count_if("ok").alias("parsed"), F.count_if(~F.col("ok")).alias("skipped"))
-    return count.join(first, "source", "left").withColumn("samples", F.coalesce("samples", F.array().cast("array<string>")))
+    return count.join(samples(rows), "source", "left").withColumn("samples", F.coalesce("samples", F.array().cast("array<string>")))
 
 
 def exists(spark: SparkSession, path: str) -> bool:
