@@ -185,7 +185,7 @@ def test_summary_in_one_pass_a_table(run, spark):
     assert triage._grouped(spark.createDataFrame([], "a string, b string"), "a", "b") == (0, {}, {})
 
 
-def test_techniques_have_names():
+def test_techniques_have_names(spark):
     single, stateful = load_rules()
     named = {t for r in single for t in map(technique_of, r.doc.get("tags") or []) if t} | {r.technique for r in stateful}
     assert set(sinks.techniques()) == named and set(sinks.PLAYBOOK) == {"*", "critical", *TACTICS}
