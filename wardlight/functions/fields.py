@@ -34,10 +34,29 @@ def canonical(name: str, extended: bool = False) -> str:
     return ALIASES.get(low) or (EXTENDED.get(low) if extended else None) or low
 
 
+#: A column of this name (VARIANT, an object with names in lower case) holds what a source tells and no column has.
+OPEN = "more"
+
+
 def resolve(name: str, columns: list[str] | None = None, extended: bool = False) -> Column:
-    """The field's column: of the envelope with empty texts and zero as missing; null for a field that events don't have."""
+    """The field's column: of the envelope with empty texts and zero as missing; null for a field that events don't have.
+    With the column OPEN a field that is no column is looked for there, as text."""
     c = canonical(name, extended)
     if c in ENVELOPE and (columns is None or c in columns):
         return F.nullif(F.col(c), F.lit(0 if c == "dst_port" else ""))
     known = columns if columns is not None else DATA
-    return F.col(f"`{c}`") if c in known and c not in ("ts", "us", "seq", "raw") else F.lit(None).cast("string")
+    if c in known and c not in ("ts", "us", "seq", "raw", OPEN):
+        return F.col(f"`{c}`")
+    if columns is not None and OPEN in columns and c not in ("ts", "us", "seq", "raw") and '"' not in c:
+        return F.try_variant_get(OPEN, f'$["{c}"]', "string")
+    return F.lit(None).cast("string")
+
+
+def event_json(columns: list[str]) -> Column:
+    """An event as one JSON object: its time and envelope, the data that it has, and its open fields beside them."""
+    first = [F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("ts")] + [F.col(c) for c in ENVELOPE if c in columns] + [F.col(c) for c in DATA if c in columns]
+    known = F.to_json(F.struct(*first))
+    if OPEN not in columns:
+        return known
+    more = F.to_json(OPEN)
+    return F.when(F.col(OPEN).isNull() | (more == "{}") | ~more.startswith("{"), known).otherwise(F.concat(F.substring(known, F.lit(1), F.length(known) - 1), F.lit(","), F.substring(more, F.lit(2), F.length(more))))

@@ -12,14 +12,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.fields import resolve
 from ..functions.net import is_public
 from ..functions.predicates import condition, selection
 from ..operators import bursts as B
 from ..operators import correlation as C
 from ..operators import sequences as S
+from ..operators.asof import as_of
+from ..operators.enrich import known_indicators, with_assets
 from ..operators.fused import Watch, watched
 from ..operators.lineage import cut
 from ..operators.needles import found
+from ..operators.networks import longest_match
+from ..operators.overlaps import overlapping
 from ..operators.sessions import sessions
 from ..operators.trailing import ordered, ranged, with_past
 from ..sources import logs as L
@@ -651,6 +656,64 @@ def event_rule_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- joins
 
+#: Nine of ten orders are those of one user, at times within those of the events.
+_ASKED = "SELECT o_orderkey, CASE WHEN o_orderkey % 10 < 9 THEN 7 ELSE o_custkey % 150 END AS user_id, 1704067200000000 + CAST(o_orderkey * 7919 % 2592000 AS BIGINT) * 1000000 AS us FROM orders"
+
+
+@register(f"""
+WITH o AS ({_ASKED}), e AS (SELECT user_id, epoch_us(ts) AS us, max(event_id) AS event_id FROM events GROUP BY ALL)
+SELECT o.o_orderkey, e.event_id, e.us AS event_us FROM o ASOF LEFT JOIN e ON o.user_id = e.user_id AND o.us >= e.us
+""")
+def asof_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each order's user did last before it."""
+    o = table(spark, sf_dir, "orders")
+    asked = o.select("o_orderkey", F.when(F.col("o_orderkey") % 10 < 9, 7).otherwise(F.col("o_custkey") % 150).cast("long").alias("user_id"), (F.lit(1704067200000000) + F.col("o_orderkey") * 7919 % 2592000 * 1000000).alias("us"))
+    got = as_of(asked, events(spark, sf_dir).select("user_id", "us", "seq"), ["user_id"], 6 * HOUR * B.SECOND)
+    return got.select("o_orderkey", F.col("last.seq").alias("event_id"), F.col("last.us").alias("event_us"))
+
+
+@register(
+    "WITH b AS (" + _burst_sql("event_type = 'error'", 24, 3) + """), e AS (SELECT event_id, user_id, epoch_us(ts) AS s, epoch_us(ts) + CAST(round(value * 100) AS BIGINT) * 3000000 AS t FROM events)
+SELECT b.user_id, b.first_us, e.event_id FROM b JOIN e ON e.user_id = b.user_id AND e.s <= b.last_us AND e.t >= b.first_us"""
+)
+def incident_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bursts with all events of their user that last into their time."""
+    b = _burst("event_type = 'error'", 24, 3)(spark, sf_dir).select("user_id", F.col("first_us").alias("start_us"), F.col("last_us").alias("end_us"))
+    e = events(spark, sf_dir).select("user_id", F.col("us").alias("start_us"), (F.col("us") + F.round(F.col("value") * 100).cast("long") * 3_000_000).alias("end_us"), "event_id")
+    return overlapping(b, e, ["user_id"], HOUR * B.SECOND).select("user_id", F.col("l.start_us").alias("first_us"), "r.event_id")
+
+
+@register("""
+WITH n AS (SELECT '10.0.0.0/8' AS net, 10::BIGINT * 16777216 AS lo, 11::BIGINT * 16777216 - 1 AS hi
+  UNION ALL SELECT '10.' || r_regionkey || '.0.0/16', 10::BIGINT * 16777216 + r_regionkey * 65536, 10::BIGINT * 16777216 + r_regionkey * 65536 + 65535 FROM region
+  UNION ALL SELECT '10.' || n_regionkey || '.' || n_nationkey || '.0/25', 10::BIGINT * 16777216 + n_regionkey * 65536 + n_nationkey * 256, 10::BIGINT * 16777216 + n_regionkey * 65536 + n_nationkey * 256 + 127 FROM nation
+  UNION ALL SELECT '2001:db8:' || n_regionkey || '::/48', n_regionkey - 100, n_regionkey - 100 FROM nation WHERE n_nationkey < 5),
+a AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN '2001:DB8:' || (user_id % 4) || '::' || (event_id % 97) ELSE (10 + event_id % 2) || '.' || (user_id % 6) || '.' || (event_id % 27) || '.' || (event_id % 250) END AS ip,
+  CASE WHEN event_id % 7 = 0 THEN user_id % 4 - 100 ELSE (10 + event_id % 2) * 16777216::BIGINT + user_id % 6 * 65536 + event_id % 27 * 256 + event_id % 250 END AS x FROM events)
+SELECT event_id, ip, arg_min(net, hi - lo) AS net FROM a LEFT JOIN n ON x BETWEEN lo AND hi GROUP BY event_id, ip
+""")
+def network_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of both kinds in nested networks: the smallest that holds each."""
+    r, n = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
+    nets = spark.range(1).select(F.lit("10.0.0.0/8").alias("net")).union(r.select(_text("10.", F.col("r_regionkey"), ".0.0/16"))).union(n.select(_text("10.", F.col("n_regionkey"), ".", F.col("n_nationkey"), ".0/25")))
+    nets = nets.union(n.where("n_nationkey < 5").select(_text("2001:db8:", F.col("n_regionkey"), "::/48")))
+    id_, user = F.col("event_id"), F.col("user_id")
+    ip = F.when(id_ % 7 == 0, _text("2001:DB8:", user % 4, "::", id_ % 97)).otherwise(_text(10 + id_ % 2, ".", user % 6, ".", id_ % 27, ".", id_ % 250))
+    found = longest_match(table(spark, sf_dir, "events").select("event_id", ip.alias("ip")), "ip", nets, "net")
+    return found.select("event_id", "ip", F.col("network.net").alias("net"))
+
+
+@register("""
+SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) >= 40 AND (event_type = 'error' OR CAST(json_extract(props, '$.k') AS BIGINT) = 77)
+""")
+def open_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule on a field that is no column but stands in the events' own objects."""
+    e = events(spark, sf_dir).withColumn("more", F.parse_json("props"))
+    found = {"high": {"k|gte": 40}, "error": {"event_type": "error"}, "seven": {"K": 77}}
+    hit = condition("high and (error or seven)", {n: selection(s, {}, e.columns) for n, s in found.items()})
+    return e.where(hit).select("event_id", resolve("k", e.columns).cast("long").alias("k"))
+
+
 
 def _inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
@@ -663,8 +726,10 @@ SELECT c_custkey, n.n_name AS asset, coalesce(CASE r_regionkey WHEN 0 THEN 'crit
 FROM customer c LEFT JOIN (SELECT n_nationkey, n_name, r_regionkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey < 4) n ON c.c_nationkey = n.n_nationkey
 """)
 def asset_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").withColumnRenamed("c_nationkey", "n_nationkey")
-    return c.join(_inventory(spark, sf_dir), "n_nationkey", "left").select("c_custkey", F.col("n_name").alias("asset"), F.coalesce("criticality", F.lit("low")).alias("criticality"))
+    c = table(spark, sf_dir, "customer")
+    assets = _inventory(spark, sf_dir).select(F.col("n_nationkey").cast("string").alias("host_key"), "n_name", "criticality")
+    found = with_assets(c, F.col("c_nationkey").cast("string"), assets)
+    return found.select("c_custkey", F.col("asset.n_name").alias("asset"), F.coalesce("asset.criticality", F.lit("low")).alias("criticality"))
 
 
 @register(r"""
@@ -676,4 +741,4 @@ def intel_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of the benchmark as a feed of indicators."""
     words = lambda t, *keep: t.select(*keep, F.explode(F.split("text", " ")).alias("w")).where("w <> ''").select(*keep, F.lower("w").alias("key")).distinct()
     feed = words(table(spark, sf_dir, "benchmark"))
-    return words(table(spark, sf_dir, "documents"), "doc_id").join(feed, "key").groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"))
+    return known_indicators(words(table(spark, sf_dir, "documents"), "doc_id").withColumnRenamed("key", "word"), F.col("word"), feed).groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"))

@@ -1,4 +1,4 @@
-"""Leaves of rules with large lists or many needles become columns of marks, joined to the events before conditions are compiled."""
+"""Leaves of rules with large lists, networks (ADDRESS/BITS) in lists, or many needles become columns of marks, joined to the events before conditions are compiled."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.fields import resolve
 from ..functions.predicates import leaf_key
 from ..operators.needles import existence, found
+from ..operators.networks import longest_match
 
 #: A list of more values, or a leaf with more needles, is joined; up to so many are part of the condition.
 MANY = 200
@@ -35,7 +36,7 @@ def large(selections: list[Any], lists: dict, many: int = MANY) -> dict[str, tup
         mods = name.split("|")[1:]
         if "in_list" in mods:
             known = _values(lists, want)
-            if any(isinstance(v, DataFrame) for v in known) or sum(len(v) for v in known) > many:
+            if any(isinstance(v, DataFrame) for v in known) or sum(len(v) for v in known) > many or any("/" in str(x) for v in known for x in v):
                 out[leaf_key(name, want)] = (name, want)
         elif any(m in _EDGES for m in mods) and isinstance(want, list) and len(want) > many:
             out[leaf_key(name, want)] = (name, want)
@@ -59,6 +60,8 @@ def marked(rows: DataFrame, selections: list[Any], lists: dict, key: str = "seq"
             for p in parts[1:]:
                 known = known.union(p)
             rows = existence(rows, value, known, mark)
+            if known.where("value like '%/%'").limit(1).count():  # networks stand in the list, too
+                rows = longest_match(rows.withColumn("_ip", value.cast("string")), "_ip", known.where("value like '%/%'"), "value", "_net").withColumn(mark, F.col(mark) | F.col("_net").isNotNull()).drop("_net")
         else:
             needles = _table(spark, "needle", want)
             where = next(m for m in mods if m in _EDGES)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from ..functions.fields import EVENT
+from ..functions.fields import EVENT, OPEN
 from ..functions.net import let
 
 #: Sources in the order that breaks ties of time, with their files; kinds by event number; names of the two senders.
@@ -46,7 +46,7 @@ def _event(lines: DataFrame, **columns: Column) -> DataFrame:
     for c in ("host", "user", "src_ip", "dst_ip"):
         made[c] = F.coalesce(made[c], F.lit(""))
     made["dst_port"] = F.coalesce(made["dst_port"], F.lit(0))
-    return lines.select(*[made[f.name].alias(f.name) if f.name in made else F.lit(None).cast(f.dataType).alias(f.name) for f in schema if f.name != "raw"], F.col("value").alias("raw"), "at", *[c for c in ("block",) if c in lines.columns])
+    return lines.select(*[made[f.name].alias(f.name) if f.name in made else F.lit(None).cast(f.dataType).alias(f.name) for f in schema if f.name != "raw"], F.col("value").alias("raw"), "at", *[c for c in ("block", OPEN) if c in lines.columns])
 
 
 def _told(lines: DataFrame, event: Column, source: str) -> DataFrame:
@@ -196,8 +196,10 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse(lines: DataFrame, source: str, **options) -> DataFrame:
-    """Events and skipped lines (``ok`` is false)."""
+    """Events and skipped lines (``ok`` is false).  What a parser of one's own knows beyond the columns of an event it gives in the column OPEN, which rules reach by name."""
     rows = PARSERS[source](lines, **options)
+    if OPEN not in rows.columns:
+        rows = rows.withColumn(OPEN, F.lit(None).cast("variant"))
     return rows.withColumn("ok", F.col("ts").isNotNull() & F.col("kind").isNotNull()).withColumn("us", F.unix_micros("ts"))
 
 
