@@ -602,3 +602,40 @@ def test_token_files(spark, docs, empty, kind, size):
     folder = scratch(spark, "test")
     token_files.write(empty, folder)
     assert token_files.digests(spark, folder).count() == 0
+
+
+def _dealt_blocks(n, anchor=5):
+    """Blocks of one window each under one anchor, all different, as they come to ``_factor``: records of documents 0 to n - 1."""
+    r = np.random.default_rng(21)
+    one, zero = np.ones(n, np.int64), np.zeros(n, np.int64)
+    records = lz_dedup._records(np.arange(n), zero, zero, zero, one, r.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2) + r.integers(0, 2, n).astype(np.uint64), zero[:0], zero[:0])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, anchor)), records], names=["anchor", "block"])
+
+
+def test_lz_dedup_of_different_windows_under_one_anchor(monkeypatch):
+    """400,000 different windows give no factor, and a hot anchor's index is not gone through again with each batch."""
+    n = 400_000
+    dealt, seen, parse = _dealt_blocks(n), [], lz_dedup._parse
+
+    def counted(b, indexed):
+        seen.append(len(b.anchor))
+        return parse(b, indexed)
+
+    monkeypatch.setattr(lz_dedup, "_parse", counted)
+    monkeypatch.setattr(lz_dedup, "AT_ONCE", 10_000)
+    found = sum(b.num_rows for b in lz_dedup._factor(iter(pa.Table.from_batches([dealt]).to_batches(max_chunksize=5000))))
+    assert found == 0 and sum(seen) <= 3 * n
+
+
+def test_lz_dedup_of_a_line_in_one_document_of_a_hundred(spark, monkeypatch):
+    """A line that no slice holds often is frequent in the corpus: its anchor's blocks don't grow with it."""
+    monkeypatch.setattr(lz_dedup, "LOCAL", 1)
+    r = random.Random(22)
+    line = " ".join(f"notice{i}" for i in range(9))
+    rows = [" ".join(f"w{r.randrange(10**9)}" for _ in range(15)) + (f" {line} " if i % 100 == 0 else " ") + " ".join(f"w{r.randrange(10**9)}" for _ in range(15)) for i in range(20_000)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(16)
+    frequent = lz_dedup.frequent_grams(df, local=1, total=64)
+    assert len(frequent) == 2
+    row, _, _, anchor, _ = lz_dedup.blocks(pa.array(rows), frequent)
+    assert np.unique(anchor, return_counts=True)[1].max() < 10
+    assert np.unique(lz_dedup.blocks(pa.array(rows), np.zeros(0, np.uint64))[3], return_counts=True)[1].max() > 50

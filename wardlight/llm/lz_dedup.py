@@ -8,10 +8,11 @@ first window that stands in one, the longest run of windows from there on that s
 (document and place of the first block that has it), and the parse goes on behind it.  A document's factors from one source
 that continue each other are then put together.  A window is at least SPAN words, so every factor is a duplicate span.
 
-Windows are compared by 40 bits of their hashes under 64 bits of their anchors' hashes, both ends of a factor being ends of such windows.
+Windows are compared by 48 bits of their hashes under 64 bits of their anchors' hashes, both ends of a factor being ends of such windows: two different ones under
+one anchor are taken for equal once in 2**48 pairs.
 
 Blocks that stand earlier in the same slice of texts are factors at once, so the frequent passages of a corpus reach the
-index once for each slice, not once for each document.  A gram that many texts hold in different surroundings (``frequent_grams``)
+index once for each slice, not once for each document.  A gram that many texts of the corpus hold in different surroundings (``frequent_grams``)
 is no anchor of windows that reach into those surroundings, so no anchor gathers them.
 
 Defined cases: null texts have no words; a row without id stands before all others; rows of one id are told
@@ -32,6 +33,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,8 +47,11 @@ _BASE = 0x9E3779B97F4A7C15
 _HEAD = 21
 #: Bytes of the source of a block that is a factor already: id (8), first window (4).
 _SOURCE = 12
-#: Frequent grams: those that one slice of texts holds more often than LOCAL, the OFTEN most frequent of them.
-LOCAL = 64
+#: Bytes of a window's hash in the index.
+WIDE = 6
+#: Frequent grams: those that the corpus holds more often than TOTAL, counted in the slices of texts that hold them more often than LOCAL; the OFTEN most frequent.
+LOCAL = 8
+TOTAL = 64
 OFTEN = 1 << 16
 #: Bytes of text in a slice, and blocks under one anchor that are factored at once.
 SLICE = 12 << 20
@@ -97,8 +102,8 @@ def _hashes(h: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def frequent_grams(docs: DataFrame, local: int = LOCAL, most: int = OFTEN) -> np.ndarray:
-    """Sorted hashes of grams that are frequent in some slice; at most ``most`` come to the driver.  Results don't depend on them, only where windows meet."""
+def frequent_grams(docs: DataFrame, local: int = LOCAL, most: int = OFTEN, total: int = TOTAL) -> np.ndarray:
+    """Sorted hashes of grams that are frequent in the corpus; at most ``most`` come to the driver.  Where windows meet depends on them; what is equal does not."""
 
     def count(batches):
         for part in T.together(batches, limit=SLICE):
@@ -110,7 +115,7 @@ def frequent_grams(docs: DataFrame, local: int = LOCAL, most: int = OFTEN) -> np
             found, n = np.unique(gram, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found[n > local].view(np.int64)), pa.array(n[n > local])], names=["gram", "n"])
 
-    counted = T.id_and_text(docs).select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    counted = T.id_and_text(docs).select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") > total)
     return np.sort(np.array([r["gram"] for r in counted.orderBy(F.desc("n"), "gram").limit(most).collect()], np.int64).view(np.uint64))
 
 
@@ -152,7 +157,7 @@ def blocks(text: pa.Array, frequent: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def _records(doc_id, tie, first, known, counts, hashes, source_id, source_first) -> pa.Array:
     """Records that sort as (id, text hash, first window).  After the head: the source of a block that is known, or a block's window hashes."""
-    size = _HEAD + np.where(known > 0, _SOURCE, 5 * counts)
+    size = _HEAD + np.where(known > 0, _SOURCE, WIDE * counts)
     at = np.concatenate([[0], np.cumsum(size)])
     out = np.zeros(at[-1], np.uint8)
     head = np.empty((len(counts), _HEAD), np.uint8)
@@ -166,7 +171,7 @@ def _records(doc_id, tie, first, known, counts, hashes, source_id, source_first)
     places = at[:-1][known > 0][:, None] + _HEAD + np.arange(_SOURCE)
     body[places.reshape(-1)] = False
     out[places] = np.concatenate([_sortable(source_id[known > 0]), source_first[known > 0].astype(">u4").view(np.uint8).reshape(-1, 4)], axis=1)
-    out[body] = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5].reshape(-1)
+    out[body] = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :WIDE].reshape(-1)
     return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(out)])
 
 
@@ -248,10 +253,10 @@ def _read(b: pa.RecordBatch) -> tuple[_Blocks, list[np.ndarray]]:
     done, new = np.flatnonzero(known), np.flatnonzero(known == 0)
     source = data[at[done][:, None] + _HEAD + np.arange(_SOURCE)]
     factors = [doc_id[done], tie[done], first[done], known[done], _number(source[:, :8]), np.ascontiguousarray(source[:, 8:]).view(">u4").reshape(-1).astype(np.int64)]
-    counts = (np.diff(at)[new] - _HEAD) // 5
-    start = np.repeat(at[new] + _HEAD, counts) + 5 * _nth(counts)
+    counts = (np.diff(at)[new] - _HEAD) // WIDE
+    start = np.repeat(at[new] + _HEAD, counts) + WIDE * _nth(counts)
     hashes = np.zeros(len(start), np.uint64)
-    for i in range(5):
+    for i in range(WIDE):
         hashes = (hashes << np.uint64(8)) | data[start + i].astype(np.uint64)
     return _Blocks(anchor[new], doc_id[new], tie[new], first[new], counts, hashes), factors
 
@@ -322,7 +327,8 @@ def _factor(batches: Iterator[pa.RecordBatch]):
             yield rows(known)
         if len(b.anchor):
             waiting.append(b)
-        if sum(len(x.anchor) for x in waiting) >= AT_ONCE:
+        # as many new blocks as are indexed, so that a hot anchor's index is gone through few times
+        if sum(len(x.anchor) for x in waiting) >= max(AT_ONCE, len(index.anchor) if index is not None else 0):
             yield parsed(functools.reduce(_Blocks.__add__, waiting))
             waiting = []
     if waiting:
@@ -367,9 +373,28 @@ def covered(offsets: np.ndarray, spans: list[list[dict] | None]) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
+def _packed(batches: Iterator[pa.RecordBatch]):
+    """Texts compressed one by one, for the way to their spans."""
+    z = zstandard.ZstdCompressor(level=1)
+    for b in batches:
+        raw = pc.fill_null(b.column("text"), "").cast(pa.binary())
+        texts = pa.array([z.compress(x.as_buffer()) for x in raw], pa.binary())
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "key", "tie")), texts], names=["doc_id", "key", "tie", "text"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]):
+    z = zstandard.ZstdDecompressor()
+    for b in batches:
+        size = np.array([zstandard.frame_content_size(x.as_py()) for x in b.column("text")], np.int64)
+        for start, n in T.runs(size, T.SLICE_BYTES):
+            part = b.slice(start, n)
+            text = pa.array([z.decompress(x.as_py()) for x in part.column("text")], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), text, part.column("spans")], names=["doc_id", "text", "spans"])
+
+
 def _cut(batches: Iterator[pa.RecordBatch]):
-    for part in T.slices(batches):
-        text = pc.fill_null(part.column("text"), "")
+    for part in _unpacked(batches):
+        text = part.column("text")
         offsets, values = T.words(text)
         gone = covered(offsets, part.column("spans").to_pylist())
         stays = np.concatenate([[0], np.cumsum(~gone)])[offsets]
@@ -397,7 +422,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and ``kept``, the words left, joined by one space."""
     tied = ids_repeat(docs)
     tie = F.xxhash64(F.coalesce("text", F.lit(""))) if tied else F.lit(0).cast("long")
-    rows = T.id_and_text(docs).withColumns({"key": F.coalesce("doc_id", F.lit(_NO_ID)), "tie": tie})
+    rows = T.id_and_text(docs).withColumns({"key": F.coalesce("doc_id", F.lit(_NO_ID)), "tie": tie}).mapInArrow(_packed, "doc_id long, key long, tie long, text binary")
     both = rows.join(spans(docs, tied), ["key", "tie"], "left").select("doc_id", "text", "spans")
     return both.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept string")
 
