@@ -608,7 +608,7 @@ def _dealt_blocks(n, anchor=5):
     """Blocks of one window each under one anchor, all different, as they come to ``_factor``: records of documents 0 to n - 1."""
     r = np.random.default_rng(21)
     one, zero = np.ones(n, np.int64), np.zeros(n, np.int64)
-    records = lz_dedup._records(np.arange(n), zero, zero, zero, one, r.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2) + r.integers(0, 2, n).astype(np.uint64), zero[:0], zero[:0])
+    records = lz_dedup._records(np.arange(n), zero, zero, zero, one, r.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2) + r.integers(0, 2, n).astype(np.uint64), zero, zero)
     return pa.RecordBatch.from_arrays([pa.array(np.full(n, anchor)), records], names=["anchor", "block"])
 
 
@@ -638,4 +638,4 @@ def test_lz_dedup_of_a_line_in_one_document_of_a_hundred(spark, monkeypatch):
     assert len(frequent) == 2
     row, _, _, anchor, _ = lz_dedup.blocks(pa.array(rows), frequent)
     assert np.unique(anchor, return_counts=True)[1].max() < 10
-    assert np.unique(lz_dedup.blocks(pa.array(rows), np.zeros(0, np.uint64))[3], return_counts=True)[1].max() > 50
+    assert np.unique(lz_dedup.blocks(pa.array(rows), np.zeros(0, np.uint64))[3], return_counts=True)[1].max() > 20
