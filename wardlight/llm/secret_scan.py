@@ -2,15 +2,16 @@
 
 A candidate is a run of at least SHORTEST letters, digits and ``+ / = _ -`` with a digit in it; a run is cut behind each
 ``=`` that more follows (NAME=value), so that the name stands before the value, not in it.  The value assigned to one of
-NAMES is a candidate too, from ASSIGNED characters of any kind on: quoted, or up to white space.  Candidates may overlap;
+NAMES is a candidate too, from ASSIGNED characters of any kind on: quoted, or up to white space.  So are the password in ``scheme://user:password@``, what follows
+the name of a scheme (Basic, Bearer, Token), and such runs joined by dots.  Candidates may overlap;
 ``redact`` replaces what secrets cover together.  The forest sees its
 length, its transitions between kinds of characters, its entropy, how much of it dictionary words cover, whether it
 lies in a path or address, and its neighbouring words.  It is trained on labelled findings: any table of text,
 start, length and label; by default those that ``default_findings`` makes from the corpus itself (candidates
 of a bounded sample of documents, labelled by what they are assigned to, and the same candidates set into harmless surroundings).
 
-Defined cases: null and empty texts have no candidates; repeated rows each give their findings; a row without id
-keeps a null id; an empty table gives no findings; other columns are ignored, or kept by ``redact``.
+Defined cases: null and empty texts have no candidates; a very long text is searched whole; candidates that touch or overlap each give a finding, in order of start and then of end; repeated rows each
+give their findings; a row without id keeps a null id, and is not drawn from for default findings; an empty table gives no findings; other columns are ignored, or kept by ``redact``.
 """
 
 from __future__ import annotations
@@ -45,17 +46,27 @@ THRESHOLD = 0.5
 AROUND = 48
 REPLACEMENT = "[SECRET]"
 #: Names that secrets are assigned to, words of pass phrases, beginnings that issuers of keys give them, and words beside harmless identifiers.
-NAMES = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "access_key", "private_key", "auth", "bearer", "credential", "key")
+NAMES = ("token", "secret", "password", "passwd", "passphrase", "pwd", "apikey", "api_key", "access_key", "private_key", "auth", "bearer", "credential", "signature", "key")
+SHORT_NAMES = ("sig", "pass", "pin")
+SCHEMES = ("basic", "bearer", "token")
+HOOKS = ("hook", "hooks", "webhook", "webhooks", "services")
 PLAIN = ("correct", "required", "battery", "missing", "copper", "window", "unknown", "planet", "optional", "garden", "string", "yellow", "invalid", "river", "changed", "purple", "monkey", "expired", "silver", "market")
 KNOWN_FORMS = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "ghs_", "glpat-", "npm_", "xoxb-", "xoxp-", "sk_live_", "sk_test_", "rk_live_", "eyJ")
 HARMLESS = ("commit", "sha", "sha1", "sha256", "md5", "checksum", "hash", "digest", "uuid", "guid", "id", "revision", "build", "version", "example", "etag", "isbn", "phone", "card")
-_ASSIGN = rf"(?:{'|'.join(NAMES)})[A-Za-z0-9_\-]{{0,32}}[\"'`]?[ \t]*(?::=|=>|[:=])"
+_NAMED = rf"(?:(?:{'|'.join(NAMES)})[A-Za-z0-9_\-]{{0,32}}|\b(?:{'|'.join(SHORT_NAMES)}))"
+_TO = r"[\"'`]?[ \t]*(?::=|=>|[:=])"
+_ASSIGN = _NAMED + _TO
 #: Quoted, from a quote to white space, or bare up to white space, the next ``&name=``, a quote that closes, or a comma or semicolon at its end.
 _QUOTED = "|".join(rf"{q}((?:\\.|[^{q}\\\n]){{{ASSIGNED},}}){q}|{q}([^\s{q}]{{{ASSIGNED},}})" for q in "\"'`")
 _BARE = rf"""((?:(?![&;,][A-Za-z0-9_.\-]{{1,64}}=|["'`](?:[\s>,;)\]}}]|$)|[,;](?:\s|$))\S){{{ASSIGNED},}})"""
-_VALUE = re.compile(rf"{_ASSIGN[: _ASSIGN.index(')') + 1]}(?={_ASSIGN[_ASSIGN.index(')') + 1 :]}[ \t]*(?:{_QUOTED}|(?![\"'`]){_BARE}))", re.ASCII | re.IGNORECASE)
+_VALUE = re.compile(rf"{_NAMED}(?={_TO}[ \t]*(?:{_QUOTED}|(?![\"'`]){_BARE}))", re.ASCII | re.IGNORECASE)
+#: Passwords in addresses, what schemes are followed by, and runs joined by dots.
+_LOGIN = rf"://[^\s/:@\"'<>]{{1,64}}:([^\s/@\"'<>]{{{ASSIGNED},128}})@"
+_SCHEME = r"\b(?:Basic|Bearer|Token)[ \t]+([A-Za-z0-9+/=_\-.~]{8,})"
+_DOTTED = r"[A-Za-z0-9_\-]{2,}(?:\.[A-Za-z0-9_\-]{8,}){1,3}"
+_OTHERS = [re.compile(_LOGIN, re.ASCII), re.compile(_SCHEME, re.ASCII | re.IGNORECASE), re.compile(f"({_DOTTED})", re.ASCII)]
 #: Texts that may have a candidate, for Arrow.
-ANY = rf"{CANDIDATE}|(?i:{_ASSIGN})"
+ANY = rf"{CANDIDATE}|(?i:{_ASSIGN}|{_SCHEME})|{_LOGIN}|{_DOTTED}"
 _PLAIN = re.compile(r"[^\W\d_]+(?:[ ._-]+[^\W\d_]+)*\W?")
 _WORD = re.compile(r"[A-Za-z]+(?:_[A-Za-z]+)*")
 _BEFORE = re.compile(r"([A-Za-z_][A-Za-z0-9_]*)\W{0,8}$")
@@ -63,9 +74,18 @@ _BEFORE = re.compile(r"([A-Za-z_][A-Za-z0-9_]*)\W{0,8}$")
 FEATURES = (
     "length", "transitions", "digits", "upper", "lower", "other", "hex", "entropy", "longest_run", "distinct", "vowels", "dictionary",
     "in_path", "in_address", "file_ending", "quoted", "assigned", "named", "name_near", "harmless", "harmless_near", "only_digits", "dashes", "known_form",
+    "dots", "mixed", "in_login", "scheme", "hook", "longest_part",
 )
 
 
+_IN_LOGIN = re.compile(r"://[^\s/:@]{1,64}:$")
+
+
+def _names(word: str) -> bool:
+    """Whether a word names a secret."""
+    return any(k in word for k in NAMES) or word in SHORT_NAMES
+
+
 def _kind(c: str) -> int:
     return 0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3
 
@@ -98,13 +118,17 @@ def features(text: str, start: int, end: int, dictionary: frozenset[str]) -> lis
         float(-(p * np.log2(p)).sum()), max(np.diff([0, *runs, n])) / n, len(counts) / n, sum(c in "aeiouAEIOU" for c in s) / n, coverage(s, dictionary),
         float(s.count("/") > 1 or before.endswith(("/", "\\", "."))), float("://" in before[-24:] or "@" in before[-2:] or after.startswith("@")), float(bool(re.match(r"\.[a-z]{2,4}\b", after))),
         float(before.endswith(('"', "'", "`"))), float(left.endswith(("=", ":")) or left.rstrip("\"'`").rstrip().endswith(("=", ":"))),
-        float(any(k in name for k in NAMES)), float(any(k in w for w in near for k in NAMES)), float(name in HARMLESS), float(any(w in HARMLESS for w in near)), float(s.isdigit()), float(s.count("-")), float(s.startswith(KNOWN_FORMS)),
+        float(_names(name)), float(any(_names(w) for w in near)), float(name in HARMLESS), float(any(w in HARMLESS for w in near)), float(s.isdigit()), float(s.count("-")), float(s.startswith(KNOWN_FORMS)),
+        float(s.count(".")), float(0 < kinds.count(0) and 0 < kinds.count(1) and 0 < kinds.count(2)), float(bool(_IN_LOGIN.search(before)) and after.startswith("@")), float(name in SCHEMES and before.endswith((" ", "\t"))),
+        float(any(w.lower() in HOOKS for w in _WORD.findall(before)[-6:])), float(max(map(len, re.split(r"[^A-Za-z0-9]", s)))),
     ]
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
     """Start and end, in order.  Where the last part of a run is too short, or has no digit, the whole run stays a candidate."""
     out = [m.span(m.lastindex) for m in _VALUE.finditer(text)]
+    for pattern in _OTHERS:
+        out += [m.span(1) for m in pattern.finditer(text) if pattern is not _OTHERS[2] or (len(m.group()) >= SHORTEST and _DIGIT.search(m.group()))]
     for m in _CANDIDATE.finditer(text):
         if _DIGIT.search(m.group()):
             parts = [(m.start() + p.start(), m.start() + p.end()) for p in _PART.finditer(m.group())]
@@ -150,15 +174,52 @@ def _label(before: str, s: str) -> int | None:
     if s.startswith(KNOWN_FORMS) and _CANDIDATE.fullmatch(s):
         return 1
     m = _BEFORE.search(before)
-    if not m or not any(k in m.group(1).lower() for k in NAMES) or s.isdigit():
+    if not m or not _names(m.group(1).lower()) or s.isdigit():
         return 0
     if _PLAIN.fullmatch(s):
         return 0 if len(s) < SHORTEST else None
     return 1
 
 
-def default_findings(texts: pd.Series) -> pd.DataFrame:
-    """text, start, length, label: candidates assigned to the name of a secret are secrets; in other surroundings, and as commit ids, paths or numbers, not."""
+def _made(pick, draw, i: int) -> list[tuple[str, str, str, str, int]]:
+    """Kind, text before, candidate, text after, label: secrets that are told by their form or place rather than a name, each with what looks like it."""
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    mixed, word = letters + "0123456789", PLAIN[int(draw.integers(0, len(PLAIN)))]
+    some = lambda a, b, of=mixed: pick(of, int(draw.integers(a, b)))
+    scheme, end = ("postgres", "mysql", "amqp", "redis", "ftp", "https")[i % 6], ("\n", " then", '"', "'", "")[i % 5]
+    password = (some(8, 20), some(6, 12) + pick("!#$%&*+-", 2), word + pick("0123456789", 3))[i % 3]
+    hexed = pick("0123456789abcdef", (32, 40, 64)[i % 3])
+    parts = [some(8, 14, letters.lower()) for _ in range(3)]
+    return [
+        ("login", f"{scheme}://{('app', 'root', 'svc_user')[i % 3]}:", password, "@db.internal:5432/main", 1),
+        ("login", f"{scheme}://host{i}.example/", f"{word}/{hexed}", "/index", 0),
+        ("scheme", ("Authorization: ", "-H 'authorization: ", '"Authorization": "')[i % 3] + ("Basic ", "Bearer ", "Token ")[i // 3 % 3], some(20, 60) + ("==", "=", "")[i % 3], end, 1),
+        ("scheme", ("a basic ", "this token ", "the bearer ")[i % 3], parts[0] + parts[1], " of it", 0),
+        ("dotted", ("", "use ", "sent ", "with ")[i % 4], f"{pick(letters.upper(), 2)}.{some(16, 24)}.{some(30, 46)}", end, 1),
+        ("dotted", ("", "is ", "> ")[i % 3], ".".join(some(20, 80) for _ in range(3)), end, 1),
+        ("dotted", ("import ", "see ", "in ")[i % 3], ".".join([("com", "org", "lib")[i % 3], parts[0], parts[1] + str(i % 10), parts[2].title()]), end, 0),
+        ("dotted", ("file ", "at https://", "")[i % 3], f"{parts[0]}-{i}.{parts[1]}.{parts[2]}{i % 7}", ("/x", ".html", "\n")[i % 3], 0),
+        ("hook", f"https://hooks.{parts[0]}.example/" + ("services", "webhooks", "hook")[i % 3] + f"/T{pick(letters.upper() + '0123456789', 8)}/B{pick(letters.upper() + '0123456789', 8)}/", some(20, 32), end, 1),
+        ("hook", f"https://cdn.{parts[0]}.example/assets/{word}/", (hexed, some(20, 32))[i % 2], (".js", ".png", "/full")[i % 3], 0),
+        ("asset", (f"https://{parts[0]}.example/", "src=/", "url(../", "img https://cdn.example/")[i % 4] + ("static/", "dist/", "img/", "js/")[i // 4 % 4], (hexed, some(16, 44))[i % 2], (".js", ".css", ".png", ".min.js", ".jpeg")[i % 5], 0),
+        ("asset", f"{('at', 'in', 'from')[i % 3]} /{parts[1]}/{parts[2]}/", some(16, 30), ("/data", ".txt", ".bin")[i % 3], 0),
+        ("base64", NAMES[i % len(NAMES)] + (": ", "=", ' = "')[i % 3], some(30, 88, mixed + "+/") + ("", "=", "==")[i // 3 % 3], end, 1),
+        ("query", f"https://store.example/{word}?sv=2024&" + ("sig=", "signature=", "sas=", "Signature=")[i % 4], some(30, 50) + ("%3D", "")[i % 2], ("&se=2026", "\n")[i % 2], 1),
+        ("query", f"https://shop.example/{word}?" + ("q=", "page=", "ref=", "session_start=")[i % 4], (hexed, parts[0] + str(1000 + i) + parts[1])[i % 2], ("&x=1", "\n")[i % 2], 0),
+        ("bare", ("it is ", "use ", "- ", "now ")[i % 4], pick(mixed, int(draw.integers(30, 48))), (" for this", "\n", ".")[i % 3], 1),
+        ("bare", ("it is ", "use ", "- ", "now ")[i % 4], hexed, (" for this", "\n", ".")[i % 3], 0),
+        ("phrase", ("passphrase: ", "pass: ", "Passphrase = ", "backup passphrase: ")[i % 4], (*[("-", "_", ".")[i % 3].join((PLAIN[int(j)], some(4, 8, letters.lower()))[i % 2] for j in draw.integers(0, len(PLAIN), 3 + i % 4))] * 2, some(10, 18) + "!")[i % 3], ("\n", " for it", " (old)")[i // 3 % 3], 1),
+        ("phrase", ("key: ", "token: ", "auth: ", "pin: ")[i % 4], pick("0123456789", int(draw.integers(6, 18))), ("\n", " was sent")[i % 2], 0),
+    ]
+
+
+#: Kinds of ``_made`` by their names.
+MADE = ("login", "scheme", "dotted", "hook", "asset", "base64", "query", "bare", "phrase")
+
+
+def default_findings(texts: pd.Series, without: tuple[str, ...] = ()) -> pd.DataFrame:
+    """text, start, length, label: candidates assigned to the name of a secret are secrets; in other surroundings, and as commit ids, paths or numbers, not.
+    ``without`` leaves kinds of MADE out, so that what the rest teaches about them can be measured."""
     out, draw = [], np.random.default_rng(11)
     add = lambda before, s, after, label: out.append((before + s + after, len(before), len(s), label))
     for t in texts:
@@ -180,6 +241,9 @@ def default_findings(texts: pd.Series) -> pd.DataFrame:
         add(f'{name} = "', (raw, hexed)[i % 2], '"\n', 1)
         add(f"{name}: ", (hexed, raw)[i % 2], "\n", 1)
         add(f"the {other} ", (hexed, raw)[i % 2], " of it", 0)
+        for kind, before, s, after, label in _made(lambda of, n: "".join(of[j] for j in draw.integers(0, len(of), n)), draw, i):
+            if kind not in without:
+                add(before, s, after, label)
         add(f"{other}: ", hexed, "\n", 0)
         add(("", "export ", "--", "?", "&")[i % 5] + (name, name.upper())[i // 5 % 2] + "=", (raw, hexed)[i // 2 % 2], ("\n", " ", "&page=2")[i % 3], 1)
         add(("", "?", "&")[i % 3] + (other, other.upper())[i // 3 % 2] + "=", (hexed, raw)[i // 2 % 2], ("\n", " ", "&page=2")[i % 3], 0)
@@ -187,7 +251,7 @@ def default_findings(texts: pd.Series) -> pd.DataFrame:
         add(("", "using ", "see ", "- ")[i % 4], KNOWN_FORMS[i % len(KNOWN_FORMS)] + raw, ("\n", " then", ", and")[i % 3], 1)
         dashed = "-".join(hexed[a:b] for a, b in ((0, 8), (8, 12), (12, 16), (16, 20), (20, 32)))
         add(("id ", "uuid: ", "item ", "")[i % 4], dashed, (" of", "\n")[i % 2], 0)
-        add(("", "see ", "at ", "in ")[i % 4], (raw, hexed)[i % 2], (" of it", "\n", ", too")[i % 3], 0)
+        add(("", "see ", "at ", "in ")[i % 4], hexed, (" of it", "\n", ", too")[i % 3], 0)
         add(("card ", "call ", "order no. ")[i % 3], digits, " by then", 0)
         add("as in ", f"section{i}andfollowingpages"[: 16 + i % 10], " of this", 0)
         # passwords of people: short with signs, or words without a space; and what else is assigned to such names
