@@ -665,9 +665,16 @@ def test_secret_scan_by_kind(spark):
     texts = [f"{prose(9, i)} " + ("commit 0123456789abcdef0123456789abcdef0123" if i % 3 else "token = 'aB3dE5gH7jK9mN1pQ3sT5'") for i in range(60)]
     dictionary = frozenset(w for t in texts for w in t.lower().split() if w.isalpha() and 4 <= len(w) <= 10)
 
+    seen = {}  # the rest of the findings is the same, whatever is left out
+
+    def row(t, s, n):
+        if (t, s, n) not in seen:
+            seen[t, s, n] = secret_scan.features(t, s, s + n, dictionary)
+        return seen[t, s, n]
+
     def scanner(without):
         f = secret_scan.default_findings(pd.Series(texts), without)
-        x = np.array([secret_scan.features(t, s, s + n, dictionary) for t, s, n in zip(f["text"], f["start"], f["length"], strict=True)], float)
+        x = np.array([row(t, s, n) for t, s, n in zip(f["text"], f["start"], f["length"], strict=True)], float)
         return secret_scan.Scanner(trees.forest(x, f["label"].to_numpy(float)), dictionary)
 
     def rate(scan, make, label):
@@ -735,3 +742,65 @@ def test_redaction_by_brute_force(spark):
             i += 1
         assert x["text"].replace(secret_scan.REPLACEMENT * 2, secret_scan.REPLACEMENT) == want or x["text"] == want
     assert len(spans) > 20
+
+
+def test_quality_statistics_by_brute_force():
+    """Every statistic counted with plain loops over one text."""
+    r = random.Random(31)
+
+    def one(t):
+        w = words(t)
+        w = [x.decode() for x in w]
+        n, length, lines = len(w), len(t), [x for x in t.split("\n") if x]
+        share = lambda a, b: a / max(b, 1)
+
+        def again(k):
+            grams = [tuple(w[i : i + k]) for i in range(n - k + 1)]
+            return len({p for i, g in enumerate(grams) if grams.count(g) > 1 for p in range(i, i + k)})
+
+        return [
+            np.log1p(n), share(sum(map(len, w)), n), share(sum(len(x) > 12 for x in w), n), share(sum(len(x) < 3 for x in w), n), share(len(set(w)), n), share(max((w.count(x) for x in w), default=0), n), share(again(3), n), share(again(5), n),
+            np.log1p(len(lines)), share(n, len(lines)), share(len(lines) - len(set(lines)), len(lines)), share(sum(len(x) < 20 for x in lines), len(lines)), *[share(sum(c in of for c in t), n) for of in ("#*$%&<>", "|", "!?", ",", ".")],
+            share(sum("A" <= c <= "Z" for c in t), length), share(sum("0" <= c <= "9" for c in t), length), share(length - sum(map(len, w)), n), share(len(t.encode()) - length, length), share(sum(a == b for a, b in zip(w, w[1:], strict=False)), n),
+        ]
+
+    texts = ["", "a", " \n\n "] + ["".join(r.choice(["aa ", "b, ", "Cé! ", "\n", "x1.|", "aa ", "  ", "<&>\n", "averyverylongword "]) for _ in range(r.randrange(60))) for _ in range(150)]
+    got = quality_model.statistics(pa.array(texts))
+    assert got.shape[1] == len(quality_model.STATISTICS)
+    for t, x in zip(texts, got, strict=True):
+        np.testing.assert_allclose(x, one(t), atol=1e-12, err_msg=repr(t))
+
+
+def test_toxicity_terms_and_votes_by_brute_force(spark):
+    """Terms are those of greatest lift over documents that have them; votes are what their documents' terms say."""
+    import zlib
+
+    r = random.Random(32)
+    rows = [(int(i % 3 == 0), " ".join(r.choice(["good", "fine", "day", "tree", "walk"]) for _ in range(8)) + (" badword you" if i % 3 == 0 and r.random() < 0.9 else " thanks" if r.random() < 0.5 else "")) for i in range(240)]
+    table = toxicity.choose_terms(spark.createDataFrame(rows, "label int, text string").repartition(3))
+    base = (sum(a for a, _ in rows) + 0.5) / (len(rows) + 1)
+    has = {}
+    for i, (_, t) in enumerate(rows):
+        offsets, codes, distinct = toxicity.terms(pa.array([t]))
+        for k in toxicity.KINDS:
+            for x, at in zip(toxicity.of_kind(distinct, k).to_pylist(), range(len(distinct)), strict=True):
+                if x is not None and at in codes:
+                    has.setdefault((k, x), set()).add(i)
+    lift = {key: (sum(rows[i][0] for i in d) - len(d) * base) / np.sqrt((len(d) + 1) * base * (1 - base)) for key, d in has.items() if len(d) >= 4}
+    want = {key: (len(has[key]), sum(rows[i][0] for i in has[key])) for key, x in lift.items() if abs(x) > 4}
+    got = {(k, t): (n, ones) for k, t, n, ones in table[["kind", "term", "n", "ones"]].itertuples(index=False)}
+    assert got == want and any(t == "badword" for _, t in got) and list(np.abs(table["lift"])) == sorted(np.abs(table["lift"]), reverse=True)
+    texts = [t for _, t in rows]
+    doc, term, n = toxicity.Lexicon.of(table).counts(pa.array(texts))
+    fixed = toxicity.fixed_hits(pa.array(texts))
+    v = toxicity.votes(table, doc, term, n, fixed, len(texts))
+    names = list(table[["kind", "term", "n", "ones", "lift"]].itertuples(index=False))
+    good = [i for i, x in enumerate(names) if x.ones >= toxicity.PURITY * x.n]
+    held = [{} for _ in texts]
+    for d, t, k in zip(doc.tolist(), term.tolist(), n.tolist(), strict=True):
+        held[d][t] = k
+    for i, mine in enumerate(held):
+        row = [float(any(j in mine for j in of)) for k in toxicity.KINDS for g in range(toxicity.GROUPS) if (of := [j for j in good if names[j].kind == k and zlib.crc32(names[j].term.encode()) % toxicity.GROUPS == g])]
+        hits = sum(mine.get(j, 0) for j in good)
+        row += ([0.0 if hits else -1.0, float(hits > 1)] if good else []) + ([-1.0 if any(names[j].lift < 0 for j in mine) else 0.0] if any(x.lift < 0 for x in names) else []) + [float(f > 0) for f in fixed[i]]
+        assert v[i].tolist() == row

@@ -18,7 +18,8 @@ same rows in the same partitions when computed again (their order is no matter):
 instead of giving wrong ids, and such documents are to be checkpointed before.
 
 Defined cases: a null text counts as empty, which has no ids; the special token's string in a text is
-encoded as that token, as the library does by default; repeated rows each give a row; an empty table
+encoded as that token, as the library does by default; a text longer than SLICE is a slice of its own, encoded whole;
+an id's place tells equal ids apart, so ties don't arise; repeated rows each give a row; an empty table
 gives an empty table; other columns are ignored.
 """
 

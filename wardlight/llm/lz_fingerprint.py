@@ -8,7 +8,7 @@ The next document is the one after it in descending order of id.  Documents are
 and the first of each range goes to the range before as well, so every row meets its next in one pass.
 
 Defined cases: null texts are empty; two empty fingerprints have likeness 1, an empty and another 0; rows without
-id come last; rows of one id are ordered by text; a single row is its own next; an empty table gives an empty table;
+id come last; rows of one id are ordered by text; a very long text is parsed whole; equal hashes count once; a single row is its own next; an empty table gives an empty table;
 other columns are ignored.
 """
 

@@ -12,7 +12,7 @@ within their range, and the ranges' counts are summed up.
 
 Defined cases: a null source is a source of its own, the last; a null text has size 0; sources of size 0 have
 target 0 and take nothing; repeated rows each give a row, and rows equal in size and id are ordered
-by text; an empty table gives an empty table; other columns are ignored, or kept by ``mix``.
+by text; a very long text is one document, counted whole; an empty table gives an empty table; other columns are ignored, or kept by ``mix``.
 """
 
 from __future__ import annotations

@@ -4,7 +4,8 @@ Statistics are computed for whole texts in Arrow columns, and the trees, flatten
 They are fitted on a bounded sample of labelled documents (labelled.SAMPLE) in the learning folds.
 
 Defined cases: a null or empty text has the statistics of an empty one and is scored like any other; without
-labels the score is 0.5 throughout; repeated rows each give a row; a row without id is not held out; an
+labels the score is 0.5 throughout; a very long text is measured whole; of several labels of an id 1 holds; a score equal to the threshold
+predicts 1; repeated rows each give a row; a row without id is not held out; an
 empty table gives an empty table; other columns are ignored.
 """
 

@@ -6,7 +6,7 @@ those bits, so that another policy, or leaving a rule out, needs only the ledger
 a document is kept under a policy if ``fail_bits & mask = 0``.
 
 Defined cases: a null or empty text has no words and fails ``too_few_words``;
-repeated rows and repeated or null ids are judged row by row; an empty table
+a very long text is measured whole; a measure that equals a rule's limit passes it; repeated rows and repeated or null ids are judged row by row; an empty table
 gives an empty ledger; other columns are ignored.
 """
 

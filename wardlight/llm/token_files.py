@@ -8,7 +8,7 @@ part, number of ids, plane kind and planes, and the index of the documents in it
 length there, number of the piece and of all pieces of the document).  Spark writes and reads the files, in any store.
 
 Defined cases: null texts are empty and give the end id alone; rows without id come first; rows equal in id are
-ordered by their ids; an empty table gives empty files; other columns are ignored.
+ordered by their ids; a text longer than a chunk goes over as many as it needs; an empty table gives empty files; other columns are ignored.
 """
 
 from __future__ import annotations

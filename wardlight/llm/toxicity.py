@@ -11,7 +11,8 @@ Terms are counted in Spark over a bounded sample of labelled documents (labelled
 at most TERMS terms, and the term counts of the sample's documents.
 
 Defined cases: a null or empty text has no terms and gets the score of the intercept; without labels, or
-with one class alone, the fixed lists alone vote; repeated rows each give a row; a row without id is not held out; an
+with one class alone, the fixed lists alone vote; a very long text is searched whole; of terms that tell as much the
+smaller is chosen first; a score equal to the threshold predicts 1; repeated rows each give a row; a row without id is not held out; an
 empty table gives an empty table; other columns are ignored.
 """
 
