@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardlight.functions.predicates import RuleError, condition, leaf, selection
+from wardlight.operators.lineage import cut
 from wardlight.operators.needles import existence, found, within_bound
 from wardlight.plans.detector import Detector
 from wardlight.plans.marks import MANY, large, marked
@@ -67,11 +68,12 @@ def test_marks_are_what_leaves_are(spark):
     }
     rows, marks = marked(e, list(sels.values()), addresses)
     assert len(marks) == 7 and len(large(list(sels.values()), addresses)) == 7
+    assert "tool" not in rows._jdf.queryExecution().optimizedPlan().toString()  # no needle stands in the plan
+    rows = cut(rows)
     for text in (*sels, "a and not d", "1 of a* or e", "not b"):
         with_marks = rows.where(condition(text, {n: selection(s, addresses, rows.columns, marks=marks) for n, s in sels.items()}))
         plain = e.where(condition(text, {n: selection(s, addresses, e.columns) for n, s in sels.items()}))
         assert {r["seq"] for r in with_marks.collect()} == {r["seq"] for r in plain.collect()}, text
-    assert "tool" not in rows._jdf.queryExecution().optimizedPlan().toString()  # no needle stands in the plan
 
 
 def test_a_list_of_a_million_rows(spark, tmp_path):

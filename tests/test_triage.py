@@ -160,7 +160,9 @@ def test_partitions_change_nothing(run, spark):
 
 def test_outputs(run, spark, tmp_path):
     _, _, result = run
-    facts = sinks.write(result, str(tmp_path))
+    facts = sinks.write(result, str(tmp_path), events=True)
+    told = spark.read.json(f"{tmp_path}/events.json")
+    assert told.count() == result.events.count() and {"ts", "source", "kind", "uri_query", "bytes"} <= set(told.columns) and "us" not in told.columns
     assert facts["alerts"] == 11 and facts["incidents"] == 3 and facts["priorities"]["P1"] >= 1 and facts["parse"]["sysmon"]["skipped"] == 1
     assert spark.read.json(f"{tmp_path}/alerts.json").count() == 11 and spark.read.json(f"{tmp_path}/incidents.json").count() == 3
     text = "\n".join(r["value"] for r in spark.read.text(f"{tmp_path}/reports/id=INC-002").collect())

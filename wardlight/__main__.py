@@ -31,6 +31,7 @@ def main(argv: list[str] | None = None) -> int:
         if name == "detect":
             q.add_argument("--out", required=True)
             q.add_argument("--top", type=int, default=20, help="incidents to list")
+            q.add_argument("--events", action="store_true", help="write the events, too")
             q.add_argument("--json", action="store_true", help="the summary as JSON in place of the list")
     q = sub.add_parser("rules")
     for option in ("--rules", "--sigma"):
@@ -59,7 +60,7 @@ def main(argv: list[str] | None = None) -> int:
         spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
         result = run(spark, a.logs, year=a.year, env=a.env, intel=a.intel, rules=a.rules, sigma=a.sigma)
         if a.command == "detect":
-            facts = write(result, a.out)
+            facts = write(result, a.out, a.events)
             print(json.dumps(facts, sort_keys=True) if a.json else "\n".join(shown(facts, result.ranked().limit(a.top).collect())))
             for r in result.parse_stats.where("skipped > 0").orderBy("source").collect():  # a row a source
                 print(f"{r['source']}: {r['skipped']} of {r['total']} lines were not understood, such as {r['samples'][0]!r}", file=sys.stderr)

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.fields import resolve
+from ..functions.fields import event_json, resolve
 from ..functions.net import is_public
 from ..functions.predicates import condition, selection
 from ..operators import bursts as B
@@ -662,14 +662,15 @@ _ASKED = "SELECT o_orderkey, CASE WHEN o_orderkey % 10 < 9 THEN 7 ELSE o_custkey
 
 @register(f"""
 WITH o AS ({_ASKED}), e AS (SELECT user_id, epoch_us(ts) AS us, max(event_id) AS event_id FROM events GROUP BY ALL)
-SELECT o.o_orderkey, e.event_id, e.us AS event_us FROM o ASOF LEFT JOIN e ON o.user_id = e.user_id AND o.us >= e.us
+SELECT o.o_orderkey, coalesce(e.event_id, -1) AS event_id, coalesce(e.us, -1) AS event_us FROM o ASOF LEFT JOIN e ON o.user_id = e.user_id AND o.us >= e.us
 """)
 def asof_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each order's user did last before it."""
+    """What each order's user did last before it; -1 for nothing."""
     o = table(spark, sf_dir, "orders")
     asked = o.select("o_orderkey", F.when(F.col("o_orderkey") % 10 < 9, 7).otherwise(F.col("o_custkey") % 150).cast("long").alias("user_id"), (F.lit(1704067200000000) + F.col("o_orderkey") * 7919 % 2592000 * 1000000).alias("us"))
     got = as_of(asked, events(spark, sf_dir).select("user_id", "us", "seq"), ["user_id"], 6 * HOUR * B.SECOND)
-    return got.select("o_orderkey", F.col("last.seq").alias("event_id"), F.col("last.us").alias("event_us"))
+    nothing = F.lit(-1).cast("long")
+    return got.select("o_orderkey", F.coalesce("last.seq", nothing).alias("event_id"), F.coalesce("last.us", nothing).alias("event_us"))
 
 
 @register(
@@ -703,6 +704,19 @@ def network_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_id", "ip", F.col("network.net").alias("net"))
 
 
+@register("""
+SELECT event_id, CAST(epoch_us(ts) AS BIGINT) AS us, CASE event_type WHEN 'error' THEN 'auth_failure' WHEN 'purchase' THEN 'auth_success' ELSE 'network_connect' END AS kind, 'u' || user_id AS "user", CAST(round(value * 100) AS BIGINT) AS bytes, event_type || props AS query,
+  CAST(json_extract(props, '$.k') AS BIGINT) AS k, 11::BIGINT AS fields FROM events
+""")
+def events_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as JSON objects, with their open fields beside the known ones, read again."""
+    e = _as_events(spark, sf_dir).join(events(spark, sf_dir).select("seq", F.parse_json("props").alias("more")), "seq")
+    told = e.select("seq", event_json(e.columns).alias("j"))
+    of = lambda name: F.get_json_object("j", f"$.{name}")
+    at = F.unix_micros(of("ts").cast("timestamp"))
+    return told.select(F.col("seq").alias("event_id"), at.alias("us"), of("kind").alias("kind"), of("user").alias("user"), of("bytes").cast("long").alias("bytes"), of("query").alias("query"), of("k").cast("long").alias("k"), F.size(F.json_object_keys("j")).cast("long").alias("fields"))
+
+
 @register("""
 SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) >= 40 AND (event_type = 'error' OR CAST(json_extract(props, '$.k') AS BIGINT) = 77)
 """)

@@ -49,7 +49,7 @@ def _table(spark, column: str, values: list) -> DataFrame:
 
 def marked(rows: DataFrame, selections: list[Any], lists: dict, key: str = "seq", many: int = MANY) -> tuple[DataFrame, dict[str, str]]:
     """``rows`` with a column of marks for each large leaf, and the columns' names by the leaf's key.  ``key`` tells rows apart."""
-    columns, marks = rows.columns, {}
+    columns, marks, plain = rows.columns, {}, rows
     spark = rows.sparkSession
     for i, (at, (name, want)) in enumerate(large(selections, lists, many).items()):
         field, *mods = name.split("|")
@@ -65,7 +65,7 @@ def marked(rows: DataFrame, selections: list[Any], lists: dict, key: str = "seq"
         else:
             needles = _table(spark, "needle", want)
             where = next(m for m in mods if m in _EDGES)
-            hits = found(rows.select(F.col(key), value.cast("string").alias("_field")), key, "_field", needles, where)
+            hits = found(plain.select(F.col(key), value.cast("string").alias("_field")), key, "_field", needles, where)
             if "all" in mods:
                 total = len({str(w).lower() for w in want})
                 hits = hits.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == total)

@@ -9,6 +9,7 @@ from typing import TYPE_CHECKING, Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.fields import event_json
 from ..functions.levels import TACTICS
 from .context import load_yaml
 
@@ -111,14 +112,16 @@ def navigator(alerts: DataFrame) -> dict[str, Any]:
     return {"name": "Alerts by technique", **LAYER, "gradient": {"colors": COLOURS, "minValue": 0, "maxValue": most}, "techniques": [{"techniqueID": t, "score": n} for t, n in rows]}
 
 
-def write(result: Result, out: str) -> dict[str, Any]:
-    """Tables by Spark, in any store; the two small documents as Spark text files beside them."""
+def write(result: Result, out: str, events: bool = False) -> dict[str, Any]:
+    """Tables by Spark, in any store; the two small documents as Spark text files beside them.  With ``events`` each event, too, as one JSON object a line."""
     from ..plans.triage import summary
 
     spark = result.alerts.sparkSession
     result.alerts.drop("stage", "rule_no", "trigger_seq").orderBy("ord").write.mode("overwrite").json(os.path.join(out, "alerts.json"))
     result.ranked().write.mode("overwrite").json(os.path.join(out, "incidents.json"))
     reports(result).write.mode("overwrite").option("lineSep", "\n").partitionBy("id").text(os.path.join(out, "reports"))
+    if events:
+        result.events.select(event_json(result.events.columns).alias("value")).write.mode("overwrite").text(os.path.join(out, "events.json"))
     facts = summary(result)
     for name, doc in (("summary.json", facts), ("navigator.json", navigator(result.alerts))):
         spark.createDataFrame([(json.dumps(doc, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(os.path.join(out, name))
