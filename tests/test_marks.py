@@ -9,7 +9,7 @@ from wardlight.functions.predicates import RuleError, condition, leaf, selection
 from wardlight.operators.lineage import cut
 from wardlight.operators.needles import existence, found, within_bound
 from wardlight.plans.detector import Detector
-from wardlight.plans.marks import MANY, large, marked
+from wardlight.plans.marks import large, marked
 from wardlight.plans.rules import EventRule, StateRule
 from wardlight.sources.context import Environment
 
@@ -52,6 +52,10 @@ def test_side_is_broadcast_only_within_its_bound(spark):
 EVENT = "seq long, us long, kind string, host string, user string, src_ip string, dst_ip string, dst_port int, query string, bytes long, command string, raw string"
 
 
+#: So many values are large in these tests.
+MANY = 5
+
+
 def events(spark, n=400):
     rows = [(i, i * 1_000_000, "sudo" if i % 2 else "auth_failure", "h", "u", "hot" if i % 3 else f"10.0.{i % 7}.{i % 5}", "", 0, "", i, f"run tool{i % 40:03d} --fast", f"line {i}") for i in range(n)]
     return spark.createDataFrame(rows, EVENT)
@@ -66,8 +70,8 @@ def test_marks_are_what_leaves_are(spark):
         "a": {"command|contains": wants}, "b": {"command|startswith": [f"run {w}" for w in wants]}, "c": {"command|endswith": [f"{w} --fast" for w in wants]}, "d": {"src_ip|in_list": "many", "kind": "sudo"},
         "e": {"src_ip|in_list": ["few", "many"]}, "f": [{"command|contains|all": ["run", *["tool"] * (MANY + 1)]}, {"query|contains": wants}],
     }
-    rows, marks = marked(e, list(sels.values()), addresses)
-    assert len(marks) == 7 and len(large(list(sels.values()), addresses)) == 7
+    rows, marks = marked(e, list(sels.values()), addresses, many=MANY)
+    assert len(marks) == 7 and len(large(list(sels.values()), addresses, MANY)) == 7
     assert "tool" not in rows._jdf.queryExecution().optimizedPlan().toString()  # no needle stands in the plan
     rows = cut(rows)
     for text in (*sels, "a and not d", "1 of a* or e", "not b"):
