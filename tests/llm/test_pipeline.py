@@ -63,5 +63,5 @@ def test_queries_are_registered():
     import __spark_entry__
 
     names = {n.split("_")[0] for n in queries.queries()}
-    assert names == {f"op{i}" for i in range(1, 11)} | {"pipeline"}
+    assert names == {f"op{i}" for i in range(1, 14)} | {"pipeline"}
     assert set(queries.queries()) <= set(__spark_entry__.queries()) and set(queries.oracle_sql()) <= set(queries.queries())
