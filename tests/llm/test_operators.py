@@ -552,7 +552,7 @@ def test_lz_dedup_of_a_frequent_line(spark, monkeypatch, at_once):
     assert sorted(map(tuple, lz_dedup.remove_repeats(df).collect()), key=str) == want
     # the same in this process, in batches of any size
     monkeypatch.setattr(lz_dedup, "AT_ONCE", at_once)
-    dealt = df.mapInArrow(lz_dedup._index(frequent, True), "anchor long, block binary").toArrow().sort_by([("anchor", "ascending"), ("block", "ascending")])
+    dealt = df.mapInArrow(lz_dedup._index(frequent, True, np.zeros(lz_dedup.SLOTS // 8, np.uint8)), "anchor long, block binary").toArrow().sort_by([("anchor", "ascending"), ("block", "ascending")])
     marked = {}
     for b in lz_dedup._factor(iter(dealt.to_batches(max_chunksize=5))):
         for x in b.to_pylist():
@@ -627,6 +627,25 @@ def test_lz_dedup_of_different_windows_under_one_anchor(monkeypatch):
     assert found == 0 and sum(seen) <= 3 * n
 
 
+@pytest.mark.parametrize("crowd", [0, 3])
+def test_lz_dedup_of_crowded_anchors(spark, docs, crowd):
+    """A line with other words beside it, too rare in each slice to be a frequent gram: its windows are dealt one by one, and the results are the same."""
+    r = random.Random(3)
+    w = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    line, passage = w(19), w(45)
+    data = [(i, f"{w(30)} {line} {w(30)}" + (f" {passage} {w(5)}" if i % 7 == 0 else "")) for i in range(60)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(20)
+    assert sorted(map(tuple, lz_dedup.remove_repeats(df, crowd).collect()), key=str) == brute_repeats(data)
+    none = np.zeros(0, np.uint64)
+    assert not len(lz_dedup.frequent_grams(df))
+    crowded = lz_dedup.crowded_slots(df, none, False, crowd)
+    largest = lambda c: df.mapInArrow(lz_dedup._index(none, False, c), "anchor long, block binary").groupBy("anchor").count().agg({"count": "max"}).first()[0]
+    assert crowded.any() and largest(np.zeros_like(crowded)) > 30
+    assert largest(crowded) <= 9  # the passage's windows, once a slice
+    want = sorted(map(tuple, lz_dedup.remove_repeats(docs).collect()), key=str)
+    assert sorted(map(tuple, lz_dedup.remove_repeats(docs, crowd).collect()), key=str) == want
+
+
 def test_lz_dedup_of_a_line_in_one_document_of_a_hundred(spark, monkeypatch):
     """A line that no slice holds often is frequent in the corpus: its anchor's blocks don't grow with it."""
     monkeypatch.setattr(lz_dedup, "LOCAL", 1)

@@ -13,7 +13,8 @@ one anchor are taken for equal once in 2**48 pairs.
 
 Blocks that stand earlier in the same slice of texts are factors at once, so the frequent passages of a corpus reach the
 index once for each slice, not once for each document.  A gram that many texts of the corpus hold in different surroundings (``frequent_grams``)
-is no anchor of windows that reach into those surroundings, so no anchor gathers them.
+is no anchor of windows that reach into those surroundings, so no anchor gathers them.  Blocks that still come together are counted over all slices, by slots of anchors
+(``crowded_slots``); under an anchor whose slot holds more than CROWD each window is a block of its own, dealt by anchor and window, so equal windows meet and others don't.
 
 Defined cases: null texts have no words; a row without id stands before all others; rows of one id are told
 apart, and ordered, by a 64-bit hash of their texts, and those also equal in it count as one document; an empty table
@@ -53,6 +54,12 @@ WIDE = 6
 LOCAL = 8
 TOTAL = 64
 OFTEN = 1 << 16
+#: Blocks of a slot of anchors (and times the blocks of a usual slot) above which the slot's windows are dealt one by one.
+CROWD = 1 << 16
+TIMES = 4
+#: Slots of anchors, and slots in a row of counts.
+SLOTS = 1 << 22
+CHUNK = 1 << 12
 #: Bytes of text in a slice, and blocks under one anchor that are factored at once.
 SLICE = 12 << 20
 AT_ONCE = 50000
@@ -194,25 +201,90 @@ def ids_repeat(docs: DataFrame) -> bool:
     return bool(n.where("n > 1 or doc_id is null").limit(1).count())
 
 
-def _index(frequent: np.ndarray, tied: bool):
+def _slice_blocks(part: pa.RecordBatch, frequent: np.ndarray, tied: bool) -> tuple[np.ndarray, ...]:
+    """By block of a slice, in the order of documents: id, text hash, first window, number of windows, anchor; and all blocks' window hashes."""
+    text = pc.fill_null(part.column("text"), "")
+    ids = pc.fill_null(part.column("doc_id"), _NO_ID).to_numpy(zero_copy_only=False)
+    ties = text_hash(text) if tied else np.zeros(len(ids), np.int64)
+    order = np.lexsort((ties, ids))
+    text, ids, ties = text.take(pa.array(order)), ids[order], ties[order]
+    once = np.append(True, (ids[1:] != ids[:-1]) | (ties[1:] != ties[:-1]))
+    if not once.all():  # the same document again
+        text, ids, ties = text.filter(pa.array(once)), ids[once], ties[once]
+    row, first, counts, anchor, hashes = blocks(text, frequent)
+    return ids[row], ties[row], first, counts, anchor, hashes
+
+
+def _sources(counts: np.ndarray, anchor: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """For each block of a slice the first that is equal to it."""
+    # one number a block, of its windows and their order: equal blocks have equal numbers
+    whole = np.add.reduceat(_mix(hashes + np.uint64(_BASE) * _nth(counts).astype(np.uint64)), np.cumsum(counts) - counts)
+    return _first_equal(_mix(whole ^ (anchor * np.uint64(_BASE)) ^ counts.astype(np.uint64)))
+
+
+def _slot(anchor: np.ndarray) -> np.ndarray:
+    return (anchor & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def crowded_slots(docs: DataFrame, frequent: np.ndarray, tied: bool, crowd: int = CROWD) -> np.ndarray:
+    """A bit for each slot of anchors: whether the slices of the corpus send it more than ``crowd`` blocks, and more than TIMES those of the usual slot.
+
+    Tasks count in arrays of one size, whatever they read; SLOTS / 8 bytes come to the driver.  Anchors that share a slot with a crowded one are dealt like it, which changes
+    where their windows meet, not what is equal.
+    """
+
+    def count(batches):
+        held = np.zeros(SLOTS, np.uint32)
+        for part in T.together(batches, limit=SLICE):
+            *_, counts, anchor, hashes = _slice_blocks(part, frequent, tied)
+            if len(anchor):
+                new = _sources(counts, anchor, hashes) == np.arange(len(anchor))
+                held += np.bincount(_slot(anchor[new]), minlength=SLOTS).astype(np.uint32)
+        z = zstandard.ZstdCompressor(level=1)
+        rows = held.reshape(-1, CHUNK)
+        full = np.flatnonzero(rows.any(axis=1))
+        # the bytes of equal weight together: nearly all counts are small
+        packed = [z.compress(np.ascontiguousarray(rows[i].view(np.uint8).reshape(-1, 4).T)) for i in full]
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(packed, pa.binary())], names=["chunk", "held"])
+
+    def judge(batches):
+        z, total = zstandard.ZstdDecompressor(), {}
+        for b in batches:
+            for chunk, held in zip(b.column("chunk").to_pylist(), b.column("held").to_pylist(), strict=True):
+                n = np.ascontiguousarray(np.frombuffer(z.decompress(held), np.uint8).reshape(4, -1).T).view(np.uint32).reshape(-1)
+                total[chunk] = total.get(chunk, 0) + n.astype(np.int64)
+        over = {c: np.packbits(n > max(crowd, TIMES * int(np.median(n)))) for c, n in total.items()}
+        found = [c for c, bits in over.items() if bits.any()]
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([over[c].tobytes() for c in found], pa.binary())], names=["chunk", "bits"])
+
+    counted = T.id_and_text(docs).mapInArrow(count, "chunk long, held binary").repartition(T.partitions(docs.sparkSession), "chunk").mapInArrow(judge, "chunk long, bits binary")
+    out = np.zeros((SLOTS // CHUNK, CHUNK // 8), np.uint8)
+    for r in counted.collect():
+        out[r["chunk"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.reshape(-1)
+
+
+def _dealt_singly(crowded: np.ndarray, doc_id, tie, first, counts, anchor, hashes) -> tuple[np.ndarray, ...]:
+    """The blocks, each window of those in crowded slots as a block of its own, under an anchor of its own."""
+    slot = _slot(anchor)
+    hot = crowded[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1 > 0
+    if not hot.any():
+        return doc_id, tie, first, counts, anchor, hashes
+    block, nth = np.repeat(np.arange(len(counts)), counts), _nth(counts)
+    at = np.flatnonzero((nth == 0) | hot[block])
+    of = block[at]
+    anchor = np.where(hot[of], _mix(anchor[of] * np.uint64(_BASE) ^ hashes[at]), anchor[of])
+    return doc_id[of], tie[of], first[of] + nth[at], np.diff(np.append(at, len(block))), anchor, hashes
+
+
+def _index(frequent: np.ndarray, tied: bool, crowded: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]):
         for part in T.together(batches, limit=SLICE):
-            text = pc.fill_null(part.column("text"), "")
-            ids = pc.fill_null(part.column("doc_id"), _NO_ID).to_numpy(zero_copy_only=False)
-            ties = text_hash(text) if tied else np.zeros(len(ids), np.int64)
-            order = np.lexsort((ties, ids))
-            text, ids, ties = text.take(pa.array(order)), ids[order], ties[order]
-            once = np.append(True, (ids[1:] != ids[:-1]) | (ties[1:] != ties[:-1]))
-            if not once.all():  # the same document again
-                text, ids, ties = text.filter(pa.array(once)), ids[once], ties[once]
-            row, first, counts, anchor, hashes = blocks(text, frequent)
-            if not len(row):
+            doc_id, tie, first, counts, anchor, hashes = _dealt_singly(crowded, *_slice_blocks(part, frequent, tied))
+            if not len(counts):
                 continue
-            doc_id, tie = ids[row], ties[row]
             block = np.repeat(np.arange(len(counts)), counts)
-            # one number a block, of its windows and their order: equal blocks have equal numbers
-            whole = np.add.reduceat(_mix(hashes + np.uint64(_BASE) * _nth(counts).astype(np.uint64)), np.cumsum(counts) - counts)
-            source = _first_equal(_mix(whole ^ (anchor * np.uint64(_BASE)) ^ counts.astype(np.uint64)))
+            source = _sources(counts, anchor, hashes)
             seen = source < np.arange(len(counts))
             deal = np.where(seen, _mix(doc_id.view(np.uint64) + first.astype(np.uint64) * np.uint64(_BASE)), anchor)
             records = _records(doc_id, tie, first, np.where(seen, counts, 0), counts, hashes[~seen[block]], doc_id[source], first[source])
@@ -340,10 +412,11 @@ def _factor(batches: Iterator[pa.RecordBatch]):
 FACTOR = "key long, tie long, at long, n long, source long, source_at long"
 
 
-def factors(docs: DataFrame, tied: bool) -> DataFrame:
+def factors(docs: DataFrame, tied: bool, crowd: int = CROWD) -> DataFrame:
     """Rows of FACTOR; without ``tied`` ids tell all documents apart, and ``tie`` is zero."""
     T.bounded_batches(docs.sparkSession)
-    dealt = T.id_and_text(docs).mapInArrow(_index(frequent_grams(docs), tied), "anchor long, block binary")
+    frequent = frequent_grams(docs)
+    dealt = T.id_and_text(docs).mapInArrow(_index(frequent, tied, crowded_slots(docs, frequent, tied, crowd)), "anchor long, block binary")
     ordered = dealt.repartition(T.partitions(docs.sparkSession), "anchor").sortWithinPartitions("anchor", "block")
     return ordered.mapInArrow(_factor, FACTOR)
 
@@ -402,7 +475,7 @@ def _cut(batches: Iterator[pa.RecordBatch]):
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets)), pa.array(T.per_row(offsets, gone)), left.cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
 
-def spans(docs: DataFrame, tied: bool) -> DataFrame:
+def spans(docs: DataFrame, tied: bool, crowd: int = CROWD) -> DataFrame:
     """``key``, ``tie`` and ``spans``: a document's factors put together, in order, each of ``at`` and ``n`` (windows; n + SPAN - 1 words), ``source`` and ``source_at``."""
 
     @F.arrow_udf("array<struct<at: long, n: long, source: long, source_at: long>>")
@@ -414,16 +487,16 @@ def spans(docs: DataFrame, tied: bool) -> DataFrame:
         got = pa.StructArray.from_arrays([pa.array(np.concatenate(c) if rows else np.zeros(0, np.int64)) for c in (zip(*rows, strict=True) if rows else [()] * 4)], names=["at", "n", "source", "source_at"])
         return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), got)
 
-    found = factors(docs, tied).groupBy("key", "tie").agg(F.collect_list(F.struct("at", "n", "source", "source_at")).alias("found"))
+    found = factors(docs, tied, crowd).groupBy("key", "tie").agg(F.collect_list(F.struct("at", "n", "source", "source_at")).alias("found"))
     return found.select("key", "tie", whole("found").alias("spans"))
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed and ``kept``, the words left, joined by one space."""
+def remove_repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """doc_id, n_words, n_removed and ``kept``, the words left, joined by one space.  ``crowd`` decides how windows are dealt to tasks, not what is found."""
     tied = ids_repeat(docs)
     tie = F.xxhash64(F.coalesce("text", F.lit(""))) if tied else F.lit(0).cast("long")
     rows = T.id_and_text(docs).withColumns({"key": F.coalesce("doc_id", F.lit(_NO_ID)), "tie": tie}).mapInArrow(_packed, "doc_id long, key long, tie long, text binary")
-    both = rows.join(spans(docs, tied), ["key", "tie"], "left").select("doc_id", "text", "spans")
+    both = rows.join(spans(docs, tied, crowd), ["key", "tie"], "left").select("doc_id", "text", "spans")
     return both.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept string")
 
 
