@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -339,6 +340,37 @@ def test_bpe_without_the_merger(tmp_path):
     assert bpe.encode_words(keys, path).to_pylist() == [bpe.tokenizer(path).encode(x).ids for x in (" alpha", "\nbeta", "e\u0301x")]
 
 
+def test_bpe_of_a_merger_that_differs_or_is_missing(monkeypatch):
+    path = bpe.default_path()
+    keys = pa.array(["\x00start", *(f"word{i}" for i in range(3000)), "日本語", "\nline"])
+    want = [e.ids for e in bpe.tokenizer(path).encode_batch_fast(bpe.spelled(keys).to_pylist(), add_special_tokens=False)]
+    assert bpe.encode_words(keys, path).to_pylist() == want and path not in bpe._DIFFER
+
+    class Other:
+        def encode_to_numpy(self, text, **_):
+            return np.frombuffer(text.encode(), np.uint8).astype(np.int64)
+
+    with monkeypatch.context() as m:
+        m.setattr(bpe, "_DIFFER", set())
+        m.setattr(bpe, "_merger", lambda _: (Other(), np.ones(256, np.int64)))
+        assert bpe.encode_words(keys, path).to_pylist() == want and bpe._DIFFER == {path}
+    with monkeypatch.context() as m:
+        m.setitem(sys.modules, "tiktoken", None)  # as if not installed
+        bpe._merger.cache_clear()
+        assert bpe._merger(path) is None and bpe.encode_words(keys, path).to_pylist() == want
+    bpe._merger.cache_clear()
+
+
+def test_ties_of_equal_id_and_text_are_taken_in_one_order(spark):
+    """Rows equal in id and text, with other columns that differ, one of them a map: the same rows stay whatever the order they come in."""
+    rows = [(1, "a b c d", "s", i, {"k": i}) for i in range(8)] + [(2, "other words here now", "s", 0, None)]
+    kept = []
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string, source string, n_chars long, row map<string,int>").coalesce(1)
+        kept.append([sorted((r["doc_id"], r["n_chars"]) for r in f(df).collect()) for f in (simhash.keep_one, mixing.mix)])
+    assert kept[0] == kept[1] and len(kept[0][0]) == 2
+
+
 def test_bpe_encodes_each_distinct_word_once(docs, monkeypatch):
     path, met, encode = bpe.default_path(), [], bpe.encode_words
     dealt = docs.select("doc_id", "text").repartition(5).mapInArrow(bpe._deal(7, False, 2000), bpe.ROW).toArrow().sort_by("bucket")

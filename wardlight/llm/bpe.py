@@ -128,13 +128,20 @@ _COMMON = r"^ ?\n?[!-~\x{00a1}-\x{00ac}\x{00ae}-\x{017f}]+$"
 #: Fixed value: the split of the byte-level pre-tokenizer.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WORDS_AT_ONCE = 20000
+#: Words of each call that the library encodes, too.
+_COMPARED = 200
+#: Files for which the two were found to differ in this process: the library encodes all their words.
+_DIFFER: set[str] = set()
 
 
 @lru_cache(maxsize=4)
 def _merger(path: str):
     """tiktoken over the same vocabulary, which merges many words in one call, and the length of each piece; None where the two would
-    not agree: the file must be a plain byte-level BPE, and its merges must stand in the order of the ids that they make."""
-    import tiktoken
+    not agree: the file must be a plain byte-level BPE, and its merges must stand in the order of the ids that they make.  None, too, where there is no tiktoken."""
+    try:
+        import tiktoken
+    except ImportError:  # the library alone does it all
+        return None
 
     t = tokenizer(path)
     file = json.loads(t.to_str())
@@ -149,10 +156,17 @@ def _merger(path: str):
     return tiktoken.Encoding("words", pat_str=PRETOKEN, mergeable_ranks=ranks, special_tokens={}), np.array([len(p) for p in pieces(path)])
 
 
+def _by_library(words: list[str], path: str) -> list[list[int]]:
+    return [e.ids for e in tokenizer(path).encode_batch_fast(words, add_special_tokens=False)]
+
+
 def encode_words(keys: pa.Array, path: str) -> pa.ListArray:
-    """The ids of each key of ``cut_words``."""
+    """The ids of each key of ``cut_words``.
+
+    Words merged by tiktoken are compared with the library at even distances, _COMPARED in each call; if one differs, the library encodes all words of this call and of later ones.
+    """
     words = spelled(keys)
-    merger = _merger(path)
+    merger = None if path in _DIFFER else _merger(path)
     common = pc.and_(pc.match_substring_regex(words, _COMMON), pc.invert(pc.starts_with(keys, "\x00"))) if merger else pa.array(np.zeros(len(keys), bool))
     for s in tokenizer(path).get_added_tokens_decoder().values():
         common = pc.and_(common, pc.invert(pc.match_substring(words, s.content)))
@@ -165,7 +179,13 @@ def encode_words(keys: pa.Array, path: str) -> pa.ListArray:
         ends = np.cumsum(pc.binary_length(some).to_numpy(zero_copy_only=False).astype(np.int64))
         at = np.searchsorted(np.cumsum(merger[1][ids]), ends) + 1
         found.append(pa.ListArray.from_arrays(pa.array(np.append(0, at), pa.int32()), pa.array(ids)))
-    found.append(pa.array([e.ids for e in tokenizer(path).encode_batch_fast(rest.to_pylist(), add_special_tokens=False)], pa.list_(pa.int32())))
+    merged = pa.concat_arrays(found)
+    if len(own):
+        some = pa.array(np.unique(np.linspace(0, len(own) - 1, _COMPARED).astype(np.int64)))
+        if merged.take(some).to_pylist() != _by_library(own.take(some).to_pylist(), path):
+            _DIFFER.add(path)
+            return encode_words(keys, path)
+    found = [merged, pa.array(_by_library(rest.to_pylist(), path), pa.list_(pa.int32()))]
     mine = common.to_numpy(zero_copy_only=False)
     return pa.concat_arrays(found).take(pa.array(np.where(mine, np.cumsum(mine) - 1, len(own) + np.cumsum(~mine) - 1)))
 

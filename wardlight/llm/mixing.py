@@ -95,13 +95,13 @@ def shares(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """The mix: each document, with all its columns, as often as the plan takes it.
 
-    Rows equal in id, source and text are one group: its copies are dealt out over its rows.
+    Rows equal in id, source and text are one group: its copies are dealt out over its rows, in the order of a hash of the whole row.
     """
     key = {"k_id": F.col("doc_id").cast("long"), "k_source": F.col("source").cast("string"), "k_tie": F.xxhash64(F.col("text").cast("string"))}
     p = plan(docs).groupBy("doc_id", "source", "tie").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n"))
     p = p.where("copies > 0").select(F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"), F.col("tie").alias("p_tie"), "copies", "n")
-    packed = docs.select(F.struct("*").alias("row"), *[c.alias(k) for k, c in key.items()])
+    packed = docs.select(F.struct("*").alias("row"), T.row_hash().alias("k_whole"), *[c.alias(k) for k, c in key.items()])
     on = F.col("k_id").eqNullSafe(F.col("p_id")) & F.col("k_source").eqNullSafe(F.col("p_source")) & (F.col("k_tie") == F.col("p_tie"))
-    turn = F.when(F.col("n") == 1, F.lit(1)).otherwise(F.row_number().over(Window.partitionBy("p_id", "p_source", "p_tie").orderBy("copies")))
+    turn = F.when(F.col("n") == 1, F.lit(1)).otherwise(F.row_number().over(Window.partitionBy("p_id", "p_source", "p_tie").orderBy("k_whole")))
     own = F.floor(F.col("copies") * F.col("turn") / F.col("n")) - F.floor(F.col("copies") * (F.col("turn") - 1) / F.col("n"))
     return packed.join(p, on).withColumn("turn", turn).select("row", F.explode(F.array_repeat(F.lit(1), own.cast("int")))).select("row.*")

@@ -125,10 +125,10 @@ def fingerprint_hex(fp):
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, with all its columns: one of smallest id, rows of that id by hash of their text, repeated rows once."""
+    """One document of each component, with all its columns: one of smallest id, rows of that id by hash of their text, then of the whole row, repeated rows once."""
     tie = F.xxhash64(F.col("text").cast("string")).alias("tie")
     labelled = _labelled(docs, tie).where(F.struct("id", "fp") == F.col("label"))
     kept = labelled.groupBy("label").agg(F.min("tie").alias("tie")).select(F.col("label.id").alias("id"), "tie")
-    packed = docs.select(F.struct("*").alias("row"), _id(), tie)
-    first = F.row_number().over(Window.partitionBy("id", "tie").orderBy("id")) == 1
+    packed = docs.select(F.struct("*").alias("row"), _id(), tie, T.row_hash().alias("whole"))
+    first = F.row_number().over(Window.partitionBy("id", "tie").orderBy("whole")) == 1
     return packed.join(kept, ["id", "tie"], "left_semi").withColumn("first", first).where("first").select("row.*")
