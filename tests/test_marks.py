@@ -2,12 +2,14 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from wardlight.functions.predicates import RuleError, condition, leaf, selection
 from wardlight.operators.lineage import cut
-from wardlight.operators.needles import existence, found, within_bound
+from wardlight.operators import needles as N
+from wardlight.operators.needles import counted, existence, found, within_bound
 from wardlight.plans.detector import Detector
 from wardlight.plans.marks import large, marked
 from wardlight.plans.rules import EventRule, StateRule
@@ -40,6 +42,39 @@ def test_random_needles(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_numbers_of_needles(spark, monkeypatch):
+    """Many slices and needles longer than their keys; keys that come twice."""
+    monkeypatch.setattr(N, "KEY", 3)
+    monkeypatch.setattr(N, "LEAST_BYTES", 50)
+    r = random.Random(7)
+    texts = ["".join(r.choice("ab\0é🙂") for _ in range(r.randrange(40))) for _ in range(60)]
+    needles = ["".join(r.choice("ab\0é🙂") for _ in range(r.randrange(8))) for _ in range(300)] + [texts[5], texts[5] + "a"]
+    rows = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "id long, text string")
+    for where, test in (("contains", lambda t, n: n in t), ("startswith", str.startswith), ("endswith", str.endswith)):
+        want = {}
+        for i, t in enumerate(texts):
+            want[i // 2] = want.get(i // 2, 0) + sum(test(t, n) for n in set(needles))
+        got = counted(rows, "id", "text", spark.createDataFrame([(n,) for n in needles], "needle string"), where)
+        assert sorted(map(tuple, got.collect())) == sorted((k, n) for k, n in want.items() if n)
+
+
+def test_a_slice_meets_no_needles_of_others(spark, monkeypatch):
+    """A thousand needles that share all grams of their first characters: slices get those alone that begin with one of their pieces."""
+    monkeypatch.setattr(N, "LEAST_BYTES", 1000)
+    near = []
+    walk = N._walk
+    monkeypatch.setattr(N, "_walk", lambda edge, pairs: (lambda t, n: pa.table({"key": pa.array([n.num_rows]), "n": pa.array([t.num_rows])}) if near else walk(edge, pairs)(t, n)))
+    texts = [f'<a href="/page/{i:04d}">' for i in range(1000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    needles = spark.createDataFrame([(t[:-2],) for t in texts], "needle string")
+    for where in ("contains", "startswith"):
+        near.clear()
+        assert {r["n"] for r in N._searched(rows, "id", "text", needles, where, N.BROADCAST_BYTES, False).collect()} == {1}
+        near.append(where)
+        met = N._searched(rows, "id", "text", needles, where, N.BROADCAST_BYTES, False).collect()
+        assert len(met) > 10 and all(r["key"] == r["n"] for r in met)
+
+
 def test_side_is_broadcast_only_within_its_bound(spark):
     t = spark.createDataFrame([("x" * 100,)] * 50, "v string")
     hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()

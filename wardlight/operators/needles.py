@@ -1,19 +1,34 @@
-"""Thousands of needles in texts by an index of grams, and values in large lists by a join: no condition with thousands of branches.
+"""Thousands of needles in texts by tries over slices of texts, and values in large lists by a join: no condition with thousands of branches.
 
-A needle's key is one of its grams of Q characters (a shorter needle is its own key): the one that the fewest rows have.  The grams of each text
-are joined with the keys by equality, and each pair found is verified, so every needle is compared with those rows alone that have its rarest gram.
-Starts and ends of texts have one gram a text.  Keys are broadcast only if their bytes, which are counted, are few; else both sides are shuffled.
+Texts are dealt to slices of a few megabytes.  A slice tells which pieces of its texts may be needles, or their first KEY characters, by a map of bits of all
+beginnings of needles (8 MB at most); a join by equality gives each slice the needles that start with one of its pieces.  From these the slice makes a trie and
+all its places walk down at once.  Pieces and nodes are told apart by their characters, not by hashes, so results are exact; a text's work grows with its
+own length and not with the number of needles.  Starts have one place a text; ends are starts of reversed texts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of a gram.
-Q = 4
+from .lineage import cut
+
+#: Needles are dealt to slices by so many of their first characters.
+KEY = 64
+#: Texts of a slice, in bytes, and least.
+SLICE_BYTES, LEAST_BYTES = 4 << 20, 64 << 10
+#: At most 2 to this power bits tell beginnings of needles.
+BITS = 26
 #: A side of at most this many bytes of text is broadcast.
 BROADCAST_BYTES = 8 << 20
+#: Behind each text; no character.
+_END = 0x110000
+_WHOLE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def within_bound(small: DataFrame, column: str, most: int = BROADCAST_BYTES) -> DataFrame:
@@ -22,41 +37,153 @@ def within_bound(small: DataFrame, column: str, most: int = BROADCAST_BYTES) ->
     return F.broadcast(small) if size <= most else small
 
 
-def _grams(text: Column, q: int) -> Column:
-    """All grams of q characters, each once: matches without length that look ahead."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{q}}}))"), F.lit(1)))
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Characters of all texts, each followed by an end, and where each text starts."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    starts = np.cumsum(sizes) - sizes
+    codes = np.full(int(sizes.sum()), _END, np.int64)
+    inside = np.ones(len(codes), bool)
+    inside[starts + sizes - 1] = False
+    codes[inside] = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+    return codes, starts
+
+
+def _bit(h: np.ndarray, power: int) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h >> np.uint64(64 - power)).astype(np.int64)
+
+
+def _longer(h: np.ndarray, code: np.ndarray) -> np.ndarray:
+    return (h ^ code.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1)
+
+
+def _marker(power: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Numbers of the bits of each needle's beginnings, and of the whole key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, at = _codes(batch.column(0).to_pylist())
+            h = np.zeros(len(at), np.uint64)
+            for size in range(KEY + 1):
+                more = codes[at + size] != _END if size < KEY else np.zeros(len(at), bool)
+                if size:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([_bit(h, power), _bit(h[~more] ^ _WHOLE, power)])))], ["bit"])
+                at, h = at[more], h[more]
+                if not len(at):
+                    break
+                h = _longer(h, codes[at + size])
+
+    return run
+
+
+def _bits(parts: DataFrame, power: int) -> np.ndarray:
+    marked = parts.mapInArrow(_marker(power), "bit long").groupBy(F.shiftright("bit", 15).alias("block")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(F.lit(32767))).alias("bits"))
+    out = np.zeros((max(1 << power >> 15, 1), 4096), np.uint8)
+    for r in marked.toLocalIterator():  # at most 2,048 blocks of 4 KB
+        out[r["block"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.reshape(-1)
+
 
+def _pieces(bits, power: int, edge: bool) -> Callable[[pa.Table], pa.Table]:
+    """Of a slice's texts all pieces that may be keys of needles, each once."""
 
-def _at_edge(text: Column, q: int, where: str) -> Column:
-    return F.when(F.length(text) >= q, F.array(F.substring(text, 1, q) if where == "startswith" else F.substring(text, -q, q))).otherwise(F.array().cast("array<string>"))
+    def run(table: pa.Table) -> pa.Table:
+        known = bits.value
+        has = lambda h: (known[(b := _bit(h, power)) >> 3] >> (b & 7).astype(np.uint8)) & 1 == 1
+        codes, at = _codes(table.column("text").to_pylist())
+        at = at if edge else np.arange(len(codes))
+        h, name, out = np.zeros(len(at), np.uint64), np.zeros(len(at), np.int64), []
+        for size in range(1, KEY + 1):
+            code = codes[at + size - 1]
+            h = _longer(h, code)
+            alive = np.flatnonzero((code != _END) & has(h))
+            at, h = at[alive], h[alive]
+            if not len(at):
+                break
+            # equal pieces have one name: that of the piece without its last character, and that character
+            name, known_names = pd.factorize(name[alive] << 21 | code[alive])
+            first = np.zeros(len(known_names), np.int64)
+            first[name[::-1]] = np.arange(len(at))[::-1]
+            whole = at[first[has(h[first] ^ _WHOLE)]]
+            text = codes[whole[:, None] + np.arange(size)].astype("<u4").tobytes().decode("utf-32-le")
+            out.append(pa.array([text[i : i + size] for i in range(0, len(text), size)], pa.string()))
+        part = pa.chunked_array(out, pa.string())
+        return pa.table({"slice": pa.repeat(table.column("slice")[0], len(part)), "part": part})
 
+    return run
 
-def found(rows: DataFrame, key: str, field: str, needles: DataFrame, where: str = "contains", q: int = Q, most: int = BROADCAST_BYTES) -> DataFrame:
+
+def _trie(needles: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """By level the nodes, as sorted numbers of the node above and the character, and each node's needle or -1."""
+    codes, at = _codes(needles)
+    number, above, levels = np.arange(len(at)), np.zeros(len(at), np.int64), []
+    while len(at):
+        edges, node = np.unique(above << 21 | codes[at], return_inverse=True)
+        ends = np.full(len(edges), -1)
+        more = codes[at + 1] != _END
+        ends[node[~more]] = number[~more]
+        levels.append((edges, ends))
+        at, number, above = at[more] + 1, number[more], node[more]
+    return levels
+
+
+def _walk(edge: bool, pairs: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Which of a slice's needles are in each of its texts, or how many."""
+
+    def run(texts: pa.Table, needles: pa.Table) -> pa.Table:
+        codes, starts = _codes(texts.column("text").to_pylist())
+        at = starts if edge else np.arange(len(codes))
+        row = np.arange(len(starts)) if edge else np.repeat(np.arange(len(starts)), np.diff(starts, append=len(codes)))
+        node, found_rows, found_needles = np.zeros(len(at), np.int64), [], []
+        for edges, ends in _trie(needles.column("needle").to_pylist()):
+            node = pd.Index(edges).get_indexer(node << 21 | codes[at])
+            alive = np.flatnonzero(node >= 0)
+            at, row, node = at[alive] + 1, row[alive], node[alive]
+            hit = ends[node] >= 0
+            both = pd.unique(row[hit] * len(needles) + ends[node[hit]])  # a text has a needle once
+            found_rows.append(both // len(needles))
+            found_needles.append(both % len(needles))
+        rows = np.concatenate([np.zeros(0, np.int64), *found_rows])
+        if pairs:
+            return pa.table({"key": texts.column("key").take(pa.array(rows)), "needle": needles.column("needle").take(pa.array(np.concatenate([np.zeros(0, np.int64), *found_needles])))})
+        n = np.bincount(rows, minlength=len(starts))
+        return pa.table({"key": texts.column("key").take(pa.array(np.flatnonzero(n))), "n": pa.array(n[n > 0])})
+
+    return run
+
+
+def _searched(rows: DataFrame, key: str, field: str, needles: DataFrame, where: str, most: int, pairs: bool) -> DataFrame:
+    sc = rows.sparkSession.sparkContext
+    turned = F.reverse if where == "endswith" else lambda c: c
+    edge = where != "contains"
+    texts = rows.select(F.col(key).alias("key"), F.lower(F.col(field).cast("string")).alias("text")).where("text is not null")
+    wanted = cut(needles.select(F.lower(F.col("needle").cast("string")).alias("needle")).where("needle is not null").distinct())
+    empty, beginnings = wanted.agg(F.count_if(F.col("needle") == ""), F.coalesce(F.sum(F.least(F.length("needle"), F.lit(KEY))), F.lit(0))).first()
+    wanted = wanted.where("needle <> ''").select(turned(F.col("needle")).alias("needle")).withColumn("part", F.substring("needle", 1, KEY))
+    power = min(max(int(beginnings).bit_length() + 4, 15), BITS)
+    bits = sc.broadcast(_bits(wanted.select("part"), power))
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
+    slices = 1 + size // max(min(SLICE_BYTES, size // (4 * sc.defaultParallelism)), LEAST_BYTES)
+    sliced = texts.select("key", turned(F.col("text")).alias("text"), F.pmod(F.xxhash64("key", "text"), F.lit(slices)).alias("slice")).repartition(slices, "slice")
+    parts = sliced.groupBy("slice").applyInArrow(_pieces(bits, power, edge), "slice long, part string")
+    near = parts.join(within_bound(wanted, "needle", most), "part").select("slice", "needle")
+    result = texts.select("key").schema.add("needle", "string") if pairs else texts.select("key").schema.add("n", "long")
+    out = sliced.groupBy("slice").cogroup(near.groupBy("slice")).applyInArrow(_walk(edge, pairs), result)
+    return out.union(texts.select("key", F.lit("") if pairs else F.lit(1).cast("long"))) if empty else out
+
+
+def found(rows: DataFrame, key: str, field: str, needles: DataFrame, where: str = "contains", most: int = BROADCAST_BYTES) -> DataFrame:
     """(``key``, needle) of all needles that the row's ``field`` contains, starts or ends with, whatever the case; each pair once where ``key`` is unique.
 
     ``needles`` has one column, needle.  Null texts and null needles meet nothing; an empty needle is in every text that is not null.
     """
-    spark = rows.sparkSession
-    texts = rows.select(F.col(key).alias("key"), F.lower(F.col(field).cast("string")).alias("text")).where("text is not null")
-    wanted = needles.select(F.lower(F.col("needle").cast("string")).alias("needle")).where("needle is not null").distinct()
-    wanted = wanted.withColumn("q", F.least(F.length("needle"), F.lit(q)))
-    sizes = [r["q"] for r in wanted.select("q").distinct().collect()]  # at most q + 1 rows
-    out = texts.select("key", F.lit("").alias("needle")) if 0 in sizes else spark.createDataFrame([], texts.select("key").schema.add("needle", "string"))
-    for n in sorted(set(sizes) - {0}):
-        some = wanted.where(F.col("q") == n).select("needle")
-        grams = (lambda c, n=n: _grams(c, n)) if where == "contains" else (lambda c, n=n: _at_edge(c, n, where))
-        by_text = texts.select("key", "text", F.explode(grams(F.col("text"))).alias("gram"))
-        keyed = some.withColumn("gram", F.explode(grams(F.col("needle"))))
-        if where == "contains" and n == q:
-            # how many rows have each gram of a needle; the needle is entered under its rarest one
-            known = within_bound(keyed.select("gram").distinct(), "gram", most)
-            counts = by_text.select("gram").join(known, "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-            rarest = keyed.join(counts, "gram", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
-            keyed = rarest.where("r.n > 0").select("needle", F.col("r.gram").alias("gram"))
-        test = {"contains": F.contains, "startswith": F.startswith, "endswith": F.endswith}[where]
-        keyed = within_bound(keyed, "needle", most)
-        out = out.union(by_text.join(keyed, "gram").where(test(F.col("text"), F.col("needle"))).select("key", "needle"))
-    return out.withColumnRenamed("key", key)
+    out = _searched(rows, key, field, needles, where, most, True)
+    return out.select(F.col("key").alias(key), (F.reverse("needle") if where == "endswith" else F.col("needle")).alias("needle"))
+
+
+def counted(rows: DataFrame, key: str, field: str, needles: DataFrame, where: str = "contains", most: int = BROADCAST_BYTES) -> DataFrame:
+    """(``key``, n): of how many needles ``found`` has a row with the key, without making these rows; keys with none are left out."""
+    return _searched(rows, key, field, needles, where, most, False).groupBy("key").agg(F.sum("n").alias("n")).withColumnRenamed("key", key)
 
 
 def existence(rows: DataFrame, value: Column, values: DataFrame, mark: str, most: int = BROADCAST_BYTES) -> DataFrame:

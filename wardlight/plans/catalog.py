@@ -22,7 +22,7 @@ from ..operators.asof import as_of
 from ..operators.enrich import known_indicators, with_assets
 from ..operators.fused import Watch, watched
 from ..operators.lineage import cut
-from ..operators.needles import found
+from ..operators.needles import counted, found
 from ..operators.networks import longest_match
 from ..operators.overlaps import overlapping
 from ..operators.sessions import sessions
@@ -491,8 +491,7 @@ def _pieces(p: DataFrame, field: str, at: str, n: str) -> DataFrame:
 def needles_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many of thousands of needles each page contains."""
     p = table(spark, sf_dir, "pages")
-    hits = found(p, "page_id", "html", _pieces(p, "html", "1 + (page_id * 7 + i * 53) % 400", "2 + (page_id + i) % 14"))
-    return hits.groupBy("page_id").agg(F.count(F.lit(1)).alias("hits"))
+    return counted(p, "page_id", "html", _pieces(p, "html", "1 + (page_id * 7 + i * 53) % 400", "2 + (page_id + i) % 14")).withColumnRenamed("n", "hits")
 
 
 @register(

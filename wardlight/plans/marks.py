@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fields import resolve
 from ..functions.predicates import leaf_key
-from ..operators.needles import existence, found
+from ..operators.needles import counted, existence
 from ..operators.networks import longest_match
 
 #: A list of more values, or a leaf with more needles, is joined; up to so many are part of the condition.
@@ -65,10 +65,10 @@ def marked(rows: DataFrame, selections: list[Any], lists: dict, key: str = "seq"
         else:
             needles = _table(spark, "needle", want)
             where = next(m for m in mods if m in _EDGES)
-            hits = found(plain.select(F.col(key), value.cast("string").alias("_field")), key, "_field", needles, where)
+            hits = counted(plain.select(F.col(key), value.cast("string").alias("_field")), key, "_field", needles, where)
             if "all" in mods:
                 total = len({str(w).lower() for w in want})
-                hits = hits.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == total)
-            rows = rows.join(hits.select(key).distinct().withColumn(mark, F.lit(True)), key, "left").withColumn(mark, F.coalesce(mark, F.lit(False)))
+                hits = hits.where(F.col("n") == total)
+            rows = rows.join(hits.select(key).withColumn(mark, F.lit(True)), key, "left").withColumn(mark, F.coalesce(mark, F.lit(False)))
         marks[at] = mark
     return rows, marks
