@@ -75,6 +75,20 @@ def test_a_slice_meets_no_needles_of_others(spark, monkeypatch):
         assert len(met) > 10 and all(r["key"] == r["n"] for r in met)
 
 
+def test_one_beginning_or_end_of_all(spark):
+    """Addresses that all begin and end alike are dealt to many tasks, none of which gets all."""
+    rows = spark.range(6000).select("id", F.format_string("https://host%05d.example/same", "id").alias("url"))
+    needles = rows.select(F.expr("case id % 3 when 0 then substr(url, 1, 13) when 1 then substr(url, -20) else 'https://' end").alias("needle"))
+    for where in ("startswith", "endswith"):
+        got = counted(rows, "id", "url", needles, where)
+        firsts = {f"https://host{i:05d}"[:13] for i in range(0, 6000, 3)} | {"https://"}
+        lasts = {f"https://host{i:05d}.example/same"[-20:] for i in range(1, 6000, 3)}
+        want = {i: sum((u[:13] in firsts, u[:8] in firsts)) if where == "startswith" else int(u[-20:] in lasts) for i in range(6000) for u in [f"https://host{i:05d}.example/same"]}
+        assert dict(map(tuple, got.collect())) == {k: n for k, n in want.items() if n}
+    met = N._searched(rows, "id", "url", needles, "startswith", N.BROADCAST_BYTES, False).withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    assert len(met) > 1 and max(r["count"] for r in met) < 6000
+
+
 def test_side_is_broadcast_only_within_its_bound(spark):
     t = spark.createDataFrame([("x" * 100,)] * 50, "v string")
     hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()

@@ -22,7 +22,7 @@ from ..operators.asof import as_of
 from ..operators.enrich import known_indicators, with_assets
 from ..operators.fused import Watch, watched
 from ..operators.lineage import cut
-from ..operators.needles import counted, found
+from ..operators.needles import counted
 from ..operators.networks import longest_match
 from ..operators.overlaps import overlapping
 from ..operators.sessions import sessions
@@ -502,7 +502,7 @@ def needles_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same for addresses: contained, at the start, at the end."""
     p = table(spark, sf_dir, "pages")
     needles = _pieces(p, "url", "1 + i * 3", "3 + (page_id + i) % 40")
-    counts = [found(p, "page_id", "url", needles, where).groupBy("page_id").agg(F.count(F.lit(1)).alias(name)) for where, name in (("contains", "contained"), ("startswith", "starts"), ("endswith", "ends"))]
+    counts = [counted(p, "page_id", "url", needles, where).withColumnRenamed("n", name) for where, name in (("contains", "contained"), ("startswith", "starts"), ("endswith", "ends"))]
     both = counts[0].join(counts[1], "page_id", "left").join(counts[2], "page_id", "left")
     return both.select("page_id", "contained", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("starts", "ends")])
 
