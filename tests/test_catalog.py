@@ -34,3 +34,11 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).columns == ["user_id", "first_us", "trigger_us", "last_us", "n"]
     assert set(catalog.queries()) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_parsers_stay_compiled(spark):
+    """The JVM compiles no method of more than 8,000 bytes: rows of one that is larger are interpreted."""
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    for name in ("kv_parse", "parse_auth", "parse_firewall", "url_split"):
+        code = debug.codegenStringSeq(catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan())
+        assert max(code.apply(i)._3().maxMethodCodeSize() for i in range(code.size())) < 8000, name

@@ -50,8 +50,8 @@ def _event(lines: DataFrame, **columns: Column) -> DataFrame:
 
 
 def _told(lines: DataFrame, event: Column, source: str) -> DataFrame:
-    """Event rows from one struct of fields, null for a line that is none."""
-    lines = lines.withColumn("e", event)
+    """Event rows from one struct of fields, null for a line that is none.  As a generator's row it is made once, also where rows are then kept by its fields."""
+    lines = lines.select("*", F.explode(F.array(event)).alias("e"))
     return _event(lines, source=F.lit(source), **{f.name: F.col(f"e.{f.name}") for f in lines.schema["e"].dataType})
 
 
@@ -103,31 +103,28 @@ def parse_auth(lines: DataFrame, year: int | None = None, now: datetime | None =
 
 def parse_sysmon(lines: DataFrame, **_) -> DataFrame:
     """``time;event id;type;key=value;...``; of a key that comes twice the later value holds."""
-    pairs = lambda rest: F.filter(F.split(F.coalesce(rest, F.lit("")), r";(?=[A-Za-z]\w*=)"), lambda p: p.contains("="))
-    lines = lines.withColumn("parts", F.split(_strip(F.col("value")), ";", 4)).withColumn("pairs", pairs(F.get("parts", 3)))
-    lines = lines.withColumn("names", F.transform("pairs", lambda p: _strip(F.substring_index(p, "=", 1))))
-    lines = lines.withColumn("last", F.array_distinct(F.reverse("names")))  # each name's last pair holds
-    place = lambda k: F.size("names") - F.array_position(F.reverse("names"), k)
-    lines = lines.withColumn("kv", F.map_from_arrays("last", F.transform("last", lambda k: F.get("pairs", place(k).cast("int")))))
-    stamp = F.regexp_replace(_strip(F.get("parts", 0)), " UTC", "")
-    exact = stamp.rlike(r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}\.\d{1,6}$")
-    micros = F.rpad(F.substring_index(stamp, ".", -1), 6, "0").try_cast("long")
-    ts = F.when(exact & (F.size("parts") >= 3), F.timestamp_micros(F.unix_micros(F.try_to_timestamp(F.substring_index(stamp, ".", 1), F.lit("yyyy-M-d H:m:s"))) + micros))
-    event_id = F.element_at(F.split(_strip(F.get("parts", 1)), r"\s+"), -1).try_cast("int")
-    lines = lines.withColumns({"e_ts": ts, "e_id": event_id})
-
-    def value(k: str) -> Column:
-        p = F.col("kv").getItem(k)
-        return _strip(F.substring(p, F.instr(p, "=") + 1, F.length(p)))
-
-    full = lambda k: F.nullif(value(k), F.lit(""))
-    kind = F.element_at(F.create_map(*[F.lit(x) for kv in SYSMON_KINDS.items() for x in kv]), F.col("e_id"))
-    port = value("DestinationPort")
-    return _event(
-        lines, ts=F.col("e_ts"), source=F.lit("sysmon"), kind=kind, host=value("Computer"), user=value("User"), src_ip=value("SourceIp"), dst_ip=value("DestinationIp"),
-        dst_port=F.when(port.rlike(r"^\d+$"), port.try_cast("int")), event_id=F.col("e_id"), image=F.nullif(F.coalesce(value("Image"), value("SourceImage")), F.lit("")), parent_image=full("ParentImage"),
-        command_line=full("CommandLine"), target_image=full("TargetImage"), granted_access=full("GrantedAccess"), target_filename=full("TargetFilename"), query=full("QueryName"), protocol=full("Protocol"),
-    )
+    # from the last to the first, so that the first of a name holds
+    pairs = lambda rest: F.reverse(F.filter(F.split(F.coalesce(rest, F.lit("")), r";(?=[A-Za-z]\w*=)"), lambda p: p.contains("=")))
+    names = lambda found: F.transform(found, lambda p: _strip(F.substring_index(p, "=", 1)))
+
+    def time(first: Column) -> Column:
+        exact = lambda stamp: stamp.rlike(r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}\.\d{1,6}$")
+        micros = lambda stamp: F.rpad(F.substring_index(stamp, ".", -1), 6, "0").try_cast("long")
+        at = lambda stamp: F.timestamp_micros(F.unix_micros(F.try_to_timestamp(F.substring_index(stamp, ".", 1), F.lit("yyyy-M-d H:m:s"))) + micros(stamp))
+        return let(F.regexp_replace(_strip(first), " UTC", ""), lambda stamp: F.when(exact(stamp), at(stamp)))
+
+    def told(parts: Column, found: Column, known: Column) -> Column:
+        value = lambda k: let(F.get(found, (F.array_position(known, k) - 1).cast("int")), lambda p: _strip(F.substring(p, F.instr(p, "=") + 1, F.length(p))))
+        full = lambda k: F.nullif(value(k), F.lit(""))
+        number = F.element_at(F.split(_strip(F.get(parts, 1)), r"\s+"), -1).try_cast("int")
+        kinds = F.create_map(*[F.lit(x) for kv in SYSMON_KINDS.items() for x in kv])
+        columns = {"ts": F.when(F.size(parts) >= 3, time(F.get(parts, 0))), "kind": F.element_at(kinds, number), "event_id": number, "host": value("Computer"), "user": value("User"), "src_ip": value("SourceIp"), "dst_ip": value("DestinationIp")}
+        columns |= {"dst_port": let(value("DestinationPort"), lambda p: F.when(p.rlike(r"^\d+$"), p.try_cast("int"))), "image": F.nullif(F.coalesce(value("Image"), value("SourceImage")), F.lit("")), "parent_image": full("ParentImage")}
+        columns |= {"command_line": full("CommandLine"), "target_image": full("TargetImage"), "granted_access": full("GrantedAccess"), "target_filename": full("TargetFilename"), "query": full("QueryName"), "protocol": full("Protocol")}
+        return F.struct(*[c.alias(k) for k, c in columns.items()])
+
+    event = let(F.split(_strip(F.col("value")), ";", 4), lambda parts: let(pairs(F.get(parts, F.lit(3))), lambda found: let(names(found), lambda known: told(parts, found, known))))
+    return _told(lines, event, "sysmon")
 
 
 def parse_firewall(lines: DataFrame, **_) -> DataFrame:
