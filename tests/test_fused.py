@@ -4,12 +4,15 @@ import random
 import re
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlight.operators.bursts import SECOND, bursts
 from wardlight.operators.fused import Watch, frames, watched
+from wardlight.operators import whole as whole_keys
 from wardlight.operators.sequences import beacons, sequences
 from wardlight.plans.detector import ALERT, Detector, fused_alerts, state_alerts, tagged
 from wardlight.plans.rules import StateRule
@@ -53,6 +56,65 @@ def test_every_form(spark, seed):
     assert {r[0] for r in want} == set(range(len(WATCHES)))
 
 
+def test_crowded_keys_and_others(spark):
+    """Keys are crowded or not, or lack a time: alerts are the same, and rows of keys that are not crowded are dealt out once, without copies."""
+    df = rows_of(spark, 2)
+    all_rows = df.withColumn("rule", F.explode(F.array(*map(F.lit, range(len(WATCHES))))))
+    show = lambda found: sorted((tuple(map(round_off, r)) for r in found.select("rule", "g", "first_us", "trigger_seq", "last_us", "n", F.when(F.col("rule") >= 8, F.col("cv"))).collect()), key=repr)
+    want = show(watched(all_rows, WATCHES))
+    assert {r[0] for r in want} == set(range(len(WATCHES)))
+    assert show(watched(all_rows, WATCHES, 150)) == want
+    odd = all_rows.withColumn("us", F.when((F.col("g") != "k3") | (F.col("seq") % 5 != 0), F.col("us")))
+    keep = lambda rows: [r for r in rows if r[1] != "k3"]
+    assert keep(show(watched(odd, WATCHES))) == keep(want)
+    plan = whole_keys.whole(spark.createDataFrame(all_rows.rdd, all_rows.schema), WATCHES)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\(g[^,]*, rule", plan)) == 1 and plan.count("Exchange") == 1 and "explode" not in plan
+
+
+def keys_of(seed, n=40):
+    r = random.Random(seed)
+    rows = [(i, f"k{k:02}", r.randrange(0, 300, 3) * SECOND, r.randrange(-5, 30), r.choice(("a", "b", "c", None)), r.random() < 0.6) for k in range(n) for i in range(len(WATCHES)) for _ in range(r.randrange(1, 12))]
+    rows = sorted((g, rule, us, seq, v, x, p) for seq, (rule, g, us, v, x, p) in enumerate(rows))
+    schema = pa.schema([("g", pa.string()), ("rule", pa.int32()), ("us", pa.int64()), ("seq", pa.int64()), ("v", pa.int64()), ("x", pa.string()), ("p", pa.bool_())])
+    return pa.table([list(c) for c in zip(*rows)], schema=schema)
+
+
+def test_keys_over_several_batches(monkeypatch):
+    table = keys_of(3)
+    want = whole_keys._alerts(table, WATCHES).to_pylist()
+    monkeypatch.setattr(whole_keys, "ROWS", 50)
+    got = pa.Table.from_batches(whole_keys._in_groups(WATCHES)(iter(table.to_batches(7)))).to_pylist()
+    order = lambda r: (r["rule"], r["g"], r["trigger_seq"])
+    assert want and sorted(got, key=order) == sorted(want, key=order)
+    assert list(whole_keys._in_groups(WATCHES)(iter([]))) == []
+
+
+@pytest.mark.parametrize("power", [0, 53])
+def test_sums_by_brute_force(power):
+    """Also negative amounts, and running sums over all keys that no long holds."""
+    table = keys_of(5)
+    v = table["v"].to_numpy() << power
+    table = table.set_column(4, "v", pa.array(v))
+    watches = [Watch(w.form, w.need << power, w.window_us) if w.form == "sum" else w for w in WATCHES]
+    got = {(r["rule"], r["g"], r["trigger_seq"]): (r["first_seq"], r["last_us"], r["n"]) for r in whole_keys._alerts(table, watches).to_pylist() if watches[r["rule"]].form == "sum"}
+    keys, want = {}, {}
+    for r in table.to_pylist():
+        keys.setdefault((r["rule"], r["g"]), []).append(r)
+    for (rule, g), rows in keys.items():
+        w, session = watches[rule], []
+        for i, r in enumerate(rows if w.form == "sum" else []):
+            session = [*session, r] if i and r["us"] - rows[i - 1]["us"] <= w.window_us else [r]
+            if i + 1 < len(rows) and rows[i + 1]["us"] - r["us"] <= w.window_us:
+                continue
+            for j, t in enumerate(session):
+                inside = [k for k in range(j + 1) if session[k]["us"] >= t["us"] - w.window_us]
+                if sum(session[k]["v"] for k in inside) >= w.need:
+                    start = max(k for k in inside if sum(q["v"] for q in session[k : j + 1]) >= w.need)
+                    want[rule, g, t["seq"]] = (session[start]["seq"], r["us"], len(session) - start)
+                    break
+    assert want and got == want
+
+
 def test_no_rows(spark):
     empty = spark.createDataFrame([], "rule int, g string, us long, seq long, v long, x string, p boolean")
     assert watched(empty, WATCHES).collect() == []

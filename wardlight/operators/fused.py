@@ -1,4 +1,6 @@
-"""Many stateful rules over one table of rows: one row-level shuffle and one pass of frames for all of them.
+"""Many stateful rules over one table of rows: one row-level shuffle for all of them.
+
+A key whose rows fit one task is one group, without buckets (``whole``).  What follows is for crowded keys, whose rows are many tasks, in one pass of frames.
 
 Rows are tagged with their rule and key and dealt out by (rule, key, bucket), a bucket being as wide as the rule's window; each row also goes, as past, to
 the bucket behind.  Windows of different widths can't share a range frame.  But in a bucket only past rows leave the window, each at
@@ -18,8 +20,12 @@ from pyspark.sql import functions as F
 
 from .bursts import SECOND
 from .lineage import cut
+from .needles import within_bound
 from .sequences import apart
+from .whole import whole
 
+#: A key with more rows than this, over all rules, is dealt out by time.
+CROWD = 1 << 16
 FOUND = ("rule", "g", "first_us", "first_seq", "trigger_us", "trigger_seq", "last_us", "n", "mean_s", "cv")
 
 
@@ -108,11 +114,30 @@ def frames(rows: DataFrame, watches: Sequence[Watch]) -> DataFrame:
     return x.where(F.col("end") | hit).select("rule", "g", "b", "us", "seq", "start", "place", "shot", "end", hit.alias("hit"), F.col("first.us").alias("from_us"), "metric")
 
 
-def watched(rows: DataFrame, watches: Sequence[Watch]) -> DataFrame:
-    """One row an alert (FOUND).  ``rows`` as for ``frames``, kept by the caller: sums read it once more, for the rows of their alerts' windows.
+def watched(rows: DataFrame, watches: Sequence[Watch], crowd: int = CROWD) -> DataFrame:
+    """One row an alert (FOUND).  ``rows`` as for ``frames``, kept by the caller: they are read once to find the keys with more than ``crowd`` rows, and once more.
 
     A burst's first row is the first in the window of the row that fired; of a sum it is the last from which the sum still reaches ``need`` (amounts
     are not negative).  A beacon is one row a key, over all its rows.  After a sequence its key is quiet for a window."""
+    lacking = F.col("g").isNull() | F.col("us").isNull() | F.col("seq").isNull()
+    crowded = cut(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.bool_or(lacking).alias("lacking")).where(F.col("lacking") | (F.col("n") > crowd)).select(F.col("g").alias("_g")))
+    if crowded.limit(1).count():
+        crowded = within_bound(crowded, "_g")
+        same = F.col("g").eqNullSafe(F.col("_g"))
+        found = cut(whole(rows.join(crowded, same, "left_anti"), watches)).unionByName(_dealt(rows.join(crowded, same, "left_semi"), watches))
+    else:
+        found = cut(whole(rows, watches))
+    sequence = _is(watches, "sequence")
+    parts = [found.where(~sequence)]
+    for w_us in sorted({w.window_us for w in watches if w.form == "sequence"}):
+        hits = found.where(_of(watches, lambda w, u=w_us: w.form == "sequence" and w.window_us == u))
+        chosen = apart(hits.withColumnsRenamed({"trigger_us": "us", "trigger_seq": "seq"}), ["rule", "g"], w_us)
+        parts.append(chosen.withColumnsRenamed({"us": "trigger_us", "seq": "trigger_seq"}).select(*FOUND))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _dealt(rows: DataFrame, watches: Sequence[Watch]) -> DataFrame:
+    """Alerts, and each row at which a sequence is complete, by ``frames``; sums read rows once more, for those of their alerts' windows."""
     marks = cut(frames(rows, watches))
     window = _of(watches, lambda w: w.window_us)
     by_key = Window.partitionBy("rule", "g").orderBy("b")
@@ -131,13 +156,10 @@ def watched(rows: DataFrame, watches: Sequence[Watch]) -> DataFrame:
     parts = [found]
     if any(w.form == "sum" for w in watches):
         found = cut(found)
-        parts = [found.where(~_is(watches, "sum")), _shrunk(rows, found.where(_is(watches, "sum")), watches)]
+        parts = [found.where(~_is(watches, "sum")), _shrunk(rows.where(_is(watches, "sum")), found.where(_is(watches, "sum")), watches)]
     none = F.lit(None).cast("double")
-    for w_us in sorted({w.window_us for w in watches if w.form == "sequence"}):
-        hits = marks.where(F.col("hit") & _of(watches, lambda w, u=w_us: w.form == "sequence" and w.window_us == u)).select("rule", "g", "us", "seq", F.col("from_us").alias("first_us"), (F.col("metric") + 1).alias("n"))
-        chosen = apart(hits, ["rule", "g"], w_us)
-        parts.append(chosen.select("rule", "g", "first_us", F.lit(None).cast("long").alias("first_seq"), F.col("us").alias("trigger_us"), F.col("seq").alias("trigger_seq"), F.col("us").alias("last_us"), "n", none.alias("mean_s"), none.alias("cv")))
-    return reduce(DataFrame.unionByName, parts)
+    hits = marks.where("hit").select("rule", "g", F.col("from_us").alias("first_us"), F.lit(None).cast("long").alias("first_seq"), F.col("us").alias("trigger_us"), F.col("seq").alias("trigger_seq"), F.col("us").alias("last_us"), (F.col("metric") + 1).alias("n"), none.alias("mean_s"), none.alias("cv"))
+    return cut(reduce(DataFrame.unionByName, [*parts, hits]))
 
 
 def _in_buckets(rows: DataFrame, spans: DataFrame, watches: Sequence[Watch], until: str) -> DataFrame:

@@ -217,7 +217,7 @@ def fused_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         x = F.col("event_type") if form == "distinct" else F.lit(None).cast("string")
         p = F.col("event_type") == "error" if form == "sequence" else F.lit(False)
         tags.append(F.when(concerned, F.struct(F.lit(i).alias("rule"), v.alias("v"), x.alias("x"), p.alias("p"))))
-    rows = cut(e.select(F.col("user_id").cast("string").alias("g"), "us", "seq", F.explode(F.array_compact(F.array(*tags))).alias("t")).select("g", "us", "seq", "t.*"))
+    rows = cut(e.select(F.col("user_id").cast("string").alias("g"), "us", "seq", F.explode(F.array(*tags)).alias("t")).where("t is not null").select("g", "us", "seq", "t.*"))
     watches = [Watch(form, need, hours * HOUR * B.SECOND, 0.35, 5, 900_000) for form, _, hours, need in _FUSED]
     return watched(rows, watches).select("rule", F.col("g").cast("long").alias("user_id"), "first_us", "trigger_us", "last_us", "n")
 
