@@ -79,10 +79,12 @@ def keys_of(seed, n=40):
     return pa.table([list(c) for c in zip(*rows)], schema=schema)
 
 
-def test_keys_over_several_batches(monkeypatch):
+@pytest.mark.parametrize("rows", [2, 50])
+def test_keys_over_several_batches(monkeypatch, rows):
+    """Also keys with more rows than are gone through at once."""
     table = keys_of(3)
     want = whole_keys._alerts(table, WATCHES).to_pylist()
-    monkeypatch.setattr(whole_keys, "ROWS", 50)
+    monkeypatch.setattr(whole_keys, "ROWS", rows)
     got = pa.Table.from_batches(whole_keys._in_groups(WATCHES)(iter(table.to_batches(7)))).to_pylist()
     order = lambda r: (r["rule"], r["g"], r["trigger_seq"])
     assert want and sorted(got, key=order) == sorted(want, key=order)

@@ -25,7 +25,7 @@ from .sequences import apart
 from .whole import whole
 
 #: A key with more rows than this, over all rules, is dealt out by time.
-CROWD = 1 << 16
+CROWD = 1 << 19
 FOUND = ("rule", "g", "first_us", "first_seq", "trigger_us", "trigger_seq", "last_us", "n", "mean_s", "cv")
 
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-#: Rows that are gone through at once, and those of the last key so far.
+#: Rows that are gone through at once, or those of one key.
 ROWS = 1 << 17
 FOUND = "rule int, g string, first_us long, first_seq long, trigger_us long, trigger_seq long, last_us long, n long, mean_s double, cv double"
 
@@ -28,26 +28,40 @@ def _in_groups(watches: Sequence) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     most = min(ROWS, (1 << 62) // (max(w.window_us for w in watches) + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held, n, goal = [], 0, most
         for batch in batches:
             held.append(batch)
             n += batch.num_rows
-            if n >= most:
+            if n >= goal:
                 table = pa.Table.from_batches(held).combine_chunks()
                 last = int(np.flatnonzero(_opens(table))[-1])
-                if last:
-                    yield from _alerts(table.slice(0, last), watches).to_batches()
-                    table = table.slice(last).combine_chunks()
+                for part in _parts(table.slice(0, last), most):
+                    yield from _alerts(part, watches).to_batches()
+                table = table.slice(last).combine_chunks()
                 held, n = table.to_batches(), table.num_rows
+                goal = max(most, 2 * n)  # else a key of many batches would be put together again with each
         if n:
-            yield from _alerts(pa.Table.from_batches(held).combine_chunks(), watches).to_batches()
+            for part in _parts(pa.Table.from_batches(held).combine_chunks(), most):
+                yield from _alerts(part, watches).to_batches()
 
     return run
 
 
+def _parts(table: pa.Table, most: int) -> Iterator[pa.Table]:
+    """Whole keys of at most so many rows together, or one key."""
+    edges = np.append(np.flatnonzero(_opens(table)), table.num_rows)
+    at = 0
+    while at < table.num_rows:
+        end = int(max(edges[np.searchsorted(edges, at + most, "right") - 1], edges[np.searchsorted(edges, at, "right")]))
+        yield table.slice(at, end - at)
+        at = end
+
+
 def _opens(table: pa.Table) -> np.ndarray:
     """Whether each row is the first of its key and rule."""
     new = np.ones(table.num_rows, bool)
+    if len(new) < 2:
+        return new
     differs = lambda c: pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy()
     new[1:] = differs(table["g"]) | differs(table["rule"])
     return new
